@@ -1,17 +1,814 @@
-"""The registered queries of the graph engine and the SQL that states their results."""
+"""The registered queries of the graph engine and the SQL that states their results.
+
+Each entry runs one operator over the property graph of the test tables (or over tables derived
+from them) and returns its full result; a limit stands only where it is the feature.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from weft.functions import names, scalars, text
+from weft.operators import message_passing as mp
+from weft.operators import mutate, semantic, traverse, typed, view
+from weft.plans import compile as plans
+from weft.plans import templates
+from weft.plans.session import cut
+from weft.sources import records, sinks
+from weft.sources.graph import PropertyGraph, attributes_from_json, tpch_graph
+from weft.streaming import changes
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+GRAPH = """
+land AS (SELECT n_nationkey, r_name || '/' || n_name AS land FROM nation JOIN region ON n_regionkey = r_regionkey),
+cust AS (SELECT c_custkey, land || '/' || replace(c_name, '#', '-') AS gid, c_mktsegment FROM customer JOIN land ON c_nationkey = n_nationkey),
+supp AS (SELECT s_suppkey, land || '/' || replace(s_name, '#', '-') AS gid FROM supplier JOIN land ON s_nationkey = n_nationkey),
+nodes AS (
+  SELECT r_name AS gid, 'region' AS kind, NULL AS segment, NULL AS brand, NULL AS ptype, NULL AS pname, NULL AS psize, NULL AS status, NULL AS priority FROM region
+  UNION ALL SELECT land, 'nation', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM land
+  UNION ALL SELECT gid, 'customer', c_mktsegment, NULL, NULL, NULL, NULL, NULL, NULL FROM cust
+  UNION ALL SELECT gid, 'supplier', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM supp
+  UNION ALL SELECT 'Part-' || p_partkey, 'part', NULL, p_brand, p_type, p_name, CAST(p_size AS VARCHAR), NULL, NULL FROM part
+  UNION ALL SELECT 'Order-' || o_orderkey, 'order', NULL, NULL, NULL, NULL, NULL, o_orderstatus, o_orderpriority FROM orders),
+links AS (SELECT least(a, b) AS a_gid, greatest(a, b) AS b_gid FROM (
+  SELECT 'Order-' || o_orderkey AS a, gid AS b FROM orders JOIN cust ON o_custkey = c_custkey
+  UNION ALL SELECT DISTINCT 'Order-' || l_orderkey, 'Part-' || l_partkey FROM lineitem
+  UNION ALL SELECT DISTINCT 'Part-' || l_partkey, gid FROM lineitem JOIN supp ON l_suppkey = s_suppkey)),
+par AS (SELECT gid, regexp_extract(gid, '^(.*)/[^/]*$', 1) AS parent FROM nodes WHERE contains(gid, '/')),
+edges AS (SELECT a_gid, b_gid, 'link' AS kind FROM links UNION ALL SELECT least(gid, parent), greatest(gid, parent), 'hierarchy' FROM par),
+adj AS (SELECT a_gid AS src, b_gid AS dst, kind FROM edges UNION ALL SELECT b_gid, a_gid, kind FROM edges),
+deg AS (SELECT gid, count(DISTINCT dst) AS degree FROM nodes LEFT JOIN adj ON src = gid GROUP BY gid)
+"""
+_LINES = """
+line AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_suppkey, l_linenumber ORDER BY l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS k FROM lineitem),
+rel AS (SELECT 'Line-' || l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber || '-' || k AS id, 'Order-' || l_orderkey AS o, 'Part-' || l_partkey AS p, 'Supplier-' || l_suppkey AS s, * FROM line)
+"""
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+NATION, REGION = "AFRICA/NATION_0", "AFRICA"
+
+
+def query(sql: str | None = None, *, graph: bool = True, lines: bool = False, recursive: bool = False):
+    """Register a function of (spark, sf_dir); with SQL over the graph's common tables."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            parts = ([GRAPH] if graph else []) + ([_LINES] if lines else [])
+            body = sql.strip()
+            if parts:
+                head = "WITH " + ("RECURSIVE " if recursive else "") + ",".join(parts)
+                body = head + (", " + body[5:] if body.upper().startswith("WITH ") else " " + body)
+            _SQL[f.__name__] = body
+        return f
+
+    return add
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def var(name: str) -> dict:
+    return {"kind": "var", "name": name}
+
+
+def lit(name: str) -> dict:
+    return {"kind": "literal", "name": name}
+
+
+def both(*e: dict) -> dict:
+    return {"kind": "all", "expressions": list(e)}
+
+
+def attribute(n: str, key: str, value: str | None, op: str = "equals") -> dict:
+    return {"kind": "attribute", "node": var(n), "key": key, "operator": op, "value": value}
+
+
+def connected(a: dict, b: dict) -> dict:
+    return {"kind": "connected", "left": a, "right": b}
+
+
+def _found(spark: SparkSession, sf_dir: str, where: dict | None, *returns: str) -> DataFrame:
+    out = plans.solutions(tpch_graph(spark, sf_dir), {"return": list(returns or ("x",)), "where": where})
+    return out.select(*(returns or ("x",)), "score", F.array_join("matched_by", ";").alias("matched_by"))
+
+
+# Scans and look-ups.
+
+
+@query("SELECT gid, split_part(gid, '/', -1) AS local_id, CASE WHEN contains(gid, '/') THEN regexp_extract(gid, '^(.*)/[^/]*$', 1) END AS parent_gid, CAST(len(string_split(gid, '/')) AS INT) AS depth, kind FROM nodes")
+def scan_nodes(spark, d):
+    return tpch_graph(spark, d).nodes.select("gid", "local_id", "parent_gid", "depth", F.element_at("attrs", "kind").alias("kind"))
+
+
+@query("SELECT src, dst, kind FROM adj")
+def scan_adjacency(spark, d):
+    return tpch_graph(spark, d).adj
+
+
+@query("SELECT src, dst, kind FROM adj WHERE src = 'AFRICA/NATION_0'")
+def incident_edges(spark, d):
+    return tpch_graph(spark, d).incident(NATION)
+
+
+@query("SELECT gid FROM par WHERE parent = 'AFRICA/NATION_0'")
+def children(spark, d):
+    return tpch_graph(spark, d).children(NATION).select("gid")
+
+
+@query("SELECT gid FROM nodes WHERE NOT contains(gid, '/')")
+def roots(spark, d):
+    return tpch_graph(spark, d).roots().select("gid")
+
+
+@query("SELECT a_gid, b_gid FROM links")
+def scan_links(spark, d):
+    return tpch_graph(spark, d).links
+
+
+@query("SELECT gid, kind FROM nodes WHERE gid = 'Order-1'")
+def point_get(spark, d):
+    return tpch_graph(spark, d).get("Order-1").select("gid", F.element_at("attrs", "kind").alias("kind"))
+
+
+@query("SELECT dst AS gid FROM adj WHERE src = 'Part-1' AND split_part(dst, '/', -1) = (SELECT min(split_part(dst, '/', -1)) FROM adj WHERE src = 'Part-1')")
+def resolve_alias_path(spark, d):
+    g = tpch_graph(spark, d)
+    name = g.neighbours_of("Part-1").agg(F.min(names.local_id(F.col("dst")))).first()[0]
+    return g.resolve(f"Part-1/{name}")
+
+
+@query("SELECT dst AS gid FROM adj WHERE src = 'AFRICA' AND split_part(dst, '/', -1) = 'NATION_0'")
+def neighbour_get(spark, d):
+    return tpch_graph(spark, d).neighbour(REGION, "NATION_0")
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k FROM events", graph=False)
+def read_attributes_json(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", text.lookup(attributes_from_json(F.col("props")), "K").alias("k"))
+
+
+@query("SELECT event_id, len(json_keys(props)) <> len(list_distinct(json_keys(props))) AS repeated FROM events", graph=False)
+def strict_json_keys(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", records.repeated_keys(F.col("props")).alias("repeated"))
+
+
+@query("SELECT gid, degree FROM deg")
+def node_degree(spark, d):
+    return tpch_graph(spark, d).degree()
+
+
+@query("SELECT dst AS gid FROM adj WHERE src = 'Order-1' INTERSECT SELECT dst FROM adj WHERE src = (SELECT min(a_gid) FROM links WHERE b_gid = (SELECT min(dst) FROM adj WHERE src = 'Order-1' AND dst LIKE 'Part-%') AND a_gid LIKE 'Order-%')")
+def common_neighbours(spark, d):
+    g = tpch_graph(spark, d)
+    part = g.neighbours_of("Order-1").where("dst like 'Part-%'").agg(F.min("dst")).first()[0]
+    other = g.links.where((F.col("b_gid") == part) & F.col("a_gid").like("Order-%")).agg(F.min("a_gid")).first()[0]
+    return traverse.common_neighbours(g, ["Order-1", other])
+
+
+@query("SELECT gid FROM nodes WHERE gid = 'AFRICA' OR starts_with(gid, 'AFRICA/')")
+def traverse_all_reachable(spark, d):
+    g = tpch_graph(spark, d)
+    return traverse.traverse(PropertyGraph(g.base, g.links.where("false")), REGION)
+
+
+# The query language.
+
+
+@query("SELECT gid AS x, CAST(1.0 AS DOUBLE) AS score, 'node' AS matched_by FROM nodes")
+def search_node(spark, d):
+    return _found(spark, d, {"kind": "node", "node": var("x")})
+
+
+@query("SELECT gid AS x, CAST(1.05 AS DOUBLE) AS score, 'name:equals:order-1;node' AS matched_by FROM nodes WHERE lower(gid) = 'order-1'")
+def search_name_equals(spark, d):
+    return _found(spark, d, {"kind": "name", "node": var("x"), "value": "order-1"})
+
+
+@query("SELECT gid AS x, CAST(1.0 AS DOUBLE) AS score, 'name:contains:nation_1;node' AS matched_by FROM nodes WHERE contains(lower(strip_accents(gid)), 'nation_1')")
+def search_name_contains(spark, d):
+    return _found(spark, d, {"kind": "name", "node": var("x"), "operator": "contains", "value": "nation_1"})
+
+
+@query("SELECT gid AS x, CAST(1.0 AS DOUBLE) AS score, 'name:startsWith:part-1;node' AS matched_by FROM nodes WHERE starts_with(lower(gid), 'part-1')")
+def search_name_starts(spark, d):
+    return _found(spark, d, {"kind": "name", "node": var("x"), "operator": "startsWith", "value": "part-1"})
+
+
+@query("SELECT gid AS x, CAST(1.0 AS DOUBLE) AS score, 'name:endsWith:7;node' AS matched_by FROM nodes WHERE ends_with(lower(gid), '7')")
+def search_name_ends(spark, d):
+    return _found(spark, d, {"kind": "name", "node": var("x"), "operator": "endsWith", "value": "7"})
+
+
+@query("SELECT gid AS x, CAST(1.0 AS DOUBLE) AS score, 'name:notEquals:AFRICA;node' AS matched_by FROM nodes WHERE lower(gid) <> 'africa'")
+def search_name_not_equals(spark, d):
+    return _found(spark, d, {"kind": "name", "node": var("x"), "operator": "notEquals", "value": "AFRICA"})
+
+
+@query("SELECT gid AS x, CAST(1.0 AS DOUBLE) AS score, 'attribute:SEGMENT:equals;node' AS matched_by FROM nodes WHERE lower(segment) = 'machinery'")
+def search_attribute_eq(spark, d):
+    return _found(spark, d, attribute("x", "SEGMENT", "machinery"))
+
+
+@query("SELECT gid AS x, CAST(1.0 AS DOUBLE) AS score, 'attribute:brand:notEquals;node' AS matched_by FROM nodes WHERE lower(brand) <> 'brand#2'")
+def search_attribute_ne(spark, d):
+    return _found(spark, d, attribute("x", "brand", "Brand#2", "notEquals"))
+
+
+@query("SELECT gid AS x, CAST(1.0 AS DOUBLE) AS score, 'attribute:status:exists;node' AS matched_by FROM nodes WHERE status IS NOT NULL")
+def search_attribute_exists(spark, d):
+    return _found(spark, d, attribute("x", "status", None, "exists"))
+
+
+@query("SELECT gid AS x, CAST(1.0 AS DOUBLE) AS score, 'attribute:priority:contains;node' AS matched_by FROM nodes WHERE contains(lower(priority), 'low')")
+def search_attribute_contains(spark, d):
+    return _found(spark, d, attribute("x", "priority", "LOW", "contains"))
+
+
+@query("""
+SELECT gid AS x, CAST(round_even(greatest(1.0, s + 0.05), 4) AS DOUBLE) AS score, 'text:small widget;node' AS matched_by FROM (
+  SELECT gid, CASE WHEN lower(gid) = 'small widget' THEN 1.0 WHEN contains(lower(gid), 'small widget') THEN 0.85 WHEN contains(lower(pname), 'small widget') THEN 0.65
+    WHEN contains(t, 'small') AND contains(t, 'widget') THEN 0.5 ELSE 0 END AS s
+  FROM (SELECT gid, pname, lower(concat_ws(' ', gid, kind, segment, brand, ptype, pname, psize, status, priority)) AS t FROM nodes)) WHERE s > 0""")
+def search_text_ranked(spark, d):
+    return _found(spark, d, {"kind": "text", "node": var("x"), "value": "small widget"})
+
+
+@query("""
+SELECT doc_id, CASE WHEN lower(coalesce(source, '')) = 'src1' THEN 1.0 WHEN contains(lower(coalesce(source, '')), 'src1') THEN 0.85 WHEN contains(lower(coalesce(lang, '')), 'src1') OR contains(lower(strip_accents(coalesce(text, ''))), 'src1') THEN 0.65 ELSE 0.0 END::DOUBLE AS score FROM documents""", graph=False)
+def text_score_documents(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    attrs = F.create_map(F.lit("lang"), F.coalesce("lang", F.lit("")), F.lit("text"), F.coalesce("text", F.lit("")))
+    return docs.select("doc_id", text.text_score(F.coalesce("source", F.lit("")), attrs, "src1").alias("score"))
+
+
+@query("SELECT DISTINCT src AS x, CAST(1.4 AS DOUBLE) AS score, 'attribute:kind:equals;connected:depth=1;node' AS matched_by FROM adj JOIN nodes ON gid = src WHERE nodes.kind = 'part' AND dst = 'Order-1'")
+def search_connected(spark, d):
+    return _found(spark, d, both(attribute("x", "kind", "part"), connected(var("x"), lit("Order-1"))))
+
+
+@query("""SELECT o.src AS n, p.dst AS z, CAST(1.55 AS DOUBLE) AS score, 'attribute:kind:equals;connected:depth=1;node' AS matched_by
+FROM nodes JOIN adj o ON gid = o.dst JOIN adj p ON p.src = o.dst WHERE nodes.kind = 'part' AND psize = '7' AND o.src LIKE 'Order-1%' AND p.dst LIKE 'AFRICA/%' GROUP BY ALL""")
+def search_two_hop(spark, d):
+    names_ = [{"kind": "name", "node": var("n"), "operator": "startsWith", "value": "Order-1"}, {"kind": "name", "node": var("z"), "operator": "startsWith", "value": "AFRICA/"}]
+    out = plans.solutions(tpch_graph(spark, d), {"return": ["n", "z"], "where": both(attribute("x", "kind", "part"), attribute("x", "size", "7"), connected(var("n"), var("x")), connected(var("x"), var("z")), *names_)})
+    return out.select("n", "z", F.lit(1.55).cast("decimal(3,2)").cast("double").alias("score"), F.lit("attribute:kind:equals;connected:depth=1;node").alias("matched_by"))
+
+
+@query("""WITH c AS (SELECT min(dst) AS a, max(dst) AS b FROM adj WHERE src = 'Order-1' AND dst LIKE 'Part-%')
+SELECT src AS x FROM adj, c WHERE dst = a AND src LIKE 'Order-%' INTERSECT SELECT src FROM adj, c WHERE dst = b AND src LIKE 'Order-%'""")
+def search_all_anchors(spark, d):
+    g = tpch_graph(spark, d)
+    a, b = g.neighbours_of("Order-1").where("dst like 'Part-%'").agg(F.min("dst"), F.max("dst")).first()
+    return _found(spark, d, both(attribute("x", "kind", "order"), connected(var("x"), lit(a)), connected(var("x"), lit(b)))).select("x")
+
+
+@query("""SELECT gid AS x, CAST(1.4 AS DOUBLE) AS score, 'attribute:kind:equals;connected:depth=1;node' AS matched_by FROM nodes WHERE kind = 'order' AND (gid IN (SELECT src FROM adj WHERE dst = 'Part-1') OR gid IN (SELECT src FROM adj WHERE dst = 'Part-2'))""")
+def search_any_anchor(spark, d):
+    return _found(spark, d, both(attribute("x", "kind", "order"), {"kind": "any", "expressions": [connected(var("x"), lit("Part-1")), connected(var("x"), lit("Part-2"))]}))
+
+
+_REACH3 = """WITH r AS (SELECT 'Order-1' AS gid, 0 AS d UNION SELECT dst, d + 1 FROM r JOIN adj ON src = r.gid WHERE d < 2), m AS (SELECT gid, min(d) AS d FROM r GROUP BY gid)"""
+
+
+@query(_REACH3 + """ SELECT m.gid AS x, CAST(round_even(greatest(1.0, 0.65 + 0.7 / d + 0.05), 4) AS DOUBLE) AS score, 'attribute:kind:equals;path:depth=' || d || ';node' AS matched_by FROM m JOIN nodes USING (gid) WHERE d BETWEEN 1 AND 2 AND kind = 'supplier'""", recursive=True)
+def search_path_within(spark, d):
+    return _found(spark, d, both(attribute("x", "kind", "supplier"), {"kind": "path", "left": var("x"), "right": lit("Order-1"), "minDepth": 1, "maxDepth": 2}))
+
+
+@query("SELECT gid AS x, CAST(1.05 AS DOUBLE) AS score, 'path:depth=0;node' AS matched_by FROM nodes")
+def search_path_zero_self(spark, d):
+    return _found(spark, d, {"kind": "path", "left": var("x"), "right": var("x"), "minDepth": 0, "maxDepth": 0, "includeSelf": True})
+
+
+@query("""SELECT gid AS x, CAST(round_even(0.3 + 0.75 + 0.25 / d + 0.05, 4) AS DOUBLE) AS score, 'ancestor:AFRICA;descendant-of:AFRICA depth=' || d || ';node' AS matched_by
+FROM (SELECT gid, len(string_split(gid, '/')) - 1 AS d FROM nodes WHERE starts_with(gid, 'AFRICA/')) WHERE d BETWEEN 1 AND 2""")
+def search_descendant(spark, d):
+    return _found(spark, d, {"kind": "descendant", "ancestor": lit(REGION), "descendant": var("x"), "maxDepth": 2})
+
+
+@query("""SELECT u.gid AS a, n.gid AS x FROM nodes n JOIN nodes u ON starts_with(n.gid, u.gid || '/') WHERE n.kind = 'supplier'""")
+def search_all_ancestors(spark, d):
+    return _found(spark, d, both(attribute("x", "kind", "supplier"), {"kind": "descendant", "ancestor": var("a"), "descendant": var("x")}), "a", "x").select("a", "x")
+
+
+@query("SELECT gid AS x, CAST(1.15 AS DOUBLE) AS score, 'attribute:kind:equals;degree:greaterThanOrEqual:8;node' AS matched_by FROM deg JOIN nodes USING (gid) WHERE degree >= 8 AND kind = 'order'")
+def search_degree_ge(spark, d):
+    return _found(spark, d, both(attribute("x", "kind", "order"), {"kind": "degree", "node": var("x"), "operator": "greaterThanOrEqual", "value": 8}))
+
+
+@query("SELECT gid AS x, gid AS y, CAST(1.0 AS DOUBLE) AS score, 'attribute:kind:equals;same;node' AS matched_by FROM nodes WHERE kind = 'nation'")
+def search_same(spark, d):
+    return _found(spark, d, both(attribute("x", "kind", "nation"), {"kind": "same", "left": var("x"), "right": var("y")}), "x", "y")
+
+
+@query("SELECT a.gid AS x, b.gid AS y, CAST(1.5 AS DOUBLE) AS score, 'attribute:kind:equals;not-same;node' AS matched_by FROM nodes a, nodes b WHERE a.kind = 'nation' AND b.kind = 'region' AND a.gid <> b.gid")
+def search_not_same(spark, d):
+    return _found(spark, d, both(attribute("x", "kind", "nation"), attribute("y", "kind", "region"), {"kind": "notSame", "left": var("x"), "right": var("y")}), "x", "y")
+
+
+@query("SELECT gid AS x, CAST(1.0 AS DOUBLE) AS score, 'node;not' AS matched_by FROM deg WHERE degree = 0")
+def search_isolated(spark, d):
+    return _found(spark, d, both({"kind": "node", "node": var("x")}, {"kind": "not", "expression": {"kind": "exists", "variables": [], "expression": connected(var("x"), var("y"))}}))
+
+
+@query("""SELECT gid AS x, CAST(1.0 AS DOUBLE) AS score, 'attribute:kind:equals;not;node' AS matched_by FROM nodes WHERE kind = 'order' AND NOT EXISTS (SELECT 1 FROM adj JOIN nodes p ON p.gid = dst WHERE src = nodes.gid AND p.psize = '7')""")
+def search_not_connected_to_kind(spark, d):
+    return _found(spark, d, both(attribute("x", "kind", "order"), {"kind": "not", "expression": both(connected(var("x"), var("p")), attribute("p", "size", "7"))}))
+
+
+@query("""SELECT o.gid AS x, CAST(round_even(greatest(1.0, 0.65 + 0.7 + 0.65 + 0.05), 4) AS DOUBLE) AS score, 'attribute:kind:equals;exists;node' AS matched_by FROM nodes o WHERE kind = 'order' AND EXISTS (SELECT 1 FROM adj JOIN nodes p ON p.gid = dst WHERE src = o.gid AND p.psize = '7')""")
+def search_exists_score(spark, d):
+    return _found(spark, d, both(attribute("x", "kind", "order"), {"kind": "exists", "variables": ["p"], "expression": both(connected(var("x"), var("p")), attribute("p", "size", "7"))}))
+
+
+@query("SELECT gid AS x FROM nodes WHERE kind = 'order' ORDER BY gid LIMIT 50")
+def search_limit(spark, d):
+    return plans.search(tpch_graph(spark, d), {"return": ["x"], "where": attribute("x", "kind", "order")}).select("x")
+
+
+@query("SELECT gid AS n, 'n=' || gid AS bindings FROM nodes WHERE kind = 'nation'")
+def search_bindings(spark, d):
+    q = {"where": attribute("n", "kind", "nation")}
+    got = plans.matches(plans.solutions(tpch_graph(spark, d), q), q)
+    return got.select(F.col("node").alias("n"), F.array_join(F.transform(F.map_entries("bindings"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("bindings"))
+
+
+@query("SELECT DISTINCT o.src AS n FROM adj o JOIN adj p ON o.dst = p.src WHERE p.dst = 'Part-1' AND o.src <> 'Part-1'")
+def template_neighbour_connected(spark, d):
+    return plans.solutions(tpch_graph(spark, d), templates.neighbour_connected("Part-1")).select("n")
+
+
+@query("SELECT DISTINCT src AS n, dst AS x FROM adj JOIN nodes ON gid = dst WHERE segment = 'MACHINERY'")
+def template_neighbour_by_id(spark, d):
+    return plans.solutions(tpch_graph(spark, d), templates.neighbour_by_id("segment", "MACHINERY")).select("n", "x")
+
+
+# Traversal.
+
+
+@query("WITH r AS (SELECT 'Order-1' AS gid, 0 AS d UNION SELECT dst, d + 1 FROM r JOIN adj ON src = r.gid WHERE d < 2) SELECT gid, min(d) AS dist FROM r GROUP BY gid", recursive=True)
+def subgraph_depth2(spark, d):
+    return traverse.subgraph(tpch_graph(spark, d), ["Order-1"], 2)
+
+
+@query("WITH r AS (SELECT gid, 0 AS d FROM nodes WHERE gid IN ('Order-1', 'Order-2', 'Part-3') UNION SELECT dst, d + 1 FROM r JOIN adj ON src = r.gid WHERE d < 1) SELECT gid, min(d) AS dist FROM r GROUP BY gid", recursive=True)
+def subgraph_multiroot(spark, d):
+    return traverse.subgraph(tpch_graph(spark, d), ["Order-1", "Order-2", "Part-3"], 1)
+
+
+@query("WITH s AS (SELECT 'Order-1' AS gid UNION SELECT dst FROM adj WHERE src = 'Order-1') SELECT a_gid, b_gid, kind FROM edges WHERE a_gid IN (SELECT gid FROM s) AND b_gid IN (SELECT gid FROM s)")
+def induced_edges(spark, d):
+    g = tpch_graph(spark, d)
+    return traverse.induced_edges(g, traverse.subgraph(g, ["Order-1"], 1))
+
+
+@query("WITH r AS (SELECT gid AS src, gid AS dst, 0 AS d FROM nodes WHERE kind = 'region' UNION SELECT r.src, adj.dst, d + 1 FROM r JOIN adj ON adj.src = r.dst WHERE d < 2) SELECT src, dst, min(d) AS dist FROM r GROUP BY src, dst HAVING min(d) >= 1", recursive=True)
+def reachability(spark, d):
+    g = tpch_graph(spark, d)
+    return traverse.reach(g.neighbours, g.nodes.where("attrs['kind'] = 'region'").select("gid"), 1, 2)
+
+
+@query("""WITH t AS (SELECT split_part(gid, '/', 1) AS r, gid FROM nodes WHERE kind IN ('region', 'nation', 'customer', 'supplier')) SELECT gid, min(gid) OVER (PARTITION BY r) AS component FROM t""")
+def components(spark, d):
+    g = tpch_graph(spark, d)
+    n = g.nodes.where("attrs['kind'] in ('region', 'nation', 'customer', 'supplier')")
+    return traverse.components(n.select("gid"), g.adj.where("kind = 'hierarchy'").select("src", "dst"))
+
+
+# Views.
+
+
+def _tree(spark, d):
+    g = tpch_graph(spark, d)
+    n = g.nodes.where("attrs['kind'] in ('region', 'nation', 'customer', 'supplier')")
+    return g, n, g.edges.where("kind = 'hierarchy'").select("a_gid", "b_gid")
+
+
+@query("SELECT gid FROM nodes WHERE gid = 'AFRICA/NATION_0' OR starts_with(gid, 'AFRICA/NATION_0/')")
+def bridge_collapse(spark, d):
+    _, n, e = _tree(spark, d)
+    return view.collapse(n, e, REGION, NATION)
+
+
+@query("SELECT gid, split_part(gid, '/', 1) AS root_component FROM nodes WHERE kind IN ('region', 'nation', 'customer', 'supplier')")
+def root_components(spark, d):
+    _, n, e = _tree(spark, d)
+    return view.root_components(n, e)
+
+
+@query("SELECT gid FROM nodes WHERE starts_with(gid, 'AFRICA/')")
+def tree_branch(spark, d):
+    return view.branch(tpch_graph(spark, d).nodes.select("gid", "parent_gid"), REGION)
+
+
+@query("SELECT count(DISTINCT gid) AS n_nodes, (SELECT count(*) FROM (SELECT DISTINCT a_gid, b_gid FROM edges)) AS n_edges FROM nodes")
+def primitive_counts(spark, d):
+    g = tpch_graph(spark, d)
+    return view.primitive_counts(g.nodes, g.edges)
+
+
+@query("""WITH e AS (SELECT a_gid, b_gid, CASE WHEN kind = 'link' THEN 35.0 ELSE 8.0 END AS w FROM edges), s AS (SELECT gid, sum(w) AS dg, sum(CASE WHEN o = 'Order-1' THEN least(25.0, w * 0.35) ELSE 0 END) AS f FROM (SELECT a_gid AS gid, b_gid AS o, w FROM e UNION ALL SELECT b_gid, a_gid, w FROM e) GROUP BY gid)
+SELECT gid, floor((CASE WHEN kind = 'part' THEN 50.0 ELSE 20.0 END + ln(1 + coalesce(dg, 0)) * 8 + CASE WHEN gid = 'AFRICA' THEN 18 ELSE 0 END + CASE WHEN gid = 'Order-1' THEN 30 ELSE 0 END + coalesce(f, 0)) * 10 + 0.5) / 10 AS rank FROM nodes LEFT JOIN s USING (gid)""")
+def rank_nodes(spark, d):
+    g = tpch_graph(spark, d)
+    none = F.lit(None).cast("double").alias("type_rank")
+    n = g.nodes.select("gid", F.when(F.element_at("attrs", "kind") == "part", "t").alias("type_gid"), none)
+    return view.rank(n, g.edges.select("a_gid", "b_gid", none, (F.col("kind") == "link").alias("projected")), REGION, "Order-1")[0]
+
+
+@query("SELECT a_gid, b_gid, bool_or(kind = 'link') AS collapsed FROM edges GROUP BY ALL")
+def edge_merge(spark, d):
+    return view.merged_edges(tpch_graph(spark, d).edges.select("a_gid", "b_gid", (F.col("kind") == "link").alias("collapsed")))
+
+
+@query("""WITH shown AS (SELECT gid FROM nodes WHERE kind IN ('order', 'customer')), e AS (SELECT a_gid AS anchor, b_gid AS other FROM links UNION ALL SELECT b_gid, a_gid FROM links)
+SELECT anchor, other, CASE WHEN other NOT IN (SELECT gid FROM shown) THEN 'load-neighbor' ELSE 'collapse' END AS control FROM e WHERE anchor IN (SELECT gid FROM shown)""")
+def frontier_controls(spark, d):
+    g = tpch_graph(spark, d)
+    return view.frontier_controls(g.links.withColumn("collapsed", F.lit(False)), g.nodes.where("attrs['kind'] in ('order', 'customer')"))
+
+
+def _basis(spark):
+    return spark.createDataFrame([(f"{r}", "Node", r, None, True, False, ["kind"]) for r in ("AFRICA", "ASIA", "AMERICA", "EUROPE", "MIDDLE EAST")], view.BASIS)
+
+
+@query("SELECT dst AS node_gid, src AS type_gid FROM adj WHERE src IN ('AFRICA', 'ASIA', 'AMERICA', 'EUROPE', 'MIDDLE EAST') AND dst NOT IN ('AFRICA', 'ASIA', 'AMERICA', 'EUROPE', 'MIDDLE EAST')")
+def view_facets(spark, d):
+    return view.facets(tpch_graph(spark, d).edges, _basis(spark))
+
+
+@query("SELECT dst AS node_gid, src AS type_gid, 'kind' AS field, nodes.kind AS value FROM adj JOIN nodes ON gid = dst WHERE src IN ('AFRICA', 'ASIA', 'AMERICA', 'EUROPE', 'MIDDLE EAST')")
+def record_fields(spark, d):
+    g = tpch_graph(spark, d)
+    return view.record_fields(g.nodes, g.edges, _basis(spark))
+
+
+@query("SELECT a_gid, b_gid FROM edges WHERE kind = 'hierarchy' AND a_gid <> 'AFRICA' AND NOT starts_with(a_gid, 'AFRICA/') AND NOT starts_with(b_gid, 'AFRICA/')")
+def view_projection_edges(spark, d):
+    """The hierarchy when the type AFRICA is collapsed: its own subtree holds its definition and goes."""
+    g = tpch_graph(spark, d)
+    b = _basis(spark).where("type_gid = 'AFRICA'").withColumn("collapsed", F.lit(True))
+    tree = g.nodes.where("attrs['kind'] in ('region', 'nation', 'customer', 'supplier')")
+    return view.project(tree, g.edges.where("kind = 'hierarchy'"), b)[1].select("a_gid", "b_gid")
+
+
+@query("""SELECT n.gid, count(DISTINCT dst) AS n_edges FROM nodes n JOIN adj ON src = n.gid WHERE n.kind = 'nation' GROUP BY n.gid""")
+def node_responses(spark, d):
+    g = tpch_graph(spark, d)
+    return view.responses(g, g.nodes.where("attrs['kind'] = 'nation'")).select("gid", F.size("edges").cast("long").alias("n_edges"))
+
+
+# The typed contract.
+
+_SEED = {"Entity": [], "Order": ["Entity"], "Part": ["Entity"], "Supplier": ["Entity"]}
+
+
+def _typed(spark, d):
+    """Orders, parts and suppliers as instances, line items as relations."""
+    attrs = {"Order": [("Price", "Double", True), ("Status", "String", False)], "Part": [("Size", "Int32", True), ("Price", "Int64", False)], "Supplier": [("Balance", "Decimal", True)]}
+    rows = [(t, "Instance", t == "Entity", req, [], attrs.get(t, [])) for t, req in _SEED.items()]
+    rows.append(("Line", "Relation", False, [], [("Order", "Order", 1, 1), ("Part", "Part", 1, 1), ("Supplier", "Supplier", 1, 1)], [("Quantity", "Int32", False)]))
+    types = spark.createDataFrame(rows, typed.TYPES)
+    t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
+    none = F.create_map().cast("map<string,array<string>>")
+    s = lambda c: F.col(c).cast("string")
+    inst = lambda df, kind, key, attrs: df.select(F.concat(F.lit(kind + "-"), s(key)).alias("id"), F.lit("Instance").alias("kind"), F.array(F.lit("Entity"), F.lit(kind)).alias("type_ids"), attrs.alias("attributes"), none.alias("members"))
+    money = lambda c: F.round(F.col(c), 2).cast("decimal(18,2)").cast("string")
+    el = inst(t("orders"), "Order", "o_orderkey", F.create_map(F.lit("Price"), money("o_totalprice"), F.lit("Status"), s("o_orderstatus")))
+    el = el.unionByName(inst(t("part"), "Part", "p_partkey", F.create_map(F.lit("Size"), s("p_size"), F.lit("Price"), money("p_retailprice"))))
+    el = el.unionByName(inst(t("supplier"), "Supplier", "s_suppkey", F.create_map(F.lit("Balance"), money("s_acctbal"))))
+    from pyspark.sql import Window as W
+
+    key = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    k = F.row_number().over(W.partitionBy(*key).orderBy("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"))
+    line = t("lineitem").withColumn("k", k)
+    one = lambda prefix, c: F.array(F.concat(F.lit(prefix), s(c)))
+    rel = line.select(F.concat_ws("-", F.lit("Line"), *(s(c) for c in key), s("k")).alias("id"), F.lit("Relation").alias("kind"), F.array(F.lit("Line")).alias("type_ids"), F.create_map(F.lit("Quantity"), F.col("l_quantity").cast("int").cast("string")).alias("attributes"), F.create_map(F.lit("Order"), one("Order-", "l_orderkey"), F.lit("Part"), one("Part-", "l_partkey"), F.lit("Supplier"), one("Supplier-", "l_suppkey")).alias("members"))
+    return types, el, rel
+
+
+@query("SELECT * FROM (VALUES ('Entity', 'Entity'), ('Order', 'Order'), ('Order', 'Entity'), ('Part', 'Part'), ('Part', 'Entity'), ('Supplier', 'Supplier'), ('Supplier', 'Entity'), ('Line', 'Line')) t(type_id, reached)", graph=False)
+def type_closure(spark, d):
+    return typed.closure(_typed(spark, d)[0])
+
+
+@query("SELECT * FROM (VALUES ('Entity', 0), ('Order', 2), ('Part', 2), ('Supplier', 1), ('Line', 1)) t(type_id, n)", graph=False)
+def effective_types(spark, d):
+    return typed.effective(_typed(spark, d)[0]).select("type_id", F.size("attributes").alias("n"))
+
+
+@query("SELECT 'Part-' || p_partkey AS id, 'Invalid' AS code, 'the value is no Int64: Price' AS message FROM part", graph=False)
+def typed_scalar_violations(spark, d):
+    types, el, _ = _typed(spark, d)
+    return typed.scalar_violations(types, el)
+
+
+@query("SELECT rel.id, 'Invalid' AS code, 'a participant repeats: ' || p AS message FROM rel WHERE l_linenumber = 7 UNION ALL SELECT id, 'Invalid', 'wrong number of participants: Part' FROM rel WHERE l_linenumber = 7", graph=False, lines=True)
+def typed_cardinality_violations(spark, d):
+    types, el, rel = _typed(spark, d)
+    twice = F.when(F.split(F.col("id"), "-")[4] == "7", F.transform_values("members", lambda k, v: F.when(k == "Part", F.concat(v, v)).otherwise(v))).otherwise(F.col("members"))
+    return typed.relation_violations(types, el.unionByName(rel.withColumn("members", twice)))
+
+
+@query("SELECT id, 'Invalid' AS code, 'no such participant: ' || p AS message FROM rel WHERE l_partkey % 5 = 0", graph=False, lines=True)
+def typed_dangling(spark, d):
+    types, el, rel = _typed(spark, d)
+    kept = el.where("not (startswith(id, 'Part-') and cast(split(id, '-')[1] as int) % 5 = 0)")
+    return typed.relation_violations(types, kept.unionByName(rel)).where("message like 'no such participant%'")
+
+
+@query("SELECT id FROM rel WHERE p = 'Part-1'", graph=False, lines=True)
+def incident_relations(spark, d):
+    return typed.incident_relations(_typed(spark, d)[2], ["Part-1"]).select("id")
+
+
+@query("WITH one AS (SELECT o, p, s FROM rel ORDER BY o, p, s LIMIT 1) SELECT id FROM rel JOIN one USING (o, p, s)", graph=False, lines=True)
+def participant_set_match(spark, d):
+    rel = _typed(spark, d)[2]
+    one = rel.select("members").orderBy("members.Order", "members.Part", "members.Supplier").first()["members"]
+    return typed.same_participants(rel, [x for v in one.values() for x in v])
+
+
+@query("SELECT id, role, participant FROM (SELECT id, unnest(['Order', 'Part', 'Supplier']) AS role, unnest([o, p, s]) AS participant FROM rel)", graph=False, lines=True)
+def participants_exploded(spark, d):
+    return typed.participants(_typed(spark, d)[2]).select(F.col("rel").alias("id"), "role", "participant")
+
+
+@query("SELECT 'x' AS id, 'Conflict' AS code, 'the id is taken' AS message FROM region WHERE FALSE UNION ALL SELECT least('Order-1', 'order-1'), 'Conflict', 'the id is taken' FROM region WHERE r_regionkey = 0", graph=False)
+def id_collisions(spark, d):
+    types, el, _ = _typed(spark, d)
+    twin = el.where("id = 'Order-1'").withColumn("id", F.lit("order-1"))
+    return typed.id_collisions(types, el.unionByName(twin))
+
+
+# Message passing: integer features, so that sums are exact.
+
+
+def _mp(spark, d):
+    g = tpch_graph(spark, d)
+    keep = g.nodes.where("attrs['kind'] in ('order', 'part')")
+    n = keep.select(F.col("gid").alias("key"), F.array(F.element_at("attrs", "kind")).alias("type_keys"), F.array(F.when(F.element_at("attrs", "kind") == "part", F.try_element_at("attrs", F.lit("size")).cast("float")).otherwise(1.0), F.lit(2.0)).cast("array<float>").alias("x"))
+    li = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey", "l_partkey", "l_returnflag").agg(F.sum("l_quantity").alias("q"))
+    r = li.select(F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"), "l_returnflag").alias("key"), F.col("l_returnflag").alias("type_key"), F.concat(F.lit("Part-"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("Order-"), F.col("l_orderkey").cast("string")).alias("dst"), F.col("q").cast("float").alias("w"))
+    return g, n, r
+
+
+_MP = """WITH n AS (SELECT gid AS key, CASE WHEN kind = 'part' THEN CAST(psize AS DOUBLE) ELSE 1.0 END AS x0, 2.0 AS x1 FROM nodes WHERE kind IN ('order', 'part')),
+r AS (SELECT l_orderkey || '/' || l_partkey || '/' || l_returnflag AS key, l_returnflag AS t, 'Part-' || l_partkey AS src, 'Order-' || l_orderkey AS dst, sum(l_quantity) AS w FROM lineitem GROUP BY ALL),
+ix AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS idx FROM n)"""
+
+
+@query(_MP + """ SELECT n.key, greatest(0.0, coalesce(sum(CASE t WHEN 'A' THEN w * (s.x0 - s.x1) WHEN 'N' THEN w * s.x0 ELSE -w * s.x1 END), 0) + n.x0 - 50) AS y0 FROM n LEFT JOIN r ON r.dst = n.key LEFT JOIN n s ON s.key = r.src GROUP BY n.key, n.x0""")
+def mp_layer_relu(spark, d):
+    _, n, r = _mp(spark, d)
+    layer = mp.Layer(2, 1, {"A": [[1], [-1]], "N": [[1], [0]], "R": [[0], [-1]]}, [[1], [0]], [-50], "ReLU")
+    return mp.apply_layer(n, r, layer).select("key", F.get("y", F.lit(0)).cast("double").alias("y0"))
+
+
+@query(_MP + """ SELECT n.key, coalesce(sum(w * s.x0) FILTER (t = 'A'), 0) * 2 + coalesce(sum(w * s.x1) FILTER (t <> 'A'), 0) AS y0, coalesce(sum(w * s.x0), 0) AS y1 FROM n LEFT JOIN r ON r.dst = n.key LEFT JOIN n s ON s.key = r.src GROUP BY n.key""")
+def mp_layer_multi_rel(spark, d):
+    _, n, r = _mp(spark, d)
+    layer = mp.Layer(2, 2, {"A": [[2, 1], [0, 0]], "N": [[0, 1], [1, 0]], "R": [[0, 1], [1, 0]]})
+    return mp.apply_layer(n, r, layer).select("key", F.get("y", F.lit(0)).cast("double").alias("y0"), F.get("y", F.lit(1)).cast("double").alias("y1"))
+
+
+@query(_MP + " SELECT x.t AS type_key, ix.idx AS row, CAST(sum(coalesce(k.n, 0)) OVER (PARTITION BY x.t ORDER BY idx) - coalesce(k.n, 0) AS BIGINT) AS start, CAST(sum(coalesce(k.n, 0)) OVER (PARTITION BY x.t ORDER BY idx) AS BIGINT) AS \"end\" FROM (SELECT DISTINCT t FROM r) x CROSS JOIN ix LEFT JOIN (SELECT t, dst, count(*) AS n FROM r GROUP BY ALL) k ON k.t = x.t AND k.dst = ix.key")
+def mp_csr_offsets(spark, d):
+    _, n, r = _mp(spark, d)
+    return mp.csr_offsets(n, r)
+
+
+@query(_MP + " SELECT r.t AS type_key, a.idx AS row, b.idx AS col, w, r.key, row_number() OVER (PARTITION BY r.t, a.idx ORDER BY b.idx, r.key) - 1 AS pos FROM r JOIN ix a ON a.key = dst JOIN ix b ON b.key = src")
+def mp_csr_entries(spark, d):
+    _, n, r = _mp(spark, d)
+    return mp.csr_entries(n, r).select("type_key", "row", "col", F.col("w").cast("double").alias("w"), "key", F.col("pos").cast("long").alias("pos"))
+
+
+@query(_MP + ", c AS (SELECT idx // 1000 AS chunk, key FROM ix), h AS (SELECT DISTINCT c.chunk, r.src AS key FROM r JOIN c ON c.key = r.dst EXCEPT SELECT chunk, key FROM c) SELECT chunk, key, TRUE AS is_core FROM c UNION ALL SELECT chunk, key, FALSE FROM h")
+def mp_chunks_halo(spark, d):
+    _, n, r = _mp(spark, d)
+    return mp.chunks(n, r, 1000)
+
+
+@query("""WITH e AS (SELECT a_gid, b_gid, row_number() OVER (ORDER BY a_gid, b_gid) - 1 AS i FROM edges WHERE a_gid NOT LIKE 'Part-%' AND b_gid NOT LIKE 'Part-%')
+SELECT 'edge/' || i || '/forward' AS key, a_gid AS src, b_gid AS dst, CAST(1.0 AS DOUBLE) AS w FROM e UNION ALL SELECT 'edge/' || i || '/reverse', b_gid, a_gid, CAST(1.0 AS DOUBLE) FROM e""")
+def mp_lower_raw(spark, d):
+    g = tpch_graph(spark, d)
+    n = g.nodes.where("attrs['kind'] <> 'part'").select(F.col("gid").alias("key"))
+    return mp.lower_edges(n, g.edges, "edge").select("key", "src", "dst", F.col("w").cast("double").alias("w"))
+
+
+@query("SELECT 'snapshot.relation.source.missing' AS code, l_orderkey || '/' || l_partkey || '/' || l_returnflag AS message FROM (SELECT DISTINCT l_orderkey, l_partkey, l_returnflag FROM lineitem WHERE l_partkey % 10 = 0) UNION ALL SELECT 'spec.relation_transform.missing', 'R'", graph=False)
+def mp_diagnostics(spark, d):
+    _, n, r = _mp(spark, d)
+    n = n.where("not (key like 'Part-%' and cast(split(key, '-')[1] as int) % 10 = 0)")
+    return mp.diagnostics(n, r, mp.Layer(2, 1, {"A": [[1], [0]], "N": [[1], [0]]}))
+
+
+@query("SELECT vec_id, CAST(sum(v) AS BIGINT) AS y0 FROM (SELECT vec_id, unnest([round(x * 1000) for x in embedding]) AS v FROM embeddings) GROUP BY vec_id", graph=False)
+def mp_embeddings_self_transform(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    n = e.select(F.col("vec_id").cast("string").alias("key"), F.array(F.lit("v")).alias("type_keys"), F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("float")).alias("x"), "vec_id")
+    r = spark.createDataFrame([], mp.RELATIONS)
+    y = mp.apply_layer(n, r, mp.Layer(64, 1, {}, [[1.0]] * 64))
+    return y.select(F.col("key").cast("long").alias("vec_id"), F.get("y", F.lit(0)).cast("long").alias("y0"))
+
+
+# The semantic layer.
+
+
+def _semantic(spark, d):
+    """Kinds as types: Party is required by Customer and Supplier; a customer must have an order beside it."""
+    g = tpch_graph(spark, d)
+    slot = [("orders", ["NodeTypes/Order"], 1, None)]
+    t = spark.createDataFrame([("NodeTypes/Party", "Node", False, [], [], []), ("NodeTypes/Customer", "Node", False, ["NodeTypes/Party"], [], slot), ("NodeTypes/Supplier", "Node", False, ["NodeTypes/Party"], [], []), ("NodeTypes/Order", "Node", False, [], [], [])], semantic.TYPES)
+    kind = F.initcap(F.element_at("attrs", "kind"))
+    w = g.nodes.where("attrs['kind'] in ('customer', 'supplier', 'order')").select(F.col("gid").alias("node_gid"), F.concat(F.lit("NodeTypes/"), kind).alias("type_gid"))
+    return g, t, w.withColumn("witness_gid", F.lit(None).cast("string"))
+
+
+@query("SELECT gid AS node_gid, 'NodeTypes/Party' AS type_gid FROM nodes WHERE kind IN ('customer', 'supplier')")
+def semantic_missing_facets(spark, d):
+    _, t, f = _semantic(spark, d)
+    return semantic.missing_facets(t, f)
+
+
+@query("SELECT gid AS node_gid, 'NodeTypes/Customer' AS type_gid, 'orders' AS slot, CAST(0 AS BIGINT) AS n FROM nodes WHERE kind = 'customer' AND gid NOT IN (SELECT dst FROM adj WHERE src LIKE 'Order-%')")
+def semantic_slot_violations(spark, d):
+    g, t, f = _semantic(spark, d)
+    return semantic.slot_violations(g, t, f)
+
+
+@query("""SELECT gid AS node_gid, 'NodeTypes/' || t AS type_gid, 'instance-of-' || lower(t) || '-for-' || lower(regexp_replace(split_part(gid, '/', -1), '(.)([A-Z])', '\\1-\\2', 'g')) AS witness_gid FROM nodes, (VALUES ('Supplier'), ('Party')) v(t) WHERE kind = 'supplier'""")
+def semantic_assign(spark, d):
+    g, t, f = _semantic(spark, d)
+    f = f.where("type_gid = 'NodeTypes/Order'")
+    rows = g.nodes.where("attrs['kind'] = 'supplier'").select(F.col("gid").alias("node_gid"), F.lit("NodeTypes/Supplier").alias("type_gid"))
+    return semantic.assign(g, t, f, rows).where("type_gid <> 'NodeTypes/Order'")
+
+
+@query("SELECT gid AS node_gid, 'NodeTypes/' || upper(kind[1]) || kind[2:] AS type_gid FROM nodes WHERE kind IN ('customer', 'supplier', 'order')")
+def semantic_projection(spark, d):
+    g, t, f = _semantic(spark, d)
+    f = f.withColumn("witness_gid", F.concat(F.lit("w/"), "node_gid"))
+    return semantic.project(g, t, f).select("node_gid", "type_gid")
+
+
+@query("SELECT gid AS node_gid FROM nodes WHERE kind IN ('customer', 'order')")
+def semantic_has_any_type(spark, d):
+    return semantic.has_any_type(_semantic(spark, d)[2], ["NodeTypes/Customer", "NodeTypes/Order"])
+
+
+@query("SELECT * FROM (VALUES ('NodeTypes/Customer'), ('NodeTypes/Order'), ('NodeTypes/Party')) t(type_gid)", graph=False)
+def type_catalog(spark, d):
+    return semantic.catalog(_semantic(spark, d)[1], ["NodeTypes/Customer"]).select("type_gid")
+
+
+def _edges(spark, d):
+    types, _, rel = _typed(spark, d)
+    fields = [(r, "Node", None, 1, 1, False, None) for r in ("Order", "Part", "Supplier")]
+    t = spark.createDataFrame([("NodeTypes/Line", "Edge", False, [], fields, [])], semantic.TYPES)
+    r = rel.select(F.col("id").alias("rel_gid"), F.lit("NodeTypes/Line").alias("type_gid"), F.col("attributes").alias("attrs"))
+    m = typed.participants(rel).select(F.col("rel").alias("rel_gid"), "role", F.col("participant").alias("participant_gid"))
+    return t, semantic.Edges(r, m)
+
+
+@query("SELECT count(*) AS n_relations, count(*) * 3 AS n_members FROM rel WHERE p <> 'Part-1' AND s <> 'Supplier-2'", graph=False, lines=True)
+def semantic_cascade_delete(spark, d):
+    _, e = _edges(spark, d)
+    g = PropertyGraph.of(spark, ["Part-1", "Supplier-2"])
+    _, left = semantic.delete_nodes(g, e, ["Part-1", "Supplier-2"])
+    return left.relations.agg(F.count(F.lit(1)).alias("n_relations")).crossJoin(left.members.agg(F.count(F.lit(1)).alias("n_members")))
+
+
+@query("SELECT id AS rel_gid, unnest(['Order', 'Part', 'Supplier']) AS role, unnest([o, p, s]) AS participant_gid FROM rel", graph=False, lines=True)
+def reified_round_trip(spark, d):
+    t, e = _edges(spark, d)
+    nodes, links = semantic.export_reified(e)
+    ends = e.members.select(F.col("participant_gid").alias("gid")).distinct().unionByName(t.select(F.col("type_gid").alias("gid")))
+    none = F.create_map().cast("map<string,string>")
+    return semantic.import_reified(PropertyGraph(nodes.unionByName(ends.select("gid", none.alias("attrs"))), links), t).members
+
+
+@query("SELECT 'NodeTypes/Line' AS type_gid, r AS role, 'member-' || sha256('NodeTypes/Line' || chr(0) || r)[1:16] AS member_id FROM (VALUES ('Order'), ('Part'), ('Supplier')) t(r)", graph=False)
+def edge_definition(spark, d):
+    return semantic.edge_definition(_edges(spark, d)[0]).select("type_gid", "role", "member_id")
+
+
+# Changes.
+
+
+@query("SELECT gid FROM nodes UNION ALL SELECT 'AFRICA/Extra' UNION ALL SELECT 'AFRICA/Extra/Deep'")
+def mutate_create_nodes(spark, d):
+    none = F.create_map().cast("map<string,string>")
+    rows = spark.createDataFrame([("AFRICA/Extra",), ("AFRICA/Extra/Deep",), ("AFRICA",)], "gid string").withColumn("attrs", none)
+    return mutate.create_nodes(tpch_graph(spark, d), rows).base.select("gid")
+
+
+@query("SELECT gid, CASE WHEN kind = 'nation' THEN 'land' ELSE kind END AS kind FROM nodes")
+def mutate_update_attributes(spark, d):
+    g = tpch_graph(spark, d)
+    rows = g.base.where("attrs['kind'] = 'nation'").select("gid", mutate.with_attribute(F.col("attrs"), "Kind", "land").alias("attrs"))
+    return mutate.update_attributes(g, rows).base.select("gid", text.lookup(F.col("attrs"), "kind").alias("kind"))
+
+
+@query("SELECT a_gid, b_gid FROM links UNION ALL SELECT 'AFRICA', 'AMERICA'")
+def mutate_connect(spark, d):
+    return mutate.connect(tpch_graph(spark, d), spark.createDataFrame([("AMERICA", "AFRICA"), ("AFRICA", "AFRICA"), ("AFRICA", "nowhere")], "a_gid string, b_gid string")).links
+
+
+@query("SELECT a_gid, b_gid FROM links WHERE NOT (a_gid = 'Order-1' AND b_gid = (SELECT max(b_gid) FROM links WHERE a_gid = 'Order-1'))")
+def mutate_disconnect(spark, d):
+    g = tpch_graph(spark, d)
+    b = g.links.where("a_gid = 'Order-1'").agg(F.max("b_gid")).first()[0]
+    return mutate.disconnect(g, b, "Order-1").links
+
+
+@query("WITH m AS (SELECT gid, CASE WHEN gid = 'AFRICA/NATION_0' OR starts_with(gid, 'AFRICA/NATION_0/') THEN 'ASIA/NATION_0' || gid[16:] ELSE gid END AS g FROM nodes) SELECT g AS gid FROM m")
+def mutate_move_subtree(spark, d):
+    return mutate.move(tpch_graph(spark, d), NATION, "ASIA/NATION_0").base.select("gid")
+
+
+@query("SELECT a_gid, b_gid FROM links WHERE NOT starts_with(a_gid, 'AFRICA/') AND NOT starts_with(b_gid, 'AFRICA/')")
+def mutate_delete_subtree(spark, d):
+    return mutate.delete_subtrees(tpch_graph(spark, d), [REGION]).links
+
+
+@query("SELECT src, lower(split_part(dst, '/', -1)) AS slot FROM (SELECT DISTINCT src, dst FROM adj) GROUP BY ALL HAVING count(*) > 1")
+def slot_clashes(spark, d):
+    g = tpch_graph(spark, d)
+    return mutate.slot_clashes(PropertyGraph(g.base, g.links.where("false")), g.links)
+
+
+# Sinks, backup, functions, statistics, streams.
+
+
+@query()
+def backup_document(spark, d):
+    g = tpch_graph(spark, d)
+    return records.backup_document(PropertyGraph(g.base.where("attrs['kind'] in ('region', 'nation')"), g.links.where("false")))
+
+
+@query("SELECT CAST(to_json({'gid': gid, 'kind': kind}) AS VARCHAR) AS line FROM nodes WHERE kind IN ('region', 'nation')")
+def ndjson_sink(spark, d):
+    g = tpch_graph(spark, d)
+    return sinks.ndjson(g.nodes.where("attrs['kind'] in ('region', 'nation')").select("gid", F.element_at("attrs", "kind").alias("kind")))
+
+
+@query(r"""SELECT gid, lower(regexp_replace(gid, '(.)([A-Z])', '\1-\2', 'g')) AS kebab, sha256(gid) || '.json' AS file, len(string_split(gid, '/')) - 1 AS n_ancestors FROM nodes WHERE kind IN ('order', 'part')""")
+def name_functions(spark, d):
+    n = tpch_graph(spark, d).nodes.where("attrs['kind'] in ('order', 'part')")
+    return n.select("gid", names.kebab(F.col("gid")).alias("kebab"), names.record_file(F.col("gid")).alias("file"), F.size(names.ancestors(F.col("gid"))).cast("long").alias("n_ancestors"))
+
+
+@query("SELECT c_custkey, NOT contains(c_name, '#') AS raw_ok, TRUE AS clean_ok FROM customer", graph=False)
+def name_grammar(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    return c.select("c_custkey", names.valid_segment(F.col("c_name")).alias("raw_ok"), names.valid_segment(F.replace("c_name", F.lit("#"), F.lit("-"))).alias("clean_ok"))
+
+
+@query("""SELECT o_orderkey, TRUE AS int64_ok, TRUE AS double_ok, FALSE AS guid_ok, FALSE AS int32_ok FROM orders""", graph=False)
+def scalar_kinds(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    ok = lambda kind, c: scalars.is_valid(F.lit(kind), c)
+    key, price = F.col("o_orderkey").cast("string"), F.format_string("%.2f", "o_totalprice")
+    return o.select("o_orderkey", ok("Int64", key).alias("int64_ok"), ok("Double", price).alias("double_ok"), ok("Guid", key).alias("guid_ok"), ok("Int32", price).alias("int32_ok"))
+
+
+@query("SELECT event_type, min(value) AS least, round(avg(value), 6) AS mean, quantile_cont(value, 0.5) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS most FROM events GROUP BY event_type", graph=False)
+def measurement_statistics(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.groupBy("event_type").agg(F.min("value").alias("least"), F.round(F.avg("value"), 6).alias("mean"), F.percentile("value", F.lit(0.5)).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"), F.max("value").alias("most"))
+
+
+def _changes(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.where("event_type in ('click', 'error')").select("ts", F.when(F.col("event_type") == "click", "add").otherwise("remove").alias("op"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("a_gid"), F.get_json_object("props", "$.k").alias("b_gid"))
+
+
+@query("""WITH c AS (SELECT ts, CASE event_type WHEN 'click' THEN 'add' ELSE 'remove' END AS op, 'u' || user_id AS a, json_extract_string(props, '$.k') AS b FROM events WHERE event_type IN ('click', 'error'))
+SELECT least(a, b) AS a_gid, greatest(a, b) AS b_gid, arg_max(op, (ts, op)) AS op FROM c GROUP BY ALL""", graph=False)
+def change_batches(spark, d):
+    return changes.coalesced(_changes(spark, d))
+
+
+@query("""WITH c AS (SELECT ts, CASE event_type WHEN 'click' THEN 'add' ELSE 'remove' END AS op, 'u' || user_id AS a, json_extract_string(props, '$.k') AS b FROM events WHERE event_type IN ('click', 'error')),
+l AS (SELECT least(a, b) AS a_gid, greatest(a, b) AS b_gid, arg_max(op, (ts, op)) AS op FROM c GROUP BY ALL) SELECT a_gid, b_gid FROM l WHERE op = 'add'""", graph=False)
+def changes_applied(spark, d):
+    return changes.applied(spark.createDataFrame([], "a_gid string, b_gid string"), _changes(spark, d))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders within three steps of a part's suppliers' nation: attribute, path and negation together."""
+    where = both(
+        attribute("x", "kind", "order"), connected(var("x"), var("p")), attribute("p", "kind", "part"), connected(var("p"), var("s")),
+        {"kind": "descendant", "ancestor": lit(REGION), "descendant": var("s")}, {"kind": "not", "expression": connected(var("x"), lit("Part-1"))},
+    )
+    return _found(spark, sf_dir, where)
