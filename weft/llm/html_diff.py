@@ -17,6 +17,7 @@ from bisect import bisect_left
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.llm._shared import by_name
 
@@ -38,8 +39,8 @@ _ATTR = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)
 _SPACE = re.compile(r"\s+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
-#: A page is not compared with a neighbour that holds this part of its content blocks: it is a copy.
-COPY_PART = 0.5
+#: A neighbour that holds more than this part of a page's characters is a copy, which tells no template.
+COPY_PART = 0.9
 
 
 def _noise(name: str, attrs: str) -> bool:
@@ -166,9 +167,9 @@ def main_text(own: list[tuple[str, bool, bool]], other: list[tuple[str, bool, bo
     if other:
         shared = common([x[0] for x in own], [x[0] for x in other])
     marked = any(c and not n for _, c, n in own)
-    body = [k for k, (_, _, n) in enumerate(own) if not n]
-    if not marked and len(shared.intersection(body)) > COPY_PART * len(body):
-        shared = set()  # the neighbour is a copy: what both hold is no template
+    size = {k: len(t) for k, (t, _, n) in enumerate(own) if not n}
+    if sum(size.get(k, 0) for k in shared) > COPY_PART * sum(size.values()):
+        shared = set()
     kept = [t for k, (t, c, n) in enumerate(own) if not n and (c if marked else k not in shared)]
     return "\n\n".join(kept)
 
@@ -186,11 +187,15 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)", 1))
     path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:(?:[a-zA-Z][\w+.-]*:)?//[^/?#]*)?([^?#]*)", 1)
     keyed = rows.withColumn("host", host).withColumn("path", path)
-    near = keyed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id", "url")
+    order = ["host", "path", "page_id", "url"]
+    near = keyed.repartitionByRange("host", "path", "page_id").sortWithinPartitions(*order)
 
-    def run(batches):
+    def run(batches, only=False):
+        """Rows with their texts; with ``only``, of the rows marked ``needs``, else of all that have
+        their neighbour in this partition or are known to have none."""
         before: tuple | None = None  # the page before: host, blocks
         waiting: tuple | None = None  # a first page of a host, until its neighbour is known
+        first = True
 
         def finish(row, other):
             return row[0], row[1], main_text(row[3], other)
@@ -202,19 +207,51 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part, done = batch.slice(lo, 256), []
-                for i, url, page, own_host in zip(*(part.column(k).to_pylist() for k in range(4))):
-                    row = (i, url, own_host, blocks(page or ""))
+                for i, url, page, own_host, *needs in zip(*(part.column(k).to_pylist() for k in ((0, 1, 2, 3, 5) if only else range(4)))):
+                    row = (i, url, own_host, blocks(page or ""), first, not only or needs[0])
+                    first = False
                     if waiting is not None:
-                        done.append(finish(waiting, row[3] if waiting[2] == own_host else None))
+                        alone = waiting[2] != own_host
+                        if (only or not (alone and waiting[4])) and waiting[5]:
+                            done.append(finish(waiting, None if alone else row[3]))
                         waiting = None
                     if before is None or before[0] != own_host:
                         waiting = row
-                    else:
+                    elif row[5]:
                         done.append(finish(row, before[1]))
                     before = (own_host, row[3])
                 if done:
                     yield batch_of(done)
-        if waiting is not None:
+        if only and waiting is not None and waiting[5]:
             yield batch_of([finish(waiting, None)])
 
-    return near.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    def edges(batches):
+        """First and last page of the partition; ``needs`` where no page of the host stands beside it."""
+        head = last = None
+        run_at = n = 0  # where the last row's host begins; rows so far
+        head_alone = True
+        host = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if head is None:
+                head = batch.slice(0, 1)
+            for h in batch.column(3).to_pylist():
+                if h != host:
+                    run_at, host = n, h
+                elif run_at == 0:
+                    head_alone = False
+                n += 1
+            last = batch.slice(batch.num_rows - 1, 1)
+        rows = [] if head is None else [(head, head_alone)] if n == 1 else [(head, head_alone), (last, run_at == n - 1)]
+        for row, needs in rows:
+            yield pa.RecordBatch.from_arrays([*row.columns, pa.array([needs])], names=[*row.schema.names, "needs"])
+
+    out = "page_id bigint, url string, text string, n_chars bigint"
+    inside = near.mapInArrow(run, out)
+    # Pages cut off from their neighbours by a partition's border: two rows of each partition at
+    # most, sorted once more. The sorted pages themselves are shuffled once for both.
+    border = near.mapInArrow(edges, T.StructType([*near.schema.fields, T.StructField("needs", T.BooleanType())]))
+    few = max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 1000)
+    across = border.repartitionByRange(few, *order).sortWithinPartitions(*order).mapInArrow(lambda batches: run(batches, True), out)
+    return inside.unionByName(across)
