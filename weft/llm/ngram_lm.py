@@ -27,9 +27,11 @@ from weft.llm._shared import id_text
 
 ORDER, MIN_COUNT, BACKOFF = 3, 2, 0.4
 #: Bytes of text in a group, and n-grams in a partition of the count table.
-GROUP_BYTES, PART_GRAMS = 12 << 20, 1 << 20
+GROUP_BYTES, PART_GRAMS = 5 << 20, 1 << 20
+#: N-grams are told apart by so many bits more than their number has: a false match befalls one
+#: in 2**SPARE_BITS of them at most, at every size (until all 64 bits are used, at 2**36 n-grams).
+SPARE_BITS = 28
 LEAST_GROUPS = 32
-_TOTAL = np.uint64(0xFFFFFFFFFFFFFFFF)  # stands for "all tokens"
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -57,7 +59,16 @@ def unpack_counts(data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def grams(data: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each occurs."""
+    s = np.sort(values)
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    at = np.flatnonzero(new)
+    return s[at], np.diff(np.append(at, len(s)))
+
+
+def grams(data: np.ndarray, off: np.ndarray, order: int, keep: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """(word offsets per document, and for each n the hashes and the last-word positions of n-grams).
 
     Words are runs without ASCII white space, A-Z lower-cased.
@@ -69,15 +80,14 @@ def grams(data: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, li
     for n in range(1, order + 1):
         win, _ = B.window_owner(woff, n)
         h = B.window_hash(wh, n)[win] if len(win) else np.zeros(0, np.uint64)
-        h = B.mix(h + np.uint64(n * 0xE7037ED1A0B428DB % 2**64))
-        hashes.append(np.minimum(h, _TOTAL - np.uint64(1)))
+        hashes.append(B.mix(h + np.uint64(n * 0xE7037ED1A0B428DB % 2**64)) >> np.uint64(64 - keep))
         last.append(win + n - 1)
     return woff, hashes, last
 
 
-def _group_grams(table: pa.Table, order: int):
+def _group_grams(table: pa.Table, order: int, keep: int):
     data, off = B.text_buffers(table.column("text"))
-    return grams(data, off, order)
+    return grams(data, off, order, keep)
 
 
 def scores(spark: SparkSession, docs: DataFrame, *, order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,18 +101,14 @@ def scores(spark: SparkSession, docs: DataFrame, *, order: int = ORDER, min_coun
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_groups = max(LEAST_GROUPS, -(-size // GROUP_BYTES))
     bits = max(5, int(np.ceil(np.log2(max(1, size / 6 * order / PART_GRAMS)))))
-    shift = np.uint64(64 - bits)
+    keep = min(64, max(40, SPARE_BITS + int(np.ceil(np.log2(max(2, size / 6 * order))))))
+    shift = np.uint64(keep - bits)
     dealt = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_groups)))
 
     def request(table: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({"g": pa.array([], pa.int64()), "p": pa.array([], pa.int64()), "h": pa.array([], pa.binary()), "c": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
-        woff, hashes, _ = _group_grams(table, order)
-        every = np.sort(np.concatenate(hashes))
-        new = np.ones(len(every), bool)
-        new[1:] = every[1:] != every[:-1]
-        at = np.flatnonzero(new)
-        value, count = every[at], np.diff(np.append(at, len(every)))
+        value, count = distinct(np.concatenate(_group_grams(table, order, keep)[1]))
         cut = np.searchsorted((value >> shift).astype(np.int64), np.arange((1 << bits) + 1))
         out = {"p": [], "h": [], "c": [], "n": []}
         for p in np.flatnonzero(np.diff(cut)).tolist():
@@ -116,7 +122,7 @@ def scores(spark: SparkSession, docs: DataFrame, *, order: int = ORDER, min_coun
     def answer(table: pa.Table) -> pa.Table:
         parts = [(g, unpack(h), unpack_counts(c, n)) for g, h, c, n in zip(*(table.column(k).to_pylist() for k in ("g", "h", "c", "n")))]
         value = np.concatenate([v for _, v, _ in parts])
-        order_ = np.argsort(value, kind="stable")
+        order_ = np.argsort(value)
         value = value[order_]
         new = np.ones(len(value), bool)
         new[1:] = value[1:] != value[:-1]
@@ -130,17 +136,26 @@ def scores(spark: SparkSession, docs: DataFrame, *, order: int = ORDER, min_coun
         return pa.table({"g": pa.array([g for g, _, _ in parts], pa.int64()), "p": table.column("p"), "c": pa.array(out, pa.binary()), "n": table.column("n")})
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        woff, hashes, last = _group_grams(texts, order)
-        every = np.unique(np.concatenate(hashes))
+        woff, hashes, last = _group_grams(texts, order, keep)
+        ends = np.cumsum([0, *(len(h) for h in hashes)])
+        every = np.concatenate(hashes)
+        del hashes
+        place = np.argsort(every)
+        every = every[place]
+        new = np.ones(len(every), bool)
+        new[1:] = every[1:] != every[:-1]
         back = answers.sort_by("p")
         count = np.concatenate([unpack_counts(c, n) for c, n in zip(back.column("c").to_pylist(), back.column("n").to_pylist())]) if back.num_rows else np.zeros(0, np.int64)
-        if len(count) != len(every):
+        if len(count) != new.sum():
             raise ValueError("the answers do not fit the group's n-grams")
+        found = np.empty(len(every), np.int64)
+        found[place] = count[np.cumsum(new) - 1]
+        of = [found[a:b] for a, b in zip(ends, ends[1:])]
+        del every, place, new, count
         n_words = int(woff[-1])
         done = np.zeros(n_words, bool)
         logs = np.zeros(n_words)
         level = np.zeros(n_words, np.int64)
-        of = [count[np.searchsorted(every, h)] if len(h) else np.zeros(0, np.int64) for h in hashes]
         best = np.minimum(np.arange(n_words) - np.repeat(woff[:-1], np.diff(woff)) + 1, order)
         for n in range(order, 0, -1):
             at, c = last[n - 1], of[n - 1]
