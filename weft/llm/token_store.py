@@ -124,8 +124,11 @@ def _dictionary(spark: SparkSession, path: str) -> tuple[str, bytes]:
     return name, data
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids before the document in doc_id order), n_tokens, ids (binary), ids_crc32."""
+def read_store(spark: SparkSession, path: str, *, with_ids: bool = True) -> DataFrame:
+    """doc_id, start (ids before the document in doc_id order), n_tokens, ids_crc32, ids (binary).
+
+    Every frame is decompressed and checked in any case; without ``with_ids`` the ids stay behind.
+    """
     name, dictionary = _dictionary(spark, path)
     shared = spark.sparkContext.broadcast(dictionary)
     shards = spark.read.schema(SHARD).parquet(f"{path}/shards")
@@ -152,9 +155,12 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                 if counts.tolist() != row["n_tokens"]:
                     raise ValueError("a frame does not hold the tokens its index tells")
                 start = begin[row["bucket"]] + row["before"] + np.cumsum(counts) - counts
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(start), pa.array(counts), pa.array(ids, pa.binary()), pa.array([zlib.crc32(x) for x in ids], pa.int64())], names=["doc_id", "start", "n_tokens", "ids", "ids_crc32"])
+                columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(start), pa.array(counts), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
+                columns += [pa.array(ids, pa.binary())] if with_ids else []
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return shards.join(first, ["bucket", "shard"]).mapInArrow(unpack, "doc_id bigint, start bigint, n_tokens bigint, ids binary, ids_crc32 bigint")
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
+    return shards.join(first, ["bucket", "shard"]).mapInArrow(unpack, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids binary" if with_ids else ""))
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
@@ -167,8 +173,8 @@ def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]
     return [np.frombuffer(opener.decompress(bytes(r["f"])), "<u4").tolist() for r in frames.toLocalIterator()]
 
 
-def round_trip(spark: SparkSession, docs: DataFrame, tokenizer_path: str) -> DataFrame:
+def round_trip(spark: SparkSession, docs: DataFrame, tokenizer_path: str, *, with_ids: bool = True) -> DataFrame:
     """Write a store into the shared folder and read it back."""
     path = new_path(spark, "token-store")
     write_store(spark, docs, tokenizer_path, path)
-    return read_store(spark, path)
+    return read_store(spark, path, with_ids=with_ids)

@@ -22,6 +22,8 @@ CACHE_WORDS = 250_000
 LONG_WORD = 64
 CHUNK_TEXTS = 256
 MARK = "\x01"
+#: ASCII punctuation that may end a word; the apostrophe joins contractions and is not among it.
+PUNCTUATION = b".,!?$%&*#|;:"
 
 
 def word_wise(spec: dict) -> bool:
@@ -51,7 +53,7 @@ class WordEncoder:
     kept: dict[str, "WordEncoder"] = {}
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -63,6 +65,16 @@ class WordEncoder:
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.by_word = word_wise(spec) and len(mark) == 1
         self.mark_id = mark[0] if mark else -1
+        vocabulary = self.tokenizer.get_vocab()
+        suffix = (spec.get("model") or {}).get("end_of_word_suffix")
+        self.is_end = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if suffix:
+            self.is_end[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        norms = (spec.get("normalizer") or {}).get("normalizers", [])
+        self.folds = self.by_word and bool(suffix) and any(x.get("type") == "Lowercase" for x in norms)
+        #: The same pipeline without its normaliser, for lower-case ASCII letters, which that leaves alone.
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
         #: Two generations: words not met for a generation are forgotten.
         self.cache: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -76,9 +88,9 @@ class WordEncoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of single words, hundreds to a call, told apart by the mark between them."""
-        groups = [[w.decode() for w in words[i : i + 256]] for i in range(0, len(words), 256)]
+    def _marked(self, words: list[str]) -> list[bytes]:
+        """Ids of any words, hundreds to a call, told apart by the mark between them."""
+        groups = [words[i : i + 256] for i in range(0, len(words), 256)]
         out: list[bytes] = []
         for some, e in zip(groups, self.tokenizer.encode_batch_fast([f" {MARK} ".join(g) for g in groups], add_special_tokens=False)):
             raw = np.array(e.ids, "<u4")
@@ -90,6 +102,53 @@ class WordEncoder:
             out += [data[a:b] for a, b in zip([0, *((at + 1) * 4).tolist()], [*(at * 4).tolist(), len(data)])]
         return out
 
+    def _letters(self, words: list[str], tokenizer) -> list[bytes]:
+        """Ids of words of letters alone: each ends at its one token with the word-end suffix."""
+        groups = [words[i : i + 256] for i in range(0, len(words), 256)]
+        out: list[bytes] = []
+        for some, e in zip(groups, tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            raw = np.array(e.ids, "<u4")
+            at = np.flatnonzero(self.is_end[raw])
+            if len(at) != len(some) or at[-1] != len(raw) - 1:
+                out += self._marked(some)
+                continue
+            data = raw.tobytes()
+            out += [data[a:b] for a, b in zip([0, *((at[:-1] + 1) * 4).tolist()], ((at + 1) * 4).tolist())]
+        return out
+
+    def _words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words and of the parts they were made of.
+
+        Final punctuation is a word of its own, as the tokenizer has it (letters and punctuation
+        never merge), so most new words are made of known ones; only the rest is encoded.
+        """
+        if not self.folds:
+            return dict(zip(words, self._marked([w.decode() for w in words])))
+        made, base = [], set()
+        for word in words:
+            core = word.rstrip(PUNCTUATION)
+            if len(core) < len(word) and core and (core[-1:].isalpha() or core[-1] > 127 and core.decode()[-1].isalpha()):
+                tail = word[len(core) :]
+                made.append((word, core, tail))
+                base.add(core)
+                base.add(tail)
+            else:
+                base.add(word)
+        cache, older = self.cache, self.older
+        known = {w: cache[w] for w in base if w in cache}
+        known.update({w: older[w] for w in base if w in older})
+        base.difference_update(known)
+        plain = [w for w in base if w.isalpha() and w.islower()]
+        rest = [w.decode() for w in base.difference(plain)]
+        letters = [w for w in rest if w.isalpha()]
+        other = [w for w in rest if not w.isalpha()]
+        known.update(zip(plain, self._letters([w.decode() for w in plain], self.bare)))
+        known.update(zip(map(str.encode, letters), self._letters(letters, self.tokenizer)))
+        known.update(zip(map(str.encode, other), self._marked(other)))
+        for word, core, tail in made:
+            known[word] = known[core] + known[tail]
+        return known
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
             return self._encode([t.decode() for t in texts])
@@ -97,7 +156,9 @@ class WordEncoder:
             self.cache, self.older = {}, self.cache
         out, cache, older = [], self.cache, self.older
         for i in range(0, len(texts), CHUNK_TEXTS):
-            split = [t.split() for t in texts[i : i + CHUNK_TEXTS]]
+            # The tokenizer folds case; doing so first keeps the cache small. Texts that may
+            # hold an added token, which is matched before folding, stay as they are.
+            split = [(t.lower() if self.folds and b"<|" not in t else t).split() for t in texts[i : i + CHUNK_TEXTS]]
             missing = []
             for word in set().union(*split).difference(cache):
                 if word in older:
@@ -105,7 +166,7 @@ class WordEncoder:
                 else:
                     missing.append(word)
             extra = {}
-            for word, ids in zip(missing, self._words(missing)):
+            for word, ids in self._words(missing).items():
                 (cache if len(word) <= LONG_WORD else extra)[word] = ids
             if extra:
                 out += [b"".join([cache.get(w) or extra.get(w, b"") for w in words]) for words in split]
