@@ -416,7 +416,7 @@ def test_segment_hash_depends_on_bytes_alone():
     assert [hi - lo for lo, hi, _, _ in B.slices(col, 50)] == [4, 1] or sum(hi - lo for lo, hi, _, _ in B.slices(col, 50)) == 5
 
 
-@pytest.mark.parametrize("name", ["op1_wu_manber_decontamination", "op7_stupid_backoff"])
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_its_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
