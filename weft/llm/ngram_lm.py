@@ -29,8 +29,8 @@ ORDER, MIN_COUNT, BACKOFF = 3, 2, 0.4
 #: Bytes of text in a group, and n-grams in a partition of the count table.
 GROUP_BYTES, PART_GRAMS = 5 << 20, 1 << 20
 #: N-grams are told apart by so many bits more than their number has: a false match befalls one
-#: in 2**SPARE_BITS of them at most, at every size (until all 64 bits are used, at 2**36 n-grams).
-SPARE_BITS = 28
+#: in 2**SPARE_BITS of them at most, at every size (until all 64 bits are used, at 2**40 n-grams).
+SPARE_BITS = 24
 LEAST_GROUPS = 32
 
 
