@@ -20,7 +20,7 @@ def reach(adj: DataFrame, sources: DataFrame, min_depth: int, max_depth: int, in
 
     The start itself comes at distance 0 only with include_self and min_depth 0.
     """
-    hop = adj.select("src", "dst").distinct() if max_depth > 1 else adj.select("src", "dst")
+    hop = adj.select("src", "dst")
     start = sources.select(F.col("gid").alias("src"), F.col("gid").alias("dst"), F.lit(0).alias("dist"))
     if max_depth <= 0:
         return start if include_self and min_depth == 0 else start.where("false")

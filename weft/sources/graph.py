@@ -18,12 +18,13 @@ LINKS = T.StructType([T.StructField("a_gid", T.StringType(), False), T.StructFie
 class PropertyGraph:
     """nodes(gid, attrs) and links(a_gid, b_gid); the hierarchy lies in the paths.
 
-    ``nodes`` may hold more derived columns already; links are undirected, unique and never
-    between a node and itself.
+    ``nodes`` may hold more derived columns already; links are undirected and never between a
+    node and itself. ``unique`` tells that no link is stored twice (in either direction) or beside
+    the hierarchy edge of the same nodes; then no plan pays for making neighbours distinct.
     """
 
-    def __init__(self, nodes: DataFrame, links: DataFrame):
-        self.spark = nodes.sparkSession
+    def __init__(self, nodes: DataFrame, links: DataFrame, unique: bool = False):
+        self.spark, self.unique = nodes.sparkSession, unique
         self.base, self.links = nodes.select("gid", "attrs"), links.select("a_gid", "b_gid")
 
     @classmethod
@@ -53,11 +54,12 @@ class PropertyGraph:
     @cached_property
     def neighbours(self) -> DataFrame:
         """Distinct (src, dst)."""
-        return self.adj.select("src", "dst").distinct()
+        pairs = self.adj.select("src", "dst")
+        return pairs if self.unique else pairs.distinct()
 
     def degree(self) -> DataFrame:
         """gid, degree of every node, isolated ones too."""
-        d = self.adj.groupBy("src").agg(F.count_distinct("dst").alias("degree"))
+        d = self.neighbours.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
         return self.nodes.select("gid").join(d.withColumnRenamed("src", "gid"), "gid", "left").select("gid", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
     # Scans and look-ups.
@@ -121,4 +123,4 @@ def tpch_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     owns = pair(t("orders").join(customer, F.col("o_custkey") == F.col("c_custkey")), order_gid("o_orderkey"), F.col("gid"))
     holds = pair(line.select("l_orderkey", "l_partkey").distinct(), order_gid("l_orderkey"), part_gid("l_partkey"))
     made = pair(line.select("l_partkey", "l_suppkey").distinct().join(supplier, F.col("l_suppkey") == F.col("s_suppkey")), part_gid("l_partkey"), F.col("gid"))
-    return PropertyGraph(nodes, owns.unionByName(holds).unionByName(made))
+    return PropertyGraph(nodes, owns.unionByName(holds).unionByName(made), unique=True)
