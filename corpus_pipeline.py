@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from weft.llm import dart_minhash, decontaminate, line_dedup, quality_rules, sp_codec
-from weft.llm._shared import new_path, table
+from weft.llm._shared import ensure_importable, new_path, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,11 +16,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks of lines that an earlier document holds are cut from later ones."""
+    ensure_importable(spark)
     return line_dedup.deduplicated(spark, docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
+    ensure_importable(spark)
     return dart_minhash.one_of_each(spark, docs)
 
 
@@ -31,6 +33,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, checked by decoding them."""
+    ensure_importable(spark)
     return sp_codec.encode_decode(docs, str(public_tokenizers.path("piece_bpe_32k.model"))).drop("n_bytes")
 
 

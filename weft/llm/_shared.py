@@ -2,14 +2,38 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ensure_importable(spark: SparkSession) -> None:
+    """Ship this package to the Python workers, unless they find it as the driver does.
+
+    Workers inherit PYTHONPATH and the working folder, not a ``sys.path`` changed by the driver.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    sc = spark.sparkContext
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    if getattr(sc, "_weft_shipped", False) or root in {os.path.realpath(p) for p in known if p} or "site-packages" in root:
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="weft-code-"), "weft.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "weft")):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    sc._weft_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ensure_importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
