@@ -103,7 +103,10 @@ def scores(spark: SparkSession, docs: DataFrame, *, order: int = ORDER, min_coun
     bits = max(5, int(np.ceil(np.log2(max(1, size / 6 * order / PART_GRAMS)))))
     keep = min(64, max(40, SPARE_BITS + int(np.ceil(np.log2(max(2, size / 6 * order))))))
     shift = np.uint64(keep - bits)
-    dealt = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_groups)))
+    # Partitions follow the input, whatever the session's number: some groups, or count-table
+    # parts, to each. All stages below share the exchange of ``dealt``.
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_groups))).repartition(max(least, n_groups // 2), "g")
 
     def request(table: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -179,7 +182,7 @@ def scores(spark: SparkSession, docs: DataFrame, *, order: int = ORDER, min_coun
         })
 
     requests = dealt.groupBy("g").applyInArrow(request, "g bigint, p bigint, h binary, c binary, n bigint")
-    answers = requests.groupBy("p").applyInArrow(answer, "g bigint, p bigint, c binary, n bigint")
+    answers = requests.repartition(max(least, (1 << bits) // 8), "p").groupBy("p").applyInArrow(answer, "g bigint, p bigint, c binary, n bigint")
     parts = dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(score, "doc_id bigint, n_tokens bigint, n_backoff bigint, n_word_level bigint, part double")
     tokens = _tokens(rows)
     log_score = F.col("part") - F.col("n_word_level") * F.lit(float(np.log(max(tokens, 1))))

@@ -32,6 +32,7 @@ DICT_BYTES = 64 << 10
 #: The dictionary is fitted on at most so many texts and bytes of each.
 DICT_TEXTS, DICT_TEXT_BYTES = 400, 8192
 SHARD_BYTES = 4 << 20
+BUCKET_ROWS = 50_000
 LEVEL = 3
 
 SHARD = T.StructType([
@@ -71,7 +72,8 @@ def write_store(
     name = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(name, bytearray(dictionary))], "dict_sha256 string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
     shared = spark.sparkContext.broadcast(dictionary)
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Buckets follow the number of rows, whatever the session's number of partitions.
+    n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // BUCKET_ROWS)
     bounds = np.array(_bounds(rows, n), np.int64)
     end = np.array([end_id], "<u4").tobytes()
 
