@@ -443,3 +443,15 @@ def test_contract_columns(spark):
 def test_no_item_is_the_digest_of_nothing(spark):
     x = queries.op1_wu_manber_decontamination(spark, SF).where("n_items = 0").first()
     assert x["items_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_intermediate_tables_are_released(spark):
+    from weft.llm import _shared
+
+    kept = _shared.written(spark, documents(spark, EDGES), "kept")
+    assert kept.count() == len(EDGES)
+    _shared.release(spark)
+    assert not _shared._MADE
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        _shared.written(spark, documents(spark, EDGES), "gone").count() or _shared.release(spark)
+        spark.read.parquet(_shared.new_path(spark, "nothing")).count()
