@@ -15,7 +15,7 @@ from weft.operators import mutate, semantic, traverse, typed, view
 from weft.plans import compile as plans
 from weft.plans import templates
 from weft.plans.session import cut
-from weft.sources import records, sinks
+from weft.sources import definitions, records, sinks
 from weft.sources.graph import PropertyGraph, attributes_from_json, tpch_graph
 from weft.streaming import changes
 
@@ -805,6 +805,47 @@ def changes_applied(spark, d):
     return changes.applied(spark.createDataFrame([], "a_gid string, b_gid string"), _changes(spark, d))
 
 
+@query("SELECT 'Part-' || p_partkey AS id, 'Invalid' AS code, 'the value is no Int64: Price' AS message FROM part", graph=False)
+def typed_integrity(spark, d):
+    """Every rule for elements at once, over instances and relations."""
+    types, el, rel = _typed(spark, d)
+    return typed.element_violations(types, el.unionByName(rel))
+
+
+@query("""SELECT * FROM (VALUES ('Bad/Name.', 'Invalid', 'the id is no valid name'), ('Lonely', 'Invalid', 'a relation type has fewer than two members'), ('Twice', 'Invalid', 'names repeat'), ('Lost', 'NotFound', 'requires unknown type Nowhere')) t(id, code, message)""", graph=False)
+def type_violations(spark, d):
+    types = _typed(spark, d)[0]
+    bad = spark.createDataFrame([("Bad/Name.", "Instance", False, [], [], []), ("Lonely", "Relation", False, [], [("A", None, 1, 1)], []), ("Twice", "Instance", False, [], [], [("a", "String", False), ("A", "String", False)]), ("Lost", "Instance", False, ["Nowhere"], [], [])], typed.TYPES)
+    return typed.type_violations(types.unionByName(bad))
+
+
+@query("SELECT id AS rel_gid, 'Part' AS role, 'cardinality' AS message FROM rel WHERE l_partkey % 7 = 0", graph=False, lines=True)
+def semantic_endpoint_violations(spark, d):
+    t, e = _edges(spark, d)
+    left = e.members.where("not (role = 'Part' and cast(split(participant_gid, '-')[1] as int) % 7 = 0)")
+    return semantic.endpoint_violations(t, spark.createDataFrame([], semantic.FACETS), semantic.Edges(e.relations, left))
+
+
+@query("SELECT * FROM (VALUES ('NodeTypes/Line/Definition'), ('NodeTypes/Line/Definition/Fields'), ('NodeTypes/Line/Definition/Slots'), ('NodeTypes/Line/Definition/Fields/Order'), ('NodeTypes/Line/Definition/Fields/Part'), ('NodeTypes/Line/Definition/Fields/Supplier')) t(gid)", graph=False)
+def stored_definitions(spark, d):
+    return definitions.stored(_edges(spark, d)[0]).select("gid")
+
+
+@query("SELECT split_part(gid, '/', 1) AS component, string_agg(gid, chr(0) ORDER BY gid) AS name FROM nodes WHERE kind IN ('region', 'nation') GROUP BY 1")
+def component_names(spark, d):
+    _, n, e = _tree(spark, d)
+    small = n.where("attrs['kind'] in ('region', 'nation')")
+    c = view.root_components(small, e.join(small.select(F.col("gid").alias("b_gid")), "b_gid", "left_semi")).withColumnRenamed("root_component", "component")
+    return view.component_names(c)
+
+
+@query("""WITH c AS (SELECT ts, CASE event_type WHEN 'click' THEN 'add' ELSE 'remove' END AS op FROM events WHERE event_type IN ('click', 'error'))
+SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS began, op, count(*) AS n FROM c GROUP BY ALL""", graph=False)
+def change_windows(spark, d):
+    got = changes.windowed(_changes(spark, d), "1 hour", "10 minutes")
+    return got.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("began"), "op", "n")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders within three steps of a part's suppliers' nation: attribute, path and negation together."""
     where = both(
