@@ -20,12 +20,12 @@ from weft.llm.word_cache import WordEncoder, file_digest
 CACHE = T.StructType([T.StructField("tokenizer", T.StringType()), T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 
 
-def count_texts(tokenizer_path: str, texts: list[bytes]) -> list[int]:
+def count_slice(tokenizer_path: str, data, off) -> list[int]:
     if tokenizer_path.endswith(".model"):
         from weft.llm.sp_codec import Codec
 
-        return [len(x) // 4 for x in Codec.get(tokenizer_path).encode(texts)]
-    return [len(x) // 4 for x in WordEncoder.get(tokenizer_path).encode(texts)]
+        return [len(x) // 4 for x in Codec.get(tokenizer_path).encode(list(B.doc_bytes(data, off)))]
+    return [len(x) // 4 for x in WordEncoder.get(tokenizer_path).encode_slice(data, off)]
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
@@ -60,7 +60,7 @@ def token_counts(
         for batch in batches:
             counts = []
             for _, _, data, off in B.slices(batch.column(1)):
-                counts += count_texts(tokenizer_path, list(B.doc_bytes(data, off)))
+                counts += count_slice(tokenizer_path, data, off)
             yield pa.RecordBatch.from_arrays([pa.array([version] * len(counts)), batch.column(0), pa.array(counts, pa.int64())], names=CACHE.names)
 
     # A repeated row stands for its digest more than once: one count of it is kept.

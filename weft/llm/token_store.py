@@ -82,7 +82,7 @@ def write_store(
         for batch in batches:
             frames, counts = [], []
             for _, _, data, off in B.slices(batch.column(1)):
-                for ids in coder.encode(list(B.doc_bytes(data, off))):
+                for ids in coder.encode_slice(data, off):
                     frames.append(packer.compress(ids + end))
                     counts.append(len(ids) // 4 + 1)
             key = batch.column(0).to_pandas().astype("Int64")

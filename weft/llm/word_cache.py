@@ -22,7 +22,8 @@ CACHE_WORDS = 250_000
 LONG_WORD = 64
 CHUNK_TEXTS = 256
 MARK = "\x01"
-#: ASCII punctuation that may end a word; the apostrophe joins contractions and is not among it.
+#: ASCII punctuation that always stands apart from letters and digits; the apostrophe, which joins
+#: contractions, and what added tokens are written with (``<``, ``>``) are not among it.
 PUNCTUATION = b".,!?$%&*#|;:"
 
 
@@ -117,64 +118,77 @@ class WordEncoder:
         return out
 
     def _words(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words and of the parts they were made of.
-
-        Final punctuation is a word of its own, as the tokenizer has it (letters and punctuation
-        never merge), so most new words are made of known ones; only the rest is encoded.
-        """
-        if not self.folds:
-            return dict(zip(words, self._marked([w.decode() for w in words])))
-        made, base = [], set()
-        for word in words:
-            core = word.rstrip(PUNCTUATION)
-            if len(core) < len(word) and core and (core[-1:].isalpha() or core[-1] > 127 and core.decode()[-1].isalpha()):
-                tail = word[len(core) :]
-                made.append((word, core, tail))
-                base.add(core)
-                base.add(tail)
-            else:
-                base.add(word)
-        cache, older = self.cache, self.older
-        known = {w: cache[w] for w in base if w in cache}
-        known.update({w: older[w] for w in base if w in older})
-        base.difference_update(known)
-        plain = [w for w in base if w.isalpha() and w.islower()]
-        rest = [w.decode() for w in base.difference(plain)]
-        letters = [w for w in rest if w.isalpha()]
-        other = [w for w in rest if not w.isalpha()]
-        known.update(zip(plain, self._letters([w.decode() for w in plain], self.bare)))
+        """Ids of single words."""
+        plain = [w for w in words if w.isalpha() and w.islower()] if self.folds else []
+        rest = [w.decode() for w in (set(words).difference(plain) if plain else words)]
+        letters = [w for w in rest if w.isalpha()] if self.folds else []
+        other = [w for w in rest if not w.isalpha()] if self.folds else rest
+        known = dict(zip(plain, self._letters([w.decode() for w in plain], self.bare)))
         known.update(zip(map(str.encode, letters), self._letters(letters, self.tokenizer)))
         known.update(zip(map(str.encode, other), self._marked(other)))
-        for word, core, tail in made:
-            known[word] = known[core] + known[tail]
         return known
 
+    def _spaced(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower case, and a space wherever an ASCII letter or digit meets ASCII punctuation.
+
+        The tokenizer folds case and never merges across such a place; doing both first leaves
+        far fewer distinct words.
+        """
+        kind = _KIND[data]
+        at = np.flatnonzero(kind[1:] + kind[:-1] == 3) + 1
+        return np.insert(_FOLD[data], at, 32), off + np.searchsorted(at, off, "left")
+
+    def encode_slice(self, data: np.ndarray, off: np.ndarray) -> list[bytes]:
+        """Ids of the texts that lie between the offsets."""
+        texts = _cut(data, off)
+        if self.folds and len(data):
+            folded = _cut(*self._spaced(data, off))
+            # Texts that may hold an added token, which is matched before folding, stay as they are.
+            texts = [t if b"<|" in t else f for t, f in zip(texts, folded)]
+        return self._encode_texts(texts)
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(texts), CHUNK_TEXTS):
+            some = texts[i : i + CHUNK_TEXTS]
+            out += self.encode_slice(np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)]))
+        return out
+
+    def _encode_texts(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
             return self._encode([t.decode() for t in texts])
         if len(self.cache) > CACHE_WORDS:
             self.cache, self.older = {}, self.cache
         out, cache, older = [], self.cache, self.older
         for i in range(0, len(texts), CHUNK_TEXTS):
-            # The tokenizer folds case; doing so first keeps the cache small. Texts that may
-            # hold an added token, which is matched before folding, stay as they are.
-            split = [(t.lower() if self.folds and b"<|" not in t else t).split() for t in texts[i : i + CHUNK_TEXTS]]
-            missing = []
-            for word in set().union(*split).difference(cache):
-                if word in older:
-                    cache[word] = older[word]
-                else:
-                    missing.append(word)
+            split = [t.split() for t in texts[i : i + CHUNK_TEXTS]]
+            missing = set().union(*split).difference(cache)
+            again = [w for w in missing if w in older] if older else []
+            cache.update(zip(again, map(older.__getitem__, again)))
+            missing.difference_update(again)
             extra = {}
-            for word, ids in self._words(missing).items():
+            for word, ids in self._words(list(missing)).items():
                 (cache if len(word) <= LONG_WORD else extra)[word] = ids
             if extra:
-                out += [b"".join([cache.get(w) or extra.get(w, b"") for w in words]) for words in split]
+                out += [b"".join([cache[w] if w in cache else extra[w] for w in words]) for words in split]
             else:
                 out += [b"".join(map(cache.__getitem__, words)) for words in split]
         return out
 
 
+def _cut(data: np.ndarray, off: np.ndarray) -> list[bytes]:
+    whole = data.tobytes()
+    return [whole[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+
+
+#: 1 for ASCII letters and digits, 2 for PUNCTUATION, 4 for all else; and lower case.
+_KIND = np.full(256, 4, np.uint8)
+_KIND[48:58] = _KIND[65:91] = _KIND[97:123] = 1
+_KIND[list(PUNCTUATION)] = 2
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+
+
 def file_digest(path: str) -> str:
     with open(path, "rb") as f:
         return hashlib.sha256(f.read()).hexdigest()
