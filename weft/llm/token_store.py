@@ -33,7 +33,7 @@ DICT_BYTES = 64 << 10
 DICT_TEXTS, DICT_TEXT_BYTES = 400, 8192
 SHARD_BYTES = 4 << 20
 BUCKET_ROWS = 50_000
-LEVEL = 3
+LEVEL = 1
 
 SHARD = T.StructType([
     T.StructField("bucket", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("dict_sha256", T.StringType()),

@@ -77,8 +77,7 @@ class WordEncoder:
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = normalizers.Sequence([])
         #: Two generations: words not met for a generation are forgotten.
-        self.cache: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.cache = Words()
 
     @classmethod
     def get(cls, path: str) -> "WordEncoder":
@@ -158,24 +157,40 @@ class WordEncoder:
         if not self.by_word:
             return self._encode([t.decode() for t in texts])
         if len(self.cache) > CACHE_WORDS:
-            self.cache, self.older = {}, self.cache
-        out, cache, older = [], self.cache, self.older
+            self.cache = Words(self.cache)
+        out, cache = [], self.cache
         for i in range(0, len(texts), CHUNK_TEXTS):
-            split = [t.split() for t in texts[i : i + CHUNK_TEXTS]]
-            missing = set().union(*split).difference(cache)
-            again = [w for w in missing if w in older] if older else []
-            cache.update(zip(again, map(older.__getitem__, again)))
-            missing.difference_update(again)
-            extra = {}
-            for word, ids in self._words(list(missing)).items():
-                (cache if len(word) <= LONG_WORD else extra)[word] = ids
-            if extra:
-                out += [b"".join([cache[w] if w in cache else extra[w] for w in words]) for words in split]
-            else:
-                out += [b"".join(map(cache.__getitem__, words)) for words in split]
+            # One look-up for each word; a new one gives an empty place, filled below.
+            parts = [list(map(cache.__getitem__, t.split())) for t in texts[i : i + CHUNK_TEXTS]]
+            new, cache.new = cache.new, []
+            for word, ids in self._words(new).items():
+                cache[word] += ids
+            out += [b"".join(p) for p in parts]
+            for word in new:
+                if len(word) > LONG_WORD:
+                    del cache[word]
+                else:
+                    cache[word] = bytes(cache[word])
         return out
 
 
+class Words(dict):
+    """Ids of words met; those of the generation before are taken over when they are met again."""
+
+    def __init__(self, older: dict | None = None):
+        super().__init__()
+        self.older = dict(older or {})
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes):
+        ids = self.older.get(word)
+        if ids is None:
+            ids = bytearray()
+            self.new.append(word)
+        self[word] = ids
+        return ids
+
+
 def _cut(data: np.ndarray, off: np.ndarray) -> list[bytes]:
     whole = data.tobytes()
     return [whole[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
