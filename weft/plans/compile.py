@@ -193,8 +193,10 @@ class Compiler:
 
     def _path(self, e: Expr, s: State) -> State:
         left, right = e.nodes["left"], e.nodes["right"]
-        sources, flipped = self._ends(left, s), False
-        if sources is None:  # distances are symmetric: start from the known end
+        # Distances are symmetric: start from a literal end, else from a bound one.
+        flipped = isinstance(right, Literal) and not isinstance(left, Literal)
+        sources = self._ends(right if flipped else left, s)
+        if sources is None:
             sources = self._ends(right, s)
             flipped = sources is not None
         if sources is None:
