@@ -382,6 +382,28 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
         assert all(k == min(v) for k, v in got.items())
 
 
+def rim_rows(seed, copies=300, away=6):
+    """Near copies of one text with two words changed each, and documents at the rim of the group."""
+    r = random.Random(seed)
+    base = [f"b{r.randrange(10**6)}" for _ in range(300)]
+    rows = []
+    for k in range(copies + away):
+        v = list(base)
+        for n, at in enumerate(r.sample(range(300), 2 if k < copies else 6)):
+            v[at] = f"c{k}x{n}"
+        rows.append(" ".join(v))
+    return list(enumerate(rows))
+
+
+def test_rim_of_a_large_near_copy_group(spark):
+    for seed in (1, 2):
+        rows = rim_rows(seed)
+        got = defaultdict(set)
+        for x in dart_minhash.groups(spark, documents(spark, rows)).collect():
+            got[x["class_id"]].add(x["doc_id"])
+        assert sorted(sorted(x) for x in got.values()) == brute_groups(rows)
+
+
 def test_near_duplicate_edges(spark):
     rows = EDGES + [(50, "one TWO three"), (51, "Totally different words here for once")]
     out = dart_minhash.groups(spark, documents(spark, rows, True)).collect()

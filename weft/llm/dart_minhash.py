@@ -8,17 +8,16 @@ one many, so the work is about (elements + k log k), and two documents agree on
 probability equal to their weighted Jaccard similarity.
 
 Signatures are banded; documents in a bucket are compared with the bucket's leader, so thousands
-of copies cost thousands of comparisons. Those unlike their leader are compared with each other:
-all at once in one task where they are few, else after a split by the hashes of further bands,
-which parts texts of less than the wanted similarity quickly (a bucket shrinks by more than half
-with each band). Every link is confirmed by the exact Jaccard similarity of the shingle sets;
-groups are the connected components of the links.
+of copies cost thousands of comparisons. Documents that no chain of such links ties to their
+leader are then compared with each other and with the bucket's other members, but for those that
+the triangle inequality of the Jaccard distance rules out; a bucket too large for one task is cut
+into blocks, of which every two meet in a task. So each two similar documents that share a bucket
+end in one group, whatever the bucket's size. Every link is confirmed by the exact Jaccard
+similarity of the shingle sets; groups are the connected components of the links.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,9 +29,9 @@ from weft.llm._shared import by_name, fresh, id_text, written
 SHINGLE, SIMILARITY = 5, 0.8
 #: 28 bands of 5 rows miss a pair of similarity 0.8 with probability (1 - 0.8**5) ** 28 = 1.5e-5.
 BANDS, ROWS = 28, 5
-#: So many documents unlike their leader are compared in one task; larger buckets are split by
-#: each of the next SPLITS bands, of which two similar texts share one or more almost surely.
-MOST_AT_ONCE, SPLITS = 512, 3
+#: So many documents of a bucket are compared in one task; larger buckets are cut into blocks of
+#: half as many, and each pair of blocks is one task.
+MOST_AT_ONCE = 512
 _MIN_BAND = 4  # the first rank band reaches to 2**-4
 
 _WORD = np.zeros(256, bool)
@@ -198,7 +197,7 @@ def _similar(batches):
 
 
 def _links_within(table: pa.Table, similarity: float) -> pa.Table:
-    """Links among the documents of one small bucket: a spanning set of all similar pairs.
+    """Links among the documents of one cell: a spanning set of the similar pairs of which one is ``out``.
 
     Intersections of all pairs at once, as products of membership matrices over blocks of the
     shingles that two or more of them hold.
@@ -221,7 +220,8 @@ def _links_within(table: pa.Table, similarity: float) -> pa.Table:
         m = np.zeros((n, 4096), np.float32)
         m[owner[a:b], at[a:b] - lo] = 1
         both += m @ m.T
-    similar = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-6
+    out = table.column("out").to_numpy()
+    similar = (both >= similarity * (size[:, None] + size[None, :] - both) - 1e-6) & (out[:, None] | out[None, :])
     root = list(range(n))
 
     def find(x: int) -> int:
@@ -260,6 +260,36 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
             return label
 
 
+def _cells(spark: SparkSession, led: DataFrame, scored: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """key, doc, out: the cells in which all documents of a bucket meet that may still be unlinked.
+
+    ``out`` are the documents in another group than their leader: they meet each other and the
+    rest of the bucket. Two documents of similarity s to each other differ in their similarity to
+    the leader by 1 - s at most (the Jaccard distance is a metric); others of the bucket that differ
+    more from every document that is out stay away. Scores of less than 2 s - 1 may be missing.
+    """
+    root = lambda c, name: roots.select(F.col("node").alias(c), F.col("root").alias(name))
+    score = scored.select(F.col("a").alias("doc"), F.col("b").alias("lead"), "jaccard")
+    unlike = led.select("key", "doc", "lead").join(score.where(F.col("jaccard") >= similarity), ["doc", "lead"], "left_anti")
+    apart = unlike.join(root("doc", "r"), "doc", "left").join(root("lead", "l"), "lead", "left").where(F.coalesce("r", "doc") != F.coalesce("l", "lead"))
+    outs = written(spark, apart.select("key", "doc", "lead").join(score, ["doc", "lead"], "left").select("key", "doc", "jaccard"), "outs")
+    tops = written(spark, outs.groupBy("key").agg(F.max(F.coalesce("jaccard", F.lit(2 * similarity - 1))).alias("top")), "tops")
+    rest = led.select("key", "doc", "lead").join(tops, "key").join(score, ["doc", "lead"], "left").where(F.coalesce("jaccard", F.lit(0.0)) <= F.col("top") + (1 - similarity + 1e-9))
+    rest = rest.join(outs.select("key", "doc"), ["key", "doc"], "left_anti")
+    members = written(spark, outs.select("key", "doc", F.lit(True).alias("out")).unionByName(rest.select("key", "doc", F.lit(False).alias("out"))), "members")
+    half = max(1, MOST_AT_ONCE // 2)
+    n_out, n_in = F.count_if("out"), F.count_if(~F.col("out"))
+    one = n_out + n_in <= MOST_AT_ONCE
+    # Blocks of documents that are out and of others; a bucket of few documents is one cell.
+    sizes = members.groupBy("key").agg(F.when(one, 1).otherwise(F.ceil(n_out / half)).alias("x"), F.when(one, 0).otherwise(F.ceil(n_in / half)).alias("y"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    placed = members.join(written(spark, sizes, "sizes"), "key")
+    salt = F.xxhash64("doc", F.lit(1))
+    placed = placed.withColumn("at", F.when((F.col("x") + F.col("y") == 1) | F.col("out"), F.pmod(salt, F.col("x"))).otherwise(F.col("x") + F.pmod(salt, F.greatest(F.col("y"), F.lit(1)))))
+    # Blocks that are out meet all other blocks, the others only those; two blocks compare all they hold.
+    meets = F.filter(F.sequence(F.lit(0).cast("long"), F.col("x") + F.when(F.col("out"), F.col("y")).otherwise(0) - 1), lambda k: (k != F.col("at")) | (F.col("x") + F.col("y") == 1))
+    return placed.withColumn("k", F.explode(meets)).select(F.xxhash64("key", F.least("at", "k"), F.greatest("at", "k")).alias("key"), "doc", "out")
+
+
 def groups(
     spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weighted: bool = False,
 ) -> DataFrame:
@@ -278,7 +308,7 @@ def groups(
     classes = wordy.groupBy("class1", "class2").agg(F.min("doc").alias("rep"))
     # One row per class: its least document, which alone is banded.
     reps = wordy.join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi").select("doc", F.col("n_shingles").alias("n"), "bands").dropDuplicates(["doc"])
-    places = reps.select("doc", "n", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("key"), "band", "doc", "n")
+    places = reps.select("doc", "n", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("key"), "doc", "n")
     # Counts per bucket are written before they are joined: a bucket with a large part of all
     # rows can then be split by the join, which could not split an aggregate's own partitions.
     busy = written(spark, places.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "busy")
@@ -286,33 +316,25 @@ def groups(
     texts = rows_in.select(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("i"), F.xxhash64("text").alias("t")).alias("doc"), "text")
     flat = texts.join(rows_open.select("doc").distinct(), "doc", "left_semi").select(F.col("doc.i").alias("i"), F.col("doc.t").alias("t"), "text")
     sets = written(spark, shingle_sets(flat, shingle).dropDuplicates(["i", "t"]).select(F.struct("i", "t").alias("doc"), "set"), "shingle-sets")
-    confirmed = []
-    while True:
-        leads = written(spark, rows_open.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.col("l.doc").alias("lead"), F.col("l.n").alias("m")), "leads")
-        led = written(spark, rows_open.join(leads, "key").where(F.col("doc") != F.col("lead")), "led")
-        # Sets of too different sizes cannot be similar.
-        near = led.where(F.least("n", "m") >= similarity * F.greatest("n", "m")).select(F.col("doc").alias("a"), F.col("lead").alias("b")).distinct()
-        left = near.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("x")), "a")
-        full = left.join(sets.select(F.col("doc").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-        scored = full.mapInArrow(_similar, "a struct<i:bigint,t:bigint>, b struct<i:bigint,t:bigint>, jaccard double")
-        good = written(spark, scored.where(F.col("jaccard") >= similarity).select("a", "b"), "links")
-        confirmed.append(good)
-        unlike = led.join(good.select(F.col("a").alias("doc"), F.col("b").alias("lead")), ["doc", "lead"], "left_anti").select("key", "band", "doc")
-        many = written(spark, unlike.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "many")
-        unlike = written(spark, unlike.join(many, "key"), "unlike")
-        few = unlike.where(F.col("c") <= MOST_AT_ONCE).select("key", "doc").join(sets, "doc").select("key", F.col("doc.i").alias("i"), F.col("doc.t").alias("t"), "set")
-        within = few.groupBy("key").applyInArrow(lambda table: _links_within(table, similarity), "ai bigint, at bigint, bi bigint, bt bigint")
-        confirmed.append(written(spark, within.distinct().select(F.struct(F.col("ai").alias("i"), F.col("at").alias("t")).alias("a"), F.struct(F.col("bi").alias("i"), F.col("bt").alias("t")).alias("b")), "links"))
-        rest = unlike.where(F.col("c") > MOST_AT_ONCE)
-        if rest.isEmpty():
-            break
-        nxt = rest.select("key", "doc", F.explode(F.array(*(F.pmod(F.col("band") + k, F.lit(bands)) for k in range(1, SPLITS + 1)))).alias("band")).join(reps, "doc")
-        rows_open = written(spark, nxt.select(F.xxhash64("key", "band", F.get("bands", F.col("band"))).alias("key"), "band", "doc", "n"), "buckets")
-    confirmed = reduce(DataFrame.unionByName, confirmed)
-    links = confirmed.distinct()
-    roots = components(spark, links)
+    leads = written(spark, rows_open.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("l")).select("key", F.col("l.doc").alias("lead"), F.col("l.n").alias("m")), "leads")
+    led = written(spark, rows_open.join(leads, "key").where(F.col("doc") != F.col("lead")), "led")
+    # Sets of too different sizes cannot be similar, nor rule out anything by their similarity.
+    near = led.where(F.least("n", "m") >= (2 * similarity - 1) * F.greatest("n", "m")).select(F.col("doc").alias("a"), F.col("lead").alias("b")).distinct()
+    left = near.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("x")), "a")
+    full = left.join(sets.select(F.col("doc").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
+    scored = written(spark, full.mapInArrow(_similar, "a struct<i:bigint,t:bigint>, b struct<i:bigint,t:bigint>, jaccard double"), "scores")
+    good = scored.where(F.col("jaccard") >= similarity).select("a", "b")
+    led_roots = components(spark, good)
+    cells = _cells(spark, led, scored, led_roots, similarity).join(sets, "doc").select("key", F.col("doc.i").alias("i"), F.col("doc.t").alias("t"), "set", "out")
+    within = cells.groupBy("key").applyInArrow(lambda table: _links_within(table, similarity), "ai bigint, at bigint, bi bigint, bt bigint")
+    more = written(spark, within.distinct().select(F.struct(F.col("ai").alias("i"), F.col("at").alias("t")).alias("a"), F.struct(F.col("bi").alias("i"), F.col("bt").alias("t")).alias("b")), "links")
+    links = good.unionByName(more).distinct()
+    # The later links tie groups of the former together.
+    old = lambda c: led_roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    ties = more.join(old("a"), "a", "left").join(old("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).where("a != b").distinct()
+    tied = components(spark, ties).select(F.col("node").alias("near"), F.col("root").alias("far"))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    of_rep = roots.join(degree, "node").select(F.col("node").alias("rep"), "root", "n_links")
+    of_rep = degree.join(led_roots, "node", "left").withColumn("near", F.coalesce("root", "node")).join(tied, "near", "left").select(F.col("node").alias("rep"), F.coalesce("far", "near").alias("root"), "n_links")
     of_class = classes.join(of_rep, "rep", "left").select("class1", "class2", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     out = table.join(of_class, ["class1", "class2"], "left").withColumn("root", F.coalesce("root", "doc"))
     blank = F.col("n_shingles") == 0
