@@ -404,6 +404,34 @@ def test_rim_of_a_large_near_copy_group(spark):
         assert sorted(sorted(x) for x in got.values()) == brute_groups(rows)
 
 
+def template_rows(pairs=150):
+    """Pairs of similarity just over 0.8 in buckets full of documents that share most of one template."""
+    r = random.Random(8)
+    base = [f"t{k}" for k in range(400)]
+    rows = []
+    for p in range(pairs):
+        one = base[:300] + [f"p{p}x{r.randrange(10**6)}" for _ in range(100)]
+        two = list(one)
+        for k in r.sample(range(304, 396, 5), 8):
+            two[k] = f"q{p}x{k}"
+        rows += [" ".join(one), " ".join(two)]
+    return list(enumerate(rows))
+
+
+def test_large_buckets_are_compared_whole(spark, monkeypatch):
+    rows = template_rows()
+    monkeypatch.setattr(dart_minhash, "MOST_AT_ONCE", 16)
+    docs = documents(spark, rows)
+    signed = dart_minhash.signed(docs.select("doc_id", "text"), 8, 5, 5, False)
+    bands = {x["doc_id"]: x["bands"] for x in signed.collect()}
+    root = {x["doc_id"]: x["class_id"] for x in dart_minhash.groups(spark, docs, bands=8).collect()}
+    want = [x for x in brute_groups(rows) if len(x) == 2]
+    met = [(a, b) for a, b in want if any(x == y for x, y in zip(bands[a], bands[b]))]
+    assert len(want) == 150 and len(met) > 100
+    assert [(a, b) for a, b in met if root[a] != root[b]] == []
+    assert all(root[a] == a for a, _ in want)  # no more than the true pairs are linked
+
+
 def test_near_duplicate_edges(spark):
     rows = EDGES + [(50, "one TWO three"), (51, "Totally different words here for once")]
     out = dart_minhash.groups(spark, documents(spark, rows, True)).collect()
