@@ -294,6 +294,43 @@ def test_line_dedup(spark):
     assert line_dedup.deduplicated(spark, twice).count() == 2  # repeated rows are one document
 
 
+def brute_deletions(rows, least=40):
+    """Lines inside a block of ``least`` words that stands whole in a document of lesser id."""
+    split = [t.split("\n") for _, t in rows]
+    out = []
+    for k, own in enumerate(split):
+        gone = set()
+        for other in split[:k]:
+            for i in range(len(own)):
+                for j in range(len(other)):
+                    n = 0
+                    while i + n < len(own) and j + n < len(other) and own[i + n] == other[j + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in own[i : i + n]) >= least:
+                        gone.update(range(i, i + n))
+        out.append(sorted(gone))
+    return out
+
+
+def test_line_dedup_finds_blocks_behind_their_lines_first_holder(spark):
+    r = random.Random(9)
+    line = lambda n: " ".join(f"u{r.randrange(10**6)}" for _ in range(n))
+    passage, verse = [line(12) for _ in range(5)], [line(3) for _ in range(20)]
+    edited = [*passage[:2], line(12), *passage[3:]]
+    rows = [(1, "\n".join([line(9), *edited]))] + [(k, "\n".join([line(9), *passage])) for k in range(2, 9)]
+    rows += [(k, "\n".join([line(6), *verse, line(6)])) for k in range(20, 24)]
+    rows += [(30, "\n".join(["", *passage[:3], "", *verse[:9], line(4), *passage[1:], "", *verse[5:]]))]
+    got = {x["doc_id"]: x["deleted_at"] for x in line_dedup.report(spark, documents(spark, rows)).collect()}
+    want = brute_deletions(rows)
+    assert want[2] == [1, 2, 3, 4, 5] and want[9] == list(range(1, 21))
+    assert [got[i] for i, _ in rows] == want
+    # Few distinct lines, so that blocks overlap, repeat and move.
+    lines = [line(n) for n in (1, 3, 4, 7, 12, 14, 25, 39, 41)] + [""]
+    rows = [(k, "\n".join(r.choice(lines) for _ in range(r.randrange(1, 14)))) for k in range(60)]
+    got = {x["doc_id"]: x["deleted_at"] for x in line_dedup.report(spark, documents(spark, rows)).collect()}
+    assert [got[i] for i, _ in rows] == brute_deletions(rows)
+
+
 # 7
 
 

@@ -1,9 +1,11 @@
 """Line dedup by pairwise alignment.
 
-Lines are named by 64-bit hashes. Documents that share a rare line (one of enough words to be no
-chance repeat) are candidates; each is paired with the earliest document that holds the line,
-so a group of thousands of copies makes thousands of pairs, not millions. The two documents' hash
-sequences are aligned by patience diff, again and again on what is left until nothing matches
+Lines are named by 64-bit hashes. Every block of enough words is covered by its least runs: for
+each line the shortest run of lines of enough words that begins with it, and that which ends with
+it. Documents that share such a run are candidates; each is paired with the earliest document that
+holds the run, so a group of thousands of copies makes thousands of pairs, not millions, and every
+block that some earlier document holds whole has its lines in one of the pairs. The two documents'
+hash sequences are aligned by patience diff, again and again on what is left until nothing matches
 (moved and repeated blocks are found too), and aligned blocks of enough words are deleted from
 the later document.
 """
@@ -20,11 +22,9 @@ from pyspark.sql import functions as F
 from weft.llm import _batch as B
 from weft.llm._shared import by_name, fresh, id_text, written
 
-#: Words a line needs to name candidates; shorter ones repeat by chance.
-RARE_WORDS = 5
 #: Words an aligned block needs to be deleted.
 BLOCK_WORDS = 40
-#: A line is hot when it stands in more than 1 / HOT_SHARE of all line places; there are at most HOT_SHARE such lines.
+#: A run is hot when it stands more often than 1 / HOT_SHARE of the number of lines; there are at most 2 * HOT_SHARE such runs.
 HOT_SHARE = 1000
 
 LINES = "doc_id bigint, text_hash bigint, lines array<bigint>, words array<int>"
@@ -52,6 +52,36 @@ def line_table(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, LINES)
 
 
+def least_runs(lines: np.ndarray, words: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first line, line behind, hash) of the shortest runs of ``least`` words from or up to each line; none crosses documents."""
+    before = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    k, n = np.arange(len(doc)), len(doc) + 1
+    end = np.searchsorted(before, before[:-1] + least)
+    start = np.searchsorted(before, before[1:] - least, "right") - 1
+    ahead, back = end <= off[doc + 1], start >= off[doc]
+    both = np.unique(np.concatenate([k[ahead] * n + end[ahead], start[back] * n + k[back] + 1]))
+    at, to = both // n, both % n
+    return at, to, B.segment_hash(np.ascontiguousarray(lines, np.int64).view(np.uint8), at * 8, to * 8).view(np.int64)
+
+
+def run_table(lines: DataFrame, least: int) -> DataFrame:
+    """doc (a struct of i and t) and h for each least run of lines of ``least`` words or more."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                col = part.column(2)
+                off = np.asarray(col.offsets) - col.offsets[0].as_py()
+                at, _, h = least_runs(np.asarray(col.flatten()), np.asarray(part.column(3).flatten()), off, least)
+                owner = pa.array(np.searchsorted(off, at, "right") - 1)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(owner), part.column(1).take(owner), pa.array(h)], names=["i", "t", "h"])
+
+    flat = lines.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("i"), F.col("text_hash").alias("t"), "lines", "words")
+    return flat.mapInArrow(run, "i bigint, t bigint, h bigint").select(F.struct("i", "t").alias("doc"), "h")
+
+
 def patience(a: list[int], b: list[int], pool: list[int]) -> list[tuple[int, int]]:
     """(position in a, position in b) of one alignment of a with the positions of b in pool."""
     in_b: dict[int, list[int]] = {}
@@ -95,7 +125,7 @@ def aligned_lines(earlier: list[int], later: list[int], words: list[int], least:
     """Positions of ``later`` inside aligned common blocks of at least ``least`` words."""
     out: set[int] = set()
     known = set(earlier)
-    pool = [j for j, h in enumerate(later) if h in known]
+    pool = both = [j for j, h in enumerate(later) if h in known]
     while pool:
         pairs = patience(earlier, later, pool)
         if not pairs:
@@ -112,10 +142,19 @@ def aligned_lines(earlier: list[int], later: list[int], words: list[int], least:
             last = (i, j)
         done = {j for _, j in pairs}
         pool = [j for j in pool if j not in done]
+    # Repeated lines may be aligned elsewhere and split a block: its least runs are then looked up.
+    if sum(words[j] for j in both) >= least and not out.issuperset(both):
+        size = dict(zip(later, words))
+        one = lambda h, w: least_runs(np.array(h, np.int64), np.array(w, np.int64), np.array([0, len(h)]), least)
+        _, _, held = one(earlier, [size.get(h, 0) for h in earlier])
+        at, to, runs = one(later, words)
+        found = np.isin(runs, held)
+        for x, y in zip(at[found].tolist(), to[found].tolist()):
+            out.update(range(x, y))
     return sorted(out)
 
 
-def deletions(spark: SparkSession, docs: DataFrame, *, rare_words: int = RARE_WORDS, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
+def deletions(spark: SparkSession, docs: DataFrame, *, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
     """(line table, doc_id + text_hash + positions to delete) of id_text-shaped docs.
 
     The earlier of two documents is that of lesser (doc_id, text_hash), null ids first; rows
@@ -123,18 +162,17 @@ def deletions(spark: SparkSession, docs: DataFrame, *, rare_words: int = RARE_WO
     """
     lines = written(spark, line_table(docs), "lines")
     me = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("i"), F.col("text_hash").alias("t"))
-    places = lines.select(me.alias("doc"), F.explode(F.arrays_zip("lines", "words")).alias("x")).where(F.col("x.words") >= rare_words).select("doc", F.col("x.lines").alias("h"), F.col("x.words").alias("w"))
-    firsts = written(spark, places.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")), "line-firsts")
-    total = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shared = firsts.where(F.col("first") != F.col("last"))
-    # Hot lines are few by their definition and go by broadcast; all others are joined by hash.
+    places = run_table(lines, block_words)
+    firsts = written(spark, places.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("first") != F.col("last")).drop("last"), "run-firsts")
+    total = lines.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
+    # Hot runs are few by their definition and go by broadcast; all others are joined by hash.
     is_hot = F.col("n") * HOT_SHARE > F.lit(total)
-    hot = places.join(F.broadcast(shared.where(is_hot).select("h", "first")), "h")
-    cold = places.join(shared.where(~is_hot).select("h", "first"), "h")
-    pairs = hot.unionByName(cold).where(F.col("doc") != F.col("first")).groupBy("doc", "first").agg(F.sum("w").alias("w")).where(F.col("w") >= block_words // 2)
+    hot = places.join(F.broadcast(firsts.where(is_hot).select("h", "first")), "h")
+    cold = places.join(firsts.where(~is_hot).select("h", "first"), "h")
+    pairs = hot.unionByName(cold).where(F.col("doc") != F.col("first")).select("doc", "first").distinct()
     own = lines.dropDuplicates(["doc_id", "text_hash"]).select(me.alias("doc"), "doc_id", "text_hash", F.col("lines").alias("later"), "words")
     first = lines.dropDuplicates(["doc_id", "text_hash"]).select(me.alias("first"), F.col("lines").alias("earlier"))
-    both = pairs.select("doc", "first").join(own, "doc").join(first, "first").select("doc_id", "text_hash", "earlier", "later", "words")
+    both = pairs.join(own, "doc").join(first, "first").select("doc_id", "text_hash", "earlier", "later", "words")
 
     def align(batches):
         for batch in batches:
@@ -147,14 +185,14 @@ def deletions(spark: SparkSession, docs: DataFrame, *, rare_words: int = RARE_WO
     return lines, found.groupBy("doc_id", "text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"))
 
 
-def report(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rare_words: int = RARE_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def report(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_lines, n_deleted, deleted_at, words_deleted for every row.
 
     Null texts have no lines; an empty text has one empty line; repeated rows are each reported
     alike; ties between documents go by id, then by text hash.
     """
     rows = id_text(docs, id_col, text_col)
-    lines, gone = deletions(spark, rows, rare_words=rare_words, block_words=block_words)
+    lines, gone = deletions(spark, rows, block_words=block_words)
     d = gone.select(F.col("doc_id").alias("gi"), F.col("text_hash").alias("gt"), "at")
     got = lines.join(d, F.col("doc_id").eqNullSafe(F.col("gi")) & (F.col("text_hash") == F.col("gt")), "left")
     at = F.coalesce("at", F.array().cast("array<int>"))
@@ -164,13 +202,13 @@ def report(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text
     return out.unionByName(none)
 
 
-def deduplicated(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rare_words: int = RARE_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def deduplicated(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with the aligned blocks cut from the later documents' texts; all other columns stay.
 
     A document that had words and has none left is wholly contained in earlier ones and goes.
     An integer column ``n_chars`` is set to the new length where the text changed.
     """
-    _, gone = deletions(spark, id_text(docs, id_col, text_col), rare_words=rare_words, block_words=block_words)
+    _, gone = deletions(spark, id_text(docs, id_col, text_col), block_words=block_words)
     i, t, at, keep = fresh(docs, "id", "hash", "at", "left")
     d = gone.select(F.col("doc_id").alias(i), F.col("text_hash").alias(t), F.col("at").alias(at))
     text = by_name(docs, text_col).cast("string")
