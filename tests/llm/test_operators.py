@@ -255,6 +255,14 @@ def test_page_differencing(spark):
     assert html_diff.extract(df.limit(0)).count() == 0
 
 
+def test_page_differencing_decides_outside_articles(spark):
+    page = lambda k: f"<body><div>Site name</div><p>Lead {k}</p><article><h1>T{k}</h1><p>Text {k}, long enough to be its own.</p><p>Same closing words.</p></article><div>Second column {k}</div><div>Imprint</div></body>"
+    rows = [(k, f"http://a.org/{k}", page(k)) for k in range(1, 4)] + [(4, "http://a.org/4", page(3))]  # the last is a copy
+    got = {x["page_id"]: x["text"] for x in html_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)).collect()}
+    want = lambda k: f"Lead {k}\n\nT{k}\n\nText {k}, long enough to be its own.\n\nSame closing words.\n\nSecond column {k}"
+    assert got == {1: want(1), 2: want(2), 3: want(3), 4: want(3)}
+
+
 def test_common_subsequence():
     r = random.Random(2)
     for _ in range(200):

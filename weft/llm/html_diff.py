@@ -2,10 +2,11 @@
 
 Pages are range-sorted by (host, URL path), so that each page stands next to the page of its
 host whose path is nearest. A page's blocks of text are aligned with its neighbour's by longest
-common subsequence; blocks that both pages hold are template text and are deleted. Blocks that
-the markup itself names (menus, footers, forms, adverts ...) go as well, and blocks inside an
-``article`` or ``main`` element are never deleted for being shared: copies of one article under
-neighbouring URLs would otherwise delete each other.
+common subsequence; blocks that both pages hold are template text and are deleted. Blocks that the markup itself names (menus,
+footers, forms, adverts ...) always go, and blocks inside an ``article`` or ``main`` element are
+never deleted for being shared: copies of one article under neighbouring URLs would otherwise
+delete each other. A neighbour that is a copy tells no template; the nearest page before it that
+is none takes its place.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ _ATTR = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)
 _SPACE = re.compile(r"\s+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
-#: A neighbour that holds more than this part of a page's characters is a copy, which tells no template.
+#: A neighbour that holds more than this part of a page's own characters is a copy, which tells no template.
 COPY_PART = 0.9
 
 
@@ -161,17 +162,20 @@ def common(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
+def copies(own: list[tuple[str, bool, bool]], other: list[tuple[str, bool, bool]], far: list[tuple[str, bool, bool]] | None) -> bool:
+    """Whether ``other`` holds the page's own text: that in article or main, else what ``far``, a page unlike ``other``, lacks."""
+    mine = [t for t, c, n in own if c and not n]
+    if not mine:
+        template = {x[0] for x in far or ()}
+        mine = [t for t, _, n in own if not n and t not in template]
+    held = {x[0] for x in other}
+    return sum(len(t) for t in mine if t in held) > COPY_PART * sum(map(len, mine))
+
+
 def main_text(own: list[tuple[str, bool, bool]], other: list[tuple[str, bool, bool]] | None) -> str:
-    """The page's text without template blocks; ``other`` is its neighbour's blocks."""
-    shared: set[int] = set()
-    if other:
-        shared = common([x[0] for x in own], [x[0] for x in other])
-    marked = any(c and not n for _, c, n in own)
-    size = {k: len(t) for k, (t, _, n) in enumerate(own) if not n}
-    if sum(size.get(k, 0) for k in shared) > COPY_PART * sum(size.values()):
-        shared = set()
-    kept = [t for k, (t, c, n) in enumerate(own) if not n and (c if marked else k not in shared)]
-    return "\n\n".join(kept)
+    """The page's text without template blocks; ``other`` is the blocks of a neighbour that is no copy."""
+    shared = common([x[0] for x in own], [x[0] for x in other]) if other else set()
+    return "\n\n".join(t for k, (t, c, n) in enumerate(own) if not n and (c or k not in shared))
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -193,7 +197,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     def run(batches, only=False):
         """Rows with their texts; with ``only``, of the rows marked ``needs``, else of all that have
         their neighbour in this partition or are known to have none."""
-        before: tuple | None = None  # the page before: host, blocks
+        before: tuple | None = None  # the page before: host, blocks, those of the nearest page before that is no copy of it
         waiting: tuple | None = None  # a first page of a host, until its neighbour is known
         first = True
 
@@ -213,13 +217,16 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                     if waiting is not None:
                         alone = waiting[2] != own_host
                         if (only or not (alone and waiting[4])) and waiting[5]:
-                            done.append(finish(waiting, None if alone else row[3]))
+                            done.append(finish(waiting, None if alone or copies(waiting[3], row[3], None) else row[3]))
                         waiting = None
+                    far = None
                     if before is None or before[0] != own_host:
                         waiting = row
-                    elif row[5]:
-                        done.append(finish(row, before[1]))
-                    before = (own_host, row[3])
+                    else:
+                        far = before[2] if copies(row[3], before[1], before[2]) else before[1]
+                        if row[5]:
+                            done.append(finish(row, far))
+                    before = (own_host, row[3], far)
                 if done:
                     yield batch_of(done)
         if only and waiting is not None and waiting[5]:
