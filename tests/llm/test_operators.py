@@ -263,6 +263,13 @@ def test_page_differencing_decides_outside_articles(spark):
     assert got == {1: want(1), 2: want(2), 3: want(3), 4: want(3)}
 
 
+def test_copies_without_markup_lose_their_template(spark):
+    page = lambda k: "<body><div>Site name</div>" + f"<p>Own words of page {k}. " + f"word{k} " * 20 + "</p><div>Imprint and contact</div>"
+    rows = [(k, f"http://a.org/{k}", page(min(k, 3))) for k in range(1, 6)]
+    got = {x["page_id"]: x["text"] for x in html_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)).collect()}
+    assert all(x.startswith("Own words") and "Imprint" not in x for x in got.values()) and got[3] == got[4] == got[5]
+
+
 def test_common_subsequence():
     r = random.Random(2)
     for _ in range(200):
