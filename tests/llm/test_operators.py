@@ -84,6 +84,16 @@ def library_ids(texts):
     return [e.ids for e in Tokenizer.from_file(WORD_BPE).encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
+def test_short_items_at_the_end_of_the_last_document():
+    for item in ("yes", "42", "x", "\u4e2d"):
+        machine = decontaminate.Machine([("a", item)], 10)
+        for texts in ([item], ["other words", item], [item, "no"]):
+            data = np.frombuffer("".join(texts).encode(), np.uint8)
+            off = np.cumsum([0, *(len(t.encode()) for t in texts)])
+            _, n_hit, items, _ = decontaminate.search_slice(machine, data, off)
+            assert n_hit.tolist() == [int(t == item) for t in texts] and [x != [] for x in items] == [t == item for t in texts]
+
+
 def test_word_encoder_equals_library(spark):
     texts = [t for _, t in EDGES] + ["ABC.. x,, don't it's We'll 12a3. <|STARTOFTEXT|>. <|startoftext|>. ÀÉ! İx ﬁ ǅ Ω. ΑΣ. \x01 a\x01b", "\x1c a \x85b c"] + [x["text"] for x in table(spark, "documents").select("text").collect()]
     got = WordEncoder(WORD_BPE).encode([(t or "").encode() for t in texts])

@@ -82,8 +82,8 @@ class Machine:
 
     def occurrences(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, pattern) of every occurrence in a normalised buffer that begins with 8 breaks."""
-        raw, starts, found = buf.tobytes(), [], []
-        view = np.ndarray(shape=(len(buf) - 7,), dtype="<u8", buffer=raw, strides=(1,))
+        raw, starts, found = buf.tobytes() + bytes([_BREAK]) * 7, [], []
+        view = np.ndarray(shape=(len(buf),), dtype="<u8", buffer=raw, strides=(1,))
         for m, block, bits, shift, first, ids, prefix in self.classes:
             drop = np.uint64(8 * (8 - block))
             lo = 8 + m - 1
@@ -111,7 +111,7 @@ class Machine:
             base = np.cumsum(count) - count
             slot = first[h][which] + np.arange(len(which)) - base[which]
             begin = at[which] - m + 1
-            value = view[np.minimum(begin, len(view) - 1)]
+            value = view[begin]
             if block < 8:
                 value = value & np.uint64((1 << (8 * block)) - 1)
             ok = value == prefix[slot]
