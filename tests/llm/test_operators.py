@@ -396,10 +396,11 @@ def test_gram_arrays_pack():
 
 
 def brute_groups(rows, similarity=0.8):
+    """Connected components under the weighted Jaccard similarity of all pairs."""
     sets, out = [], {}
     for _, t in rows:
         w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
-        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+        sets.append(Counter([tuple(w[k : k + 5]) for k in range(len(w) - 4)] or ([tuple(w)] if w else [])))
     root = list(range(len(rows)))
 
     def find(x):
@@ -409,8 +410,8 @@ def brute_groups(rows, similarity=0.8):
 
     for a in range(len(rows)):
         for b in range(a):
-            both = len(sets[a] & sets[b])
-            if sets[a] and both >= similarity * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
+            least, most = sum((sets[a] & sets[b]).values()), sum((sets[a] | sets[b]).values())
+            if sets[a] and least >= similarity * most - 1e-9:
                 root[find(a)] = find(b)
     for k in range(len(rows)):
         out.setdefault(find(k), set()).add(rows[k][0])
@@ -430,13 +431,16 @@ def near_rows():
                 v[r.randrange(len(v))] = "changed"
             rows.append(" ".join(v))
     rows += [" ".join(head + words(6)) for _ in range(40)]  # half alike, never 0.8
+    line, own = words(8), words(60)
+    rows += [" ".join(line * n + own) for n in (2, 20, 22, 40)]  # the same shingles, other weights
     return list(enumerate(rows))
 
 
 def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     rows = near_rows()
-    for at_once in (512, 3):
-        monkeypatch.setattr(dart_minhash, "MOST_AT_ONCE", at_once)
+    for at_once, shingles in ((512, 1 << 20), (3, 1 << 20), (512, 300)):
+        monkeypatch.setattr(dart_minhash, "CELL_DOCS", at_once)
+        monkeypatch.setattr(dart_minhash, "CELL_SHINGLES", shingles)
         got = defaultdict(set)
         for x in dart_minhash.groups(spark, documents(spark, rows, True)).collect():
             got[x["class_id"]].add(x["doc_id"])
@@ -482,9 +486,9 @@ def template_rows(pairs=150):
 
 def test_large_buckets_are_compared_whole(spark, monkeypatch):
     rows = template_rows()
-    monkeypatch.setattr(dart_minhash, "MOST_AT_ONCE", 16)
+    monkeypatch.setattr(dart_minhash, "CELL_DOCS", 16)
     docs = documents(spark, rows)
-    signed = dart_minhash.signed(docs.select("doc_id", "text"), 8, 5, 5, False)
+    signed = dart_minhash.signed(docs.select("doc_id", "text"), 8, 5, 5, True)
     bands = {x["doc_id"]: x["bands"] for x in signed.collect()}
     root = {x["doc_id"]: x["class_id"] for x in dart_minhash.groups(spark, docs, bands=8).collect()}
     want = [x for x in brute_groups(rows) if len(x) == 2]
@@ -515,6 +519,47 @@ def test_signatures_estimate_weighted_similarity():
         sig = dart_minhash.signatures(np.concatenate([key, key]), np.concatenate([wa, wb]), np.array([0, n, 2 * n]), 2000)
         want = np.minimum(wa, wb).sum() / np.maximum(wa, wb).sum()
         assert abs((sig[0] == sig[1]).mean() - want) < 0.05
+        # Real weights, below and above the unit; the scale of all weights does not matter.
+        wa, wb = r.uniform(0, 0.4, n) ** 2 * 50, r.uniform(0, 0.4, n) ** 2 * 50
+        want = np.minimum(wa, wb).sum() / np.maximum(wa, wb).sum()
+        for scale in (0.01, 1.0, 100.0):
+            sig = dart_minhash.signatures(np.concatenate([key, key]), np.concatenate([wa, wb]) * scale, np.array([0, n, 2 * n]), 2000)
+            assert abs((sig[0] == sig[1]).mean() - want) < 0.05
+
+
+def test_darts_follow_the_logarithm_of_the_weights():
+    key = np.arange(1, 4, dtype=np.uint64)
+    element, strip = dart_minhash._strips(np.array([0.0, 0.25, 10.0**6]), 1.0)
+    assert element.tolist() == [1] + [2] * 21 and strip.tolist() == [0, *range(21)]
+    sig = dart_minhash.signatures(key, np.array([0.0, 0.25, 10.0**6]), np.array([0, 1, 2, 3]), 50)
+    assert not sig[0].any() and sig[1].all() and sig[2].all()
+
+
+def test_near_duplicate_recall_by_similarity(spark):
+    """Pairs found by their weighted similarity, in a corpus whose buckets hold thousands of texts."""
+    r = random.Random(12)
+    base = [f"t{k}" for k in range(120)]
+    rows, pairs = [], []
+    for k in range(5200):  # most of one template: alike, never 0.8
+        rows.append(" ".join(base[:96] + [f"o{k}x{j}" for j in range(24)]))
+    for p in range(120):
+        one = [f"p{p}x{j}" for j in range(200)]
+        two = list(one)
+        for at in r.sample(range(4, 196, 6), 1 + p % 6):
+            two[at] = "other"
+        pairs.append((len(rows), len(rows) + 1))
+        rows += [" ".join(one), " ".join(two)]
+    root = {x["doc_id"]: x["class_id"] for x in dart_minhash.groups(spark, documents(spark, list(enumerate(rows)))).collect()}
+    shingle = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    found, bands = Counter(), Counter()
+    for a, b in pairs:
+        x, y = shingle(rows[a]), shingle(rows[b])
+        s = len(x & y) / len(x | y)
+        bands[int(s * 20)] += 1
+        found[int(s * 20)] += root[a] == root[b]
+        assert (root[a] == root[b]) == (s >= 0.8) or abs(s - 0.8) < 0.02
+    assert all(found[k] >= 0.9 * bands[k] for k in bands if k >= 16) and sum(bands[k] for k in bands if k >= 16) > 50
+    assert len({root[k] for k in range(5200)}) == 5200
 
 
 # Shared parts and the registered queries.

@@ -32,8 +32,18 @@ def ensure_importable(spark: SparkSession) -> None:
     sc._weft_shipped = True
 
 
+#: Bytes of an Arrow batch; both a task's JVM side and its Python worker hold some batches.
+BATCH_BYTES = "16m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let the session's Arrow batches follow bytes, not rows alone: texts and sets may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ensure_importable(spark)
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -1,19 +1,22 @@
 """MinHash near-duplicates with DartMinHash signatures.
 
-Each (element, unit of weight) is a strip of a plane whose other axis is rank; hashed darts fall
-into the strip as a Poisson process that depends on nothing but the element. Darts are thrown in
-rank bands that double, until each of the k coordinates a dart can hash to has one; the earliest
-dart of a coordinate is its minimum. A long document needs few darts for each element, a short
-one many, so the work is about (elements + k log k), and two documents agree on a coordinate with
-probability equal to their weighted Jaccard similarity.
-
-Signatures are banded; documents in a bucket are compared with the bucket's leader, so thousands
-of copies cost thousands of comparisons. Documents that no chain of such links ties to their
-leader are then compared with each other and with the bucket's other members, but for those that
-the triangle inequality of the Jaccard distance rules out; a bucket too large for one task is cut
-into blocks, of which every two meet in a task. So each two similar documents that share a bucket
-end in one group, whatever the bucket's size. Every link is confirmed by the exact Jaccard
-similarity of the shingle sets; groups are the connected components of the links.
+An element of weight w owns the region [0, w) of a line whose other axis is rank. The line is cut
+into strips ([0, 1), [1, 2), [2, 4), ... units of weight), the ranks into bands that double; hashed
+darts fall into each cell as a Poisson process that depends on nothing but the element, the strip
+and the band, and those beyond w are not the element's. Bands are thrown until each of the k
+coordinates a dart can hash to has one; the earliest dart of a coordinate is its minimum. The work
+follows the darts and the logarithm of the weights, not the weights themselves, and two documents
+agree on a coordinate with probability equal to their weighted Jaccard similarity
+(sum of least / sum of greatest weights).
+
+A shingle weighs as often as it occurs. Signatures are banded; documents in a bucket are compared
+with the bucket's leader, so thousands of copies cost thousands of comparisons. Documents that no
+chain of such links ties to their leader are then compared with each other and with the bucket's
+other members, but for those that the triangle inequality of the Jaccard distance rules out; a
+bucket too large for one task, in documents or in shingles, is cut into blocks, of which every two
+meet in a task. So each two similar documents that share a bucket end in one group, whatever the
+bucket's size. Every link is confirmed by the exact weighted Jaccard similarity; groups are the
+connected components of the links.
 """
 
 from __future__ import annotations
@@ -29,10 +32,11 @@ from weft.llm._shared import by_name, fresh, id_text, written
 SHINGLE, SIMILARITY = 5, 0.8
 #: 28 bands of 5 rows miss a pair of similarity 0.8 with probability (1 - 0.8**5) ** 28 = 1.5e-5.
 BANDS, ROWS = 28, 5
-#: So many documents of a bucket are compared in one task; larger buckets are cut into blocks of
-#: half as many, and each pair of blocks is one task.
-MOST_AT_ONCE = 512
+#: So many documents of a bucket, with so many shingles, are compared in one task; larger buckets
+#: are cut into blocks of half as many, and each pair of blocks is one task.
+CELL_DOCS, CELL_SHINGLES = 512, 1 << 20
 _MIN_BAND = 4  # the first rank band reaches to 2**-4
+_CELL_DARTS = 8  # cells with more expected darts are thrown in parts
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
@@ -83,46 +87,65 @@ def _poisson(u: np.ndarray, mean: float) -> np.ndarray:
     return n
 
 
-def signatures(key: np.ndarray, weight: np.ndarray, soff: np.ndarray, k: int) -> np.ndarray:
-    """k minima (uint64 dart identities) per document; documents without elements get zeros."""
+def _strips(weight: np.ndarray, unit: float) -> tuple[np.ndarray, np.ndarray]:
+    """(element, strip) of each strip that an element's region reaches into."""
+    top = np.zeros(len(weight), np.int64)
+    big = weight > unit
+    top[big] = np.ceil(np.log2(weight[big] / unit)).astype(np.int64)
+    count = np.where(weight > 0, top + 1, 0)
+    element = np.repeat(np.arange(len(weight)), count)
+    return element, np.arange(len(element)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def signatures(key: np.ndarray, weight: np.ndarray, soff: np.ndarray, k: int, unit: float = 1.0) -> np.ndarray:
+    """k minima (uint64 dart identities) per document; documents without weight get zeros.
+
+    Weights are any numbers from 0 on; ``unit``, the width of the first strip, changes the work
+    only (the fewest darts where it is about the usual weight), but must be the same everywhere.
+    """
     n_docs = len(soff) - 1
     best = np.full(n_docs * k, np.inf)
     name = np.zeros(n_docs * k, np.uint64)
-    size = np.diff(soff)
-    doc = np.repeat(np.arange(n_docs), size)
-    copies = weight.astype(np.int64)
-    strip = np.repeat(key, copies)
-    owner = np.repeat(doc, copies)
-    unit = np.arange(len(strip)) - np.repeat(np.cumsum(copies) - copies, copies)
-    strip = B.mix(strip + unit.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    weight = np.asarray(weight, np.float64)
+    element, strip = _strips(weight, unit)
+    owner = np.repeat(np.arange(n_docs), np.diff(soff))[element]
+    base = B.mix(key[element] + strip.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    reach = weight[element]
     lo, hi, band = 0.0, 2.0**-_MIN_BAND, 0
-    empty = size > 0
-    while len(strip):
-        width = hi - lo
-        # Bands wider than one unit are thrown as several cells, each with a small Poisson mean.
-        cells = max(1, int(width))
-        for cell in range(cells):
-            a, w = lo + cell * width / cells, width / cells
-            h = B.mix(strip ^ B.mix(np.full(1, (band << 32) + cell + 1, np.uint64)))
-            count = _poisson(_uniform(h), w)
-            has = np.flatnonzero(count)
-            if not len(has):
-                continue
-            which = np.repeat(has, count[has])
-            nth = np.arange(len(which)) - np.repeat(np.cumsum(count[has]) - count[has], count[has])
-            dart = B.mix(h[which] + (nth + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            rank = a + w * _uniform(B.mix(dart ^ np.uint64(0x2545F4914F6CDD1D)))
-            slot = owner[which] * k + (dart % np.uint64(k)).astype(np.int64)
-            order = np.lexsort((dart, rank, slot))
-            slot, rank, dart = slot[order], rank[order], dart[order]
-            first = np.ones(len(slot), bool)
-            first[1:] = slot[1:] != slot[:-1]
-            slot, rank, dart = slot[first], rank[first], dart[first]
-            better = rank < best[slot]
-            best[slot[better]], name[slot[better]] = rank[better], dart[better]
-        empty &= np.isinf(best.reshape(n_docs, k)).any(1)
-        live = empty[owner]
-        strip, owner = strip[live], owner[live]
+    open_ = np.zeros(n_docs, bool)
+    open_[owner] = True
+    while len(base):
+        for level in np.unique(strip).tolist():
+            mine = np.flatnonzero(strip == level)
+            left, width = (0.0, unit) if level == 0 else (unit * 2.0 ** (level - 1), unit * 2.0 ** (level - 1))
+            mean = width * (hi - lo)
+            cells = max(1, int(np.ceil(mean / _CELL_DARTS)))
+            whole = bool((reach[mine] >= left + width).all())
+            for cell in range(cells):
+                a, w = lo + cell * (hi - lo) / cells, (hi - lo) / cells
+                h = B.mix(base[mine] ^ B.mix(np.full(1, (band << 32) + cell + 1, np.uint64)))
+                count = _poisson(_uniform(h), mean / cells)
+                has = np.flatnonzero(count)
+                if not len(has):
+                    continue
+                which = np.repeat(has, count[has])
+                nth = np.arange(len(which)) - np.repeat(np.cumsum(count[has]) - count[has], count[has])
+                dart = B.mix(h[which] + (nth + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                if not whole:
+                    inside = left + width * _uniform(B.mix(dart ^ np.uint64(0x9FB21C651E98DF25))) < reach[mine[which]]
+                    which, dart = which[inside], dart[inside]
+                rank = a + w * _uniform(B.mix(dart ^ np.uint64(0x2545F4914F6CDD1D)))
+                slot = owner[mine[which]] * k + (dart % np.uint64(k)).astype(np.int64)
+                order = np.lexsort((dart, rank, slot))
+                slot, rank, dart = slot[order], rank[order], dart[order]
+                first = np.ones(len(slot), bool)
+                first[1:] = slot[1:] != slot[:-1]
+                slot, rank, dart = slot[first], rank[first], dart[first]
+                better = rank < best[slot]
+                best[slot[better]], name[slot[better]] = rank[better], dart[better]
+        open_ &= np.isinf(best.reshape(n_docs, k)).any(1)
+        live = open_[owner]
+        base, owner, strip, reach = base[live], owner[live], strip[live], reach[live]
         lo, hi, band = hi, hi * 2, band + 1
     return name.reshape(n_docs, k)
 
@@ -137,18 +160,37 @@ def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def _per_slice(batches, at: int, make):
-    for batch in batches:
-        for lo, hi, data, off in B.slices(batch.column(at)):
-            yield make(batch.slice(lo, hi - lo), data, off)
+def _per_slice(at: int, make):
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, off in B.slices(batch.column(at)):
+                yield make(batch.slice(lo, hi - lo), data, off)
+
+    return B.tidy(run)
+
+
+def _members(key: np.ndarray, count: np.ndarray, soff: np.ndarray, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(names, offsets) of each document's set; an element of weight c stands in it under c names.
+
+    The Jaccard similarity of such sets is the weighted one of the elements.
+    """
+    if not weighted or not len(key) or count.max() == 1:
+        return key, soff
+    copies = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    more = np.repeat(key, count)
+    again = copies > 0
+    more[again] = B.mix(more[again] ^ B.mix(copies[again].astype(np.uint64)))
+    return more, np.concatenate([[0], np.cumsum(count)])[soff]
 
 
 def signed(docs: DataFrame, bands: int, rows: int, shingle: int, weighted: bool) -> DataFrame:
-    """doc_id, text_hash, class1 and class2 (128 bits over the word sequence), n_shingles, bands[]."""
+    """doc_id, text_hash, class1 and class2 (128 bits over the word sequence), n_shingles (their weight), bands[]."""
 
     def make(batch, data, off):
         key, count, soff = shingles(data, off, shingle)
-        sig = signatures(key, count if weighted else np.ones_like(count), soff, bands * rows)
+        weight = count if weighted else np.ones_like(count)
+        sig = signatures(key, weight, soff, bands * rows)
+        total = np.concatenate([[0], np.cumsum(weight)])
         low = B.lower_ascii(data)
         start, end, woff = B.words(low, off, _WORD[data])
         wh = B.segment_hash(low, start, end)
@@ -160,26 +202,26 @@ def signed(docs: DataFrame, bands: int, rows: int, shingle: int, weighted: bool)
         hashes = band_hashes(sig, bands, rows).view(np.int64)
         ends = np.arange(len(n) + 1) * bands
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(np.diff(soff)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.ravel()))],
+            [batch.column(0), batch.column(2), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(np.diff(total[soff])), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.ravel()))],
             names=["doc_id", "text_hash", "class1", "class2", "n_shingles", "bands"],
         )
 
     rows_in = docs.withColumn("text_hash", F.xxhash64("text"))
-    return rows_in.mapInArrow(lambda it: _per_slice(it, 1, make), "doc_id bigint, text_hash bigint, class1 bigint, class2 bigint, n_shingles bigint, bands array<bigint>")
+    return rows_in.mapInArrow(_per_slice(1, make), "doc_id bigint, text_hash bigint, class1 bigint, class2 bigint, n_shingles bigint, bands array<bigint>")
 
 
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """The columns of docs but text, and set (sorted distinct shingle hashes)."""
+def shingle_sets(docs: DataFrame, shingle: int, weighted: bool) -> DataFrame:
+    """The columns of docs but text, and set (distinct shingle hashes, one for each unit of weight)."""
     names = [c for c in docs.columns if c != "text"]
     at = docs.columns.index("text")
 
     def make(batch, data, off):
-        key, _, soff = shingles(data, off, shingle)
+        key, soff = _members(*shingles(data, off, shingle), weighted)
         sets = pa.ListArray.from_arrays(pa.array(soff, pa.int32()), pa.array(key.view(np.int64)))
         return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), sets], names=[*names, "set"])
 
     kinds = dict(docs.dtypes)
-    return docs.mapInArrow(lambda it: _per_slice(it, at, make), ", ".join(f"{c} {kinds[c]}" for c in names) + ", set array<bigint>")
+    return docs.mapInArrow(_per_slice(at, make), ", ".join(f"{c} {kinds[c]}" for c in names) + ", set array<bigint>")
 
 
 def _similar(batches):
@@ -206,15 +248,19 @@ def _links_within(table: pa.Table, similarity: float) -> pa.Table:
     col = table.column("set").combine_chunks()
     off = np.asarray(col.offsets) - col.offsets[0].as_py()
     size = np.diff(off).astype(np.float64)
-    value, owner = np.asarray(col.flatten()), np.repeat(np.arange(n), np.diff(off))
-    _, at, count = np.unique(value, return_inverse=True, return_counts=True)
-    shared = count > 1
-    rank = np.cumsum(shared) - 1
-    use = shared[at]
-    at, owner = rank[at[use]], owner[use]
+    value = np.asarray(col.flatten())
+    order = np.argsort(value)
+    value = value[order]
+    new = np.ones(len(value), bool)
+    new[1:] = value[1:] != value[:-1]
+    del value
+    begin = np.flatnonzero(new)
+    shared = np.diff(np.append(begin, len(new))) > 1
+    use = np.repeat(shared, np.diff(np.append(begin, len(new))))
+    at = (np.cumsum(shared) - 1).astype(np.int32)[np.cumsum(new)[use] - 1]
+    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(off))[order[use]]
+    del order, new, use
     both = np.zeros((n, n), np.float32)
-    order = np.argsort(at, kind="stable")
-    at, owner = at[order], owner[order]
     for lo in range(0, int(shared.sum()), 4096):
         a, b = np.searchsorted(at, [lo, lo + 4096])
         m = np.zeros((n, 4096), np.float32)
@@ -270,19 +316,18 @@ def _cells(spark: SparkSession, led: DataFrame, scored: DataFrame, roots: DataFr
     """
     root = lambda c, name: roots.select(F.col("node").alias(c), F.col("root").alias(name))
     score = scored.select(F.col("a").alias("doc"), F.col("b").alias("lead"), "jaccard")
-    unlike = led.select("key", "doc", "lead").join(score.where(F.col("jaccard") >= similarity), ["doc", "lead"], "left_anti")
+    unlike = led.join(score.where(F.col("jaccard") >= similarity), ["doc", "lead"], "left_anti")
     apart = unlike.join(root("doc", "r"), "doc", "left").join(root("lead", "l"), "lead", "left").where(F.coalesce("r", "doc") != F.coalesce("l", "lead"))
-    outs = written(spark, apart.select("key", "doc", "lead").join(score, ["doc", "lead"], "left").select("key", "doc", "jaccard"), "outs")
+    outs = written(spark, apart.select("key", "doc", "lead", "n").join(score, ["doc", "lead"], "left").select("key", "doc", "n", "jaccard"), "outs")
     tops = written(spark, outs.groupBy("key").agg(F.max(F.coalesce("jaccard", F.lit(2 * similarity - 1))).alias("top")), "tops")
-    rest = led.select("key", "doc", "lead").join(tops, "key").join(score, ["doc", "lead"], "left").where(F.coalesce("jaccard", F.lit(0.0)) <= F.col("top") + (1 - similarity + 1e-9))
+    rest = led.join(tops, "key").join(score, ["doc", "lead"], "left").where(F.coalesce("jaccard", F.lit(0.0)) <= F.col("top") + (1 - similarity + 1e-9))
     rest = rest.join(outs.select("key", "doc"), ["key", "doc"], "left_anti")
-    members = written(spark, outs.select("key", "doc", F.lit(True).alias("out")).unionByName(rest.select("key", "doc", F.lit(False).alias("out"))), "members")
-    half = max(1, MOST_AT_ONCE // 2)
-    n_out, n_in = F.count_if("out"), F.count_if(~F.col("out"))
-    one = n_out + n_in <= MOST_AT_ONCE
-    # Blocks of documents that are out and of others; a bucket of few documents is one cell.
-    sizes = members.groupBy("key").agg(F.when(one, 1).otherwise(F.ceil(n_out / half)).alias("x"), F.when(one, 0).otherwise(F.ceil(n_in / half)).alias("y"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    placed = members.join(written(spark, sizes, "sizes"), "key")
+    members = written(spark, outs.select("key", "doc", "n", F.lit(True).alias("out")).unionByName(rest.select("key", "doc", "n", F.lit(False).alias("out"))), "members")
+    one = (F.count(F.lit(1)) <= CELL_DOCS) & (F.sum("n") <= CELL_SHINGLES)
+    blocks = lambda which: F.greatest(F.ceil(F.count_if(which) * 2 / CELL_DOCS), F.ceil(F.sum(F.when(which, F.col("n")).otherwise(0)) * 2 / CELL_SHINGLES))
+    # Blocks of documents that are out and of others; a small bucket is one cell.
+    sizes = members.groupBy("key").agg(F.when(one, 1).otherwise(blocks(F.col("out"))).alias("x"), F.when(one, 0).otherwise(blocks(~F.col("out"))).alias("y"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    placed = members.drop("n").join(written(spark, sizes, "sizes"), "key")
     salt = F.xxhash64("doc", F.lit(1))
     placed = placed.withColumn("at", F.when((F.col("x") + F.col("y") == 1) | F.col("out"), F.pmod(salt, F.col("x"))).otherwise(F.col("x") + F.pmod(salt, F.greatest(F.col("y"), F.lit(1)))))
     # Blocks that are out meet all other blocks, the others only those; two blocks compare all they hold.
@@ -291,15 +336,15 @@ def _cells(spark: SparkSession, led: DataFrame, scored: DataFrame, roots: DataFr
 
 
 def groups(
-    spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weighted: bool = False,
+    spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weighted: bool = True,
 ) -> DataFrame:
     """doc_id, text_hash, class_id, class_hash, n_links: one row for each row of docs.
 
     (class_id, class_hash) is the least (doc_id, text_hash) of the near-duplicate group, n_links
     the number of confirmed links from the row's text to different texts. Texts of the same word sequence are one
     class before any signature is compared. Texts without words (null, empty) are never
-    duplicates; repeated rows are each reported; null ids sort first. ``weighted`` counts how
-    often a shingle occurs in the signature; links are confirmed on sets in any case.
+    duplicates; repeated rows are each reported; null ids sort first. Without ``weighted`` a
+    shingle weighs 1 however often it occurs.
     """
     rows_in = id_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     me = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("i"), F.col("text_hash").alias("t"))
@@ -315,14 +360,14 @@ def groups(
     rows_open = written(spark, places.join(busy, "key"), "buckets")
     texts = rows_in.select(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("i"), F.xxhash64("text").alias("t")).alias("doc"), "text")
     flat = texts.join(rows_open.select("doc").distinct(), "doc", "left_semi").select(F.col("doc.i").alias("i"), F.col("doc.t").alias("t"), "text")
-    sets = written(spark, shingle_sets(flat, shingle).dropDuplicates(["i", "t"]).select(F.struct("i", "t").alias("doc"), "set"), "shingle-sets")
+    sets = written(spark, shingle_sets(flat, shingle, weighted).dropDuplicates(["i", "t"]).select(F.struct("i", "t").alias("doc"), "set"), "shingle-sets")
     leads = written(spark, rows_open.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("l")).select("key", F.col("l.doc").alias("lead"), F.col("l.n").alias("m")), "leads")
     led = written(spark, rows_open.join(leads, "key").where(F.col("doc") != F.col("lead")), "led")
     # Sets of too different sizes cannot be similar, nor rule out anything by their similarity.
     near = led.where(F.least("n", "m") >= (2 * similarity - 1) * F.greatest("n", "m")).select(F.col("doc").alias("a"), F.col("lead").alias("b")).distinct()
     left = near.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("x")), "a")
     full = left.join(sets.select(F.col("doc").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-    scored = written(spark, full.mapInArrow(_similar, "a struct<i:bigint,t:bigint>, b struct<i:bigint,t:bigint>, jaccard double"), "scores")
+    scored = written(spark, full.mapInArrow(B.tidy(_similar), "a struct<i:bigint,t:bigint>, b struct<i:bigint,t:bigint>, jaccard double"), "scores")
     good = scored.where(F.col("jaccard") >= similarity).select("a", "b")
     led_roots = components(spark, good)
     cells = _cells(spark, led, scored, led_roots, similarity).join(sets, "doc").select("key", F.col("doc.i").alias("i"), F.col("doc.t").alias("t"), "set", "out")

@@ -225,7 +225,7 @@ def find_contamination(
 
         passes.append(search)
     if len(passes) == 1:
-        return pairs.mapInArrow(passes[0], schema)
+        return pairs.mapInArrow(B.tidy(passes[0]), schema)
     keyed = pairs.withColumn("text_hash", F.xxhash64("text"))
     out = None
     for search in passes:
@@ -235,7 +235,7 @@ def find_contamination(
                 got = next(iter(search(iter([batch]))))
                 yield pa.RecordBatch.from_arrays([*got.columns, batch.column(2)], names=[*got.schema.names, "text_hash"])
 
-        one = keyed.mapInArrow(with_hash, T.StructType([*schema.fields, T.StructField("text_hash", T.LongType())]))
+        one = keyed.mapInArrow(B.tidy(with_hash), T.StructType([*schema.fields, T.StructField("text_hash", T.LongType())]))
         out = one if out is None else out.unionByName(one)
     merged = out.groupBy("doc_id", "text_hash", "n_words").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -267,7 +267,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *
                 n_hit = _found_arrays(batch.column(at), _machine(key, shared, window))[1]
                 yield batch.filter(pa.array(n_hit.to_numpy() == 0, pa.bool_()))
 
-        out = out.mapInArrow(clean, docs.schema)
+        out = out.mapInArrow(B.tidy(clean), docs.schema)
     return out
 
 

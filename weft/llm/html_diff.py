@@ -255,10 +255,10 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
             yield pa.RecordBatch.from_arrays([*row.columns, pa.array([needs])], names=[*row.schema.names, "needs"])
 
     out = "page_id bigint, url string, text string, n_chars bigint"
-    inside = near.mapInArrow(run, out)
+    inside = near.mapInArrow(B.tidy(run), out)
     # Pages cut off from their neighbours by a partition's border: two rows of each partition at
     # most, sorted once more. The sorted pages themselves are shuffled once for both.
-    border = near.mapInArrow(edges, T.StructType([*near.schema.fields, T.StructField("needs", T.BooleanType())]))
+    border = near.mapInArrow(B.tidy(edges), T.StructType([*near.schema.fields, T.StructField("needs", T.BooleanType())]))
     few = max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 1000)
-    across = border.repartitionByRange(few, *order).sortWithinPartitions(*order).mapInArrow(lambda batches: run(batches, True), out)
+    across = border.repartitionByRange(few, *order).sortWithinPartitions(*order).mapInArrow(B.tidy(lambda batches: run(batches, True)), out)
     return inside.unionByName(across)

@@ -49,7 +49,7 @@ def line_table(docs: DataFrame) -> DataFrame:
                 )
 
     rows = docs.where("text is not null").withColumn("text_hash", F.xxhash64("text"))
-    return rows.mapInArrow(run, LINES)
+    return rows.mapInArrow(B.tidy(run), LINES)
 
 
 def least_runs(lines: np.ndarray, words: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,7 +79,7 @@ def run_table(lines: DataFrame, least: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0).take(owner), part.column(1).take(owner), pa.array(h)], names=["i", "t", "h"])
 
     flat = lines.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("i"), F.col("text_hash").alias("t"), "lines", "words")
-    return flat.mapInArrow(run, "i bigint, t bigint, h bigint").select(F.struct("i", "t").alias("doc"), "h")
+    return flat.mapInArrow(B.tidy(run), "i bigint, t bigint, h bigint").select(F.struct("i", "t").alias("doc"), "h")
 
 
 def patience(a: list[int], b: list[int], pool: list[int]) -> list[tuple[int, int]]:
@@ -181,7 +181,7 @@ def deletions(spark: SparkSession, docs: DataFrame, *, block_words: int = BLOCK_
                 found = [aligned_lines(a, b, w, block_words) for a, b, w in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "text_hash", "at"])
 
-    found = both.mapInArrow(align, "doc_id bigint, text_hash bigint, at array<int>").where(F.size("at") > 0)
+    found = both.mapInArrow(B.tidy(align), "doc_id bigint, text_hash bigint, at array<int>").where(F.size("at") > 0)
     return lines, found.groupBy("doc_id", "text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"))
 
 

@@ -61,7 +61,7 @@ def with_features(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], names=["doc_id", "x"])
 
-    return id_text(docs).mapInArrow(run, "doc_id bigint, x array<double>")
+    return id_text(docs).mapInArrow(B.tidy(run), "doc_id bigint, x array<double>")
 
 
 def fit(features: DataFrame, labels: DataFrame, *, pooled: float = POOLED, diagonal: float = DIAGONAL) -> Discriminant:
@@ -84,7 +84,7 @@ def fit(features: DataFrame, labels: DataFrame, *, pooled: float = POOLED, diago
                 flat = np.concatenate([[len(a)], a.sum(0), (a.T @ a).ravel()])
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(flat), pa.int32()), pa.array(range(len(flat)), pa.int32()), pa.array(flat)], names=["k", "at", "v"])
 
-    got = rows.mapInArrow(sums, "k int, at int, v double").groupBy("k", "at").agg(F.sum("v").alias("v")).collect()
+    got = rows.mapInArrow(B.tidy(sums), "k int, at int, v double").groupBy("k", "at").agg(F.sum("v").alias("v")).collect()
     d = len(transformed(S.document_stats(np.zeros(0, np.uint8), np.zeros(2, np.int64)))[0])
     flat = np.zeros((2, 1 + d + d * d))
     for r in got:
@@ -101,5 +101,5 @@ def scored(features: DataFrame, model: Discriminant) -> DataFrame:
             s = model.score(np.asarray(batch.column(1).flatten()).reshape(n, -1)) if n else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], names=["doc_id", "score"])
 
-    out = features.mapInArrow(run, "doc_id bigint, score double")
+    out = features.mapInArrow(B.tidy(run), "doc_id bigint, score double")
     return out.select("doc_id", (remainder(F.col("doc_id")) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -268,4 +268,4 @@ def encode_decode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", t
                     names=["doc_id", "n_bytes", "n_tokens", "ids", "ids_crc32", "round_trip"],
                 )
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint, ids array<int>, ids_crc32 bigint, round_trip boolean")
+    return id_text(docs, id_col, text_col).mapInArrow(B.tidy(run), "doc_id bigint, n_bytes bigint, n_tokens bigint, ids array<int>, ids_crc32 bigint, round_trip boolean")

@@ -64,7 +64,7 @@ def token_counts(
             yield pa.RecordBatch.from_arrays([pa.array([version] * len(counts)), batch.column(0), pa.array(counts, pa.int64())], names=CACHE.names)
 
     # A repeated row stands for its digest more than once: one count of it is kept.
-    texts.select("digest", "text").mapInArrow(encode, CACHE).dropDuplicates(["digest"]).write.mode("append").parquet(path)
+    texts.select("digest", "text").mapInArrow(B.tidy(encode), CACHE).dropDuplicates(["digest"]).write.mode("append").parquet(path)
     # Two writers may have counted one text: the least count is taken, and written, so that the
     # join can split a digest that a large part of all rows share.
     known = written(spark, read_cache(spark, path).where(F.col("tokenizer") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens")), "known-counts")

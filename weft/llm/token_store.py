@@ -89,7 +89,7 @@ def write_store(
             bucket = np.where(key.isna(), 0, np.searchsorted(bounds, key.fillna(0).astype("int64"), "right")).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column(0), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], names=["bucket", "doc_id", "n_tokens", "frame"])
 
-    framed = rows.mapInArrow(encode, "bucket int, doc_id bigint, n_tokens bigint, frame binary")
+    framed = rows.mapInArrow(B.tidy(encode), "bucket int, doc_id bigint, n_tokens bigint, frame binary")
     placed = framed.repartitionById(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "n_tokens", "frame")
 
     def pack(batches):
@@ -112,7 +112,7 @@ def write_store(
         if frames:
             yield row()
 
-    placed.mapInArrow(pack, SHARD).write.parquet(f"{path}/shards")
+    placed.mapInArrow(B.tidy(pack), SHARD).write.parquet(f"{path}/shards")
 
 
 _SHARD_ARROW = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("dict_sha256", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("frames", pa.binary())])
@@ -162,7 +162,7 @@ def read_store(spark: SparkSession, path: str, *, with_ids: bool = True) -> Data
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = ["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
-    return shards.join(first, ["bucket", "shard"]).mapInArrow(unpack, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids binary" if with_ids else ""))
+    return shards.join(first, ["bucket", "shard"]).mapInArrow(B.tidy(unpack), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids binary" if with_ids else ""))
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
