@@ -1,25 +1,30 @@
 """Main-text extraction by nearest-URL page differencing.
 
-Pages are range-sorted by (host, URL path), so that each page stands next to the page of its
-host whose path is nearest. A page's blocks of text are aligned with its neighbour's by longest
-common subsequence; blocks that both pages hold are template text and are deleted. Blocks that the markup itself names (menus,
-footers, forms, adverts ...) always go, and blocks inside an ``article`` or ``main`` element are
-never deleted for being shared: copies of one article under neighbouring URLs would otherwise
-delete each other. A neighbour that is a copy tells no template; the nearest page before it that
-is none takes its place.
+Pages are parsed to blocks of text and range-sorted by (host, URL path), so that a page stands
+between the two pages of its host whose paths are nearest. It is paired with the nearer of them,
+the one that shares the longer beginning of the path, and both pages' blocks are aligned by longest
+common subsequence: what they share is the site's, what only one has is the page's own.
+
+The diff alone cannot tell an article that two pages quote from a template, nor an advert that no
+other page shows from the article. Markup breaks these ties: shared blocks inside an ``article``
+or ``main`` element stay, and blocks that their own markup names as menus, adverts, comments and
+so on go though no neighbour shares them. On a page without ``article`` or ``main`` a shared block
+goes only if the neighbour on the other side, where there is one, holds it as well.
 """
 
 from __future__ import annotations
 
 import html as entities
+import os
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from weft.llm import _batch as B
 from weft.llm._shared import by_name
 
 # Element names and class words of HTML practice.
@@ -35,13 +40,14 @@ CLASS_WORDS = {
 }
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_REST = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*>")
+_ATTR = re.compile(r"(?<![a-zA-Z_:-])([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPACE = re.compile(r"\s+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
-#: A neighbour that holds more than this part of a page's own characters is a copy, which tells no template.
-COPY_PART = 0.9
+#: Flags of a block.
+CONTENT_FLAG, NOISE_FLAG = 1, 2
 
 
 def _noise(name: str, attrs: str) -> bool:
@@ -60,10 +66,54 @@ def _noise(name: str, attrs: str) -> bool:
     return " hidden" in f" {_ATTR.sub('', attrs)} ".replace("/", " ") and bool(re.search(r"(?:^|\s)hidden(?:\s|$|/)", _ATTR.sub("", attrs)))
 
 
+def _tags(page: str):
+    """(text before, name or None, whether it ends an element, attributes, literal text, end) of each piece of markup.
+
+    Each place is passed once: after one tag that no ``>`` outside quotes ends, quotes no longer count.
+    """
+    at = text = 0
+    quotes = True
+    while True:
+        lt = page.find("<", at)
+        if lt < 0:
+            yield page[text:], None, False, "", "", len(page)
+            return
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            end = len(page) if end < 0 else end + 3
+            yield page[text:lt], None, False, "", "", end
+        elif page.startswith("<![CDATA[", lt):
+            end = page.find("]]>", lt + 9)
+            yield page[text:lt], None, False, "", page[lt + 9 : len(page) if end < 0 else end], (end := len(page) if end < 0 else end + 3)
+        elif page[lt + 1 : lt + 2] in ("!", "?"):
+            end = page.find(">", lt) + 1
+            if not end:
+                yield page[text:], None, False, "", "", len(page)
+                return
+            yield page[text:lt], None, False, "", "", end
+        else:
+            m = _NAME.match(page, lt + 1)
+            if m is None:
+                at = lt + 1
+                continue
+            rest = _REST.match(page, m.end()) if quotes else None
+            quotes = rest is not None
+            end = rest.end() if rest else page.find(">", m.end()) + 1
+            if not end:
+                yield page[text:], None, False, "", "", len(page)
+                return
+            jump = yield page[text:lt], m[2].lower(), bool(m[1]), page[m.end() : end - 1], "", end
+            if jump is not None:
+                end = jump
+                yield "", None, False, "", "", end  # the answer to send()
+        at = text = end
+
+
 def blocks(page: str) -> list[tuple[str, bool, bool]]:
     """(text, inside article or main, noise by markup) of each block with text, in page order."""
     out: list[tuple[str, bool, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # name, content, noise
+    opened: Counter[str] = Counter()
     content = noise = False
     parts: list[str] = []
 
@@ -74,32 +124,28 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
                 out.append((text, content, noise))
             parts.clear()
 
-    at = 0
-    while True:
-        m = _TAG.search(page, at)
-        if m is None:
-            parts.append(page[at:])
-            break
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        name = m[2]
+    def cut(k: int) -> None:
+        for x in stack[k:]:
+            opened[x[0]] -= 1
+        del stack[k:]
+
+    tags = _tags(page)
+    for before, name, ends, attrs, literal, end in tags:
+        parts.append(before)
         if name is None:
-            if m[0].startswith("<![CDATA["):
-                parts.append(m[0][9:-3] if m[0].endswith("]]>") else m[0][9:])
+            parts.append(literal)
             continue
-        name = name.lower()
         if name == "br":
             parts.append(" ")
             continue
-        if m[1]:
+        if ends:
             if name not in INLINE:
                 close()
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1 if opened[name] else -1, -1, -1):
                 if stack[k][0] == name:
                     if name in INLINE and stack[k][2] != noise:
                         close()
-                    del stack[k:]
+                    cut(k)
                     break
                 if name in INLINE and stack[k][0] not in INLINE:
                     break  # an inline end tag does not close blocks
@@ -107,25 +153,32 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
             continue
         if name in RAW and name != "head":
             # Raw text: nothing but its own end tag counts; unclosed, it runs to the end.
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else (at if name in ("svg", "math", "object", "template", "noscript") else len(page))
+            stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, end)
+            if stop:
+                tags.send(stop.end())
+            elif name not in ("svg", "math", "object", "template", "noscript"):
+                break
             continue
-        bad = _noise(name, m[3])
+        bad = _noise(name, attrs)
         if name not in INLINE or bad != noise and bad:
             close()
-        if name in ("body", "article", "main"):  # an open head or header ends here
-            stack[:] = [x for x in stack if x[0] not in ("head",)]
-        if name == "p" and stack and any(x[0] == "p" for x in stack):
-            k = max(i for i, x in enumerate(stack) if x[0] == "p")
-            if all(x[0] in INLINE or x[0] == "p" for x in stack[k:]):
-                del stack[k:]  # a paragraph ends the one before it
+        if name in ("body", "article", "main") and opened["head"]:  # an open head ends here
+            stack[:] = [x for x in stack if x[0] != "head"]
+            opened["head"] = 0
+        if name == "p" and opened["p"]:
+            k = len(stack) - 1
+            while stack[k][0] in INLINE:
+                k -= 1
+            if stack[k][0] == "p":
+                cut(k)  # a paragraph ends the one before it
         if name in ("li", "td", "th", "tr", "dd", "dt") and stack and stack[-1][0] == name:
-            stack.pop()
+            cut(len(stack) - 1)
         content, noise = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        if name in VOID or m[3].rstrip().endswith("/"):
+        if name in VOID or attrs.rstrip().endswith("/"):
             continue
         content, noise = content or name in CONTENT, noise or bad
         stack.append((name, content, noise))
+        opened[name] += 1
     close()
     return out
 
@@ -162,103 +215,166 @@ def common(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def copies(own: list[tuple[str, bool, bool]], other: list[tuple[str, bool, bool]], far: list[tuple[str, bool, bool]] | None) -> bool:
-    """Whether ``other`` holds the page's own text: that in article or main, else what ``far``, a page unlike ``other``, lacks."""
-    mine = [t for t, c, n in own if c and not n]
-    if not mine:
-        template = {x[0] for x in far or ()}
-        mine = [t for t, _, n in own if not n and t not in template]
-    held = {x[0] for x in other}
-    return sum(len(t) for t in mine if t in held) > COPY_PART * sum(map(len, mine))
+def nearest(path: str, before: str | None, after: str | None) -> int:
+    """0 if the page before is the nearer by its path, 1 if that after is; None is no neighbour."""
+    if before is None or after is None:
+        return 0 if after is None else 1
+    shared = [len(os.path.commonprefix([path, other])) for other in (before, after)]
+    return int(shared[1] > shared[0])
+
+
+def main_text(own: list[tuple[str, bool, bool]], path: str, before: tuple | None, after: tuple | None) -> str:
+    """The page's text without what it shares with its neighbours, each (path, lines) or None.
+
+    A neighbour with the same lines is a copy, which tells nothing of the template.
+    """
+    lines = [x[0] for x in own]
+    sides = [x if x is not None and x[1] != lines else None for x in (before, after)]
+    k = nearest(path, *(None if x is None else x[0] for x in sides))
+    shared = common(lines, sides[k][1]) if sides[k] else set()
+    if shared and sides[1 - k] and not any(c for _, c, _ in own):
+        shared &= common(lines, sides[1 - k][1])
+    return "\n\n".join(t for j, (t, c, n) in enumerate(own) if not n and (c or j not in shared))
+
+
+PARSED = "chunk int, side int, k string, h bigint, page_id bigint, url string, host string, path string, body string, flags string"
+TEXTS = "page_id bigint, url string, text string, n_chars bigint"
+
+
+def _parse(batches):
+    """Each page's blocks, a line for each, and a digit of flags for each."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            got = [blocks(page or "") for page in part.column(8).to_pylist()]
+            body = pa.array(["\n".join(t for t, _, _ in x) for x in got], pa.string())
+            flags = pa.array(["".join(str(CONTENT_FLAG * c + NOISE_FLAG * n) for _, c, n in x) for x in got], pa.string())
+            yield pa.RecordBatch.from_arrays([*part.columns[:8], body, flags], names=[*part.schema.names[:8], "body", "flags"])
+
+
+class _Run:
+    """Neighbouring pages of one host with the same html."""
+
+    def __init__(self, chunk: int, host: str, h: int, path: str, body: str, flags: str):
+        self.key, self.path, self.last_path = (chunk, host, h), path, path
+        self.lines = body.split("\n") if flags else []
+        self.flags, self.pages = flags, []
+
+    def texts(self, before: "_Run | None", after: "_Run | None"):
+        """page_id, url, text of the pages, which stand between two other runs of the chunk."""
+        own = [(t, bool(int(f) & CONTENT_FLAG), bool(int(f) & NOISE_FLAG)) for t, f in zip(self.lines, self.flags)]
+        near = lambda x: x is not None and self.key[1] != "" and x.key[:2] == self.key[:2]
+        sides = (before.last_path, before.lines) if near(before) else None, (after.path, after.lines) if near(after) else None
+        known: dict[int, str] = {}  # by the side that is nearer: all that differs between copies
+        for i, url, path in self.pages:
+            k = nearest(path, *(None if x is None else x[0] for x in sides))
+            if k not in known:
+                known[k] = main_text(own, path, *sides)
+            yield i, url, known[k]
+
 
+def _differenced(batches):
+    """Texts of pages sorted by (chunk, side, k, url, h); rows of another side than 0 are neighbours from outside the chunk."""
+    before: _Run | None = None
+    run: _Run | None = None
 
-def main_text(own: list[tuple[str, bool, bool]], other: list[tuple[str, bool, bool]] | None) -> str:
-    """The page's text without template blocks; ``other`` is the blocks of a neighbour that is no copy."""
-    shared = common([x[0] for x in own], [x[0] for x in other]) if other else set()
-    return "\n\n".join(t for k, (t, c, n) in enumerate(own) if not n and (c or k not in shared))
+    def batch_of(rows):
+        texts = [x[2] for x in rows]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            done: list = []
+            for chunk, side, _, h, i, url, host, path, body, flags in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns)):
+                if run is None or run.key != (chunk, host, h):
+                    now = _Run(chunk, host, h, path, body, flags)
+                    if run is not None:
+                        done += run.texts(before, now)
+                    before, run = run, now
+                run.last_path = path
+                if side == 0:
+                    run.pages.append((i, url, path))
+            if done:
+                yield batch_of(done)
+    if run is not None:
+        yield batch_of(list(run.texts(before, None)))
+
+
+#: Keys that are drawn for each chunk's bounds; no result depends on them.
+KEYS_PER_CHUNK = 32
+
+
+def _chunks(keys: DataFrame, n: int) -> list[str]:
+    """Bounds that cut the sorted keys into n chunks of about equal numbers, from a bounded draw of them."""
+    drawn = sorted({r["k"] for r in keys.select("k").orderBy(F.xxhash64("k")).limit(n * KEYS_PER_CHUNK).collect()})
+    return sorted({drawn[j * len(drawn) // n] for j in range(1, n)}) if drawn else []
+
+
+def _chunk_of(bounds: list[str], names: list[str], at: int):
+    """Put the number of its chunk before the columns of each row."""
+
+    def run(batches):
+        for batch in batches:
+            chunk = pa.array([bisect_right(bounds, k) for k in batch.column(at).to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([chunk, *batch.columns], names=["chunk", *names])
+
+    return B.tidy(run)
+
+
+def _borders(keys: DataFrame) -> list[tuple[int, int, str, str, int]]:
+    """(chunk, side, k, url, h) of the page that stands next to each chunk's first and last run.
+
+    Four keys of each chunk reach the driver: its first and last, and those that end and begin
+    the runs of equal html there.
+    """
+    row = F.struct("k", "url", "h", "host")
+    ends = keys.groupBy("chunk").agg(F.min(row).alias("head"), F.max(row).alias("tail"))
+    differs = lambda c: ~((F.col("host") == F.col(c + ".host")) & (F.col("h") == F.col(c + ".h")))
+    inner = keys.join(ends, "chunk").groupBy("chunk", "head", "tail").agg(F.min(F.when(differs("head"), row)).alias("second"), F.max(F.when(differs("tail"), row)).alias("last_but"))
+    found = sorted(inner.collect(), key=lambda r: r["chunk"])
+    out = []
+    same = lambda a, b: (a["host"], a["h"]) == (b["host"], b["h"])
+    for side, first, names in ((-1, "head", ("head", "second", "last_but", "tail")), (1, "tail", ("tail", "last_but", "second", "head"))):
+        last = other = None  # the row passed last, and the last one unlike it
+        for r in found if side < 0 else reversed(found):
+            for name in names:
+                if (x := r[name]) is None:
+                    continue
+                if name == first and last is not None:
+                    near = other if same(last, x) else last
+                    if near is not None and near["host"] == x["host"] and x["host"]:
+                        out.append((r["chunk"], side, near["k"], near["url"], near["h"]))
+                if last is None or not same(last, x):
+                    other = last
+                last = x
+    return out
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for every row of pages.
 
-    Null or empty html gives an empty text; a null URL counts as one of its own host and path;
-    repeated rows are each reported (a copy is no template); a page alone on its host keeps all
-    blocks that its markup does not name as noise. A hot host spreads over many partitions: the
-    neighbour is the one before in sort order, or behind for the first page of a host in its
-    partition, so no host is gathered anywhere.
+    Null or empty html gives an empty text. A neighbour with the same html is a copy and passed
+    over, to the next page of the host that is none. A page alone on its host and one without a
+    host in its URL (null URLs too) keep all blocks that their markup does not name as noise. Ties
+    of host and path go by id, URL and html; repeated rows are each reported. A hot host spreads
+    over many chunks of the sorted keys and is gathered nowhere; each chunk gets the page before
+    and the page behind it as two more rows, so the text does not depend on where chunks begin.
     """
+    spark = pages.sparkSession
     rows = pages.select(by_name(pages, id_col).cast("long").alias("page_id"), by_name(pages, url_col).cast("string").alias("url"), by_name(pages, html_col).cast("string").alias("html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)", 1))
     path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:(?:[a-zA-Z][\w+.-]*:)?//[^/?#]*)?([^?#]*)", 1)
-    keyed = rows.withColumn("host", host).withColumn("path", path)
-    order = ["host", "path", "page_id", "url"]
-    near = keyed.repartitionByRange("host", "path", "page_id").sortWithinPartitions(*order)
-
-    def run(batches, only=False):
-        """Rows with their texts; with ``only``, of the rows marked ``needs``, else of all that have
-        their neighbour in this partition or are known to have none."""
-        before: tuple | None = None  # the page before: host, blocks, those of the nearest page before that is no copy of it
-        waiting: tuple | None = None  # a first page of a host, until its neighbour is known
-        first = True
-
-        def finish(row, other):
-            return row[0], row[1], main_text(row[3], other)
-
-        def batch_of(rows):
-            texts = [x[2] for x in rows]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part, done = batch.slice(lo, 256), []
-                for i, url, page, own_host, *needs in zip(*(part.column(k).to_pylist() for k in ((0, 1, 2, 3, 5) if only else range(4)))):
-                    row = (i, url, own_host, blocks(page or ""), first, not only or needs[0])
-                    first = False
-                    if waiting is not None:
-                        alone = waiting[2] != own_host
-                        if (only or not (alone and waiting[4])) and waiting[5]:
-                            done.append(finish(waiting, None if alone or copies(waiting[3], row[3], None) else row[3]))
-                        waiting = None
-                    far = None
-                    if before is None or before[0] != own_host:
-                        waiting = row
-                    else:
-                        far = before[2] if copies(row[3], before[1], before[2]) else before[1]
-                        if row[5]:
-                            done.append(finish(row, far))
-                    before = (own_host, row[3], far)
-                if done:
-                    yield batch_of(done)
-        if only and waiting is not None and waiting[5]:
-            yield batch_of([finish(waiting, None)])
-
-    def edges(batches):
-        """First and last page of the partition; ``needs`` where no page of the host stands beside it."""
-        head = last = None
-        run_at = n = 0  # where the last row's host begins; rows so far
-        head_alone = True
-        host = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if head is None:
-                head = batch.slice(0, 1)
-            for h in batch.column(3).to_pylist():
-                if h != host:
-                    run_at, host = n, h
-                elif run_at == 0:
-                    head_alone = False
-                n += 1
-            last = batch.slice(batch.num_rows - 1, 1)
-        rows = [] if head is None else [(head, head_alone)] if n == 1 else [(head, head_alone), (last, run_at == n - 1)]
-        for row, needs in rows:
-            yield pa.RecordBatch.from_arrays([*row.columns, pa.array([needs])], names=[*row.schema.names, "needs"])
-
-    out = "page_id bigint, url string, text string, n_chars bigint"
-    inside = near.mapInArrow(B.tidy(run), out)
-    # Pages cut off from their neighbours by a partition's border: two rows of each partition at
-    # most, sorted once more. The sorted pages themselves are shuffled once for both.
-    border = near.mapInArrow(B.tidy(edges), T.StructType([*near.schema.fields, T.StructField("needs", T.BooleanType())]))
-    few = max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 1000)
-    across = border.repartitionByRange(few, *order).sortWithinPartitions(*order).mapInArrow(B.tidy(lambda batches: run(batches, True)), out)
-    return inside.unionByName(across)
+    keyed = rows.select("page_id", "url", host.alias("host"), path.alias("path"), F.xxhash64("html").alias("h"), "html")
+    keyed = keyed.withColumn("k", F.concat_ws("\x01", "host", "path", F.lpad(F.coalesce(F.col("page_id").cast("string"), F.lit("")), 20, "0")))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    light = keyed.select("k", "url", "h", "host")
+    bounds = _chunks(light, n)
+    borders = _borders(light.mapInArrow(_chunk_of(bounds, light.columns, 0), "chunk int, k string, url string, h bigint, host string"))
+    wanted = spark.createDataFrame(borders, "chunk int, side int, bk string, burl string, bh bigint")
+    columns = ["k", "h", "page_id", "url", "host", "path", "html"]
+    outside = keyed.join(wanted, (F.col("k") == F.col("bk")) & F.col("url").eqNullSafe(F.col("burl")) & (F.col("h") == F.col("bh")))
+    outside = outside.select("chunk", "side", *columns).dropDuplicates(["chunk", "side"])
+    own = keyed.select(*columns).mapInArrow(_chunk_of(bounds, columns, 0), "chunk int, k string, h bigint, page_id bigint, url string, host string, path string, html string")
+    every = own.select("chunk", F.lit(0).alias("side"), *columns).unionByName(outside)
+    parsed = every.select("chunk", "side", "k", "h", "page_id", "url", "host", "path", "html").mapInArrow(B.tidy(_parse), PARSED)
+    return parsed.repartitionByRange(n, "chunk").sortWithinPartitions("chunk", "side", "k", "url", "h").mapInArrow(B.tidy(_differenced), TEXTS)
