@@ -53,7 +53,7 @@ def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = sp_codec.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
-    return got.select("doc_id", "n_bytes", "n_tokens", "ids_crc32", "round_trip")
+    return got.select("doc_id", "n_bytes", "n_tokens", "ids_crc32", "round_trip", "parity")
 
 
 def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

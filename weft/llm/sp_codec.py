@@ -2,9 +2,11 @@
 
 The model protobuf is parsed here (wire format, no generated classes); the normaliser, the
 metaspace marker, merges or unigram scores and byte fallback are rebuilt as a tokenizers
-pipeline. Where no piece holds the marker behind another character, a text splits before each
-run of spaces and at each line break, so distinct units are encoded once per worker, in
-multithreaded batches, and every new unit's ids are verified against the reference library.
+pipeline, whose multithreaded batches give the ids. Where no piece holds the marker behind another
+character, a text splits before each run of spaces and at each line break, so distinct units are
+encoded once per worker. Everything encoded is encoded by the reference library too, and each row
+says whether its ids agree. For unigram models they may not where two cuts of a text have the same
+score (``%`` ``%%`` and ``%%`` ``%``) or scores nearer than single precision tells apart.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 CACHE_UNITS = 250_000
 LONG_UNIT = 64
 CHUNK_TEXTS = 256
+#: Units that go into one string, and strings (or whole texts) in one batch.
+JOINED_UNITS, BATCH = 256, 32
 _RUNS = re.compile(rb" +[^ ]*|^[^ ]+")
 
 
@@ -112,7 +116,10 @@ def build(model: Model):
         merges = [(p[:i], p[i:]) for p in ranked for i in range(1, len(p)) if p[:i] in normal and p[i:] in normal]
         core = models.BPE(vocab=vocab, merges=merges, unk_token=model.pieces[model.unk][0], fuse_unk=True, byte_fallback=model.byte_fallback)
     else:
-        core = models.Unigram([(p, s) for p, s, _ in model.pieces], unk_id=model.unk, byte_fallback=model.byte_fallback)
+        # Only normal pieces match text; the others keep their places under names no text holds.
+        # Bytes of what no piece covers are put in by Codec: the library's own fallback would also
+        # read a literal ``<0x41>`` in a text as a byte.
+        core = models.Unigram([(p, s) if k in (NORMAL, USER) else (f"\ufdd0{i}\ufdd1", 0.0) for i, (p, s, k) in enumerate(model.pieces)], unk_id=model.unk, byte_fallback=False)
     tok = Tokenizer(core)
     user = [AddedToken(p, normalized=False) for p, _, k in model.pieces if k == USER]
     if user:
@@ -125,7 +132,7 @@ def normaliser(model: Model):
 
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
     if model.squeeze:
-        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()]
+        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex("^ | $"), "")]
     return normalizers.Sequence(steps) if steps else None
 
 
@@ -140,14 +147,15 @@ class Codec:
         self.tokenizer = build(self.model)
         self.normaliser = normaliser(self.model)
         self.check = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.by_unit = self.model.splits_at_marks()
+        self.by_unit, self.unk = self.model.splits_at_marks(), self.model.unk
+        self.byte_id = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(self.model.pieces) if k == BYTE}
         #: Two generations: units not met for a generation are forgotten.
         self.cache: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-        #: Calls (or texts) whose rebuilt ids differed; the reference library's ids were taken.
-        self.differing = 0
+        #: Units met whose ids the reference library makes otherwise, and how many were compared.
+        self.differing: set[bytes] = set()
         self.verified = 0
-        self.break_ids = self.check.encode("\n")
+        self.break_id = self._batch(["\n"])[0][-1] if self.by_unit else -1
         self.surface: list[bytes] = []
         for piece, _, kind in self.model.pieces:
             if kind == BYTE:
@@ -163,38 +171,61 @@ class Codec:
             cls.kept[path] = cls(path)
         return cls.kept[path]
 
-    def _whole(self, text: bytes) -> bytes:
-        s = text.decode()
+    def _batch(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts from the rebuilt pipeline, in multithreaded batches."""
         if self.normaliser is not None:
-            s = self.normaliser.normalize_str(s)
-        got = self.tokenizer.encode((MARK if self.model.dummy else "") + s.replace(" ", MARK), add_special_tokens=False).ids if s else []
-        want = self.check.encode(text.decode())
-        self.verified += 1
-        self.differing += got != want
-        return array("I", want).tobytes()
+            texts = [self.normaliser.normalize_str(t) for t in texts]
+        mark = MARK if self.model.dummy else ""
+        out: list[list[int]] = []
+        for i in range(0, len(texts), BATCH):
+            marked = [mark + t.replace(" ", MARK) if t else "" for t in texts[i : i + BATCH]]
+            if self.model.bpe:
+                out += [x.ids for x in self.tokenizer.encode_batch_fast(marked, add_special_tokens=False)]
+            else:
+                out += [self._with_bytes(x.ids, x.tokens) for x in self.tokenizer.encode_batch(marked, add_special_tokens=False)]
+        return out
+
+    def _with_bytes(self, ids: list[int], tokens: list[str]) -> list[int]:
+        """Unknown stretches as the ids of their bytes, where the model has those."""
+        if not self.model.byte_fallback or self.unk not in ids:
+            return ids
+        return [x for i, t in zip(ids, tokens) for x in ([self.byte_id[b] for b in t.encode()] if i == self.unk else [i])]
+
+    def _whole(self, texts: list[bytes]) -> list[tuple[bytes, bool]]:
+        """(ids, whether the reference library agrees) of whole texts."""
+        plain = [t.decode() for t in texts]
+        self.verified += len(texts)
+        return [(array("I", got).tobytes(), got == want) for got, want in zip(self._batch(plain), self.check.encode(plain, num_threads=1))]
 
     def _units(self, keys: list[bytes]) -> list[bytes]:
         """Ids of units: ``b"\\n" + x`` is x without a marker, `` x`` has more than one, x alone has one.
 
-        Hundreds of units go to a call with line breaks between them, to the rebuilt pipeline
-        and to the reference library; the two lists of ids must be equal.
+        Hundreds of units make a string, with line breaks between them. Where the two libraries
+        disagree over a string, its units are compared one by one.
         """
-        out: list[bytes] = []
-        for i in range(0, len(keys), 256):
-            some = keys[i : i + 256]
+        texts, groups = [], [keys[i : i + JOINED_UNITS] for i in range(0, len(keys), JOINED_UNITS)]
+        for some in groups:
             text = b"\n" + b"\n".join([b"" if k == b"\n" else k[1:] if k[:1] == b"\n" else k if k[:1] == b" " else b" " + k for k in some])
-            plain = text.decode()
-            got = self.tokenizer.encode(MARK + plain.replace(" ", MARK), add_special_tokens=False).ids
-            want = self.check.encode(plain)
+            texts.append(text.decode())
+        out: list[bytes] = []
+        for some, got, want in zip(groups, self._batch(texts), self.check.encode(texts, num_threads=1)):
+            ids = self._parted(got)
+            if len(ids) != len(some):
+                raise ValueError("line breaks are no tokens of their own in this model")
             self.verified += len(some)
-            self.differing += got != want
-            raw = np.array(want, "<u4")
-            at = np.flatnonzero(raw == self.break_ids[-1]) * 4
-            data = raw.tobytes()
-            out += [data[a + 4 : b] for a, b in zip(at.tolist(), [*at[1:].tolist(), len(data)])]
-        one = array("I", self.break_ids[-1:]).tobytes()
+            if got != want:
+                theirs = self._parted(want)
+                self.differing.update(k for n, k in enumerate(some) if len(theirs) != len(some) or ids[n] != theirs[n])
+            out += ids
+        one = array("I", [self.break_id]).tobytes()
         return [one if k == b"\n" else x for k, x in zip(keys, out)]
 
+    def _parted(self, ids: list[int]) -> list[bytes]:
+        raw = np.array(ids, "<u4")
+        at = np.flatnonzero(raw == self.break_id) * 4
+        data = raw.tobytes()
+        return [data[a + 4 : b] for a, b in zip(at.tolist(), [*at[1:].tolist(), len(data)])]
+
     def _keys(self, text: bytes) -> list[bytes]:
         keys: list[bytes] = []
         for n, line in enumerate((b" " + text).split(b"\n")):
@@ -212,9 +243,9 @@ class Codec:
                 keys += parts[1:]
         return keys
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of whole texts as little-endian uint32 bytes; an empty text has none."""
-        out: list[bytes] = []
+    def encode(self, texts: list[bytes]) -> list[tuple[bytes, bool]]:
+        """(ids, parity) of whole texts; ids are little-endian uint32 bytes, an empty text has none."""
+        out: list[tuple[bytes, bool]] = []
         if len(self.cache) > CACHE_UNITS:
             self.cache, self.older = {}, self.cache
         cache, older = self.cache, self.older
@@ -232,8 +263,12 @@ class Codec:
             for key, ids in zip(missing, self._units(missing) if missing else []):
                 (cache if len(key) <= LONG_UNIT else extra)[key] = ids
             find = (lambda k: cache[k] if k in cache else extra[k]) if extra else cache.__getitem__
+            rest = iter(self._whole([t for t, ok in zip(chunk, plain) if t and not ok]))
             for t, ok, keys in zip(chunk, plain, split):
-                out.append(b"".join(map(find, keys)) if ok else self._whole(t) if t else b"")
+                if ok:
+                    out.append((b"".join(map(find, keys)), not self.differing or self.differing.isdisjoint(keys)))
+                else:
+                    out.append(next(rest) if t else (b"", True))
         return out
 
     def decode(self, ids: bytes) -> bytes:
@@ -249,7 +284,8 @@ class Codec:
 
 
 def encode_decode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, ids, ids_crc32, round_trip (the decoded ids give the text again).
+    """doc_id, n_bytes, n_tokens, ids, ids_crc32, round_trip (the decoded ids give the text again),
+    parity (the reference library makes the same ids of all the text's units).
 
     Null texts count as empty (no ids); repeated rows are each reported; an empty table gives an
     empty table; other columns are not read.
@@ -260,12 +296,17 @@ def encode_decode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", t
         for batch in batches:
             for lo, hi, data, off in B.slices(batch.column(1)):
                 texts = list(B.doc_bytes(data, off))
-                ids = codec.encode(texts)
+                got = codec.encode(texts)
+                ids = [x for x, _ in got]
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
                 arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(off)), pa.array(np.diff(ends)), arrays, pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([codec.decode(x) == t for x, t in zip(ids, texts)])],
-                    names=["doc_id", "n_bytes", "n_tokens", "ids", "ids_crc32", "round_trip"],
+                    [
+                        batch.column(0).slice(lo, hi - lo), pa.array(np.diff(off)), pa.array(np.diff(ends)), arrays, pa.array([zlib.crc32(x) for x in ids], pa.int64()),
+                        pa.array([codec.decode(x) == t for x, t in zip(ids, texts)]), pa.array([ok for _, ok in got]),
+                    ],
+                    names=["doc_id", "n_bytes", "n_tokens", "ids", "ids_crc32", "round_trip", "parity"],
                 )
 
-    return id_text(docs, id_col, text_col).mapInArrow(B.tidy(run), "doc_id bigint, n_bytes bigint, n_tokens bigint, ids array<int>, ids_crc32 bigint, round_trip boolean")
+    schema = "doc_id bigint, n_bytes bigint, n_tokens bigint, ids array<int>, ids_crc32 bigint, round_trip boolean, parity boolean"
+    return id_text(docs, id_col, text_col).mapInArrow(B.tidy(run), schema)

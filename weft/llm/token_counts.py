@@ -24,7 +24,7 @@ def count_slice(tokenizer_path: str, data, off) -> list[int]:
     if tokenizer_path.endswith(".model"):
         from weft.llm.sp_codec import Codec
 
-        return [len(x) // 4 for x in Codec.get(tokenizer_path).encode(list(B.doc_bytes(data, off)))]
+        return [len(x) // 4 for x, _ in Codec.get(tokenizer_path).encode(list(B.doc_bytes(data, off)))]
     return [len(x) // 4 for x in WordEncoder.get(tokenizer_path).encode_slice(data, off)]
 
 
