@@ -237,7 +237,7 @@ def main_text(own: list[tuple[str, bool, bool]], path: str, before: tuple | None
     return "\n\n".join(t for j, (t, c, n) in enumerate(own) if not n and (c or j not in shared))
 
 
-PARSED = "chunk int, side int, k string, h bigint, page_id bigint, url string, host string, path string, body string, flags string"
+PARSED = "chunk int, side int, k string, url string, h bigint, page_id bigint, host string, path string, body string, flags string"
 TEXTS = "page_id bigint, url string, text string, n_chars bigint"
 
 
@@ -285,7 +285,7 @@ def _differenced(batches):
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             done: list = []
-            for chunk, side, _, h, i, url, host, path, body, flags in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns)):
+            for chunk, side, _, url, h, i, host, path, body, flags in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns)):
                 if run is None or run.key != (chunk, host, h):
                     now = _Run(chunk, host, h, path, body, flags)
                     if run is not None:
@@ -310,13 +310,22 @@ def _chunks(keys: DataFrame, n: int) -> list[str]:
     return sorted({drawn[j * len(drawn) // n] for j in range(1, n)}) if drawn else []
 
 
-def _chunk_of(bounds: list[str], names: list[str], at: int):
-    """Put the number of its chunk before the columns of each row."""
+def _chunk_of(bounds: list[str], names: list[str], outside: list[tuple[int, int, str, str, int]] = ()):
+    """Put the number of its chunk, and side 0, before the columns of each row; ``names`` begin with k, url, h.
+
+    A row that another chunk needs as its neighbour from outside is repeated for that chunk.
+    """
+    wanted: dict[tuple, list[tuple[int, int]]] = {}
+    for chunk, side, *key in outside:
+        wanted.setdefault(tuple(key), []).append((chunk, side))
 
     def run(batches):
         for batch in batches:
-            chunk = pa.array([bisect_right(bounds, k) for k in batch.column(at).to_pylist()], pa.int32())
-            yield pa.RecordBatch.from_arrays([chunk, *batch.columns], names=["chunk", *names])
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
+            at = [(bisect_right(bounds, key[0]), 0, n) for n, key in enumerate(keys)]
+            at += [(chunk, side, n) for n, key in enumerate(keys) if key in wanted for chunk, side in wanted[key]]
+            rows = batch if len(at) == len(keys) else batch.take(pa.array([n for _, _, n in at]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in at], pa.int32()), pa.array([x[1] for x in at], pa.int32()), *rows.columns], names=["chunk", "side", *names])
 
     return B.tidy(run)
 
@@ -369,12 +378,10 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     light = keyed.select("k", "url", "h", "host")
     bounds = _chunks(light, n)
-    borders = _borders(light.mapInArrow(_chunk_of(bounds, light.columns, 0), "chunk int, k string, url string, h bigint, host string"))
-    wanted = spark.createDataFrame(borders, "chunk int, side int, bk string, burl string, bh bigint")
-    columns = ["k", "h", "page_id", "url", "host", "path", "html"]
-    outside = keyed.join(wanted, (F.col("k") == F.col("bk")) & F.col("url").eqNullSafe(F.col("burl")) & (F.col("h") == F.col("bh")))
-    outside = outside.select("chunk", "side", *columns).dropDuplicates(["chunk", "side"])
-    own = keyed.select(*columns).mapInArrow(_chunk_of(bounds, columns, 0), "chunk int, k string, h bigint, page_id bigint, url string, host string, path string, html string")
-    every = own.select("chunk", F.lit(0).alias("side"), *columns).unionByName(outside)
-    parsed = every.select("chunk", "side", "k", "h", "page_id", "url", "host", "path", "html").mapInArrow(B.tidy(_parse), PARSED)
-    return parsed.repartitionByRange(n, "chunk").sortWithinPartitions("chunk", "side", "k", "url", "h").mapInArrow(B.tidy(_differenced), TEXTS)
+    kinds = "chunk int, side int, k string, url string, h bigint"
+    borders = _borders(light.mapInArrow(_chunk_of(bounds, light.columns), f"{kinds}, host string"))
+    # Two rows of each chunk at most travel with the function.
+    columns = ["k", "url", "h", "page_id", "host", "path", "html"]
+    every = keyed.select(*columns).mapInArrow(_chunk_of(bounds, columns, borders), f"{kinds}, page_id bigint, host string, path string, html string")
+    parsed = every.mapInArrow(B.tidy(_parse), PARSED)
+    return parsed.repartitionById(n, "chunk").sortWithinPartitions("chunk", "side", "k", "url", "h").mapInArrow(B.tidy(_differenced), TEXTS)
