@@ -480,7 +480,7 @@ def brute_scores(rows, order=3, least=2, back=0.4):
     return out
 
 
-def test_stupid_backoff_equals_brute_force(spark):
+def test_stupid_backoff_equals_brute_force(spark, monkeypatch):
     r = random.Random(4)
     rows = EDGES + [(100 + k, " ".join(r.choice("abcdefgh") for _ in range(r.randrange(40)))) for k in range(60)]
     for order in (2, 3):
@@ -488,6 +488,14 @@ def test_stupid_backoff_equals_brute_force(spark):
         want = Counter((i, *x) for (i, _), x in zip(rows, brute_scores(rows, order)))
         assert Counter((x["doc_id"], x["n_tokens"], x["n_backoff"], round(x["log_score"], 6) + 0.0) for x in got) == want
     assert ngram_lm.scores(spark, empty(spark)).count() == 0
+    # Every n-gram counts; groups of a few texts; a row for each n-gram.
+    monkeypatch.setattr(ngram_lm, "GROUP_BYTES", 100)
+    rows = [x for x in rows if x[0] != 5]
+    want = Counter((i, *x) for (i, _), x in zip(rows, brute_scores(rows, 3, 1)))
+    for f in (ngram_lm.scores, ngram_lm.relational_scores):
+        got = f(spark, documents(spark, rows, True), min_count=1).collect()
+        assert Counter((x["doc_id"], x["n_tokens"], x["n_backoff"], round(x["log_score"], 6) + 0.0) for x in got) == want
+    assert ngram_lm.relational_scores(spark, empty(spark)).count() == 0
 
 
 def test_gram_arrays_pack():

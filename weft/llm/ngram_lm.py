@@ -1,11 +1,15 @@
 """Stupid-backoff scores from n-gram count tables partitioned by hash.
 
-Documents are dealt to groups of some megabytes. Each group sends its distinct n-grams with their
+Texts are dealt into groups of some megabytes. Each group sends its distinct n-grams with their
 counts to the partitions of the count table, which are ranges of the n-gram hash; a partition sums
 what all groups sent and answers each group, in the order of its request, with the corpus counts
-kept by the table. The group joins the answers to its exploded n-grams and sums per document.
-N-grams travel as sorted hash arrays (delta bytes, compressed), thousands to a row, and the
-documents are shuffled once: request and scoring read the same exchange.
+of the table. Answers are joined to their group's texts, whose n-grams are exploded again, take
+their counts and are summed per document.
+
+The relations are those of the SQL (n-grams, counts, tokens), but rows of one n-gram each would be
+many times the input on disk (``relational_scores`` does it so, for small tables and tests). So a
+row carries thousands: sorted hash arrays as compressed delta bytes, and a group's texts as one
+compressed block, which is written once and read by request and scoring.
 
     S(w | c) = count(c w) / count(c)           if the table keeps c w
              = 0.4 * S(w | shorter c)          otherwise
@@ -23,15 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import _batch as B
-from weft.llm._shared import id_text
+from weft.llm._shared import id_text, new_path, written
 
 ORDER, MIN_COUNT, BACKOFF = 3, 2, 0.4
 #: Bytes of text in a group, and n-grams in a partition of the count table.
 GROUP_BYTES, PART_GRAMS = 5 << 20, 1 << 20
 #: N-grams are told apart by so many bits more than their number has: a false match befalls one
 #: in 2**SPARE_BITS of them at most, at every size (until all 64 bits are used, at 2**40 n-grams).
-SPARE_BITS = 24
-LEAST_GROUPS = 32
+SPARE_BITS = 32
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -85,61 +88,101 @@ def grams(data: np.ndarray, off: np.ndarray, order: int, keep: int) -> tuple[np.
     return woff, hashes, last
 
 
-def _group_grams(table: pa.Table, order: int, keep: int):
-    data, off = B.text_buffers(table.column("text"))
-    return grams(data, off, order, keep)
+BLOCK = "g bigint, ids binary, sizes binary, texts binary"
 
 
-def scores(spark: SparkSession, docs: DataFrame, *, order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_backoff, log_score (natural), mean_log_score per row of docs.
+def _blocks(batches):
+    """Texts as groups: a row for about GROUP_BYTES of text (a longer text is a group of its own)."""
+    from pyspark import TaskContext
 
-    n_backoff counts tokens not scored at the highest order their place allows. Null and empty
-    texts have no tokens, log_score 0 and a null mean; repeated rows count each and are each
-    reported; an empty table gives an empty table.
-    """
-    rows = id_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_groups = max(LEAST_GROUPS, -(-size // GROUP_BYTES))
-    bits = max(5, int(np.ceil(np.log2(max(1, size / 6 * order / PART_GRAMS)))))
-    keep = min(64, max(40, SPARE_BITS + int(np.ceil(np.log2(max(2, size / 6 * order))))))
+    part, n, size = TaskContext.get().partitionId(), 0, 0
+    ids: list = []
+    texts: list[bytes] = []
+
+    def row():
+        packer = zstandard.ZstdCompressor(level=3)
+        known = np.array([i is not None for i in ids])
+        key = np.array([0 if i is None else i for i in ids], "<i8").tobytes() + known.tobytes()
+        sizes = np.array([len(t) for t in texts], "<i8").tobytes()
+        blobs = [pa.array([packer.compress(x)], pa.binary()) for x in (key, sizes, b"".join(texts))]
+        return pa.RecordBatch.from_arrays([pa.array([(part << 32) + n], pa.int64()), *blobs], names=["g", "ids", "sizes", "texts"])
+
+    for batch in batches:
+        for lo, hi, data, off in B.slices(batch.column(1)):
+            for i, t in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), B.doc_bytes(data, off)):
+                if texts and size + len(t) > GROUP_BYTES:
+                    yield row()
+                    ids, texts, size, n = [], [], 0, n + 1
+                ids.append(i)
+                texts.append(t)
+                size += len(t)
+    if texts:
+        yield row()
+
+
+def _unblocked(ids: bytes, sizes: bytes, texts: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(document ids, bytes, offsets) of a group."""
+    opener = zstandard.ZstdDecompressor()
+    size = np.frombuffer(opener.decompress(sizes), "<i8")
+    raw = opener.decompress(ids)
+    known = np.frombuffer(raw, bool, len(size), 8 * len(size))
+    key = pa.array(np.frombuffer(raw, "<i8", len(size)), mask=~known)
+    data = np.frombuffer(opener.decompress(texts), np.uint8) if size.sum() else np.zeros(0, np.uint8)
+    return key, data, np.concatenate([[0], np.cumsum(size)])
+
+
+def _rows(batch: pa.RecordBatch, *names: str):
+    return zip(*(batch.column(n).to_pylist() for n in names))
+
+
+def _requests(order: int, keep: int, bits: int):
+    """g, p, h, c, n: each group's distinct n-grams and their counts, for each part of the table."""
     shift = np.uint64(keep - bits)
-    # Partitions follow the input, whatever the session's number: some groups, or count-table
-    # parts, to each. All stages below share the exchange of ``dealt``.
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_groups))).repartition(max(least, n_groups // 2), "g")
-
-    def request(table: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return pa.table({"g": pa.array([], pa.int64()), "p": pa.array([], pa.int64()), "h": pa.array([], pa.binary()), "c": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
-        value, count = distinct(np.concatenate(_group_grams(table, order, keep)[1]))
-        cut = np.searchsorted((value >> shift).astype(np.int64), np.arange((1 << bits) + 1))
-        out = {"p": [], "h": [], "c": [], "n": []}
-        for p in np.flatnonzero(np.diff(cut)).tolist():
-            a, b = cut[p], cut[p + 1]
-            out["p"].append(p)
-            out["h"].append(pack(value[a:b]))
-            out["c"].append(pack_counts(count[a:b]))
-            out["n"].append(int(b - a))
-        return pa.table({"g": pa.array([table.column("g")[0].as_py()] * len(out["p"]), pa.int64()), "p": pa.array(out["p"], pa.int64()), "h": pa.array(out["h"], pa.binary()), "c": pa.array(out["c"], pa.binary()), "n": pa.array(out["n"], pa.int64())})
-
-    def answer(table: pa.Table) -> pa.Table:
-        parts = [(g, unpack(h), unpack_counts(c, n)) for g, h, c, n in zip(*(table.column(k).to_pylist() for k in ("g", "h", "c", "n")))]
-        value = np.concatenate([v for _, v, _ in parts])
-        order_ = np.argsort(value)
-        value = value[order_]
-        new = np.ones(len(value), bool)
-        new[1:] = value[1:] != value[:-1]
-        total = np.add.reduceat(np.concatenate([c for _, _, c in parts])[order_], np.flatnonzero(new))
-        back = np.empty(len(value), np.int64)
-        back[order_] = total[np.cumsum(new) - 1]
-        out, lo = [], 0
-        for _, v, _ in parts:
-            out.append(pack_counts(back[lo : lo + len(v)]))
-            lo += len(v)
-        return pa.table({"g": pa.array([g for g, _, _ in parts], pa.int64()), "p": table.column("p"), "c": pa.array(out, pa.binary()), "n": table.column("n")})
-
-    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        woff, hashes, last = _group_grams(texts, order, keep)
+
+    def run(batches):
+        for batch in batches:
+            for k, (g,) in enumerate(_rows(batch, "g")):
+                _, data, off = _unblocked(*next(_rows(batch.slice(k, 1), "ids", "sizes", "texts")))
+                value, count = distinct(np.concatenate(grams(data, off, order, keep)[1]))
+                cut = np.searchsorted((value >> shift).astype(np.int64), np.arange((1 << bits) + 1))
+                parts = np.flatnonzero(np.diff(cut)).tolist()
+                bounds = [(cut[p], cut[p + 1]) for p in parts]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([g] * len(parts), pa.int64()), pa.array(parts, pa.int64()), pa.array([pack(value[a:b]) for a, b in bounds], pa.binary()),
+                        pa.array([pack_counts(count[a:b]) for a, b in bounds], pa.binary()), pa.array([int(b - a) for a, b in bounds], pa.int64()),
+                    ],
+                    names=["g", "p", "h", "c", "n"],
+                )
+
+    return B.tidy(run)
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """Of one part of the table: the corpus counts of what each group asked for."""
+    parts = [(g, unpack(h), unpack_counts(c, n)) for g, h, c, n in _rows(table, "g", "h", "c", "n")]
+    value = np.concatenate([v for _, v, _ in parts])
+    order = np.argsort(value)
+    value = value[order]
+    new = np.ones(len(value), bool)
+    new[1:] = value[1:] != value[:-1]
+    total = np.add.reduceat(np.concatenate([c for _, _, c in parts])[order], np.flatnonzero(new))
+    back = np.empty(len(value), np.int64)
+    back[order] = total[np.cumsum(new) - 1]
+    out, lo = [], 0
+    for _, v, _ in parts:
+        out.append(pack_counts(back[lo : lo + len(v)]))
+        lo += len(v)
+    return pa.table({"g": pa.array([g for g, _, _ in parts], pa.int64()), "p": table.column("p"), "c": pa.array(out, pa.binary()), "n": table.column("n")})
+
+
+def _scored(order: int, keep: int, min_count: int, backoff: float):
+    """Documents of groups that are joined with their answers, in the order of p."""
+
+    def one(block, answers) -> pa.RecordBatch:
+        key, data, off = _unblocked(*block)
+        woff, hashes, last = grams(data, off, order, keep)
+        del data
         ends = np.cumsum([0, *(len(h) for h in hashes)])
         every = np.concatenate(hashes)
         del hashes
@@ -147,8 +190,7 @@ def scores(spark: SparkSession, docs: DataFrame, *, order: int = ORDER, min_coun
         every = every[place]
         new = np.ones(len(every), bool)
         new[1:] = every[1:] != every[:-1]
-        back = answers.sort_by("p")
-        count = np.concatenate([unpack_counts(c, n) for c, n in zip(back.column("c").to_pylist(), back.column("n").to_pylist())]) if back.num_rows else np.zeros(0, np.int64)
+        count = np.concatenate([unpack_counts(x["c"], x["n"]) for x in answers]) if answers else np.zeros(0, np.int64)
         if len(count) != new.sum():
             raise ValueError("the answers do not fit the group's n-grams")
         found = np.empty(len(every), np.int64)
@@ -176,27 +218,88 @@ def scores(spark: SparkSession, docs: DataFrame, *, order: int = ORDER, min_coun
             done[at], level[at] = True, n
         doc = np.repeat(np.arange(len(woff) - 1), np.diff(woff))
         k = len(woff) - 1
-        return pa.table({
-            "doc_id": texts.column("doc_id"), "n_tokens": pa.array(np.diff(woff), pa.int64()), "n_backoff": pa.array(np.bincount(doc, level < best, k).astype(np.int64)),
-            "n_word_level": pa.array(np.bincount(doc, level == 1, k).astype(np.int64)), "part": pa.array(np.bincount(doc, logs, k)),
-        })
-
-    requests = dealt.groupBy("g").applyInArrow(request, "g bigint, p bigint, h binary, c binary, n bigint")
-    answers = requests.repartition(max(least, (1 << bits) // 8), "p").groupBy("p").applyInArrow(answer, "g bigint, p bigint, c binary, n bigint")
-    parts = dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(score, "doc_id bigint, n_tokens bigint, n_backoff bigint, n_word_level bigint, part double")
-    tokens = _tokens(rows)
-    log_score = F.col("part") - F.col("n_word_level") * F.lit(float(np.log(max(tokens, 1))))
+        return pa.RecordBatch.from_arrays(
+            [
+                key, pa.array(np.diff(woff), pa.int64()), pa.array(np.bincount(doc, level < best, k).astype(np.int64)),
+                pa.array(np.bincount(doc, level == 1, k).astype(np.int64)), pa.array(np.bincount(doc, logs, k)),
+            ],
+            names=["doc_id", "n_tokens", "n_backoff", "n_word_level", "part"],
+        )
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, sizes, texts, answers = next(_rows(batch.slice(k, 1), "ids", "sizes", "texts", "answers"))
+                yield one((ids, sizes, texts), answers or [])
+
+    return B.tidy(run)
+
+
+def scores(spark: SparkSession, docs: DataFrame, *, order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, n_backoff, log_score (natural), mean_log_score per row of docs.
+
+    n_backoff counts tokens not scored at the highest order their place allows; with ``min_count``
+    1 every n-gram of the corpus counts. Null and empty texts have no tokens, log_score 0 and a
+    null mean; repeated rows count each and are each reported; an empty table gives an empty table.
+    """
+    rows = id_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = max(5, int(np.ceil(np.log2(max(1, size / 6 * order / PART_GRAMS)))))
+    keep = min(64, max(40, SPARE_BITS + int(np.ceil(np.log2(max(2, size / 6 * order))))))
+    path = new_path(spark, "text-groups")
+    rows.mapInArrow(B.tidy(_blocks), BLOCK).write.option("compression", "none").parquet(path)
+    groups = spark.read.schema(BLOCK).parquet(path)
+    # Partitions follow the input, whatever the session's number: some groups, or parts of the
+    # count table, to each.
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    requests = groups.mapInArrow(_requests(order, keep, bits), "g bigint, p bigint, h binary, c binary, n bigint")
+    answers = requests.repartition(max(least, (1 << bits) // 8), "p").groupBy("p").applyInArrow(_answer, "g bigint, p bigint, c binary, n bigint")
+    by_group = answers.repartition(max(least, size // (2 * GROUP_BYTES)), "g").groupBy("g").agg(F.array_sort(F.collect_list(F.struct("p", "c", "n"))).alias("answers"))
+    parts = groups.join(by_group, "g", "left").mapInArrow(_scored(order, keep, min_count, backoff), "doc_id bigint, n_tokens bigint, n_backoff bigint, n_word_level bigint, part double")
+    log_score = F.col("part") - F.col("n_word_level") * F.lit(float(np.log(max(_tokens(groups), 1))))
     return parts.select("doc_id", "n_tokens", "n_backoff", log_score.alias("log_score"), F.when(F.col("n_tokens") > 0, log_score / F.col("n_tokens")).alias("mean_log_score"))
 
 
-def _tokens(rows: DataFrame) -> int:
+def _tokens(groups: DataFrame) -> int:
     """All tokens of the corpus."""
 
     def count(batches):
         for batch in batches:
             n = 0
-            for _, _, data, off in B.slices(batch.column(0)):
+            for k in range(batch.num_rows):
+                _, data, off = _unblocked(*next(_rows(batch.slice(k, 1), "ids", "sizes", "texts")))
                 n += len(B.words(data, off, B.is_word_bytes(data))[0])
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
-    return rows.select("text").mapInArrow(count, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return groups.mapInArrow(B.tidy(count), "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def relational_scores(spark: SparkSession, docs: DataFrame, *, order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``scores`` with an n-gram a row: exploded n-grams, a count table by hash, joins and sums.
+
+    No packing and no hashes in place of words, at many times the disk. The same cases as ``scores``.
+    """
+    rows = written(spark, id_text(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("r", F.monotonically_increasing_id()), "rows")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = rows.select("r", F.regexp_extract_all(lower, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("w"))
+    places = words.where(F.size("w") > 0).select("r", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i"))
+    gram = lambda i, n: F.when(i >= n, F.array_join(F.slice("w", i - n + 1, n), " "))
+    at = places.select("r", "i", *(gram(F.col("i"), n).alias(f"g{n}") for n in range(1, order + 1)))
+    every = at.select(F.explode(F.array(*(F.col(f"g{n}") for n in range(1, order + 1)))).alias("gram")).where("gram is not null")
+    counts = written(spark, every.groupBy("gram").agg(F.count(F.lit(1)).alias("c")), "counts")
+    total = at.count()
+    for n in range(1, order + 1):
+        at = at.join(counts.select(F.col("gram").alias(f"g{n}"), F.col("c").alias(f"c{n}")), f"g{n}", "left")
+        # The context of an n-gram is the (n - 1)-gram that ends one word before.
+        if n > 1:
+            context = F.regexp_extract(f"g{n}", r"^(.*) [^ ]*$", 1)
+            at = at.withColumn("x", context).join(counts.select(F.col("gram").alias("x"), F.col("c").alias(f"x{n}")), "x", "left").drop("x")
+    best = F.least("i", F.lit(order))
+    level, score = F.lit(1), F.log("c1") - F.log(F.lit(float(max(total, 1))))
+    for n in range(2, order + 1):
+        known = F.col(f"c{n}") >= min_count
+        level, score = F.when(known, n).otherwise(level), F.when(known, F.log(f"c{n}") - F.log(f"x{n}")).otherwise(score)
+    scored = at.select("r", (level < best).cast("long").alias("back"), (score + (best - level) * F.lit(float(np.log(backoff)))).alias("s"))
+    sums = scored.groupBy("r").agg(F.count(F.lit(1)).alias("k"), F.sum("back").alias("b"), F.sum("s").alias("s"))
+    zero = F.lit(0).cast("long")
+    return rows.join(sums, "r", "left").select("doc_id", F.coalesce("k", zero).alias("n_tokens"), F.coalesce("b", zero).alias("n_backoff"), F.coalesce("s", F.lit(0.0)).alias("log_score"), (F.col("s") / F.col("k")).alias("mean_log_score"))
