@@ -9,7 +9,7 @@ their counts and are summed per document.
 The relations are those of the SQL (n-grams, counts, tokens), but rows of one n-gram each would be
 many times the input on disk (``relational_scores`` does it so, for small tables and tests). So a
 row carries thousands: sorted hash arrays as compressed delta bytes, and a group's texts as one
-compressed block, which is written once and read by request and scoring.
+compressed block, which is shuffled once and read by request and scoring.
 
     S(w | c) = count(c w) / count(c)           if the table keeps c w
              = 0.4 * S(w | shorter c)          otherwise
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import _batch as B
-from weft.llm._shared import id_text, new_path, written
+from weft.llm._shared import id_text, written
 
 ORDER, MIN_COUNT, BACKOFF = 3, 2, 0.4
 #: Bytes of text in a group, and n-grams in a partition of the count table.
@@ -246,32 +246,28 @@ def scores(spark: SparkSession, docs: DataFrame, *, order: int = ORDER, min_coun
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = max(5, int(np.ceil(np.log2(max(1, size / 6 * order / PART_GRAMS)))))
     keep = min(64, max(40, SPARE_BITS + int(np.ceil(np.log2(max(2, size / 6 * order))))))
-    path = new_path(spark, "text-groups")
-    rows.mapInArrow(B.tidy(_blocks), BLOCK).write.option("compression", "none").parquet(path)
-    groups = spark.read.schema(BLOCK).parquet(path)
     # Partitions follow the input, whatever the session's number: some groups, or parts of the
-    # count table, to each.
+    # count table, to each. Requests and scoring read one exchange of the groups.
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(least, size // (2 * GROUP_BYTES))
+    groups = rows.mapInArrow(B.tidy(_blocks), BLOCK).repartition(n, "g")
     requests = groups.mapInArrow(_requests(order, keep, bits), "g bigint, p bigint, h binary, c binary, n bigint")
     answers = requests.repartition(max(least, (1 << bits) // 8), "p").groupBy("p").applyInArrow(_answer, "g bigint, p bigint, c binary, n bigint")
-    by_group = answers.repartition(max(least, size // (2 * GROUP_BYTES)), "g").groupBy("g").agg(F.array_sort(F.collect_list(F.struct("p", "c", "n"))).alias("answers"))
+    by_group = answers.repartition(n, "g").groupBy("g").agg(F.array_sort(F.collect_list(F.struct("p", "c", "n"))).alias("answers"))
     parts = groups.join(by_group, "g", "left").mapInArrow(_scored(order, keep, min_count, backoff), "doc_id bigint, n_tokens bigint, n_backoff bigint, n_word_level bigint, part double")
-    log_score = F.col("part") - F.col("n_word_level") * F.lit(float(np.log(max(_tokens(groups), 1))))
+    log_score = F.col("part") - F.col("n_word_level") * F.lit(float(np.log(max(_tokens(rows), 1))))
     return parts.select("doc_id", "n_tokens", "n_backoff", log_score.alias("log_score"), F.when(F.col("n_tokens") > 0, log_score / F.col("n_tokens")).alias("mean_log_score"))
 
 
-def _tokens(groups: DataFrame) -> int:
+def _tokens(rows: DataFrame) -> int:
     """All tokens of the corpus."""
 
     def count(batches):
         for batch in batches:
-            n = 0
-            for k in range(batch.num_rows):
-                _, data, off = _unblocked(*next(_rows(batch.slice(k, 1), "ids", "sizes", "texts")))
-                n += len(B.words(data, off, B.is_word_bytes(data))[0])
+            n = sum(len(B.words(data, off, B.is_word_bytes(data))[0]) for _, _, data, off in B.slices(batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
-    return groups.mapInArrow(B.tidy(count), "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return rows.select("text").mapInArrow(B.tidy(count), "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def relational_scores(spark: SparkSession, docs: DataFrame, *, order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
