@@ -1,5 +1,6 @@
 """Every registered query of the graph engine against its SQL."""
 
+import json
 import os
 
 import pytest
@@ -35,4 +36,6 @@ def test_query_equals_its_sql(spark, db, name):
 
 def test_flagship_and_backup(spark):
     assert catalog.flagship(spark, SF).columns == ["x", "score", "matched_by"]
-    assert catalog.queries()["backup_document"](spark, SF).count() == 1
+    lines = catalog.queries()["backup_document"](spark, SF).orderBy("part", "gid").collect()
+    document = json.loads("".join(x["line"] for x in lines))
+    assert document["version"] == 1 and len(document["nodes"]) + len(document["edges"]) + 3 == len(lines)

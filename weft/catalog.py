@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from weft.functions import names, scalars, text
 from weft.operators import message_passing as mp
-from weft.operators import mutate, semantic, traverse, typed, view
+from weft.operators import measure, mutate, semantic, traverse, typed, view
 from weft.plans import compile as plans
 from weft.plans import templates
-from weft.plans.session import cut
+from weft.plans.session import shared_path
 from weft.sources import definitions, records, sinks
 from weft.sources.graph import PropertyGraph, attributes_from_json, tpch_graph
 from weft.streaming import changes
@@ -94,9 +94,18 @@ def connected(a: dict, b: dict) -> dict:
     return {"kind": "connected", "left": a, "right": b}
 
 
+def _rows(found: DataFrame, *returns: str) -> DataFrame:
+    return found.select(*returns, "score", F.array_join("matched_by", ";").alias("matched_by"))
+
+
 def _found(spark: SparkSession, sf_dir: str, where: dict | None, *returns: str) -> DataFrame:
-    out = plans.solutions(tpch_graph(spark, sf_dir), {"return": list(returns or ("x",)), "where": where})
-    return out.select(*(returns or ("x",)), "score", F.array_join("matched_by", ";").alias("matched_by"))
+    returns = returns or ("x",)
+    return _rows(plans.solutions(tpch_graph(spark, sf_dir), {"return": list(returns), "where": where}), *returns)
+
+
+def _whole(g: PropertyGraph) -> DataFrame:
+    """Nodes and links of a graph as rows of one table."""
+    return g.base.select(F.lit("node").alias("what"), F.col("gid").alias("a"), F.lit(None).cast("string").alias("b")).unionByName(g.links.select(F.lit("link").alias("what"), F.col("a_gid").alias("a"), F.col("b_gid").alias("b")))
 
 
 # Scans and look-ups.
@@ -172,10 +181,9 @@ def common_neighbours(spark, d):
     return traverse.common_neighbours(g, ["Order-1", other])
 
 
-@query("SELECT gid FROM nodes WHERE gid = 'AFRICA' OR starts_with(gid, 'AFRICA/')")
+@query("""WITH r AS (SELECT 'AFRICA' AS gid UNION SELECT dst FROM r JOIN adj ON src = r.gid) SELECT gid FROM r""", recursive=True)
 def traverse_all_reachable(spark, d):
-    g = tpch_graph(spark, d)
-    return traverse.traverse(PropertyGraph(g.base, g.links.where("false")), REGION)
+    return traverse.traverse(tpch_graph(spark, d), REGION)
 
 
 # The query language.
@@ -253,20 +261,27 @@ def search_connected(spark, d):
     return _found(spark, d, both(attribute("x", "kind", "part"), connected(var("x"), lit("Order-1"))))
 
 
-@query("""SELECT o.src AS n, p.dst AS z, CAST(1.55 AS DOUBLE) AS score, 'attribute:kind:equals;connected:depth=1;node' AS matched_by
+@query("""SELECT DISTINCT src AS x, CAST(1.4 AS DOUBLE) AS score, 'attribute:kind:equals;connected:depth=1;node' AS matched_by FROM adj JOIN nodes ON gid = src WHERE nodes.kind = 'customer' AND dst = 'AFRICA/NATION_0'""")
+def search_literal_in_another_case(spark, d):
+    return _found(spark, d, both(attribute("x", "kind", "customer"), connected(var("x"), lit("/africa\\nation_0/"))))
+
+
+@query("""SELECT o.src AS n, p.dst AS z, CAST(round_even(2 * 0.65 + 2 * 0.7 + 2 * 0.4 + 2 * 0.05, 4) AS DOUBLE) AS score,
+  'attribute:kind:equals;attribute:size:equals;connected:depth=1;name:startsWith:Order-1;name:startsWith:AFRICA/;node' AS matched_by
 FROM nodes JOIN adj o ON gid = o.dst JOIN adj p ON p.src = o.dst WHERE nodes.kind = 'part' AND psize = '7' AND o.src LIKE 'Order-1%' AND p.dst LIKE 'AFRICA/%' GROUP BY ALL""")
 def search_two_hop(spark, d):
-    names_ = [{"kind": "name", "node": var("n"), "operator": "startsWith", "value": "Order-1"}, {"kind": "name", "node": var("z"), "operator": "startsWith", "value": "AFRICA/"}]
-    out = plans.solutions(tpch_graph(spark, d), {"return": ["n", "z"], "where": both(attribute("x", "kind", "part"), attribute("x", "size", "7"), connected(var("n"), var("x")), connected(var("x"), var("z")), *names_)})
-    return out.select("n", "z", F.lit(1.55).cast("decimal(3,2)").cast("double").alias("score"), F.lit("attribute:kind:equals;connected:depth=1;node").alias("matched_by"))
+    starts = [{"kind": "name", "node": var(v), "operator": "startsWith", "value": value} for v, value in (("n", "Order-1"), ("z", "AFRICA/"))]
+    where = both(attribute("x", "kind", "part"), attribute("x", "size", "7"), connected(var("n"), var("x")), connected(var("x"), var("z")), *starts)
+    return _found(spark, d, where, "n", "z")
 
 
 @query("""WITH c AS (SELECT min(dst) AS a, max(dst) AS b FROM adj WHERE src = 'Order-1' AND dst LIKE 'Part-%')
-SELECT src AS x FROM adj, c WHERE dst = a AND src LIKE 'Order-%' INTERSECT SELECT src FROM adj, c WHERE dst = b AND src LIKE 'Order-%'""")
+SELECT x, CAST(round_even(0.65 + 2 * 0.7 + 0.05, 4) AS DOUBLE) AS score, 'attribute:kind:equals;connected:depth=1;node' AS matched_by
+FROM (SELECT src AS x FROM adj, c WHERE dst = a AND src LIKE 'Order-%' INTERSECT SELECT src FROM adj, c WHERE dst = b AND src LIKE 'Order-%')""")
 def search_all_anchors(spark, d):
     g = tpch_graph(spark, d)
     a, b = g.neighbours_of("Order-1").where("dst like 'Part-%'").agg(F.min("dst"), F.max("dst")).first()
-    return _found(spark, d, both(attribute("x", "kind", "order"), connected(var("x"), lit(a)), connected(var("x"), lit(b)))).select("x")
+    return _found(spark, d, both(attribute("x", "kind", "order"), connected(var("x"), lit(a)), connected(var("x"), lit(b))))
 
 
 @query("""SELECT gid AS x, CAST(1.4 AS DOUBLE) AS score, 'attribute:kind:equals;connected:depth=1;node' AS matched_by FROM nodes WHERE kind = 'order' AND (gid IN (SELECT src FROM adj WHERE dst = 'Part-1') OR gid IN (SELECT src FROM adj WHERE dst = 'Part-2'))""")
@@ -293,9 +308,11 @@ def search_descendant(spark, d):
     return _found(spark, d, {"kind": "descendant", "ancestor": lit(REGION), "descendant": var("x"), "maxDepth": 2})
 
 
-@query("""SELECT u.gid AS a, n.gid AS x FROM nodes n JOIN nodes u ON starts_with(n.gid, u.gid || '/') WHERE n.kind = 'supplier'""")
+@query("""SELECT u.gid AS a, n.gid AS x, CAST(round_even(0.65 + 0.3 + 0.75 + 0.25 / l + 2 * 0.05, 4) AS DOUBLE) AS score,
+  'attribute:kind:equals;ancestor:' || u.gid || ';descendant-of:' || u.gid || ' depth=' || l || ';node' AS matched_by
+FROM (SELECT n.gid, u.gid AS up, len(string_split(n.gid, '/')) - len(string_split(u.gid, '/')) AS l FROM nodes n JOIN nodes u ON starts_with(n.gid, u.gid || '/') WHERE n.kind = 'supplier') n JOIN nodes u ON u.gid = up""")
 def search_all_ancestors(spark, d):
-    return _found(spark, d, both(attribute("x", "kind", "supplier"), {"kind": "descendant", "ancestor": var("a"), "descendant": var("x")}), "a", "x").select("a", "x")
+    return _found(spark, d, both(attribute("x", "kind", "supplier"), {"kind": "descendant", "ancestor": var("a"), "descendant": var("x")}), "a", "x")
 
 
 @query("SELECT gid AS x, CAST(1.15 AS DOUBLE) AS score, 'attribute:kind:equals;degree:greaterThanOrEqual:8;node' AS matched_by FROM deg JOIN nodes USING (gid) WHERE degree >= 8 AND kind = 'order'")
@@ -313,9 +330,13 @@ def search_not_same(spark, d):
     return _found(spark, d, both(attribute("x", "kind", "nation"), attribute("y", "kind", "region"), {"kind": "notSame", "left": var("x"), "right": var("y")}), "x", "y")
 
 
-@query("SELECT gid AS x, CAST(1.0 AS DOUBLE) AS score, 'node;not' AS matched_by FROM deg WHERE degree = 0")
+@query("""SELECT 'Lonely-' || r_regionkey AS x, CAST(1.0 AS DOUBLE) AS score, 'node;not' AS matched_by FROM region UNION ALL SELECT gid, 1.0, 'node;not' FROM deg WHERE degree = 0""")
 def search_isolated(spark, d):
-    return _found(spark, d, both({"kind": "node", "node": var("x")}, {"kind": "not", "expression": {"kind": "exists", "variables": [], "expression": connected(var("x"), var("y"))}}))
+    """Beside the graph's own nodes, one without any edge for each region."""
+    g = tpch_graph(spark, d)
+    lonely = spark.read.parquet(f"{d}/region.parquet").select(F.concat(F.lit("Lonely-"), F.col("r_regionkey").cast("string")).alias("gid"), F.create_map().cast("map<string,string>").alias("attrs"))
+    g = PropertyGraph(g.base.unionByName(lonely), g.links, unique=True)
+    return _rows(plans.solutions(g, templates.isolated()), "x")
 
 
 @query("""SELECT gid AS x, CAST(1.0 AS DOUBLE) AS score, 'attribute:kind:equals;not;node' AS matched_by FROM nodes WHERE kind = 'order' AND NOT EXISTS (SELECT 1 FROM adj JOIN nodes p ON p.gid = dst WHERE src = nodes.gid AND p.psize = '7')""")
@@ -328,9 +349,9 @@ def search_exists_score(spark, d):
     return _found(spark, d, both(attribute("x", "kind", "order"), {"kind": "exists", "variables": ["p"], "expression": both(connected(var("x"), var("p")), attribute("p", "size", "7"))}))
 
 
-@query("SELECT gid AS x FROM nodes WHERE kind = 'order' ORDER BY gid LIMIT 50")
+@query("""SELECT gid AS x, CAST(1.0 AS DOUBLE) AS score, 'attribute:kind:equals;node' AS matched_by FROM nodes WHERE kind = 'order' ORDER BY gid LIMIT 50""")
 def search_limit(spark, d):
-    return plans.search(tpch_graph(spark, d), {"return": ["x"], "where": attribute("x", "kind", "order")}).select("x")
+    return _rows(plans.search(tpch_graph(spark, d), {"return": ["x"], "where": attribute("x", "kind", "order")}), "x")
 
 
 @query("SELECT gid AS n, 'n=' || gid AS bindings FROM nodes WHERE kind = 'nation'")
@@ -340,14 +361,16 @@ def search_bindings(spark, d):
     return got.select(F.col("node").alias("n"), F.array_join(F.transform(F.map_entries("bindings"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("bindings"))
 
 
-@query("SELECT DISTINCT o.src AS n FROM adj o JOIN adj p ON o.dst = p.src WHERE p.dst = 'Part-1' AND o.src <> 'Part-1'")
+@query("""SELECT a.src AS n, a.dst AS x, b.dst AS z, CAST(round_even(2 * 0.7 + 3 * 0.05, 4) AS DOUBLE) AS score, 'connected:depth=1;node' AS matched_by
+FROM (SELECT DISTINCT src, dst FROM adj) a JOIN (SELECT DISTINCT src, dst FROM adj) b ON a.dst = b.src ORDER BY n, x, z LIMIT 50""")
 def template_neighbour_connected(spark, d):
-    return plans.solutions(tpch_graph(spark, d), templates.neighbour_connected("Part-1")).select("n")
+    return _rows(plans.search(tpch_graph(spark, d), templates.neighbour_connected()), "n", "x", "z")
 
 
-@query("SELECT DISTINCT src AS n, dst AS x FROM adj JOIN nodes ON gid = dst WHERE segment = 'MACHINERY'")
+@query("""SELECT DISTINCT src AS n, dst AS x, CAST(round_even(0.7 + 0.65 + 2 * 0.05, 4) AS DOUBLE) AS score, 'connected:depth=1;attribute:segment:equals;node' AS matched_by
+FROM adj JOIN nodes ON gid = dst WHERE segment = 'MACHINERY'""")
 def template_neighbour_by_id(spark, d):
-    return plans.solutions(tpch_graph(spark, d), templates.neighbour_by_id("segment", "MACHINERY")).select("n", "x")
+    return _rows(plans.solutions(tpch_graph(spark, d), templates.neighbour_by_id("segment", "MACHINERY")), "n", "x")
 
 
 # Traversal.
@@ -375,11 +398,13 @@ def reachability(spark, d):
     return traverse.reach(g.neighbours, g.nodes.where("attrs['kind'] = 'region'").select("gid"), 1, 2)
 
 
-@query("""WITH t AS (SELECT split_part(gid, '/', 1) AS r, gid FROM nodes WHERE kind IN ('region', 'nation', 'customer', 'supplier')) SELECT gid, min(gid) OVER (PARTITION BY r) AS component FROM t""")
+@query("""SELECT o.gid, c.gid AS component FROM (SELECT c_custkey AS k, gid FROM cust UNION ALL SELECT o_custkey, 'Order-' || o_orderkey FROM orders) o JOIN cust c ON c_custkey = k""")
 def components(spark, d):
+    """Customers and their orders: a component is a customer with all that it ordered."""
     g = tpch_graph(spark, d)
-    n = g.nodes.where("attrs['kind'] in ('region', 'nation', 'customer', 'supplier')")
-    return traverse.components(n.select("gid"), g.adj.where("kind = 'hierarchy'").select("src", "dst"))
+    n = g.nodes.where("attrs['kind'] in ('customer', 'order')").select("gid")
+    e = g.links.join(n.withColumnRenamed("gid", "a_gid"), "a_gid", "left_semi").join(n.withColumnRenamed("gid", "b_gid"), "b_gid", "left_semi")
+    return traverse.components(n, e.select(F.col("a_gid").alias("src"), F.col("b_gid").alias("dst")))
 
 
 # Views.
@@ -423,16 +448,37 @@ def rank_nodes(spark, d):
     return view.rank(n, g.edges.select("a_gid", "b_gid", none, (F.col("kind") == "link").alias("projected")), REGION, "Order-1")[0]
 
 
+@query("""SELECT a_gid, b_gid, floor(greatest(0.0, CASE WHEN a_gid LIKE 'Order-1%' THEN 12.34 WHEN kind = 'link' THEN 35.0 ELSE 8.0 END) * 10 + 0.5) / 10 AS rank FROM edges""")
+def rank_edges(spark, d):
+    """Edges of some orders have a rank of their type; the others have that of their kind."""
+    g = tpch_graph(spark, d)
+    none = F.lit(None).cast("double").alias("type_rank")
+    n = g.nodes.select("gid", F.lit(None).cast("string").alias("type_gid"), none)
+    own = F.when(F.col("a_gid").like("Order-1%"), F.lit(12.34)).alias("type_rank")
+    return view.rank(n, g.edges.select("a_gid", "b_gid", own, (F.col("kind") == "link").alias("projected")))[1].select("a_gid", "b_gid", "rank")
+
+
+@query("""WITH p AS (SELECT gid, len(gid) * 10.0 AS x, len(string_split(gid, '/')) * 50.0 AS y FROM nodes), j AS (SELECT DISTINCT src, dst FROM adj),
+f AS (SELECT src, sum((o.x - p.x) * (greatest(1.0, sqrt((o.x - p.x) ** 2 + (o.y - p.y) ** 2)) - 120) * 0.018 / greatest(1.0, sqrt((o.x - p.x) ** 2 + (o.y - p.y) ** 2))) AS fx,
+  sum((o.y - p.y) * (greatest(1.0, sqrt((o.x - p.x) ** 2 + (o.y - p.y) ** 2)) - 120) * 0.018 / greatest(1.0, sqrt((o.x - p.x) ** 2 + (o.y - p.y) ** 2))) AS fy FROM j JOIN p ON p.gid = src JOIN p o ON o.gid = dst GROUP BY src)
+SELECT gid, round(x + (coalesce(fx, 0) + (400 - x) * 0.0018) * 0.82, 3) AS x, round(y + (coalesce(fy, 0) + (300 - y) * 0.0018) * 0.82, 3) AS y FROM p LEFT JOIN f ON src = gid""")
+def layout_step(spark, d):
+    g = tpch_graph(spark, d)
+    at = g.nodes.select("gid", (F.length("gid") * 10.0).alias("x"), (F.col("depth") * 50.0).alias("y"), F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"))
+    return view.force_step(at, g.edges, 800, 600).select("gid", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
 @query("SELECT a_gid, b_gid, bool_or(kind = 'link') AS collapsed FROM edges GROUP BY ALL")
 def edge_merge(spark, d):
     return view.merged_edges(tpch_graph(spark, d).edges.select("a_gid", "b_gid", (F.col("kind") == "link").alias("collapsed")))
 
 
-@query("""WITH shown AS (SELECT gid FROM nodes WHERE kind IN ('order', 'customer')), e AS (SELECT a_gid AS anchor, b_gid AS other FROM links UNION ALL SELECT b_gid, a_gid FROM links)
-SELECT anchor, other, CASE WHEN other NOT IN (SELECT gid FROM shown) THEN 'load-neighbor' ELSE 'collapse' END AS control FROM e WHERE anchor IN (SELECT gid FROM shown)""")
+@query("""WITH shown AS (SELECT gid FROM nodes WHERE kind IN ('order', 'customer')), e AS (SELECT a_gid AS anchor, b_gid AS other, a_gid LIKE '%7' AS c FROM links UNION ALL SELECT b_gid, a_gid, a_gid LIKE '%7' FROM links)
+SELECT anchor, other, CASE WHEN other NOT IN (SELECT gid FROM shown) THEN 'load-neighbor' WHEN c THEN 'expand' ELSE 'collapse' END AS control FROM e WHERE anchor IN (SELECT gid FROM shown)""")
 def frontier_controls(spark, d):
+    """Links whose first end has a name that ends in 7 are collapsed."""
     g = tpch_graph(spark, d)
-    return view.frontier_controls(g.links.withColumn("collapsed", F.lit(False)), g.nodes.where("attrs['kind'] in ('order', 'customer')"))
+    return view.frontier_controls(g.links.withColumn("collapsed", F.col("a_gid").like("%7")), g.nodes.where("attrs['kind'] in ('order', 'customer')"))
 
 
 def _basis(spark):
@@ -450,19 +496,19 @@ def record_fields(spark, d):
     return view.record_fields(g.nodes, g.edges, _basis(spark))
 
 
-@query("SELECT a_gid, b_gid FROM edges WHERE kind = 'hierarchy' AND a_gid <> 'AFRICA' AND NOT starts_with(a_gid, 'AFRICA/') AND NOT starts_with(b_gid, 'AFRICA/')")
+@query("""WITH off AS (SELECT 'AFRICA' AS gid UNION ALL SELECT gid FROM nodes WHERE starts_with(gid, 'AFRICA/')), e AS (SELECT DISTINCT a_gid, b_gid FROM edges)
+SELECT a_gid, b_gid, a_gid || '|' || b_gid AS key, CAST(NULL AS VARCHAR) AS type_gid, FALSE AS projected FROM e WHERE a_gid NOT IN (SELECT gid FROM off) AND b_gid NOT IN (SELECT gid FROM off)""")
 def view_projection_edges(spark, d):
-    """The hierarchy when the type AFRICA is collapsed: its own subtree holds its definition and goes."""
+    """All edges when the type AFRICA is collapsed: its own subtree holds its definition and goes."""
     g = tpch_graph(spark, d)
-    b = _basis(spark).where("type_gid = 'AFRICA'").withColumn("collapsed", F.lit(True))
-    tree = g.nodes.where("attrs['kind'] in ('region', 'nation', 'customer', 'supplier')")
-    return view.project(tree, g.edges.where("kind = 'hierarchy'"), b)[1].select("a_gid", "b_gid")
+    return view.project(g.nodes, g.edges, _basis(spark).where("type_gid = 'AFRICA'").withColumn("collapsed", F.lit(True)))[1]
 
 
-@query("""SELECT n.gid, count(DISTINCT dst) AS n_edges FROM nodes n JOIN adj ON src = n.gid WHERE n.kind = 'nation' GROUP BY n.gid""")
+@query("""SELECT n.gid, least(src, dst) AS node1, greatest(src, dst) AS node2, split_part(dst, '/', -1) AS neighbor FROM nodes n JOIN (SELECT DISTINCT src, dst FROM adj) ON src = n.gid WHERE n.kind IN ('nation', 'part')""")
 def node_responses(spark, d):
     g = tpch_graph(spark, d)
-    return view.responses(g, g.nodes.where("attrs['kind'] = 'nation'")).select("gid", F.size("edges").cast("long").alias("n_edges"))
+    got = view.responses(g, g.nodes.where("attrs['kind'] in ('nation', 'part')"))
+    return got.select("gid", F.explode("edges").alias("e")).select("gid", "e.node1", "e.node2", "e.neighbor")
 
 
 # The typed contract.
@@ -541,11 +587,55 @@ def participants_exploded(spark, d):
     return typed.participants(_typed(spark, d)[2]).select(F.col("rel").alias("id"), "role", "participant")
 
 
-@query("SELECT 'x' AS id, 'Conflict' AS code, 'the id is taken' AS message FROM region WHERE FALSE UNION ALL SELECT least('Order-1', 'order-1'), 'Conflict', 'the id is taken' FROM region WHERE r_regionkey = 0", graph=False)
+@query("""SELECT 'ORDER-' || o_orderkey AS id, 'Conflict' AS code, 'the id is taken' AS message FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'PART', 'Conflict', 'the id is taken'""", graph=False)
 def id_collisions(spark, d):
+    """Each finished order once more in capitals, and an element with a type's name."""
+    types, el, _ = _typed(spark, d)
+    twin = el.where("startswith(id, 'Order-') and attributes['Status'] = 'F'").withColumn("id", F.upper("id"))
+    named = el.where("id = 'Part-1'").withColumn("id", F.lit("PART"))
+    return typed.id_collisions(types, el.unionByName(twin).unionByName(named))
+
+
+@query("""SELECT 'Buyer-' || c_custkey AS id, 'Instance' AS kind, 'Entity,Supplier' AS type_ids, c_acctbal AS balance FROM customer""", graph=False)
+def typed_create_instances(spark, d):
+    """Customers as new instances; the closure of the type they name is stored."""
     types, el, _ = _typed(spark, d)
-    twin = el.where("id = 'Order-1'").withColumn("id", F.lit("order-1"))
-    return typed.id_collisions(types, el.unionByName(twin))
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    rows = c.select(F.concat(F.lit("Buyer-"), F.col("c_custkey").cast("string")).alias("id"), F.array(F.lit("Supplier")).alias("type_ids"), F.create_map(F.lit("Balance"), F.col("c_acctbal").cast("decimal(18,2)").cast("string")).alias("attributes"))
+    after = typed.TypedGraph(types, el).create_instances(rows).elements.where("startswith(id, 'Buyer-')")
+    return after.select("id", "kind", F.array_join("type_ids", ",").alias("type_ids"), F.element_at("attributes", "Balance").cast("double").alias("balance"))
+
+
+@query("""SELECT 'New-' || id AS id, r AS role, p AS participant FROM (SELECT id, unnest(['Order', 'Part', 'Supplier']) AS r, unnest([o, p, s]) AS p FROM rel WHERE l_linenumber = 1)""", graph=False, lines=True)
+def typed_create_relations(spark, d):
+    types, el, rel = _typed(spark, d)
+    rows = rel.where("split(id, '-')[4] = '1'").select(F.concat(F.lit("New-"), F.col("id")).alias("id"), "type_ids", "attributes", "members")
+    after = typed.TypedGraph(types, el).create_relations(rows)
+    return typed.participants(after.elements).select(F.col("rel").alias("id"), "role", "participant")
+
+
+@query("""SELECT 'Order-' || o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN '1.00' ELSE CAST(CAST(round(o_totalprice, 2) AS DECIMAL(18,2)) AS VARCHAR) END AS price, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderstatus END AS status FROM orders""", graph=False)
+def typed_replace_attributes(spark, d):
+    """Finished orders keep a price alone: whole maps are replaced."""
+    types, el, _ = _typed(spark, d)
+    rows = el.where("attributes['Status'] = 'F'").select("id", F.create_map(F.lit("Price"), F.lit("1.00")).alias("attributes"))
+    after = typed.TypedGraph(types, el).replace_attributes(rows).elements.where("startswith(id, 'Order-')")
+    get = lambda k: F.try_element_at("attributes", F.lit(k))
+    return after.select("id", get("Price").alias("price"), get("Status").alias("status"))
+
+
+@query("""WITH gone AS (SELECT 'Line-' || min(l_orderkey) AS x FROM lineitem) SELECT id FROM rel WHERE o <> 'Order-1' UNION ALL SELECT 'Order-' || o_orderkey FROM orders WHERE o_orderkey <> 1
+UNION ALL SELECT 'Part-' || p_partkey FROM part UNION ALL SELECT 'Supplier-' || s_suppkey FROM supplier""", graph=False, lines=True)
+def typed_delete_restricted(spark, d):
+    """An order that relations hold stays; with these it goes."""
+    types, el, rel = _typed(spark, d)
+    store = typed.TypedGraph(types, el.unionByName(rel))
+    try:
+        store.delete(["Order-1"])
+    except typed.ContractError as e:
+        assert e.code == typed.CONFLICT
+    held = [r["id"] for r in store.incident(["Order-1"]).select("id").collect()]  # the lines of one order
+    return store.delete([*held, "Order-1"]).elements.select("id")
 
 
 # Message passing: integer features, so that sums are exact.
@@ -565,11 +655,26 @@ r AS (SELECT l_orderkey || '/' || l_partkey || '/' || l_returnflag AS key, l_ret
 ix AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS idx FROM n)"""
 
 
-@query(_MP + """ SELECT n.key, greatest(0.0, coalesce(sum(CASE t WHEN 'A' THEN w * (s.x0 - s.x1) WHEN 'N' THEN w * s.x0 ELSE -w * s.x1 END), 0) + n.x0 - 50) AS y0 FROM n LEFT JOIN r ON r.dst = n.key LEFT JOIN n s ON s.key = r.src GROUP BY n.key, n.x0""")
+_RELU = """ SELECT n.key, greatest(0.0, coalesce(sum(CASE t WHEN 'A' THEN w * (s.x0 - s.x1) WHEN 'N' THEN w * s.x0 ELSE -w * s.x1 END), 0) + n.x0 - 50) AS y0 FROM n LEFT JOIN r ON r.dst = n.key LEFT JOIN n s ON s.key = r.src GROUP BY n.key, n.x0"""
+_RELU_LAYER = mp.Layer(2, 1, {"A": [[1], [-1]], "N": [[1], [0]], "R": [[0], [-1]]}, [[1], [0]], [-50], "ReLU")
+
+
+@query(_MP + _RELU)
 def mp_layer_relu(spark, d):
     _, n, r = _mp(spark, d)
-    layer = mp.Layer(2, 1, {"A": [[1], [-1]], "N": [[1], [0]], "R": [[0], [-1]]}, [[1], [0]], [-50], "ReLU")
-    return mp.apply_layer(n, r, layer).select("key", F.get("y", F.lit(0)).cast("double").alias("y0"))
+    return mp.apply_layer(n, r, _RELU_LAYER).select("key", F.get("y", F.lit(0)).cast("double").alias("y0"))
+
+
+@query(_MP + _RELU)
+def mp_strict_order(spark, d):
+    _, n, r = _mp(spark, d)
+    return mp.strict_layer(n, r, _RELU_LAYER).select("key", F.get("y", F.lit(0)).cast("double").alias("y0"))
+
+
+@query(_MP + _RELU)
+def mp_chunked_equals_whole(spark, d):
+    _, n, r = _mp(spark, d)
+    return mp.apply_chunked(n, r, _RELU_LAYER, 1000).select("key", F.get("y", F.lit(0)).cast("double").alias("y0"))
 
 
 @query(_MP + """ SELECT n.key, coalesce(sum(w * s.x0) FILTER (t = 'A'), 0) * 2 + coalesce(sum(w * s.x1) FILTER (t <> 'A'), 0) AS y0, coalesce(sum(w * s.x0), 0) AS y1 FROM n LEFT JOIN r ON r.dst = n.key LEFT JOIN n s ON s.key = r.src GROUP BY n.key""")
@@ -612,12 +717,15 @@ def mp_diagnostics(spark, d):
     return mp.diagnostics(n, r, mp.Layer(2, 1, {"A": [[1], [0]], "N": [[1], [0]]}))
 
 
-@query("SELECT vec_id, CAST(sum(v) AS BIGINT) AS y0 FROM (SELECT vec_id, unnest([round(x * 1000) for x in embedding]) AS v FROM embeddings) GROUP BY vec_id", graph=False)
+@query("""WITH v AS (SELECT vec_id, [round(x * 1000) for x in embedding] AS v FROM embeddings), y AS (SELECT vec_id, CAST(list_sum(v) AS BIGINT) AS own, CAST(v[1] AS BIGINT) AS first FROM v)
+SELECT a.vec_id, a.own + coalesce(2 * b.first, 0) AS y0 FROM y a LEFT JOIN y b ON b.vec_id = a.vec_id - 1""", graph=False)
 def mp_embeddings_self_transform(spark, d):
+    """Each vector gets its own sum, and twice the first number of the vector before it."""
     e = spark.read.parquet(f"{d}/embeddings.parquet")
-    n = e.select(F.col("vec_id").cast("string").alias("key"), F.array(F.lit("v")).alias("type_keys"), F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("float")).alias("x"), "vec_id")
-    r = spark.createDataFrame([], mp.RELATIONS)
-    y = mp.apply_layer(n, r, mp.Layer(64, 1, {}, [[1.0]] * 64))
+    n = e.select(F.col("vec_id").cast("string").alias("key"), F.array(F.lit("v")).alias("type_keys"), F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("float")).alias("x"))
+    follows = e.select((F.col("vec_id") + 1).alias("next"), "vec_id").join(e.select(F.col("vec_id").alias("next")), "next", "left_semi")
+    r = follows.select(F.concat(F.lit("r"), F.col("next").cast("string")).alias("key"), F.lit("next").alias("type_key"), F.col("vec_id").cast("string").alias("src"), F.col("next").cast("string").alias("dst"), F.lit(2.0).cast("float").alias("w"))
+    y = mp.apply_layer(n, r, mp.Layer(64, 1, {"next": [[1.0]] + [[0.0]] * 63}, [[1.0]] * 64))
     return y.select(F.col("key").cast("long").alias("vec_id"), F.get("y", F.lit(0)).cast("long").alias("y0"))
 
 
@@ -640,10 +748,30 @@ def semantic_missing_facets(spark, d):
     return semantic.missing_facets(t, f)
 
 
-@query("SELECT gid AS node_gid, 'NodeTypes/Customer' AS type_gid, 'orders' AS slot, CAST(0 AS BIGINT) AS n FROM nodes WHERE kind = 'customer' AND gid NOT IN (SELECT dst FROM adj WHERE src LIKE 'Order-%')")
+@query("""SELECT gid AS node_gid FROM nodes WHERE kind IN ('customer', 'supplier') UNION SELECT 'Order-' || o_orderkey FROM orders WHERE FALSE""")
+def semantic_unsatisfied(spark, d):
+    """Nodes that lack a required facet; orders lack nothing."""
+    g, t, f = _semantic(spark, d)
+    return semantic.unsatisfied(g, t, f)
+
+
+@query("""SELECT * FROM (VALUES ('NodeTypes/Van', 'load'), ('NodeTypes/Bus', 'load')) t(type_gid, name)""", graph=False)
+def semantic_ambiguous_slots(spark, d):
+    """Two definitions of one slot overlap in a van; a bus lets one of them hold anything."""
+    slot = lambda allowed, most: [("load", allowed, 0, most)]
+    rows = [
+        ("NodeTypes/Car", "Node", False, [], [], slot(["NodeTypes/Box", "NodeTypes/Man"], 2)), ("NodeTypes/Lorry", "Node", False, [], [], slot(["NodeTypes/Box"], 9)), ("NodeTypes/Cab", "Node", False, [], [], slot([], 4)),
+        ("NodeTypes/Van", "Node", False, ["NodeTypes/Car", "NodeTypes/Lorry"], [], []), ("NodeTypes/Bus", "Node", False, ["NodeTypes/Cab"], [], slot(["NodeTypes/Man"], 50)), ("NodeTypes/Bike", "Node", False, [], [], slot(["NodeTypes/Man"], 1)),
+    ]
+    return semantic.ambiguous_slots(spark.createDataFrame(rows, semantic.TYPES))
+
+
+@query("""SELECT gid AS node_gid, 'NodeTypes/Customer' AS type_gid, 'orders' AS slot, count(o_orderkey) AS n FROM cust LEFT JOIN orders ON o_custkey = c_custkey GROUP BY gid HAVING n < 8 OR n > 12""")
 def semantic_slot_violations(spark, d):
+    """A customer has eight to twelve orders."""
     g, t, f = _semantic(spark, d)
-    return semantic.slot_violations(g, t, f)
+    few = F.transform("slots", lambda x: F.struct(x["name"].alias("name"), x["allowed"].alias("allowed"), F.lit(8).alias("min"), F.lit(12).alias("max")))
+    return semantic.slot_violations(g, t.withColumn("slots", few), f)
 
 
 @query("""SELECT gid AS node_gid, 'NodeTypes/' || t AS type_gid, 'instance-of-' || lower(t) || '-for-' || lower(regexp_replace(split_part(gid, '/', -1), '(.)([A-Z])', '\\1-\\2', 'g')) AS witness_gid FROM nodes, (VALUES ('Supplier'), ('Party')) v(t) WHERE kind = 'supplier'""")
@@ -654,11 +782,13 @@ def semantic_assign(spark, d):
     return semantic.assign(g, t, f, rows).where("type_gid <> 'NodeTypes/Order'")
 
 
-@query("SELECT gid AS node_gid, 'NodeTypes/' || upper(kind[1]) || kind[2:] AS type_gid FROM nodes WHERE kind IN ('customer', 'supplier', 'order')")
+@query("""SELECT gid AS node_gid, 'NodeTypes/' || upper(kind[1]) || kind[2:] AS type_gid, 'w/' || gid AS witness_gid FROM nodes WHERE kind IN ('customer', 'supplier', 'order')
+UNION ALL SELECT DISTINCT 'Order-' || l_orderkey, 'NodeTypes/Supplier', CAST(NULL AS VARCHAR) FROM lineitem WHERE l_partkey = 1""")
 def semantic_projection(spark, d):
+    """Witnessed facets, and those that links between some orders and a type stand for."""
     g, t, f = _semantic(spark, d)
-    f = f.withColumn("witness_gid", F.concat(F.lit("w/"), "node_gid"))
-    return semantic.project(g, t, f).select("node_gid", "type_gid")
+    linked = spark.read.parquet(f"{d}/lineitem.parquet").where("l_partkey = 1").select(F.lit("NodeTypes/Supplier").alias("a_gid"), F.concat(F.lit("Order-"), F.col("l_orderkey").cast("string")).alias("b_gid")).distinct()
+    return semantic.project(PropertyGraph(g.base, g.links.unionByName(linked)), t, f.withColumn("witness_gid", F.concat(F.lit("w/"), "node_gid")))
 
 
 @query("SELECT gid AS node_gid FROM nodes WHERE kind IN ('customer', 'order')")
@@ -688,6 +818,19 @@ def semantic_cascade_delete(spark, d):
     return left.relations.agg(F.count(F.lit(1)).alias("n_relations")).crossJoin(left.members.agg(F.count(F.lit(1)).alias("n_members")))
 
 
+@query("""WITH p AS (SELECT min(b_gid) AS p FROM links WHERE a_gid = 'Order-1' AND b_gid LIKE 'Part-%')
+SELECT 'link' AS what, a_gid AS a, b_gid AS b FROM links WHERE NOT (a_gid = 'Order-1' AND b_gid = (SELECT p FROM p)) UNION ALL SELECT 'Order', 'Holds-1', 'Order-1' UNION ALL SELECT 'Part', 'Holds-1', p FROM p""")
+def semantic_change_edge_type(spark, d):
+    """A raw edge becomes a typed relation, and the link goes."""
+    g = tpch_graph(spark, d)
+    part = g.neighbours_of("Order-1").where("dst like 'Part-%'").agg(F.min("dst")).first()[0]
+    t = spark.createDataFrame([("NodeTypes/Holds", "Edge", False, [], [(r, "Node", None, 1, 1, False, None) for r in ("Order", "Part")], [])], semantic.TYPES)
+    none = semantic.Edges(spark.createDataFrame([], semantic.RELATIONS), spark.createDataFrame([], semantic.MEMBERS))
+    after, edges = semantic.change_edge_type(g, t, spark.createDataFrame([], semantic.FACETS), none, "NodeTypes/Holds", {"Order": ["Order-1"], "Part": [part]}, "Holds-1")
+    links = after.links.select(F.lit("link").alias("what"), F.col("a_gid").alias("a"), F.col("b_gid").alias("b"))
+    return links.unionByName(edges.members.select(F.col("role").alias("what"), F.col("rel_gid").alias("a"), F.col("participant_gid").alias("b")))
+
+
 @query("SELECT id AS rel_gid, unnest(['Order', 'Part', 'Supplier']) AS role, unnest([o, p, s]) AS participant_gid FROM rel", graph=False, lines=True)
 def reified_round_trip(spark, d):
     t, e = _edges(spark, d)
@@ -697,6 +840,18 @@ def reified_round_trip(spark, d):
     return semantic.import_reified(PropertyGraph(nodes.unionByName(ends.select("gid", none.alias("attrs"))), links), t).members
 
 
+@query("""WITH m AS (SELECT id, unnest(['Order', 'Part', 'Supplier']) AS role, unnest([o, p, s]) AS who FROM rel), k AS (SELECT id, who, row_number() OVER (PARTITION BY id ORDER BY sha256('NodeTypes/Line' || chr(0) || role)[1:16]) AS n FROM m)
+SELECT id AS rel_gid, 'NodeTypes/Line' AS type_gid, max(who) FILTER (n = 1) AS a_gid, max(who) FILTER (n = 2) AS b_gid FROM k GROUP BY id""", graph=False, lines=True)
+def view_relations(spark, d):
+    """Relations that a view finds in their reified form; without source and target roles the ports count in the order of their names."""
+    t, e = _edges(spark, d)
+    nodes, links = semantic.export_reified(e)
+    ends = e.members.select(F.col("participant_gid").alias("gid")).distinct().unionByName(t.select(F.col("type_gid").alias("gid")))
+    g = PropertyGraph(nodes.unionByName(ends.select("gid", F.create_map().cast("map<string,string>").alias("attrs"))), links)
+    basis = spark.createDataFrame([("NodeTypes/Line", "Edge", "Line", None, True, False, [])], view.BASIS)
+    return view.relations(g.nodes, g.edges, basis).select("rel_gid", "type_gid", "a_gid", "b_gid")
+
+
 @query("SELECT 'NodeTypes/Line' AS type_gid, r AS role, 'member-' || sha256('NodeTypes/Line' || chr(0) || r)[1:16] AS member_id FROM (VALUES ('Order'), ('Part'), ('Supplier')) t(r)", graph=False)
 def edge_definition(spark, d):
     return semantic.edge_definition(_edges(spark, d)[0]).select("type_gid", "role", "member_id")
@@ -712,11 +867,14 @@ def mutate_create_nodes(spark, d):
     return mutate.create_nodes(tpch_graph(spark, d), rows).base.select("gid")
 
 
-@query("SELECT gid, CASE WHEN kind = 'nation' THEN 'land' ELSE kind END AS kind FROM nodes")
+@query("""SELECT gid, CASE WHEN kind = 'nation' THEN 'land' ELSE kind END AS kind, segment IS NOT NULL AND segment <> 'MACHINERY' AS has_segment FROM nodes""")
 def mutate_update_attributes(spark, d):
+    """Nations change their kind; customers of one segment lose the attribute."""
     g = tpch_graph(spark, d)
-    rows = g.base.where("attrs['kind'] = 'nation'").select("gid", mutate.with_attribute(F.col("attrs"), "Kind", "land").alias("attrs"))
-    return mutate.update_attributes(g, rows).base.select("gid", text.lookup(F.col("attrs"), "kind").alias("kind"))
+    land = g.base.where("attrs['kind'] = 'nation'").select("gid", mutate.with_attribute(F.col("attrs"), "Kind", "land").alias("attrs"))
+    bare = g.base.where("attrs['segment'] = 'MACHINERY'").select("gid", mutate.without_attribute(F.col("attrs"), "Segment").alias("attrs"))
+    after = mutate.update_attributes(g, land.unionByName(bare)).base
+    return after.select("gid", text.lookup(F.col("attrs"), "kind").alias("kind"), F.coalesce(text.lookup(F.col("attrs"), "segment").isNotNull(), F.lit(False)).alias("has_segment"))
 
 
 @query("SELECT a_gid, b_gid FROM links UNION ALL SELECT 'AFRICA', 'AMERICA'")
@@ -731,35 +889,71 @@ def mutate_disconnect(spark, d):
     return mutate.disconnect(g, b, "Order-1").links
 
 
-@query("WITH m AS (SELECT gid, CASE WHEN gid = 'AFRICA/NATION_0' OR starts_with(gid, 'AFRICA/NATION_0/') THEN 'ASIA/NATION_0' || gid[16:] ELSE gid END AS g FROM nodes) SELECT g AS gid FROM m")
+@query("""SELECT 'node' AS what, gid AS a, CAST(NULL AS VARCHAR) AS b FROM nodes UNION ALL SELECT 'link', a_gid, b_gid FROM links
+UNION ALL SELECT * FROM (VALUES ('node', 'Box', NULL), ('node', 'Order-1/Thing', NULL), ('node', 'Order-1/Thing/Deep', NULL), ('link', 'Order-1/Thing/Deep', 'Part-1'))""")
+def mutate_relocate(spark, d):
+    """Parted from its parent, a node moves to its one other neighbour with all below it."""
+    g = tpch_graph(spark, d)
+    more = PropertyGraph.of(spark, ["Box", "Box/Thing", "Box/Thing/Deep"], [("Box/Thing", "Order-1"), ("Box/Thing/Deep", "Part-1")])
+    return _whole(mutate.disconnect(PropertyGraph(g.base.unionByName(more.base), g.links.unionByName(more.links)), "Box", "Box/Thing"))
+
+
+@query("""SELECT a_gid, b_gid FROM links UNION ALL SELECT 'AFRICA', 'Order-1'""")
+def mutate_add_neighbour(spark, d):
+    return mutate.add_neighbour(tpch_graph(spark, d), "Order-1", REGION).links
+
+
+@query("""SELECT 'node' AS what, gid AS a, CAST(NULL AS VARCHAR) AS b FROM nodes UNION ALL SELECT 'link', a_gid, b_gid FROM links WHERE a_gid <> 'Order-1' AND b_gid <> 'Order-1'""")
+def mutate_clear_neighbours(spark, d):
+    """Neighbours with others beside them are parted from the order; the one that has it alone goes."""
+    g = tpch_graph(spark, d)
+    lonely = spark.createDataFrame([("Lonely", {})], "gid string, attrs map<string,string>")
+    g = PropertyGraph(g.base.unionByName(lonely), g.links.unionByName(spark.createDataFrame([("Lonely", "Order-1")], "a_gid string, b_gid string")))
+    return _whole(mutate.clear_neighbours(g, "Order-1"))
+
+
+@query("""WITH go AS (SELECT gid, CASE WHEN gid = 'AFRICA/NATION_0' OR starts_with(gid, 'AFRICA/NATION_0/') THEN 'ASIA/NATION_0' || gid[16:] ELSE gid END AS g FROM nodes)
+SELECT 'node' AS what, g AS a, CAST(NULL AS VARCHAR) AS b FROM go UNION ALL SELECT 'link', least(x.g, y.g), greatest(x.g, y.g) FROM links JOIN go x ON x.gid = a_gid JOIN go y ON y.gid = b_gid""")
 def mutate_move_subtree(spark, d):
-    return mutate.move(tpch_graph(spark, d), NATION, "ASIA/NATION_0").base.select("gid")
+    return _whole(mutate.move(tpch_graph(spark, d), NATION, "ASIA/NATION_0"))
 
 
-@query("SELECT a_gid, b_gid FROM links WHERE NOT starts_with(a_gid, 'AFRICA/') AND NOT starts_with(b_gid, 'AFRICA/')")
+@query("""SELECT 'link' AS what, a_gid AS a, b_gid AS b FROM links WHERE NOT starts_with(a_gid, 'AFRICA/') AND NOT starts_with(b_gid, 'AFRICA/')
+UNION ALL SELECT 'node', gid, CAST(NULL AS VARCHAR) FROM nodes WHERE gid <> 'AFRICA' AND NOT starts_with(gid, 'AFRICA/')""")
 def mutate_delete_subtree(spark, d):
-    return mutate.delete_subtrees(tpch_graph(spark, d), [REGION]).links
+    return _whole(mutate.delete_subtrees(tpch_graph(spark, d), [REGION]))
 
 
-@query("SELECT src, lower(split_part(dst, '/', -1)) AS slot FROM (SELECT DISTINCT src, dst FROM adj) GROUP BY ALL HAVING count(*) > 1")
+@query("""SELECT DISTINCT 'Part-' || l_partkey AS src, 'order-' || l_orderkey AS slot FROM lineitem WHERE l_partkey % 10 = 1""")
 def slot_clashes(spark, d):
+    """Some parts get links to copies of their orders, which have the orders' names in small letters."""
     g = tpch_graph(spark, d)
-    return mutate.slot_clashes(PropertyGraph(g.base, g.links.where("false")), g.links)
+    twins = g.links.where("startswith(a_gid, 'Order-') and startswith(b_gid, 'Part-') and b_gid like '%1'").select(F.concat(F.lit("Copies/"), F.lower("a_gid")).alias("a_gid"), "b_gid")
+    return mutate.slot_clashes(g, twins)
 
 
 # Sinks, backup, functions, statistics, streams.
 
 
-@query()
+@query("""SELECT * FROM (VALUES (0, '', '{"version":1,"nodes":['), (2, '', '],"edges":['), (4, '', ']}')) t(part, gid, line)
+UNION ALL SELECT 1, gid, CASE WHEN gid = (SELECT min(gid) FROM nodes) THEN '' ELSE ',' END || '{"path":' || to_json(string_split(gid, '/')) || ',"attributes":{"kind":"' || kind || '"' || coalesce(',"segment":"' || segment || '"', '') || coalesce(',"brand":"' || brand || '"', '') || coalesce(',"type":"' || ptype || '"', '')
+  || coalesce(',"name":"' || pname || '"', '') || coalesce(',"size":"' || psize || '"', '') || coalesce(',"status":"' || status || '"', '') || coalesce(',"priority":"' || priority || '"', '') || '}}' FROM nodes
+UNION ALL SELECT 3, a_gid || chr(1) || b_gid, CASE WHEN a_gid || chr(1) || b_gid = (SELECT min(a_gid || chr(1) || b_gid) FROM links) THEN '' ELSE ',' END || '{"source":' || to_json(string_split(a_gid, '/')) || ',"target":' || to_json(string_split(b_gid, '/')) || '}' FROM links""")
 def backup_document(spark, d):
-    g = tpch_graph(spark, d)
-    return records.backup_document(PropertyGraph(g.base.where("attrs['kind'] in ('region', 'nation')"), g.links.where("false")))
+    return records.backup_lines(tpch_graph(spark, d))
+
+
+@query("""SELECT 'node' AS what, gid AS a, CAST(NULL AS VARCHAR) AS b FROM nodes UNION ALL SELECT 'link', a_gid, b_gid FROM links""")
+def backup_round_trip(spark, d):
+    """Saved and loaded again."""
+    path = shared_path(spark, "backup")
+    records.save_backup(tpch_graph(spark, d), path)
+    return _whole(records.load_backup(spark, path))
 
 
-@query("SELECT CAST(to_json({'gid': gid, 'kind': kind}) AS VARCHAR) AS line FROM nodes WHERE kind IN ('region', 'nation')")
+@query("""SELECT CAST(to_json({'gid': gid, 'kind': kind}) AS VARCHAR) AS line FROM nodes""")
 def ndjson_sink(spark, d):
-    g = tpch_graph(spark, d)
-    return sinks.ndjson(g.nodes.where("attrs['kind'] in ('region', 'nation')").select("gid", F.element_at("attrs", "kind").alias("kind")))
+    return sinks.ndjson(tpch_graph(spark, d).nodes.select("gid", F.element_at("attrs", "kind").alias("kind")))
 
 
 @query(r"""SELECT gid, lower(regexp_replace(gid, '(.)([A-Z])', '\1-\2', 'g')) AS kebab, sha256(gid) || '.json' AS file, len(string_split(gid, '/')) - 1 AS n_ancestors FROM nodes WHERE kind IN ('order', 'part')""")
@@ -774,23 +968,34 @@ def name_grammar(spark, d):
     return c.select("c_custkey", names.valid_segment(F.col("c_name")).alias("raw_ok"), names.valid_segment(F.replace("c_name", F.lit("#"), F.lit("-"))).alias("clean_ok"))
 
 
-@query("""SELECT o_orderkey, TRUE AS int64_ok, TRUE AS double_ok, FALSE AS guid_ok, FALSE AS int32_ok FROM orders""", graph=False)
+@query("""SELECT o_orderkey, o_orderkey * 700000 BETWEEN -2147483648 AND 2147483647 AS int32_ok, o_orderkey % 3 <> 0 AS int64_ok, o_orderkey % 5 <> 0 AS double_ok, o_orderkey % 4 = 0 AS bool_ok, o_orderkey % 2 = 0 AS guid_ok, o_orderkey % 7 <> 0 AS time_ok FROM orders""", graph=False)
 def scalar_kinds(spark, d):
+    """Texts that are and texts that are not what their kind asks, made from the order's key."""
     o = spark.read.parquet(f"{d}/orders.parquet")
     ok = lambda kind, c: scalars.is_valid(F.lit(kind), c)
-    key, price = F.col("o_orderkey").cast("string"), F.format_string("%.2f", "o_totalprice")
-    return o.select("o_orderkey", ok("Int64", key).alias("int64_ok"), ok("Double", price).alias("double_ok"), ok("Guid", key).alias("guid_ok"), ok("Int32", price).alias("int32_ok"))
+    k = F.col("o_orderkey")
+    every = lambda n, bad, good: F.when(k % n == 0, bad).otherwise(good)
+    price, hexa = F.format_string("%.2f", "o_totalprice"), F.sha2(k.cast("string"), 256)
+    guid = F.concat_ws("-", F.substr(hexa, F.lit(1), F.lit(8)), *(F.substr(hexa, F.lit(9 + 4 * j), F.lit(4)) for j in range(3)), F.substr(hexa, F.lit(21), F.lit(12)))
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return o.select(
+        "o_orderkey", ok("Int32", (k * 700000).cast("string")).alias("int32_ok"), ok("Int64", every(3, price, k.cast("string"))).alias("int64_ok"), ok("Double", every(5, F.concat(price, F.lit("x")), price)).alias("double_ok"),
+        ok("Boolean", every(4, F.lit("True"), F.lit("yes"))).alias("bool_ok"), ok("Guid", every(2, guid, hexa)).alias("guid_ok"), ok("DateTime", every(7, day, F.concat(day, F.lit("T10:11:12.0000000Z")))).alias("time_ok"),
+    )
 
 
-@query("SELECT event_type, min(value) AS least, round(avg(value), 6) AS mean, quantile_cont(value, 0.5) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS most FROM events GROUP BY event_type", graph=False)
+@query("""SELECT event_type, count(value) AS n, min(value) AS least, round(avg(value), 6) AS mean, quantile_cont(value, 0.5) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS most FROM events GROUP BY event_type""", graph=False)
 def measurement_statistics(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet")
-    return e.groupBy("event_type").agg(F.min("value").alias("least"), F.round(F.avg("value"), 6).alias("mean"), F.percentile("value", F.lit(0.5)).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"), F.max("value").alias("most"))
+    got = measure.statistics(spark.read.parquet(f"{d}/events.parquet"), ["event_type"], F.col("value"))
+    return got.withColumn("mean", F.round("mean", 6)).withColumn("p95", F.round("p95", 6))
 
 
 def _changes(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet")
-    return e.where("event_type in ('click', 'error')").select("ts", F.when(F.col("event_type") == "click", "add").otherwise("remove").alias("op"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("a_gid"), F.get_json_object("props", "$.k").alias("b_gid"))
+    return _as_changes(spark.read.parquet(f"{d}/events.parquet"))
+
+
+def _as_changes(events):
+    return events.where("event_type in ('click', 'error')").select("ts", F.when(F.col("event_type") == "click", "add").otherwise("remove").alias("op"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("a_gid"), F.get_json_object("props", "$.k").alias("b_gid"))
 
 
 @query("""WITH c AS (SELECT ts, CASE event_type WHEN 'click' THEN 'add' ELSE 'remove' END AS op, 'u' || user_id AS a, json_extract_string(props, '$.k') AS b FROM events WHERE event_type IN ('click', 'error'))
@@ -819,31 +1024,56 @@ def type_violations(spark, d):
     return typed.type_violations(types.unionByName(bad))
 
 
-@query("SELECT id AS rel_gid, 'Part' AS role, 'cardinality' AS message FROM rel WHERE l_partkey % 7 = 0", graph=False, lines=True)
+@query("""SELECT id AS rel_gid, 'Part' AS role, 'cardinality' AS message FROM rel WHERE l_partkey % 7 = 0
+UNION ALL SELECT id, 'Supplier', 'type' FROM rel WHERE l_suppkey % 2 = 1 UNION ALL SELECT id, 'Witness', 'role' FROM rel WHERE l_linenumber = 6""", graph=False, lines=True)
 def semantic_endpoint_violations(spark, d):
+    """Some parts are missing, every second supplier lacks its type, and some relations name a role too many."""
     t, e = _edges(spark, d)
+    typed_supplier = F.transform("fields", lambda f: F.when(f["name"] == "Supplier", f.withField("node_type", F.lit("NodeTypes/Supplier"))).otherwise(f))
     left = e.members.where("not (role = 'Part' and cast(split(participant_gid, '-')[1] as int) % 7 = 0)")
-    return semantic.endpoint_violations(t, spark.createDataFrame([], semantic.FACETS), semantic.Edges(e.relations, left))
+    odd = e.relations.where("split(rel_gid, '-')[4] = '6'").select("rel_gid", F.lit("Witness").alias("role"), F.lit("Part-1").alias("participant_gid"))
+    s = spark.read.parquet(f"{d}/supplier.parquet").where("s_suppkey % 2 = 0")
+    facets = s.select(F.concat(F.lit("Supplier-"), F.col("s_suppkey").cast("string")).alias("node_gid"), F.lit("NodeTypes/Supplier").alias("type_gid"), F.lit(None).cast("string").alias("witness_gid"))
+    return semantic.endpoint_violations(t.withColumn("fields", typed_supplier), facets, semantic.Edges(e.relations, left.unionByName(odd)))
 
 
-@query("SELECT * FROM (VALUES ('NodeTypes/Line/Definition'), ('NodeTypes/Line/Definition/Fields'), ('NodeTypes/Line/Definition/Slots'), ('NodeTypes/Line/Definition/Fields/Order'), ('NodeTypes/Line/Definition/Fields/Part'), ('NodeTypes/Line/Definition/Fields/Supplier')) t(gid)", graph=False)
+@query("""SELECT gid, k, v FROM (VALUES ('', 'elementKind', 'Edge'), ('', 'isAbstract', 'False')) a(p, k, v), (VALUES ('NodeTypes/Line/Definition')) b(gid)
+UNION ALL SELECT 'NodeTypes/Line/Definition/Fields/' || f, k, v FROM (VALUES ('Order'), ('Part'), ('Supplier')) t(f), (VALUES ('valueKind', 'Node'), ('clrType', 'node'), ('min', '1'), ('max', '1'), ('isCollection', 'False')) a(k, v)
+UNION ALL SELECT * FROM (VALUES ('NodeTypes/Line/Definition/Fields', NULL, NULL), ('NodeTypes/Line/Definition/Slots', NULL, NULL)) g(gid, k, v)""", graph=False)
 def stored_definitions(spark, d):
-    return definitions.stored(_edges(spark, d)[0]).select("gid")
+    """A row for each attribute of the nodes that hold a definition; nodes without any have one row."""
+    return definitions.stored(_edges(spark, d)[0]).select("gid", F.explode_outer("attrs").alias("k", "v"))
 
 
-@query("SELECT split_part(gid, '/', 1) AS component, string_agg(gid, chr(0) ORDER BY gid) AS name FROM nodes WHERE kind IN ('region', 'nation') GROUP BY 1")
+@query("""SELECT 'NodeTypes/Line' AS type_gid, 'Edge' AS element_kind, FALSE AS is_abstract, f AS field, 1 AS min, 1 AS max FROM (VALUES ('Order'), ('Part'), ('Supplier')) t(f)""", graph=False)
+def read_definitions(spark, d):
+    g = PropertyGraph(definitions.stored(_edges(spark, d)[0]), spark.createDataFrame([], "a_gid string, b_gid string"))
+    return definitions.read(g).select("type_gid", "element_kind", "is_abstract", F.explode("fields").alias("f")).select("type_gid", "element_kind", "is_abstract", F.col("f.name").alias("field"), "f.min", "f.max")
+
+
+@query("""SELECT split_part(gid, '/', 1) AS component, string_agg(gid, chr(0) ORDER BY gid) AS name FROM nodes WHERE kind IN ('region', 'nation', 'customer', 'supplier') GROUP BY 1""")
 def component_names(spark, d):
     _, n, e = _tree(spark, d)
-    small = n.where("attrs['kind'] in ('region', 'nation')")
-    c = view.root_components(small, e.join(small.select(F.col("gid").alias("b_gid")), "b_gid", "left_semi")).withColumnRenamed("root_component", "component")
-    return view.component_names(c)
+    return view.component_names(view.root_components(n, e).withColumnRenamed("root_component", "component"))
+
+
+def _streamed_windows(spark, d, slide):
+    """The event table as a stream, counted by windows of an hour."""
+    raw = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/event[s].parquet")  # a pattern: the table may be one file
+    got = changes.window_table(_as_changes(raw), shared_path(spark, "windows"), "1 hour", "10 minutes", slide)
+    return got.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("began"), "op", "n")
 
 
 @query("""WITH c AS (SELECT ts, CASE event_type WHEN 'click' THEN 'add' ELSE 'remove' END AS op FROM events WHERE event_type IN ('click', 'error'))
 SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS began, op, count(*) AS n FROM c GROUP BY ALL""", graph=False)
 def change_windows(spark, d):
-    got = changes.windowed(_changes(spark, d), "1 hour", "10 minutes")
-    return got.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("began"), "op", "n")
+    return _streamed_windows(spark, d, None)
+
+
+@query("""WITH c AS (SELECT ts, CASE event_type WHEN 'click' THEN 'add' ELSE 'remove' END AS op FROM events WHERE event_type IN ('click', 'error'))
+SELECT strftime(time_bucket(INTERVAL 20 MINUTE, ts) - INTERVAL 20 MINUTE * k, '%Y-%m-%d %H:%M:%S') AS began, op, count(*) AS n FROM c, (VALUES (0), (1), (2)) t(k) GROUP BY ALL""", graph=False)
+def change_windows_sliding(spark, d):
+    return _streamed_windows(spark, d, "20 minutes")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

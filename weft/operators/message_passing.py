@@ -2,8 +2,10 @@
 
     Y[v] = act(bias + X[v] Wself + sum over relation types r of (sum of w_e X[u], e: u -> v) W_r)
 
-Messages are first summed per (target, relation type) -- partial sums before the shuffle -- and
-the small matrices are applied after it, so what is shuffled does not depend on the output width.
+Messages are first summed per (target, relation type), a column for each feature -- partial sums
+before the shuffle -- and the small matrices are applied after it, so what is shuffled does not
+depend on the output width. ``strict_layer`` adds in the fixed order of a sequential program
+instead, in single precision.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -127,12 +131,12 @@ def ordinal(df: DataFrame, by: list[str], name: str) -> DataFrame:
     return ranged.withColumn("_place", place).join(F.broadcast(before), "_part").withColumn(name, F.col("before") + F.col("_place")).drop("_part", "_place", "before")
 
 
-def messages(nodes: DataFrame, relations: DataFrame) -> DataFrame:
+def messages(nodes: DataFrame, relations: DataFrame, width: int) -> DataFrame:
     """dst, type_key, sums: weighted feature sums of incoming relations, position by position."""
     src = nodes.select(F.col("key").alias("src"), "x")
-    spread = relations.join(src, "src").select("dst", "type_key", "w", F.posexplode("x").alias("i", "v"))
-    cell = spread.groupBy("dst", "type_key", "i").agg(F.sum(F.col("w").cast("double") * F.col("v")).alias("s"))
-    return cell.groupBy("dst", "type_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda p: p["s"]).alias("sums"))
+    sent = relations.join(src, "src").select("dst", "type_key", F.col("w").cast("double").alias("w"), "x")
+    cells = sent.groupBy("dst", "type_key").agg(*(F.sum(F.col("w") * F.get("x", F.lit(i))).alias(f"s{i}") for i in range(width)))
+    return cells.select("dst", "type_key", F.array(*(f"s{i}" for i in range(width))).alias("sums"))
 
 
 def _times(vector: Column, matrix: list[list[float]]) -> list[Column]:
@@ -140,28 +144,99 @@ def _times(vector: Column, matrix: list[list[float]]) -> list[Column]:
     return [F.aggregate(F.zip_with(vector, F.array(*(F.lit(float(v)) for v in c)), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) for c in cols]
 
 
+def _checked(layer: Layer) -> None:
+    bad = layer_diagnostics(layer)
+    if bad:
+        raise ValueError("; ".join(f"{c}: {m}" for c, m in bad))
+
+
+def _transforms(spark, layer: Layer) -> DataFrame:
+    """type_key, matrix of the relation types, a row for each."""
+    rows = [(t, [[float(v) for v in r] for r in zip(*m)]) for t, m in sorted(layer.relations.items())]
+    return spark.createDataFrame(rows, "type_key string, matrix array<array<double>>")
+
+
 def apply_layer(nodes: DataFrame, relations: DataFrame, layer: Layer) -> DataFrame:
     """key, y of every node; nodes without incoming relations get bias and own part.
 
-    Sums are taken in double and rounded to float at the end (exact where the products are).
+    Sums are taken in double and rounded to float at the end (exact where the products are). The
+    matrices are a small table (a row for each relation type), so the plan does not grow with them.
     """
-    bad = layer_diagnostics(layer)
-    if bad:
-        raise ValueError("; ".join(f"{c}: {m}" for c, m in bad))
+    _checked(layer)
     width = layer.outputs
     zero = F.array(*(F.lit(0.0) for _ in range(width)))
-    m = messages(nodes, relations)
-    used = sorted(layer.relations)
-    change = F.raise_error(F.concat(F.lit("spec.relation_transform.missing: "), F.col("type_key"))).cast("array<double>")
-    for t in used:
-        change = F.when(F.col("type_key") == t, F.array(*_times(F.col("sums"), layer.relations[t]))).otherwise(change)
-    moved = m.select("dst", F.posexplode(change).alias("o", "v")).groupBy("dst", "o").agg(F.sum("v").alias("v")).groupBy("dst").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "v"))), lambda p: p["v"]).alias("got"))
+    sums = messages(nodes, relations, layer.inputs).join(F.broadcast(_transforms(nodes.sparkSession, layer)), "type_key", "left")
+    known = F.coalesce("matrix", F.raise_error(F.concat(F.lit("spec.relation_transform.missing: "), F.col("type_key"))).cast("array<array<double>>"))
+    moved = sums.select("dst", F.transform(known, lambda column: F.aggregate(F.zip_with("sums", column, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)).alias("v"))
+    got = moved.groupBy("dst").agg(*(F.sum(F.get("v", F.lit(o))).alias(f"v{o}") for o in range(width)))
+    got = got.select("dst", F.array(*(f"v{o}" for o in range(width))).alias("got"))
     own = F.array(*_times(F.transform("x", lambda v: v.cast("double")), layer.own)) if layer.own is not None else zero
     bias = F.array(*(F.lit(float(b)) for b in layer.bias)) if layer.bias is not None else zero
     total = F.zip_with(F.zip_with(bias, own, lambda a, b: a + b), F.coalesce("got", zero), lambda a, b: a + b)
     if layer.activation.lower() == "relu":
         total = F.transform(total, lambda v: F.greatest(F.lit(0.0), v))
-    return nodes.join(moved, F.col("key") == F.col("dst"), "left").select("key", F.transform(total, lambda v: v.cast("float")).alias("y"))
+    return nodes.join(got, F.col("key") == F.col("dst"), "left").select("key", F.transform(total, lambda v: v.cast("float")).alias("y"))
+
+
+def strict_layer(nodes: DataFrame, relations: DataFrame, layer: Layer) -> DataFrame:
+    """key, y as a sequential program in single precision computes them.
+
+    For each target and output: the bias, then the own features, then the relations by type,
+    source and key, each feature by feature, added one after the other as 32-bit numbers. The
+    terms of a target stream through one task in that order (a sum in a fixed order has no parts),
+    a batch at a time.
+    """
+    _checked(layer)
+    src = nodes.select(F.col("key").alias("src"), "x")
+    sent = relations.join(src, "src").select(F.col("dst").alias("t"), "type_key", "src", "key", F.col("w").cast("float").alias("w"), "x")
+    none = F.lit(None).cast("string")
+    own = nodes.select(F.col("key").alias("t"), none.alias("type_key"), none.alias("src"), none.alias("key"), F.lit(1.0).cast("float").alias("w"), "x")
+    every = own.unionByName(sent).repartition("t").sortWithinPartitions("t", F.col("type_key").asc_nulls_first(), "src", "key")
+    single, outputs = np.float32, layer.outputs
+    matrices: dict[str | None, np.ndarray] = {t: np.array(m, single).reshape(layer.inputs, layer.outputs) for t, m in layer.relations.items()}
+    matrices[None] = np.array(layer.own, single).reshape(layer.inputs, layer.outputs) if layer.own is not None else None
+    bias = np.array(layer.bias, single) if layer.bias is not None else np.zeros(layer.outputs, single)
+    relu = layer.activation.lower() == "relu"
+
+    def run(batches):
+        target: str | None = None
+        known, value = False, bias
+
+        def row():
+            y = np.maximum(single(0), value) if relu else value
+            return target, y.tolist()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            done = []
+            t, kind = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            w, x = np.asarray(batch.column(4)), np.asarray(batch.column(5).flatten(), single).reshape(batch.num_rows, -1)
+            lo = 0
+            while lo < len(t):
+                hi = lo + 1
+                while hi < len(t) and t[hi] == t[lo] and kind[hi] == kind[lo]:
+                    hi += 1
+                if not known or t[lo] != target:
+                    if known:
+                        done.append(row())
+                    target, known, value = t[lo], True, bias
+                if kind[lo] is not None and kind[lo] not in matrices:
+                    raise ValueError(f"spec.relation_transform.missing: {kind[lo]}")
+                m = matrices[kind[lo]]
+                if m is not None:
+                    terms = ((w[lo:hi, None] * x[lo:hi])[:, :, None] * m).reshape(-1, outputs)
+                    value = np.cumsum(np.concatenate([value[None], terms]), axis=0, dtype=single)[-1]
+                lo = hi
+            if done:
+                yield _outputs(done)
+        if known:
+            yield _outputs([row()])
+
+    def _outputs(rows):
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([y for _, y in rows], pa.list_(pa.float32()))], names=["key", "y"])
+
+    return every.mapInArrow(run, "key string, y array<float>")
 
 
 def indexed(nodes: DataFrame) -> DataFrame:
@@ -232,12 +307,29 @@ def chunks(nodes: DataFrame, relations: DataFrame, max_core: int = MAX_CORE) ->
     return core.withColumn("is_core", F.lit(True)).unionByName(halo.withColumn("is_core", F.lit(False)))
 
 
-def run_graph(graph, roots, max_depth: int, features: Column, type_key: str, layer: Layer) -> DataFrame:
-    """Subgraph, lowering and one layer: key, y. ``features`` is a column over gid and attrs."""
+def apply_chunked(nodes: DataFrame, relations: DataFrame, layer: Layer, max_core: int = MAX_CORE) -> DataFrame:
+    """key, y by chunks: each computes its core from core and halo alone, then the chunks are merged.
+
+    A node that two chunks produce, or none, is an error when its row is read.
+    """
+    c = chunks(nodes, relations, max_core)
+    inside = lambda column: F.concat_ws("/", F.col("chunk").cast("string"), column)
+    members = nodes.join(c, "key").select(inside(F.col("key")).alias("key"), "type_keys", "x", F.col("key").alias("node"), "is_core")
+    core = c.where("is_core").select("chunk", F.col("key").alias("dst"))
+    own = relations.join(core, "dst").select("key", "type_key", inside(F.col("src")).alias("src"), inside(F.col("dst")).alias("dst"), "w")
+    out = apply_layer(members, own, layer).join(members.where("is_core").select("key", "node"), "key")
+    one = out.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.first("y").alias("y"))
+    merged = nodes.select("key").join(one, F.col("key") == F.col("node"), "left")
+    wrong = F.when(F.col("n").isNull(), F.raise_error(F.concat(F.lit("no chunk produced "), F.col("key")))).otherwise(F.raise_error(F.concat(F.lit("several chunks produced "), F.col("key"))))
+    return merged.select("key", F.when(F.col("n") == 1, F.col("y")).otherwise(wrong.cast("array<float>")).alias("y"))
+
+
+def run_graph(graph, roots, max_depth: int, features: Column, type_key: str, layer: Layer, max_core: int = MAX_CORE) -> DataFrame:
+    """Subgraph, lowering and one layer, by chunks: key, y. ``features`` is a column over gid and attrs."""
     from weft.operators import traverse
 
     if max_depth < 0:
         raise ValueError("the depth is negative")
     near = traverse.subgraph(graph, roots, max_depth).select("gid")
     nodes = graph.nodes.join(near, "gid", "left_semi").select(F.col("gid").alias("key"), F.array(F.lit("node")).alias("type_keys"), features.cast("array<float>").alias("x"))
-    return apply_layer(nodes, lower_edges(nodes, graph.edges, type_key), layer)
+    return apply_chunked(nodes, lower_edges(nodes, graph.edges, type_key), layer, max_core)

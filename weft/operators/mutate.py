@@ -52,10 +52,11 @@ def without_attribute(attrs: Column, key: str) -> Column:
 
 def slot_clashes(graph: PropertyGraph, links: DataFrame) -> DataFrame:
     """owner, local id of two different neighbours that share a local id, case ignored."""
-    after = PropertyGraph(graph.base, graph.links.unionByName(links.select("a_gid", "b_gid")))
-    slots = after.adj.select("src", F.lower(names.local_id(F.col("dst"))).alias("slot"), "dst").distinct()
     touched = links.select(F.explode(F.array("a_gid", "b_gid")).alias("src")).distinct()
-    return slots.join(touched, "src", "left_semi").groupBy("src", "slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("src", "slot")
+    after = PropertyGraph(graph.base, graph.links.unionByName(links.select("a_gid", "b_gid")))
+    near = after.adj.join(touched, "src", "left_semi")
+    slots = near.select("src", F.lower(names.local_id(F.col("dst"))).alias("slot"), "dst").distinct()
+    return slots.groupBy("src", "slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("src", "slot")
 
 
 def connect(graph: PropertyGraph, rows: DataFrame) -> PropertyGraph:
@@ -91,18 +92,23 @@ def relocate(graph: PropertyGraph, gid: str) -> PropertyGraph:
 
 
 def move(graph: PropertyGraph, old: str, new: str) -> PropertyGraph:
-    """Rewrite a path prefix in nodes and links; a link that would join ancestor and descendant is refused."""
+    """Rewrite a path prefix in nodes and links; a link that would join ancestor and descendant is refused.
+
+    The moved tables are written once; the rules are read off them in one job.
+    """
     if new == old or new.startswith(old + "/"):
         raise GraphError("a subtree cannot move into itself")
     go = lambda c: names.moved(F.col(c), F.lit(old), F.lit(new))
-    _refuse(graph.base.where(F.col("gid") == new).select("gid"), "the place is taken")
     parent = new.rsplit("/", 1)[0] if "/" in new else None
-    moved_links = graph.links.select(go("a_gid").alias("a_gid"), go("b_gid").alias("b_gid"))
+    nodes = cut(graph.base.select(go("gid").alias("gid"), "attrs", (F.col("gid") == new).alias("taken")))
+    links = graph.links.select(F.least(go("a_gid"), go("b_gid")).alias("a_gid"), F.greatest(go("a_gid"), go("b_gid")).alias("b_gid"))
     if parent is not None:  # the link to the new parent becomes the hierarchy edge
-        moved_links = moved_links.where(~(F.col("a_gid").isin(parent, new) & F.col("b_gid").isin(parent, new)))
-    _refuse(moved_links.where(names.is_descendant(F.col("b_gid"), F.col("a_gid")) | names.is_descendant(F.col("a_gid"), F.col("b_gid"))), "a link would join a node with its ancestor")
-    nodes = graph.base.select(go("gid").alias("gid"), "attrs")
-    return PropertyGraph(cut(nodes), cut(moved_links.select(F.least("a_gid", "b_gid").alias("a_gid"), F.greatest("a_gid", "b_gid").alias("b_gid"))))
+        links = links.where(~(F.col("a_gid").isin(parent, new) & F.col("b_gid").isin(parent, new)))
+    links = cut(links)
+    taken = nodes.where("taken").select(F.lit("the place is taken").alias("why"), F.col("gid").alias("a"), F.lit("").alias("b"))
+    joined = links.where(names.is_descendant(F.col("b_gid"), F.col("a_gid")) | names.is_descendant(F.col("a_gid"), F.col("b_gid")))
+    _refuse(taken.unionByName(joined.select(F.lit("a link would join a node with its ancestor").alias("why"), F.col("a_gid").alias("a"), F.col("b_gid").alias("b"))), "the subtree cannot move")
+    return PropertyGraph(nodes.drop("taken"), links)
 
 
 def delete_subtrees(graph: PropertyGraph, gids: list[str]) -> PropertyGraph:
@@ -130,12 +136,16 @@ def remove_neighbour(graph: PropertyGraph, owner: str, gid: str) -> PropertyGrap
 
 def clear_neighbours(graph: PropertyGraph, owner: str) -> PropertyGraph:
     """Remove every neighbour below or beside owner, as remove_neighbour does, all at once."""
-    near = graph.adj.where((F.col("src") == owner) & ~names.is_descendant(F.lit(owner), F.col("dst")))
-    degree = graph.degree().withColumnRenamed("gid", "dst")
-    lonely = [r["dst"] for r in near.join(degree, "dst").where("degree = 1").select("dst").collect()]
-    rest = graph.links.where((F.col("a_gid") != owner) & (F.col("b_gid") != owner))
-    out = PropertyGraph(graph.base, cut(rest))
-    return delete_subtrees(out, lonely) if lonely else out
+    near = graph.adj.where((F.col("src") == owner) & ~names.is_descendant(F.lit(owner), F.col("dst"))).select(F.col("dst").alias("gid")).distinct()
+    around = graph.adj.join(near.select(F.col("gid").alias("src")), "src", "left_semi").groupBy("src").agg(F.count_distinct("dst").alias("n"))
+    gone = cut(around.where("n = 1").select(F.col("src").alias("top")))
+    # A node goes with all below it: its path or one of its ancestors' is gone.
+    inside = graph.base.select("gid", F.explode(F.concat(names.ancestors(F.col("gid")), F.array("gid"))).alias("top")).join(gone, "top", "left_semi").select("gid").distinct()
+    left = cut(graph.base.join(inside, "gid", "left_anti"))
+    links = graph.links.where((F.col("a_gid") != owner) & (F.col("b_gid") != owner))
+    for end in ("a_gid", "b_gid"):
+        links = links.join(inside.withColumnRenamed("gid", end), end, "left_anti")
+    return PropertyGraph(left, cut(links.select("a_gid", "b_gid")))
 
 
 def attach(graph: PropertyGraph, parent: str, staged: PropertyGraph) -> PropertyGraph:

@@ -1,7 +1,9 @@
 """Bounded reachability, subgraphs, closures and components as frontier loops.
 
-Each round joins the frontier with the adjacency and drops what was met before; the round's
-result is cut off from its lineage, so plans stay small and a lost executor costs one round.
+The adjacency is written once, by its source, and every round reads that: the frontier comes to it
+by broadcast while it is small (its size is known, since each round is written too), else by a
+join. A round's result is cut off from its lineage, so plans stay small and a lost executor costs
+one round.
 """
 
 from __future__ import annotations
@@ -14,25 +16,38 @@ from pyspark.sql import functions as F
 from weft.plans.session import cut
 from weft.sources.graph import PropertyGraph
 
+#: A frontier of at most so many rows goes to the adjacency by broadcast.
+SMALL_FRONTIER = 100_000
+
+
+def _beside(frontier: DataFrame, size: int | None = None) -> DataFrame:
+    """A frontier as the side of a join that may be broadcast, if its counted size allows."""
+    n = frontier.count() if size is None else size
+    return F.broadcast(frontier) if n <= SMALL_FRONTIER else frontier
+
 
 def reach(adj: DataFrame, sources: DataFrame, min_depth: int, max_depth: int, include_self: bool = False) -> DataFrame:
     """src, dst, dist: shortest distances in [min_depth, max_depth] from ``sources(gid)``.
 
     The start itself comes at distance 0 only with include_self and min_depth 0.
     """
-    hop = adj.select("src", "dst")
+    hop = adj.select(F.col("src").alias("mid"), F.col("dst").alias("next"))
     start = sources.select(F.col("gid").alias("src"), F.col("gid").alias("dst"), F.lit(0).alias("dist"))
     if max_depth <= 0:
         return start if include_self and min_depth == 0 else start.where("false")
-    step = hop.select(F.col("src").alias("mid"), F.col("dst").alias("next"))
-    levels, frontier = [start], start
+    if max_depth > 1:
+        hop, start = cut(hop), cut(start)
+    levels, frontier, size = [start], start, start.count() if max_depth > 1 else None
     for d in range(1, max_depth + 1):
         met = reduce(DataFrame.unionByName, levels[-2:])  # undirected: a next node is met one or two levels up, or new
-        near = frontier.select("src", "dst").join(step, F.col("dst") == F.col("mid")).select("src", F.col("next").alias("dst")).distinct()
+        here = frontier.select("src", "dst")
+        here = here if size is None else _beside(here, size)
+        near = hop.join(here, F.col("dst") == F.col("mid")).select("src", F.col("next").alias("dst")).distinct()
         frontier = near.join(met.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("dist", F.lit(d))
         if max_depth > 1:
             frontier = cut(frontier)
-            if frontier.isEmpty():
+            size = frontier.count()
+            if not size:
                 break
         levels.append(frontier)
     low = max(min_depth, 0)
@@ -49,16 +64,21 @@ def subgraph(graph: PropertyGraph, roots: list[str] | None, max_depth: int) -> D
         start = graph.roots().select("gid")
     else:
         start = graph.nodes.select("gid").where(F.col("gid").isin(roots)).distinct()
-        known = {r["gid"] for r in start.collect()}  # as many rows as the caller named roots
+    found = frontier = cut(start.withColumn("dist", F.lit(0)))
+    if roots and roots != [""]:
+        known = {r["gid"] for r in found.select("gid").collect()}  # as many rows as the caller named roots
         missing = sorted(set(roots) - known)
         if missing:
             raise LookupError(f"NotFound: {', '.join(missing)}")
-    found = frontier = cut(start.withColumn("dist", F.lit(0)))
     hop = graph.adj.select("src", "dst")
+    if max_depth > 1:
+        hop = cut(hop)
+    size = found.count()
     for d in range(1, max_depth + 1):
-        near = frontier.join(hop, F.col("gid") == F.col("src")).select(F.col("dst").alias("gid")).distinct()
+        near = hop.join(_beside(frontier.select("gid"), size), F.col("gid") == F.col("src")).select(F.col("dst").alias("gid")).distinct()
         frontier = cut(near.join(found.select("gid"), "gid", "left_anti").withColumn("dist", F.lit(d)))
-        if frontier.isEmpty():
+        size = frontier.count()
+        if not size:
             break
         found = found.unionByName(frontier)
     return found
@@ -67,9 +87,9 @@ def subgraph(graph: PropertyGraph, roots: list[str] | None, max_depth: int) -> D
 def traverse(graph: PropertyGraph, start: str) -> DataFrame:
     """Every node reachable from ``start``, once; order is not kept."""
     found = frontier = cut(graph.get(start).select("gid"))
-    hop = graph.adj.select("src", "dst")
-    while not frontier.isEmpty():
-        near = frontier.join(hop, F.col("gid") == F.col("src")).select(F.col("dst").alias("gid")).distinct()
+    hop = cut(graph.adj.select("src", "dst"))
+    while size := frontier.count():
+        near = hop.join(_beside(frontier, size), F.col("gid") == F.col("src")).select(F.col("dst").alias("gid")).distinct()
         frontier = cut(near.join(found, "gid", "left_anti"))
         found = cut(found.unionByName(frontier))
     return found

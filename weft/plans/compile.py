@@ -41,6 +41,11 @@ def _c(v: str) -> str:
     return "v_" + v
 
 
+def _is(gid: Column, sel: Literal) -> Column:
+    """Whether a node is the one a literal names; case does not matter."""
+    return F.lower(gid) == F.lower(names.normalized(F.lit(sel.name)))
+
+
 def _match(*parts) -> Column:
     return F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
 
@@ -55,7 +60,7 @@ class Compiler:
         """Join table to s. sides: column of table -> selector; other columns feed score and ord."""
         for side, sel in sides.items():
             if isinstance(sel, Literal):
-                table = table.where(F.col(side) == names.normalized(F.lit(sel.name)))
+                table = table.where(_is(F.col(side), sel))
         variables: dict[str, list[str]] = {}
         for side, sel in sides.items():
             if isinstance(sel, Var):
@@ -208,7 +213,7 @@ class Compiler:
 
     def _ends(self, sel: Var | Literal, s: State) -> DataFrame | None:
         if isinstance(sel, Literal):
-            return self.graph.nodes.where(F.col("gid") == names.normalized(F.lit(sel.name))).select("gid")
+            return self.graph.nodes.where(_is(F.col("gid"), sel)).select("gid")
         if s.bound.get(sel.key) == BOUND:
             return s.df.select(s.col(sel.key).alias("gid")).distinct()
         return None
@@ -232,7 +237,7 @@ class Compiler:
             if not known(sel) or isinstance(sel, Literal):
                 s = self._add(s, self.graph.nodes.select("gid"), {"gid": sel}, F.lit(0.0), [])
                 s = State(s.df, s.bound)
-        value = lambda x: s.col(x.key) if isinstance(x, Var) else names.normalized(F.lit(x.name))
+        value = lambda x: F.lower(s.col(x.key) if isinstance(x, Var) else names.normalized(F.lit(x.name)))
         test = value(left) == value(right) if same else value(left) != value(right)
         return State(s.df.where(test).withColumn("score", F.col("score") + 0.1).withColumn("matched", F.concat("matched", F.array(match))), s.bound)
 

@@ -27,9 +27,14 @@ def neighbour_by_id(key: str, value: str) -> dict:
     return {"return": ["n", "x"], "where": {"kind": "all", "expressions": [{"kind": "connected", "left": _var("n"), "right": _var("x")}, {"kind": "attribute", "node": _var("x"), "key": key, "operator": "equals", "value": value}]}}
 
 
-def neighbour_connected(to: str) -> dict:
-    return {"return": ["n"], "where": {"kind": "all", "expressions": [{"kind": "connected", "left": _var("n"), "right": _var("x")}, {"kind": "connected", "left": _var("x"), "right": _lit(to)}, {"kind": "notSame", "left": _var("n"), "right": _lit(to)}]}}
+def neighbour_connected(limit: int = 50) -> dict:
+    return {
+        "return": ["n", "x", "z"],
+        "where": {"kind": "all", "expressions": [{"kind": "connected", "left": _var("n"), "right": _var("x")}, {"kind": "connected", "left": _var("x"), "right": _var("z")}]},
+        "limit": limit,
+    }
 
 
-def isolated() -> dict:
-    return {"return": ["n"], "where": {"kind": "all", "expressions": [{"kind": "node", "node": _var("n")}, {"kind": "not", "expression": {"kind": "exists", "variables": ["x"], "expression": {"kind": "connected", "left": _var("n"), "right": _var("x")}}}]}}
+def isolated(limit: int = 50) -> dict:
+    lonely = {"kind": "exists", "variables": ["y"], "expression": {"kind": "connected", "left": _var("x"), "right": _var("y")}}
+    return {"return": ["x"], "where": {"kind": "all", "expressions": [{"kind": "node", "node": _var("x")}, {"kind": "not", "expression": lonely}]}, "limit": limit}

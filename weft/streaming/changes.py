@@ -33,6 +33,25 @@ def on_batches(stream: DataFrame, rebuild: Callable[[DataFrame, int], None], che
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def window_table(stream: DataFrame, path: str, length: str, late: str, slide: str | None = None) -> DataFrame:
+    """Run ``windowed`` over all that a stream has now; the windows' last counts, from a table under ``path``.
+
+    Each batch adds the windows it changed, with its number, so a batch that is run twice changes
+    nothing; the newest row of a window counts.
+    """
+    spark = stream.sparkSession
+    got = windowed(stream, length, late, slide)
+    schema = got.withColumn("batch", F.lit(0).cast("long")).schema
+
+    def add(df: DataFrame, n: int) -> None:
+        df.withColumn("batch", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{path}/rows/n={n}")
+
+    got.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{path}/rows")
+    return rows.groupBy("window", "op").agg(F.max_by("n", "batch").alias("n"))
+
+
 def windowed(stream: DataFrame, length: str, late: str, slide: str | None = None) -> DataFrame:
     """Changes per window and op; events later than ``late`` are left out."""
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
     return stream.withWatermark("ts", late).groupBy(F.window("ts", length, slide) if slide else F.window("ts", length), "op").agg(F.count(F.lit(1)).alias("n"))
