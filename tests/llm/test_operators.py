@@ -290,7 +290,33 @@ def test_quality_classifier_on_held_out_rows(spark):
     edge = quality_classifier.scored(quality_classifier.with_features(documents(spark, EDGES, True)), model).collect()
     assert len(edge) == len(EDGES) and all(0 <= x["score"] <= 1 for x in edge)
     assert quality_classifier.scored(quality_classifier.with_features(empty(spark)), model).count() == 0
-    quality_classifier.fit(quality_classifier.with_features(docs), labels.limit(0))
+    # Labels of one class, or none: the prior decides, alike for all.
+    for one, sign in ((labels.where("quality = 1"), 1), (labels.where("quality = 0"), -1), (labels.limit(0), 0)):
+        m = quality_classifier.fit(quality_classifier.with_features(docs), one)
+        assert np.sign(np.round(m.odds, 9)) == sign
+        assert {round(x["score"], 9) for x in quality_classifier.scored(quality_classifier.with_features(docs.limit(20)), m).collect()} == {round(float(1 / (1 + np.exp(-2 * sign * np.sqrt(abs(m.odds))))), 9)}
+
+
+def test_quality_classifier_equals_brute_force(spark):
+    """Means, covariances and log odds from all rows at once; sums do not depend on partitions."""
+    docs, labels = table(spark, "documents"), table(spark, "labels")
+    feats = quality_classifier.with_features(docs)
+    model = quality_classifier.fit(feats, labels)
+    again = quality_classifier.fit(feats.repartition(13), labels.repartition(5))
+    assert (model.mean == again.mean).all() and (model.covariance == again.covariance).all()
+    of = {x["doc_id"]: x["quality"] for x in labels.collect() if zlib.crc32(str(x["doc_id"]).encode()) % 3 != 1}
+    rows = [(x["doc_id"], x["x"]) for x in feats.collect()]
+    x = [np.array([v for i, v in rows if of.get(i) == k]) for k in (0, 1)]
+    cov = [np.cov(a.T, bias=True) for a in x]
+    both = sum(len(a) * c for a, c in zip(x, cov)) / sum(map(len, x))
+    cov = [0.6 * c + 0.3 * both + 0.1 * np.diag(np.diag(both)) + 1e-4 * np.eye(len(both)) for c in cov]
+    every = np.array([v for _, v in rows])
+    log_density = []
+    for a, c in zip(x, cov):
+        d = every - a.mean(0)
+        log_density.append(-0.5 * np.einsum("ij,ij->i", d @ np.linalg.inv(c), d) - 0.5 * np.linalg.slogdet(c)[1])
+    want = log_density[1] - log_density[0] + np.log((len(x[1]) + 1) / (len(x[0]) + 1))
+    assert np.allclose(model.gap(every), want, rtol=1e-3, atol=0.05)
 
 
 # 5

@@ -64,3 +64,19 @@ def test_run_gives_the_last_stage(spark):
     assert os.path.isdir(SF)
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "n_tokens", "ids"} <= set(out.columns) and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, clashing names in another case; and no rows at all."""
+    good = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars between 600 and 3000").orderBy("doc_id").limit(4).collect()
+    rows = [(x["doc_id"], x["text"]) for x in good] + [(None, good[0]["text"]), (None, None), (77, None), (78, ""), (good[1]["doc_id"], good[1]["text"])]
+    docs = spark.createDataFrame([(i, t, "x", k) for k, (i, t) in enumerate(rows)], "doc_id long, Text string, lang string, n_chars int")
+    for c in ("text_hash", "at", "class_id", "kept", "__id", "bands", "h"):
+        docs = docs.withColumn(c, docs["lang"])
+    for name, some in (("some", docs), ("none", docs.limit(0))):
+        os.makedirs(tmp_path / name)
+        got = stages(spark, some, SF, tmp_path / name)
+        assert all(x.columns == docs.columns for x in got[1:5]) and got[5].columns[:2] == ["doc_id", "n_tokens"]
+        counts = [x.count() for x in got]
+        assert counts == sorted(counts, reverse=True) and (counts[5] > 0) == (name == "some")
+    assert {x["doc_id"] for x in spark.read.parquet(str(tmp_path / "some" / "2")).collect()} <= {i for i, _ in rows}

@@ -10,6 +10,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.plans.session import shared_dir
+
 
 def ensure_importable(spark: SparkSession) -> None:
     """Ship this package to the Python workers, unless they find it as the driver does.
@@ -47,36 +49,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``.
-
-    Only where the session leaves it unset (tests on one machine) is a folder made here.
-    """
-    sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(configured)
-        return configured.rstrip("/")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="weft-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-_MADE: list[str] = []
+#: Places of intermediate tables, by application.
+_MADE: dict[str, list[str]] = {}
 
 
 def new_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _MADE.append(path)
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 
 def release(spark: SparkSession) -> None:
-    """Delete the intermediate tables of this process, once the results that read them are stored."""
-    jvm = spark.sparkContext._jvm
-    while _MADE:
-        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+    """Delete the intermediate tables of this application, once the results that read them are stored."""
+    jvm, made = spark.sparkContext._jvm, _MADE.pop(spark.sparkContext.applicationId, [])
+    for place in made:
+        path = jvm.org.apache.hadoop.fs.Path(place)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -106,6 +93,12 @@ def by_name(df: DataFrame, name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def position(df: DataFrame, name: str) -> int:
+    """Where a column stands, as Spark resolves names: case does not matter."""
+    at = [k for k, c in enumerate(df.columns) if c.lower() == name.lower()]
+    return df.columns.index(name) if name in df.columns else at[0]
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads, under fixed names; extra columns can't clash."""
     return docs.select(by_name(docs, id_col).cast("long").alias("doc_id"), by_name(docs, text_col).cast("string").alias("text"))

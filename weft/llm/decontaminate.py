@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.llm import _batch as B
-from weft.llm._shared import by_name, fresh, id_text
+from weft.llm._shared import by_name, fresh, id_text, position
 
 WINDOW = 10
 #: Bytes of benchmark text in one block of patterns; a larger benchmark is searched block by block.
@@ -258,7 +258,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *
     empty texts stay.
     """
     out = docs
-    at = docs.columns.index(text_col)
+    at = position(docs, text_col)
     for block in _blocks(benchmark, "item_id", "text", block_bytes):
         shared, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 

@@ -206,7 +206,9 @@ def deduplicated(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id"
     """docs with the aligned blocks cut from the later documents' texts; all other columns stay.
 
     A document that had words and has none left is wholly contained in earlier ones and goes.
-    An integer column ``n_chars`` is set to the new length where the text changed.
+    An integer column ``n_chars`` is set to the new length where the text changed. Null texts stay
+    as they are; the earlier of two documents is that of lesser id, null ids first, and of equal
+    ids that of lesser text hash; repeated rows are cut alike.
     """
     _, gone = deletions(spark, id_text(docs, id_col, text_col), block_words=block_words)
     i, t, at, keep = fresh(docs, "id", "hash", "at", "left")
@@ -218,9 +220,9 @@ def deduplicated(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id"
     joined = joined.where(F.col(keep).isNull() | F.col(keep).rlike(r"[^\x20\x09-\x0D]"))
     cols = []
     for c, kind in docs.dtypes:
-        if c == text_col:
+        if c.lower() == text_col.lower():
             cols.append(F.coalesce(F.col(keep), by_name(docs, c)).alias(c))
-        elif c == "n_chars" and kind in ("int", "bigint"):
+        elif c.lower() == "n_chars" and kind in ("int", "bigint"):
             cols.append(F.when(F.col(keep).isNotNull(), F.length(keep).cast(kind)).otherwise(by_name(docs, c)).alias(c))
         else:
             cols.append(by_name(docs, c))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import dart_minhash, decontaminate, html_diff, line_dedup, ngram_lm, quality_classifier, quality_rules, sp_codec, token_counts, token_store
+from weft.llm import pipeline as corpus
 from weft.llm._shared import table, written
 
 #: Tokens above which a document does not fit.
@@ -66,9 +67,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return corpus.run(spark, sf_dir)
 
 
 def queries() -> dict:

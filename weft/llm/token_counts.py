@@ -24,7 +24,9 @@ def count_slice(tokenizer_path: str, data, off) -> list[int]:
     if tokenizer_path.endswith(".model"):
         from weft.llm.sp_codec import Codec
 
-        return [len(x) // 4 for x, _ in Codec.get(tokenizer_path).encode(list(B.doc_bytes(data, off)))]
+        codec, texts = Codec.get(tokenizer_path), list(B.doc_bytes(data, off))
+        # Where the rebuilt model cuts a text otherwise than its library, the library counts.
+        return [len(x) // 4 if same else len(codec.check.encode(t.decode())) for t, (x, same) in zip(texts, codec.encode(texts))]
     return [len(x) // 4 for x in WordEncoder.get(tokenizer_path).encode_slice(data, off)]
 
 
