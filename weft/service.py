@@ -19,9 +19,14 @@ _RELATED = "id string, type_ids array<string>, attributes map<string,string>, me
 
 
 class Service:
-    def __init__(self, graph: PropertyGraph, store: typed.TypedGraph | None = None, edges: semantic.Edges | None = None, profile: str = "Raw"):
+    def __init__(
+        self, graph: PropertyGraph, store: typed.TypedGraph | None = None, edges: semantic.Edges | None = None, profile: str = "Raw",
+        types: DataFrame | None = None, facets: DataFrame | None = None,
+    ):
         self.graph, self.store, self.edges, self.profile = graph, store, edges, profile
-        self.spark = graph.spark
+        self.spark = spark = graph.spark
+        self.types = spark.createDataFrame([], semantic.TYPES) if types is None else types
+        self.facets = spark.createDataFrame([], semantic.FACETS) if facets is None else facets
 
     def handle(self, method: str, path: str, body: dict | None = None, **query):
         """Answer one request; errors become their status codes."""
@@ -74,6 +79,36 @@ class Service:
         self.graph = mutate.disconnect(self.graph, b["source"], b["target"])
         return 204, None
 
+    def assign_type(self, b, _):
+        rows = self.spark.createDataFrame([(b["internalId"], b["typeGlobalId"])], "node_gid string, type_gid string")
+        if self.graph.get(b["internalId"]).isEmpty():
+            return 404, {"error": "NotFound"}
+        self.facets = semantic.assign(self.graph, self.types, self.facets, rows)
+        return self._with_types([b["internalId"]])
+
+    def change_edge_type(self, b, _):
+        """The edge of two nodes becomes a relation; the type's roles take them in the order of its fields."""
+        ends, type_gid = [b["node1InternalId"], b["node2InternalId"]], b["typeGlobalId"]
+        roles = self.types.where(F.col("type_gid") == type_gid).select(F.filter("fields", lambda f: f["value_kind"] == "Node").alias("f")).collect()
+        if not roles or any(self.graph.get(g).isEmpty() for g in ends):
+            return 404, {"error": "NotFound"}
+        if len(roles[0]["f"]) != 2:
+            return 400, {"error": f"{type_gid} does not join two nodes"}
+        if self.edges is None:
+            self.edges = semantic.Edges(self.spark.createDataFrame([], semantic.RELATIONS), self.spark.createDataFrame([], semantic.MEMBERS))
+        name = "-".join([type_gid.rsplit("/", 1)[-1].lower(), *(g.rsplit("/", 1)[-1] for g in ends)])
+        given = {f["name"]: [g] for f, g in zip(roles[0]["f"], ends)}
+        self.graph, self.edges = semantic.change_edge_type(self.graph, self.types, self.facets, self.edges, type_gid, given, name)
+        status, body = self._with_types(ends)
+        return status, {**body, "relation": name}
+
+    def _with_types(self, gids: list[str]):
+        """A few nodes, the edges among them, and their facets."""
+        some = self.graph.nodes.where(F.col("gid").isin(gids)).select("gid")
+        plain = lambda df: [r.asDict(True) for r in df.collect()]  # noqa: E731  as many rows as nodes were named, or pairs of them
+        types = self.facets.where(F.col("node_gid").isin(gids)).orderBy("node_gid", "type_gid")
+        return 200, {"nodes": plain(self.graph.nodes.where(F.col("gid").isin(gids)).orderBy("gid")), "edges": plain(traverse.induced_edges(self.graph, some)), "types": plain(types)}
+
     def subgraph(self, b, _):
         near = traverse.subgraph(self.graph, b.get("roots") or [], int(b.get("maxDepth", 1)))
         nodes = view.responses(self.graph, near.select("gid"))
@@ -107,7 +142,8 @@ class Service:
         return self._rows(self.store.get(q["id"]), False)
 
     def incident(self, _, q):
-        return self._rows(self.store.incident([q["participantId"]]))
+        """Relations as lines: a node may take part in any number of them."""
+        return 200, sinks.stream_lines(self.store.incident([q["participantId"]]))
 
     def create_instance(self, b, _):
         row = (b["id"], b["type_ids"], b.get("attributes") or {})
@@ -132,6 +168,7 @@ class Service:
 _ROUTES = {
     ("GET", "graph/nodes"): Service.get_node, ("GET", "graph/nodes/neighbor"): Service.get_neighbour, ("POST", "graph/nodes"): Service.create_node, ("PUT", "graph/nodes"): Service.update_node,
     ("DELETE", "graph/nodes"): Service.delete_node, ("POST", "graph/connections"): Service.connect, ("DELETE", "graph/connections"): Service.disconnect, ("POST", "graph/subgraph"): Service.subgraph,
+    ("PUT", "graph/nodes/type"): Service.assign_type, ("PUT", "graph/edges/type"): Service.change_edge_type,
     ("POST", "graph/search/nodes"): Service.search, ("GET", "typed-graph/types"): Service.types, ("GET", "typed-graph/types/item"): Service.type, ("POST", "typed-graph/types"): Service.create_type,
     ("GET", "typed-graph/elements"): Service.element, ("GET", "typed-graph/relations/incident"): Service.incident, ("POST", "typed-graph/instances"): Service.create_instance,
     ("POST", "typed-graph/relations"): Service.create_relation, ("PUT", "typed-graph/elements/attributes"): Service.replace_attributes, ("DELETE", "typed-graph/elements"): Service.delete_element,
