@@ -67,10 +67,19 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back (survives the loss of executors)."""
+#: Shuffle partitions that share a file of a small table.
+SHARED_FILE = 8
+
+
+def written(spark: SparkSession, df: DataFrame, label: str, small: bool = False) -> DataFrame:
+    """Cut the lineage: write to the shared folder and read back (survives the loss of executors).
+
+    A ``small`` table (keys, counts, labels: some bytes for each key) is written by fewer tasks, so
+    that many partitions do not make as many tiny files.
+    """
     path = new_path(spark, label)
-    df.write.parquet(path)
+    out = df.coalesce(max(SHARED_FILE, int(spark.conf.get("spark.sql.shuffle.partitions")) // SHARED_FILE)) if small else df
+    out.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -293,13 +293,13 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     Rounds of least-neighbour labels with a jump to the label's label; each round is written to
     the shared folder, and only the count of changes reaches the driver.
     """
-    both = written(spark, edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    label = written(spark, both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
+    both = written(spark, edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links", small=True)
+    label = written(spark, both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels", small=True)
     while True:
         near = both.join(label.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("r"))
         step = label.join(near.select(F.col("a").alias("node"), "r"), "node", "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("r", "root")).alias("root"))
         up = label.select(F.col("node").alias("root"), F.col("root").alias("rr"))
-        after = written(spark, step.join(up, "root", "left").select("node", "old", F.least("root", F.coalesce("rr", "root")).alias("root")), "labels")
+        after = written(spark, step.join(up, "root", "left").select("node", "old", F.least("root", F.coalesce("rr", "root")).alias("root")), "labels", small=True)
         changed = after.where(F.col("root") != F.col("old")).limit(1).count()
         label = after.select("node", "root")
         if not changed:
@@ -319,7 +319,7 @@ def _cells(spark: SparkSession, led: DataFrame, scored: DataFrame, roots: DataFr
     unlike = led.join(score.where(F.col("jaccard") >= similarity), ["doc", "lead"], "left_anti")
     apart = unlike.join(root("doc", "r"), "doc", "left").join(root("lead", "l"), "lead", "left").where(F.coalesce("r", "doc") != F.coalesce("l", "lead"))
     outs = written(spark, apart.select("key", "doc", "lead", "n").join(score, ["doc", "lead"], "left").select("key", "doc", "n", "jaccard"), "outs")
-    tops = written(spark, outs.groupBy("key").agg(F.max(F.coalesce("jaccard", F.lit(2 * similarity - 1))).alias("top")), "tops")
+    tops = written(spark, outs.groupBy("key").agg(F.max(F.coalesce("jaccard", F.lit(2 * similarity - 1))).alias("top")), "tops", small=True)
     rest = led.join(tops, "key").join(score, ["doc", "lead"], "left").where(F.coalesce("jaccard", F.lit(0.0)) <= F.col("top") + (1 - similarity + 1e-9))
     rest = rest.join(outs.select("key", "doc"), ["key", "doc"], "left_anti")
     members = written(spark, outs.select("key", "doc", "n", F.lit(True).alias("out")).unionByName(rest.select("key", "doc", "n", F.lit(False).alias("out"))), "members")
@@ -327,7 +327,7 @@ def _cells(spark: SparkSession, led: DataFrame, scored: DataFrame, roots: DataFr
     blocks = lambda which: F.greatest(F.ceil(F.count_if(which) * 2 / CELL_DOCS), F.ceil(F.sum(F.when(which, F.col("n")).otherwise(0)) * 2 / CELL_SHINGLES))
     # Blocks of documents that are out and of others; a small bucket is one cell.
     sizes = members.groupBy("key").agg(F.when(one, 1).otherwise(blocks(F.col("out"))).alias("x"), F.when(one, 0).otherwise(blocks(~F.col("out"))).alias("y"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    placed = members.drop("n").join(written(spark, sizes, "sizes"), "key")
+    placed = members.drop("n").join(written(spark, sizes, "sizes", small=True), "key")
     salt = F.xxhash64("doc", F.lit(1))
     placed = placed.withColumn("at", F.when((F.col("x") + F.col("y") == 1) | F.col("out"), F.pmod(salt, F.col("x"))).otherwise(F.col("x") + F.pmod(salt, F.greatest(F.col("y"), F.lit(1)))))
     # Blocks that are out meet all other blocks, the others only those; two blocks compare all they hold.
@@ -356,12 +356,12 @@ def groups(
     places = reps.select("doc", "n", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("key"), "doc", "n")
     # Counts per bucket are written before they are joined: a bucket with a large part of all
     # rows can then be split by the join, which could not split an aggregate's own partitions.
-    busy = written(spark, places.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "busy")
+    busy = written(spark, places.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "busy", small=True)
     rows_open = written(spark, places.join(busy, "key"), "buckets")
     texts = rows_in.select(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("i"), F.xxhash64("text").alias("t")).alias("doc"), "text")
     flat = texts.join(rows_open.select("doc").distinct(), "doc", "left_semi").select(F.col("doc.i").alias("i"), F.col("doc.t").alias("t"), "text")
     sets = written(spark, shingle_sets(flat, shingle, weighted).dropDuplicates(["i", "t"]).select(F.struct("i", "t").alias("doc"), "set"), "shingle-sets")
-    leads = written(spark, rows_open.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("l")).select("key", F.col("l.doc").alias("lead"), F.col("l.n").alias("m")), "leads")
+    leads = written(spark, rows_open.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("l")).select("key", F.col("l.doc").alias("lead"), F.col("l.n").alias("m")), "leads", small=True)
     led = written(spark, rows_open.join(leads, "key").where(F.col("doc") != F.col("lead")), "led")
     # Sets of too different sizes cannot be similar, nor rule out anything by their similarity.
     near = led.where(F.least("n", "m") >= (2 * similarity - 1) * F.greatest("n", "m")).select(F.col("doc").alias("a"), F.col("lead").alias("b")).distinct()
@@ -372,7 +372,7 @@ def groups(
     led_roots = components(spark, good)
     cells = _cells(spark, led, scored, led_roots, similarity).join(sets, "doc").select("key", F.col("doc.i").alias("i"), F.col("doc.t").alias("t"), "set", "out")
     within = cells.groupBy("key").applyInArrow(lambda table: _links_within(table, similarity), "ai bigint, at bigint, bi bigint, bt bigint")
-    more = written(spark, within.distinct().select(F.struct(F.col("ai").alias("i"), F.col("at").alias("t")).alias("a"), F.struct(F.col("bi").alias("i"), F.col("bt").alias("t")).alias("b")), "links")
+    more = written(spark, within.distinct().select(F.struct(F.col("ai").alias("i"), F.col("at").alias("t")).alias("a"), F.struct(F.col("bi").alias("i"), F.col("bt").alias("t")).alias("b")), "links", small=True)
     links = good.unionByName(more).distinct()
     # The later links tie groups of the former together.
     old = lambda c: led_roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))

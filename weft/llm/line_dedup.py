@@ -163,7 +163,7 @@ def deletions(spark: SparkSession, docs: DataFrame, *, block_words: int = BLOCK_
     lines = written(spark, line_table(docs), "lines")
     me = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("i"), F.col("text_hash").alias("t"))
     places = run_table(lines, block_words)
-    firsts = written(spark, places.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("first") != F.col("last")).drop("last"), "run-firsts")
+    firsts = written(spark, places.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("first") != F.col("last")).drop("last"), "run-firsts", small=True)
     total = lines.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
     # Hot runs are few by their definition and go by broadcast; all others are joined by hash.
     is_hot = F.col("n") * HOT_SHARE > F.lit(total)
