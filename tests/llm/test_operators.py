@@ -118,6 +118,18 @@ def test_token_store_round_trip(spark, tmp_path):
     assert token_store.read_store(spark, path + "-empty").count() == 0
 
 
+def test_token_store_splits_a_frequent_id(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = [(k, f"text {k}") for k in range(60)] + [(30, f"again {k % 3}") for k in range(300)]
+    token_store.write_store(spark, documents(spark, rows), WORD_BPE, path, buckets=9)
+    shards = spark.read.parquet(f"{path}/shards").collect()
+    assert len({x["bucket"] for x in shards if 30 in x["doc_ids"]}) >= 5 and max(len(x["doc_ids"]) for x in shards) < 100
+    got = sorted(token_store.read_store(spark, path).collect(), key=lambda x: x["start"])
+    assert [x["doc_id"] for x in got] == sorted(i for i, _ in rows)
+    assert [x["start"] for x in got] == np.cumsum([0, *(x["n_tokens"] for x in got)])[:-1].tolist()
+    assert len(token_store.read_document(spark, path, 30)) == 301
+
+
 def test_token_counts_use_the_cache(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "cache")
     rows = EDGES + [(8, "One two\nthree.")]

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Odd multiplier of the polynomial hash, and its inverse modulo 2**64.
 _P = 0x9E3779B97F4A7C15
 _PINV = pow(_P, -1, 1 << 64)

@@ -35,7 +35,7 @@ def ensure_importable(spark: SparkSession) -> None:
 
 
 #: Bytes of an Arrow batch; both a task's JVM side and its Python worker hold some batches.
-BATCH_BYTES = "16m"
+BATCH_BYTES = "8m"
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -30,7 +30,7 @@ os.environ.setdefault("RAYON_NUM_THREADS", "2")
 MARK = "▁"
 MARK_BYTES = MARK.encode()
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE_UNITS = 250_000
+CACHE_UNITS = 150_000
 LONG_UNIT = 64
 CHUNK_TEXTS = 256
 #: Units that go into one string, and strings (or whole texts) in one batch.

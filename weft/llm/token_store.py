@@ -53,7 +53,18 @@ def train_dictionary(samples: list[bytes]) -> bytes:
 
 def _bounds(rows: DataFrame, n: int) -> list[int]:
     got = rows.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(10_000)).alias("b")).first()["b"] if n > 1 else []
-    return sorted(set(got or []))
+    return sorted(got or [])
+
+
+def _buckets(key: np.ndarray, bounds: np.ndarray, at: int) -> np.ndarray:
+    """The bucket of each id, ``at`` rows into the partition.
+
+    An id that many rows have is a bound more than once; its rows take turns over the buckets
+    between, which changes no order of ids.
+    """
+    first, last = np.searchsorted(bounds, key, "left"), np.searchsorted(bounds, key, "right")
+    turn = first + (np.arange(at, at + len(key)) % np.maximum(last - first + 1, 1))
+    return np.where(last - first > 1, turn, last).astype(np.int32)
 
 
 def write_store(
@@ -79,6 +90,7 @@ def write_store(
 
     def encode(batches):
         coder, packer = WordEncoder.get(tokenizer_path), zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(shared.value))
+        seen = 0
         for batch in batches:
             frames, counts = [], []
             for _, _, data, off in B.slices(batch.column(1)):
@@ -86,7 +98,8 @@ def write_store(
                     frames.append(packer.compress(ids + end))
                     counts.append(len(ids) // 4 + 1)
             key = batch.column(0).to_pandas().astype("Int64")
-            bucket = np.where(key.isna(), 0, np.searchsorted(bounds, key.fillna(0).astype("int64"), "right")).astype(np.int32)
+            bucket = np.where(key.isna(), 0, _buckets(key.fillna(0).to_numpy("int64"), bounds, seen)).astype(np.int32)
+            seen += batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column(0), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], names=["bucket", "doc_id", "n_tokens", "frame"])
 
     framed = rows.mapInArrow(B.tidy(encode), "bucket int, doc_id bigint, n_tokens bigint, frame binary")
