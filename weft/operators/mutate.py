@@ -1,6 +1,8 @@
 """Changes to a property graph: each gives a new graph, or raises when a rule would break.
 
-Rules are checked by queries over the change and what it touches; nothing is written in place.
+Rules are checked by queries over the change and what it touches; nothing is written in place. Only
+the change itself is written: the new graph is the old one with rows added or left out, so a change
+costs what it touches, not the graph. ``settled`` writes a graph after many changes.
 """
 
 from __future__ import annotations
@@ -32,13 +34,18 @@ def create_nodes(graph: PropertyGraph, rows: DataFrame) -> PropertyGraph:
     orphans = rows.select(names.parent(F.col("gid")).alias("p"), "gid").where("p is not null").join(every.select(F.col("gid").alias("p")), "p", "left_anti")
     _refuse(orphans.select("gid"), "the parent does not exist")
     fresh = rows.select("gid", F.coalesce("attrs", F.create_map().cast(ATTRS)).alias("attrs")).dropDuplicates(["gid"]).join(graph.base, "gid", "left_anti")
-    return PropertyGraph(cut(graph.base.unionByName(fresh)), graph.links)
+    return PropertyGraph(graph.base.unionByName(cut(fresh)), graph.links)
+
+
+def settled(graph: PropertyGraph) -> PropertyGraph:
+    """The same graph from tables of its own, without the changes that led to it."""
+    return PropertyGraph(cut(graph.base), cut(graph.links), graph.unique)
 
 
 def update_attributes(graph: PropertyGraph, rows: DataFrame) -> PropertyGraph:
     """rows(gid, attrs) replace whole maps; nodes that do not exist are passed over."""
-    new = rows.select("gid", F.coalesce("attrs", F.create_map().cast(ATTRS)).alias("new"))
-    return PropertyGraph(cut(graph.base.join(new, "gid", "left").select("gid", F.coalesce("new", "attrs").alias("attrs"))), graph.links)
+    new = cut(rows.select("gid", F.coalesce("attrs", F.create_map().cast(ATTRS)).alias("attrs")).join(graph.base.select("gid"), "gid", "left_semi"))
+    return PropertyGraph(graph.base.join(new, "gid", "left_anti").unionByName(new), graph.links)
 
 
 def with_attribute(attrs: Column, key: str, value: str) -> Column:
@@ -69,7 +76,7 @@ def connect(graph: PropertyGraph, rows: DataFrame) -> PropertyGraph:
     _refuse(pair.groupBy("a_gid", "b_gid").count().where("count > 1").unionByName(pair.join(stored, ["a_gid", "b_gid"], "left_semi").withColumn("count", F.lit(2).cast("long"))), "the link exists")
     pair = cut(pair)
     _refuse(slot_clashes(graph, pair), "a neighbour has this local id")
-    return PropertyGraph(graph.base, cut(graph.links.unionByName(pair)))
+    return PropertyGraph(graph.base, graph.links.unionByName(pair))
 
 
 def disconnect(graph: PropertyGraph, a: str, b: str) -> PropertyGraph:
@@ -80,7 +87,7 @@ def disconnect(graph: PropertyGraph, a: str, b: str) -> PropertyGraph:
             raise GraphError("only a parent and its child can be disconnected")
         return relocate(graph, long)
     low, high = sorted((a, b))
-    return PropertyGraph(graph.base, cut(graph.links.where(~((F.least("a_gid", "b_gid") == low) & (F.greatest("a_gid", "b_gid") == high)))))
+    return PropertyGraph(graph.base, graph.links.where(~((F.least("a_gid", "b_gid") == low) & (F.greatest("a_gid", "b_gid") == high))))
 
 
 def relocate(graph: PropertyGraph, gid: str) -> PropertyGraph:
@@ -94,21 +101,23 @@ def relocate(graph: PropertyGraph, gid: str) -> PropertyGraph:
 def move(graph: PropertyGraph, old: str, new: str) -> PropertyGraph:
     """Rewrite a path prefix in nodes and links; a link that would join ancestor and descendant is refused.
 
-    The moved tables are written once; the rules are read off them in one job.
+    The rules are read off the links that change and the one place that is taken, in one job.
     """
     if new == old or new.startswith(old + "/"):
         raise GraphError("a subtree cannot move into itself")
     go = lambda c: names.moved(F.col(c), F.lit(old), F.lit(new))
+    inside = lambda c: (F.col(c) == old) | names.is_descendant(F.col(c), F.lit(old))
     parent = new.rsplit("/", 1)[0] if "/" in new else None
-    nodes = cut(graph.base.select(go("gid").alias("gid"), "attrs", (F.col("gid") == new).alias("taken")))
-    links = graph.links.select(F.least(go("a_gid"), go("b_gid")).alias("a_gid"), F.greatest(go("a_gid"), go("b_gid")).alias("b_gid"))
+    changed = graph.links.where(inside("a_gid") | inside("b_gid"))
+    links = changed.select(F.least(go("a_gid"), go("b_gid")).alias("a_gid"), F.greatest(go("a_gid"), go("b_gid")).alias("b_gid"))
     if parent is not None:  # the link to the new parent becomes the hierarchy edge
         links = links.where(~(F.col("a_gid").isin(parent, new) & F.col("b_gid").isin(parent, new)))
     links = cut(links)
-    taken = nodes.where("taken").select(F.lit("the place is taken").alias("why"), F.col("gid").alias("a"), F.lit("").alias("b"))
+    taken = graph.base.where(F.col("gid") == new).select(F.lit("the place is taken").alias("why"), F.col("gid").alias("a"), F.lit("").alias("b"))
     joined = links.where(names.is_descendant(F.col("b_gid"), F.col("a_gid")) | names.is_descendant(F.col("a_gid"), F.col("b_gid")))
     _refuse(taken.unionByName(joined.select(F.lit("a link would join a node with its ancestor").alias("why"), F.col("a_gid").alias("a"), F.col("b_gid").alias("b"))), "the subtree cannot move")
-    return PropertyGraph(nodes.drop("taken"), links)
+    kept = graph.links.where(~(inside("a_gid") | inside("b_gid")))
+    return PropertyGraph(graph.base.select(go("gid").alias("gid"), "attrs"), kept.unionByName(links))
 
 
 def delete_subtrees(graph: PropertyGraph, gids: list[str]) -> PropertyGraph:
@@ -116,7 +125,7 @@ def delete_subtrees(graph: PropertyGraph, gids: list[str]) -> PropertyGraph:
     if any(not g for g in gids):
         raise GraphError("the root cannot be deleted")
     inside = lambda c: reduce(Column.__or__, ((c == g) | names.is_descendant(c, F.lit(g)) for g in gids))
-    return PropertyGraph(cut(graph.base.where(~inside(F.col("gid")))), cut(graph.links.where(~(inside(F.col("a_gid")) | inside(F.col("b_gid"))))))
+    return PropertyGraph(graph.base.where(~inside(F.col("gid"))), graph.links.where(~(inside(F.col("a_gid")) | inside(F.col("b_gid")))))
 
 
 def add_neighbour(graph: PropertyGraph, owner: str, gid: str) -> PropertyGraph:
@@ -141,11 +150,12 @@ def clear_neighbours(graph: PropertyGraph, owner: str) -> PropertyGraph:
     gone = cut(around.where("n = 1").select(F.col("src").alias("top")))
     # A node goes with all below it: its path or one of its ancestors' is gone.
     inside = graph.base.select("gid", F.explode(F.concat(names.ancestors(F.col("gid")), F.array("gid"))).alias("top")).join(gone, "top", "left_semi").select("gid").distinct()
-    left = cut(graph.base.join(inside, "gid", "left_anti"))
+    inside = cut(inside)
+    left = graph.base.join(inside, "gid", "left_anti")
     links = graph.links.where((F.col("a_gid") != owner) & (F.col("b_gid") != owner))
     for end in ("a_gid", "b_gid"):
         links = links.join(inside.withColumnRenamed("gid", end), end, "left_anti")
-    return PropertyGraph(left, cut(links.select("a_gid", "b_gid")))
+    return PropertyGraph(left, links.select("a_gid", "b_gid"))
 
 
 def attach(graph: PropertyGraph, parent: str, staged: PropertyGraph) -> PropertyGraph:

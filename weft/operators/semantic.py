@@ -24,6 +24,8 @@ FACETS = "node_gid string, type_gid string, witness_gid string"
 RELATIONS = "rel_gid string, type_gid string, attrs map<string, string>"
 MEMBERS = "rel_gid string, role string, participant_gid string"
 CATALOG = "NodeTypes"
+# The relation types of every catalog and their roles.
+BUILT_IN = {"InstanceOf": ["Instance", "Type"], "Requires": ["Derived", "Required"]}
 
 
 class SemanticError(ValueError):
@@ -87,10 +89,28 @@ def create_types(types: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def require(types: DataFrame, type_gid: str, required: str) -> DataFrame:
-    """Add a requirement; a known one changes nothing."""
+    """Add a requirement; a known one changes nothing, one that is stored twice is an error."""
+    both = types.where(F.col("type_gid").isin(type_gid, required)).select("type_gid", F.size(F.filter("required", lambda x: x == required)).alias("n")).collect()
+    times = {r["type_gid"]: r["n"] for r in both}  # two rows at most
+    if set(times) != {type_gid, required}:
+        raise LookupError("NotFound: both ends of a requirement must be types")
+    if times[type_gid] > 1:
+        raise SemanticError(f"'{type_gid}' requires '{required}' more than once")
     return types.withColumn("required", F.when(F.col("type_gid") == type_gid, F.array_union("required", F.array(F.lit(required)))).otherwise(F.col("required")))
 
 
+def built_in(spark) -> DataFrame:
+    """The relation types every catalog has: a node is an instance of a type, a type requires another."""
+    role = lambda name: (name, "Node", None, 1, 1, False, None)
+    rows = [(f"{CATALOG}/{name}", "Edge", False, [], [role(r) for r in roles], []) for name, roles in BUILT_IN.items()]
+    return spark.createDataFrame(rows, TYPES)
+
+
+def without_built_in(types: DataFrame) -> DataFrame:
+    """Types that the strict contract shows."""
+    return types.where(~F.col("type_gid").isin([f"{CATALOG}/{name}" for name in BUILT_IN]))
+
+
 def bootstrap(types: DataFrame, runtime: DataFrame) -> DataFrame:
     """Runtime types merged into the stored ones; stored definitions win, running it twice changes nothing."""
     return types.unionByName(runtime.join(types.select("type_gid"), "type_gid", "left_anti"))

@@ -178,22 +178,42 @@ def same_participants(elements: DataFrame, ids: list[str]) -> DataFrame:
 
 
 class TypedGraph:
-    """An immutable version of the store; each change gives the next version or raises."""
+    """An immutable version of the store; each change gives the next version or raises.
 
-    def __init__(self, types: DataFrame, elements: DataFrame):
+    A change is checked with what it touches -- the new rows, the participants they name, the ids
+    that differ in case at most -- and only it is written: a version is the one before with rows
+    added or left out. Every SETTLE changes the elements get a table of their own.
+    """
+
+    SETTLE = 64
+
+    def __init__(self, types: DataFrame, elements: DataFrame, changes: int = 0):
         self.spark: SparkSession = types.sparkSession
-        self.types, self.elements = types, elements
+        self.types = types
+        self.elements, self.changes = (cut(elements), 0) if changes >= self.SETTLE else (elements, changes)
 
     @classmethod
     def empty(cls, spark: SparkSession) -> "TypedGraph":
         return cls(spark.createDataFrame([], TYPES), spark.createDataFrame([], ELEMENTS))
 
+    def _next(self, elements: DataFrame) -> "TypedGraph":
+        return TypedGraph(self.types, elements, self.changes + 1)
+
+    def _alike(self, ids: DataFrame) -> DataFrame:
+        """Stored elements whose id is one of ids(id), case ignored."""
+        return self.elements.join(ids.select(F.lower("id").alias("_low")).distinct(), F.lower("id") == F.col("_low"), "left_semi")
+
+    def _with_ends(self, rows: DataFrame) -> DataFrame:
+        """Elements and the stored participants that they name."""
+        named = participants(rows).select(F.col("participant").alias("id")).distinct().join(rows.select("id"), "id", "left_anti")
+        return rows.unionByName(self.elements.join(named, "id", "left_semi").select(rows.columns))
+
     def create_types(self, rows: DataFrame) -> "TypedGraph":
         """New types; types of one call may refer to each other."""
-        after = self.types.unionByName(rows)
+        after = cut(self.types.unionByName(rows))
         new = rows.select(F.col("type_id").alias("id"))
-        require_none(id_collisions(after, self.elements).unionByName(type_violations(after).join(new, "id", "left_semi")))
-        return TypedGraph(cut(after), self.elements)
+        require_none(id_collisions(after, self._alike(new)).unionByName(type_violations(after).join(new, "id", "left_semi")))
+        return TypedGraph(after, self.elements, self.changes)
 
     def _created(self, rows: DataFrame, kind: str) -> "TypedGraph":
         reached = cut(closure(self.types))
@@ -204,15 +224,18 @@ class TypedGraph:
         none = self.types.where(F.col("is_abstract")).select("type_id")
         direct = asked.join(none, "type_id", "left_semi")
         none_given = F.create_map().cast("map<string,array<string>>")
-        new = rows.select("id", "attributes", "members").join(full, "id", "left").select("id", F.lit(kind).alias("kind"), F.coalesce("type_ids", F.array().cast("array<string>")).alias("type_ids"), F.coalesce("attributes", F.create_map().cast("map<string,string>")).alias("attributes"), F.transform_values(F.coalesce("members", none_given), lambda _, v: F.array_sort(v)).alias("members"))
+        new = rows.select("id", "attributes", "members").join(full, "id", "left").select(
+            "id", F.lit(kind).alias("kind"), F.coalesce("type_ids", F.array().cast("array<string>")).alias("type_ids"), F.coalesce("attributes", F.create_map().cast("map<string,string>")).alias("attributes"),
+            F.transform_values(F.coalesce("members", none_given), lambda _, v: F.array_sort(v)).alias("members"),
+        )
         new = cut(new)
-        after = self.elements.unionByName(new)
+        ids = new.select("id")
         bad = _union([
-            id_collisions(self.types, after), _bad(direct, F.lit(True), "id", INVALID, F.concat(F.lit("an abstract type is assigned: "), F.col("type_id"))),
-            element_violations(self.types, after, reached).join(new.select("id"), "id", "left_semi"),
+            id_collisions(self.types, self._alike(ids).select(new.columns).unionByName(new)), _bad(direct, F.lit(True), "id", INVALID, F.concat(F.lit("an abstract type is assigned: "), F.col("type_id"))),
+            element_violations(self.types, self._with_ends(new), reached).join(ids, "id", "left_semi"),
         ])
         require_none(bad)
-        return TypedGraph(self.types, cut(after))
+        return self._next(self.elements.unionByName(new))
 
     def create_instances(self, rows: DataFrame) -> "TypedGraph":
         """rows(id, type_ids, attributes): the closure of the types is stored."""
@@ -227,9 +250,9 @@ class TypedGraph:
         new = rows.select("id", F.col("attributes").alias("new"))
         missing = new.join(self.elements, "id", "left_anti")
         require_none(_bad(missing, F.lit(True), "id", NOT_FOUND, "no such element"))
-        after = self.elements.join(new, "id", "left").withColumn("attributes", F.coalesce("new", "attributes")).drop("new")
-        require_none(scalar_violations(self.types, after.join(new.select("id"), "id", "left_semi")))
-        return TypedGraph(self.types, cut(after))
+        changed = cut(self.elements.join(new, "id").withColumn("attributes", F.coalesce("new", "attributes")).drop("new").select(self.elements.columns))
+        require_none(scalar_violations(self.types, changed))
+        return self._next(self.elements.join(changed.select("id"), "id", "left_anti").select(self.elements.columns).unionByName(changed))
 
     def delete(self, ids: list[str]) -> "TypedGraph":
         """RESTRICT: an element that takes part in another relation stays."""
@@ -239,12 +262,12 @@ class TypedGraph:
             raise ContractError(NOT_FOUND, [{"id": x, "message": "no such element"} for x in sorted(set(ids))[:1]])
         held = participants(self.elements.where(~gone)).where(F.col("participant").isin(ids)).select(F.col("participant").alias("id"), F.col("rel"))
         require_none(_bad(held, F.lit(True), "id", CONFLICT, F.concat(F.lit("takes part in "), F.col("rel"))))
-        return TypedGraph(self.types, cut(self.elements.where(~gone)))
+        return self._next(self.elements.where(~gone))
 
     def get(self, identifier: str) -> DataFrame:
-        """The element, or an error if it is stored corrupt."""
+        """The element, or an error if it is stored corrupt; it is read with its participants alone."""
         one = self.elements.where(F.col("id") == identifier)
-        bad = element_violations(self.types, self.elements).where(F.col("id") == identifier)
+        bad = element_violations(self.types, self._with_ends(one)).where(F.col("id") == identifier)
         rows = bad.limit(_SHOWN).collect()
         if rows:
             raise ContractError(CORRUPT, rows)

@@ -34,6 +34,26 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct(F.col("a_gid").alias("src"), F.col("b_gid").alias("dst")), F.struct(F.col("b_gid").alias("src"), F.col("a_gid").alias("dst")))).alias("e"), edge_key(F.col("a_gid"), F.col("b_gid")).alias("ekey")).select("e.src", "e.dst", "ekey")
 
 
+def load_basis(graph, node_root: str | None, edge_root: str | None = None, depth: int = 4) -> DataFrame:
+    """The types below the roots, as far as ``depth`` steps from them: direct children are types.
+
+    What lies deeper is the types' own definitions; the roots of both kinds must differ, and a node
+    within reach that is no type nor below one is an error when it is read.
+    """
+    named = (((edge_root or "").strip().strip("/"), "Edge"), ((node_root or "").strip().strip("/"), "Node"))
+    roots = {root: kind for root, kind in named if root}
+    if not roots:
+        return graph.spark.createDataFrame([], BASIS)
+    near = traverse.subgraph(graph, sorted(roots), depth).select("gid")
+    kind = F.lit(None).cast("string")
+    below = F.lit(False)
+    for root, name in roots.items():
+        kind = F.when(names.parent(F.col("gid")) == root, name).otherwise(kind)
+        below = below | names.is_descendant(F.col("gid"), F.lit(root)) | (F.col("gid") == root)
+    found = near.select("gid", F.when(below, kind).otherwise(F.raise_error(F.concat(F.lit("no type of the basis: "), F.col("gid")))).alias("kind")).where("kind is not null")
+    return found.join(graph.nodes.select("gid", "local_id"), "gid").select(F.col("gid").alias("type_gid"), "kind", F.col("local_id").alias("label"), F.lit(None).cast("double").alias("rank"), F.lit(True).alias("visible"), F.lit(False).alias("collapsed"), F.array().cast("array<string>").alias("fields"))
+
+
 def facets(edges: DataFrame, basis: DataFrame) -> DataFrame:
     """node_gid, type_gid where exactly one end of an edge is a node type."""
     t = basis.where("kind = 'Node'").select(F.col("type_gid").alias("dst"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +34,18 @@ def cut(df: DataFrame) -> DataFrame:
     """An eager reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def cancellable(spark: SparkSession, tag: str):
+    """Jobs started inside carry the tag; ``cancel`` from another thread ends them."""
+    spark.addTag(tag)
+    try:
+        yield
+    finally:
+        spark.removeTag(tag)
+
+
+def cancel(spark: SparkSession, tag: str) -> list[str]:
+    """End what runs under the tag; the operations that were ended."""
+    return list(spark.interruptTag(tag))

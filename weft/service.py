@@ -18,6 +18,10 @@ from weft.sources.graph import NODES, PropertyGraph
 _RELATED = "id string, type_ids array<string>, attributes map<string,string>, members map<string,array<string>>"
 
 
+#: Changes after which the graph is written anew.
+SETTLE = 16
+
+
 class Service:
     def __init__(
         self, graph: PropertyGraph, store: typed.TypedGraph | None = None, edges: semantic.Edges | None = None, profile: str = "Raw",
@@ -25,6 +29,7 @@ class Service:
     ):
         self.graph, self.store, self.edges, self.profile = graph, store, edges, profile
         self.spark = spark = graph.spark
+        self._seen, self._steps = graph, 0
         self.types = spark.createDataFrame([], semantic.TYPES) if types is None else types
         self.facets = spark.createDataFrame([], semantic.FACETS) if facets is None else facets
 
@@ -34,7 +39,10 @@ class Service:
         if action is None:
             return 404, {"error": f"{method} {path}"}
         try:
-            return action(self, body or {}, query)
+            answer = action(self, body or {}, query)
+            if method.upper() != "GET":
+                self._settle()
+            return answer
         except typed.ContractError as e:
             return e.status, {"error": e.code, "message": str(e)}
         except LookupError as e:
@@ -42,6 +50,13 @@ class Service:
         except (ast.QueryError, mutate.GraphError, semantic.SemanticError, KeyError, TypeError) as e:
             return 400, {"error": str(e)}
 
+    def _settle(self) -> None:
+        """Write the graph once it has been changed often, so that its plan stays short."""
+        self._steps += self.graph is not self._seen
+        if self._steps >= SETTLE:
+            self.graph, self._steps = mutate.settled(self.graph), 0
+        self._seen = self.graph
+
     def _one(self, gids: DataFrame):
         rows = view.responses(self.graph, gids).limit(1).collect()
         return (200, rows[0].asDict(True)) if rows else (404, {"error": "NotFound"})
@@ -115,6 +130,10 @@ class Service:
         edges = traverse.induced_edges(self.graph, near)
         return 200, {"nodes": sinks.stream_lines(nodes), "edges": sinks.stream_lines(edges)}
 
+    def settings(self, _, __):
+        """Names a view needs: the root of the types, and that of the stored nodes."""
+        return 200, {"systemNodeIds": {"nodeTypeRoot": semantic.CATALOG, "storageRoot": ""}, "basis": {"nodeTypeRoot": semantic.CATALOG}}
+
     def search(self, b, _):
         if self.profile == "Semantic":
             ast.forbid(b)
@@ -169,7 +188,7 @@ _ROUTES = {
     ("GET", "graph/nodes"): Service.get_node, ("GET", "graph/nodes/neighbor"): Service.get_neighbour, ("POST", "graph/nodes"): Service.create_node, ("PUT", "graph/nodes"): Service.update_node,
     ("DELETE", "graph/nodes"): Service.delete_node, ("POST", "graph/connections"): Service.connect, ("DELETE", "graph/connections"): Service.disconnect, ("POST", "graph/subgraph"): Service.subgraph,
     ("PUT", "graph/nodes/type"): Service.assign_type, ("PUT", "graph/edges/type"): Service.change_edge_type,
-    ("POST", "graph/search/nodes"): Service.search, ("GET", "typed-graph/types"): Service.types, ("GET", "typed-graph/types/item"): Service.type, ("POST", "typed-graph/types"): Service.create_type,
+    ("POST", "graph/search/nodes"): Service.search, ("GET", "ui/settings"): Service.settings, ("GET", "typed-graph/types"): Service.types, ("GET", "typed-graph/types/item"): Service.type, ("POST", "typed-graph/types"): Service.create_type,
     ("GET", "typed-graph/elements"): Service.element, ("GET", "typed-graph/relations/incident"): Service.incident, ("POST", "typed-graph/instances"): Service.create_instance,
     ("POST", "typed-graph/relations"): Service.create_relation, ("PUT", "typed-graph/elements/attributes"): Service.replace_attributes, ("DELETE", "typed-graph/elements"): Service.delete_element,
 }
