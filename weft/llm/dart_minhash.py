@@ -202,7 +202,10 @@ def signed(docs: DataFrame, bands: int, rows: int, shingle: int, weighted: bool)
         hashes = band_hashes(sig, bands, rows).view(np.int64)
         ends = np.arange(len(n) + 1) * bands
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(np.diff(total[soff])), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.ravel()))],
+            [
+                batch.column(0), batch.column(2), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(np.diff(total[soff])),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.ravel()))
+            ],
             names=["doc_id", "text_hash", "class1", "class2", "n_shingles", "bands"],
         )
 
@@ -284,7 +287,9 @@ def _links_within(table: pa.Table, similarity: float) -> pa.Table:
             links.append((int(x), int(y)))
     a, b = [x for x, _ in links], [y for _, y in links]
     i, t = table.column("i"), table.column("t")
-    return pa.table({"ai": i.take(a), "at": t.take(a), "bi": i.take(b), "bt": t.take(b)}) if links else pa.table({k: pa.array([], pa.int64()) for k in ("ai", "at", "bi", "bt")})
+    return pa.table({
+        "ai": i.take(a), "at": t.take(a), "bi": i.take(b), "bt": t.take(b)
+    }) if links else pa.table({k: pa.array([], pa.int64()) for k in ("ai", "at", "bi", "bt")})
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -297,7 +302,9 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     label = written(spark, both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels", small=True)
     while True:
         near = both.join(label.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("r"))
-        step = label.join(near.select(F.col("a").alias("node"), "r"), "node", "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("r", "root")).alias("root"))
+        step = label.join(near.select(F.col("a").alias("node"), "r"), "node", "left").select(
+            "node", F.col("root").alias("old"), F.least("root", F.coalesce("r", "root")).alias("root")
+        )
         up = label.select(F.col("node").alias("root"), F.col("root").alias("rr"))
         after = written(spark, step.join(up, "root", "left").select("node", "old", F.least("root", F.coalesce("rr", "root")).alias("root")), "labels", small=True)
         changed = after.where(F.col("root") != F.col("old")).limit(1).count()
@@ -326,12 +333,21 @@ def _cells(spark: SparkSession, led: DataFrame, scored: DataFrame, roots: DataFr
     one = (F.count(F.lit(1)) <= CELL_DOCS) & (F.sum("n") <= CELL_SHINGLES)
     blocks = lambda which: F.greatest(F.ceil(F.count_if(which) * 2 / CELL_DOCS), F.ceil(F.sum(F.when(which, F.col("n")).otherwise(0)) * 2 / CELL_SHINGLES))
     # Blocks of documents that are out and of others; a small bucket is one cell.
-    sizes = members.groupBy("key").agg(F.when(one, 1).otherwise(blocks(F.col("out"))).alias("x"), F.when(one, 0).otherwise(blocks(~F.col("out"))).alias("y"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    sizes = members.groupBy("key").agg(
+        F.when(one, 1).otherwise(blocks(F.col("out"))).alias("x"), F.when(one, 0).otherwise(blocks(~F.col("out"))).alias("y"),
+        F.count(F.lit(1)).alias("c")
+    ).where("c > 1").drop("c")
     placed = members.drop("n").join(written(spark, sizes, "sizes", small=True), "key")
     salt = F.xxhash64("doc", F.lit(1))
-    placed = placed.withColumn("at", F.when((F.col("x") + F.col("y") == 1) | F.col("out"), F.pmod(salt, F.col("x"))).otherwise(F.col("x") + F.pmod(salt, F.greatest(F.col("y"), F.lit(1)))))
+    placed = placed.withColumn(
+        "at",
+        F.when((F.col("x") + F.col("y") == 1) | F.col("out"), F.pmod(salt, F.col("x"))).otherwise(F.col("x") + F.pmod(salt, F.greatest(F.col("y"), F.lit(1))))
+    )
     # Blocks that are out meet all other blocks, the others only those; two blocks compare all they hold.
-    meets = F.filter(F.sequence(F.lit(0).cast("long"), F.col("x") + F.when(F.col("out"), F.col("y")).otherwise(0) - 1), lambda k: (k != F.col("at")) | (F.col("x") + F.col("y") == 1))
+    meets = F.filter(
+        F.sequence(F.lit(0).cast("long"), F.col("x") + F.when(F.col("out"), F.col("y")).otherwise(0) - 1),
+        lambda k: (k != F.col("at")) | (F.col("x") + F.col("y") == 1)
+    )
     return placed.withColumn("k", F.explode(meets)).select(F.xxhash64("key", F.least("at", "k"), F.greatest("at", "k")).alias("key"), "doc", "out")
 
 
@@ -361,7 +377,11 @@ def groups(
     texts = rows_in.select(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("i"), F.xxhash64("text").alias("t")).alias("doc"), "text")
     flat = texts.join(rows_open.select("doc").distinct(), "doc", "left_semi").select(F.col("doc.i").alias("i"), F.col("doc.t").alias("t"), "text")
     sets = written(spark, shingle_sets(flat, shingle, weighted).dropDuplicates(["i", "t"]).select(F.struct("i", "t").alias("doc"), "set"), "shingle-sets")
-    leads = written(spark, rows_open.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("l")).select("key", F.col("l.doc").alias("lead"), F.col("l.n").alias("m")), "leads", small=True)
+    leads = written(
+        spark,
+        rows_open.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("l")).select("key", F.col("l.doc").alias("lead"), F.col("l.n").alias("m")),
+        "leads", small=True
+    )
     led = written(spark, rows_open.join(leads, "key").where(F.col("doc") != F.col("lead")), "led")
     # Sets of too different sizes cannot be similar, nor rule out anything by their similarity.
     near = led.where(F.least("n", "m") >= (2 * similarity - 1) * F.greatest("n", "m")).select(F.col("doc").alias("a"), F.col("lead").alias("b")).distinct()
@@ -372,15 +392,28 @@ def groups(
     led_roots = components(spark, good)
     cells = _cells(spark, led, scored, led_roots, similarity).join(sets, "doc").select("key", F.col("doc.i").alias("i"), F.col("doc.t").alias("t"), "set", "out")
     within = cells.groupBy("key").applyInArrow(lambda table: _links_within(table, similarity), "ai bigint, at bigint, bi bigint, bt bigint")
-    more = written(spark, within.distinct().select(F.struct(F.col("ai").alias("i"), F.col("at").alias("t")).alias("a"), F.struct(F.col("bi").alias("i"), F.col("bt").alias("t")).alias("b")), "links", small=True)
+    more = written(
+        spark,
+        within.distinct().select(
+            F.struct(F.col("ai").alias("i"), F.col("at").alias("t")).alias("a"),
+            F.struct(F.col("bi").alias("i"), F.col("bt").alias("t")).alias("b")
+        ),
+        "links", small=True
+    )
     links = good.unionByName(more).distinct()
     # The later links tie groups of the former together.
     old = lambda c: led_roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    ties = more.join(old("a"), "a", "left").join(old("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).where("a != b").distinct()
+    ties = more.join(old("a"), "a", "left").join(old("b"), "b", "left").select(
+        F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")
+    ).where("a != b").distinct()
     tied = components(spark, ties).select(F.col("node").alias("near"), F.col("root").alias("far"))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    of_rep = degree.join(led_roots, "node", "left").withColumn("near", F.coalesce("root", "node")).join(tied, "near", "left").select(F.col("node").alias("rep"), F.coalesce("far", "near").alias("root"), "n_links")
-    of_class = classes.join(of_rep, "rep", "left").select("class1", "class2", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    of_rep = degree.join(led_roots, "node", "left").withColumn("near", F.coalesce("root", "node")).join(tied, "near", "left").select(
+        F.col("node").alias("rep"), F.coalesce("far", "near").alias("root"), "n_links"
+    )
+    of_class = classes.join(of_rep, "rep", "left").select(
+        "class1", "class2", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
+    )
     out = table.join(of_class, ["class1", "class2"], "left").withColumn("root", F.coalesce("root", "doc"))
     blank = F.col("n_shingles") == 0
     root_id = F.when(F.col("root.i") == -(2**63), F.lit(None).cast("long")).otherwise(F.col("root.i"))
@@ -400,7 +433,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id",
     text = F.coalesce(by_name(docs, text_col).cast("string"), F.lit(""))
     keep = got.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("class_hash")))
     many = keep.where("n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1")
-    out = docs.join(keep.select(F.col("doc_id").alias(i), F.col("text_hash").alias(t)).distinct(), by_name(docs, id_col).cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(t)), "left_semi")
+    out = docs.join(
+        keep.select(F.col("doc_id").alias(i), F.col("text_hash").alias(t)).distinct(),
+        by_name(docs, id_col).cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(t)), "left_semi"
+    )
     if many.isEmpty():
         return out
     from pyspark.sql import Window as W

@@ -244,14 +244,23 @@ def find_contamination(
     )
     joined = F.aggregate(
         "spans", F.array().cast("array<struct<first:bigint,last:bigint>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["last"] + 1 >= x["first"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1)["last"], x["last"]).alias("last"))))).otherwise(F.concat(acc, F.array(x))),
+        lambda acc, x: F.when(
+            (F.size(acc) > 0) & (F.element_at(acc, -1)["last"] + 1 >= x["first"]),
+            F.concat(
+                F.slice(acc, 1, F.size(acc) - 1),
+                F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1)["last"], x["last"]).alias("last")))
+            )
+        ).otherwise(F.concat(acc, F.array(x))),
     )
     merged = merged.withColumn("spans", joined)
     merged = merged.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"] + 1))
     return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("doc_id", *FOUND.names)
 
 
-def decontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminated(
+    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", window: int = WINDOW,
+    block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """The rows of docs, all columns as they were, in whose text no benchmark window occurs.
 
     Each block of patterns filters what the block before left, so no join is needed. Null and

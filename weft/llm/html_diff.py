@@ -32,7 +32,10 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 RAW = {"script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "canvas", "title", "head"}
 DROPPED = {"nav", "header", "footer", "aside", "form", "button", "select", "option", "label", "fieldset", "menu", "dialog", "input"} | RAW
 CONTENT = {"article", "main"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+INLINE = {
+    "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd",
+    "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"
+}
 CLASS_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "banners", "sponsor", "sponsored", "promo", "promotion", "promoted", "nav", "navbar", "navigation", "menu", "menubar", "breadcrumb", "breadcrumbs",
     "sidebar", "aside", "footer", "masthead", "topbar", "toolbar", "notice", "notices", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "paywall", "disclaimer",
@@ -280,7 +283,13 @@ def _differenced(batches):
 
     def batch_of(rows):
         texts = [x[2] for x in rows]
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.string()), pa.array(texts, pa.string()),
+                pa.array([len(t) for t in texts], pa.int64())
+            ],
+            names=["page_id", "url", "text", "n_chars"]
+        )
 
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
@@ -325,7 +334,10 @@ def _chunk_of(bounds: list[str], names: list[str], outside: list[tuple[int, int,
             at = [(bisect_right(bounds, key[0]), 0, n) for n, key in enumerate(keys)]
             at += [(chunk, side, n) for n, key in enumerate(keys) if key in wanted for chunk, side in wanted[key]]
             rows = batch if len(at) == len(keys) else batch.take(pa.array([n for _, _, n in at]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in at], pa.int32()), pa.array([x[1] for x in at], pa.int32()), *rows.columns], names=["chunk", "side", *names])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in at], pa.int32()), pa.array([x[1] for x in at], pa.int32()), *rows.columns],
+                names=["chunk", "side", *names]
+            )
 
     return B.tidy(run)
 
@@ -339,7 +351,9 @@ def _borders(keys: DataFrame) -> list[tuple[int, int, str, str, int]]:
     row = F.struct("k", "url", "h", "host")
     ends = keys.groupBy("chunk").agg(F.min(row).alias("head"), F.max(row).alias("tail"))
     differs = lambda c: ~((F.col("host") == F.col(c + ".host")) & (F.col("h") == F.col(c + ".h")))
-    inner = keys.join(ends, "chunk").groupBy("chunk", "head", "tail").agg(F.min(F.when(differs("head"), row)).alias("second"), F.max(F.when(differs("tail"), row)).alias("last_but"))
+    inner = keys.join(ends, "chunk").groupBy("chunk", "head", "tail").agg(
+        F.min(F.when(differs("head"), row)).alias("second"), F.max(F.when(differs("tail"), row)).alias("last_but")
+    )
     found = sorted(inner.collect(), key=lambda r: r["chunk"])
     out = []
     same = lambda a, b: (a["host"], a["h"]) == (b["host"], b["h"])
@@ -370,7 +384,10 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     and the page behind it as two more rows, so the text does not depend on where chunks begin.
     """
     spark = pages.sparkSession
-    rows = pages.select(by_name(pages, id_col).cast("long").alias("page_id"), by_name(pages, url_col).cast("string").alias("url"), by_name(pages, html_col).cast("string").alias("html"))
+    rows = pages.select(
+        by_name(pages, id_col).cast("long").alias("page_id"), by_name(pages, url_col).cast("string").alias("url"),
+        by_name(pages, html_col).cast("string").alias("html")
+    )
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)", 1))
     path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:(?:[a-zA-Z][\w+.-]*:)?//[^/?#]*)?([^?#]*)", 1)
     keyed = rows.select("page_id", "url", host.alias("host"), path.alias("path"), F.xxhash64("html").alias("h"), "html")

@@ -44,7 +44,10 @@ def line_table(docs: DataFrame) -> DataFrame:
                 ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
                 h = B.segment_hash(data, begin, end).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.ListArray.from_arrays(ends, pa.array(h)), pa.ListArray.from_arrays(ends, pa.array(words.astype(np.int32)))],
+                    [
+                        batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.ListArray.from_arrays(ends, pa.array(h)),
+                        pa.ListArray.from_arrays(ends, pa.array(words.astype(np.int32)))
+                    ],
                     names=["doc_id", "text_hash", "lines", "words"],
                 )
 
@@ -163,7 +166,13 @@ def deletions(spark: SparkSession, docs: DataFrame, *, block_words: int = BLOCK_
     lines = written(spark, line_table(docs), "lines")
     me = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("i"), F.col("text_hash").alias("t"))
     places = run_table(lines, block_words)
-    firsts = written(spark, places.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("first") != F.col("last")).drop("last"), "run-firsts", small=True)
+    firsts = written(
+        spark,
+        places.groupBy("h").agg(
+            F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")
+        ).where(F.col("first") != F.col("last")).drop("last"),
+        "run-firsts", small=True
+    )
     total = lines.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
     # Hot runs are few by their definition and go by broadcast; all others are joined by hash.
     is_hot = F.col("n") * HOT_SHARE > F.lit(total)
@@ -196,9 +205,15 @@ def report(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text
     d = gone.select(F.col("doc_id").alias("gi"), F.col("text_hash").alias("gt"), "at")
     got = lines.join(d, F.col("doc_id").eqNullSafe(F.col("gi")) & (F.col("text_hash") == F.col("gt")), "left")
     at = F.coalesce("at", F.array().cast("array<int>"))
-    out = got.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.size(at).cast("long").alias("n_deleted"), at.alias("deleted_at"), F.aggregate(at, F.lit(0).cast("long"), lambda s, k: s + F.get("words", k)).alias("words_deleted"))
+    out = got.select(
+        "doc_id", F.size("lines").cast("long").alias("n_lines"), F.size(at).cast("long").alias("n_deleted"), at.alias("deleted_at"),
+        F.aggregate(at, F.lit(0).cast("long"), lambda s, k: s + F.get("words", k)).alias("words_deleted")
+    )
     zero = F.lit(0).cast("long")
-    none = rows.where("text is null").select("doc_id", zero.alias("n_lines"), zero.alias("n_deleted"), F.array().cast("array<int>").alias("deleted_at"), zero.alias("words_deleted"))
+    none = rows.where("text is null").select(
+        "doc_id", zero.alias("n_lines"), zero.alias("n_deleted"), F.array().cast("array<int>").alias("deleted_at"),
+        zero.alias("words_deleted")
+    )
     return out.unionByName(none)
 
 

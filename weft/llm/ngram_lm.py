@@ -235,7 +235,10 @@ def _scored(order: int, keep: int, min_count: int, backoff: float):
     return B.tidy(run)
 
 
-def scores(spark: SparkSession, docs: DataFrame, *, order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scores(
+    spark: SparkSession, docs: DataFrame, *, order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF,
+    id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """doc_id, n_tokens, n_backoff, log_score (natural), mean_log_score per row of docs.
 
     n_backoff counts tokens not scored at the highest order their place allows; with ``min_count``
@@ -254,9 +257,14 @@ def scores(spark: SparkSession, docs: DataFrame, *, order: int = ORDER, min_coun
     requests = groups.mapInArrow(_requests(order, keep, bits), "g bigint, p bigint, h binary, c binary, n bigint")
     answers = requests.repartition(max(least, (1 << bits) // 8), "p").groupBy("p").applyInArrow(_answer, "g bigint, p bigint, c binary, n bigint")
     by_group = answers.repartition(n, "g").groupBy("g").agg(F.array_sort(F.collect_list(F.struct("p", "c", "n"))).alias("answers"))
-    parts = groups.join(by_group, "g", "left").mapInArrow(_scored(order, keep, min_count, backoff), "doc_id bigint, n_tokens bigint, n_backoff bigint, n_word_level bigint, part double")
+    parts = groups.join(by_group, "g", "left").mapInArrow(
+        _scored(order, keep, min_count, backoff), "doc_id bigint, n_tokens bigint, n_backoff bigint, n_word_level bigint, part double"
+    )
     log_score = F.col("part") - F.col("n_word_level") * F.lit(float(np.log(max(_tokens(rows), 1))))
-    return parts.select("doc_id", "n_tokens", "n_backoff", log_score.alias("log_score"), F.when(F.col("n_tokens") > 0, log_score / F.col("n_tokens")).alias("mean_log_score"))
+    return parts.select(
+        "doc_id", "n_tokens", "n_backoff", log_score.alias("log_score"),
+        F.when(F.col("n_tokens") > 0, log_score / F.col("n_tokens")).alias("mean_log_score")
+    )
 
 
 def _tokens(rows: DataFrame) -> int:
@@ -270,12 +278,19 @@ def _tokens(rows: DataFrame) -> int:
     return rows.select("text").mapInArrow(B.tidy(count), "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def relational_scores(spark: SparkSession, docs: DataFrame, *, order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def relational_scores(
+    spark: SparkSession, docs: DataFrame, *, order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF,
+    id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """The rows of ``scores`` with an n-gram a row: exploded n-grams, a count table by hash, joins and sums.
 
     No packing and no hashes in place of words, at many times the disk. The same cases as ``scores``.
     """
-    rows = written(spark, id_text(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("r", F.monotonically_increasing_id()), "rows")
+    rows = written(
+        spark,
+        id_text(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("r", F.monotonically_increasing_id()),
+        "rows"
+    )
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = rows.select("r", F.regexp_extract_all(lower, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("w"))
     places = words.where(F.size("w") > 0).select("r", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i"))
@@ -298,4 +313,7 @@ def relational_scores(spark: SparkSession, docs: DataFrame, *, order: int = ORDE
     scored = at.select("r", (level < best).cast("long").alias("back"), (score + (best - level) * F.lit(float(np.log(backoff)))).alias("s"))
     sums = scored.groupBy("r").agg(F.count(F.lit(1)).alias("k"), F.sum("back").alias("b"), F.sum("s").alias("s"))
     zero = F.lit(0).cast("long")
-    return rows.join(sums, "r", "left").select("doc_id", F.coalesce("k", zero).alias("n_tokens"), F.coalesce("b", zero).alias("n_backoff"), F.coalesce("s", F.lit(0.0)).alias("log_score"), (F.col("s") / F.col("k")).alias("mean_log_score"))
+    return rows.join(sums, "r", "left").select(
+        "doc_id", F.coalesce("k", zero).alias("n_tokens"), F.coalesce("b", zero).alias("n_backoff"),
+        F.coalesce("s", F.lit(0.0)).alias("log_score"), (F.col("s") / F.col("k")).alias("mean_log_score")
+    )

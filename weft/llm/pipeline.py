@@ -37,7 +37,10 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sp_codec.encode_decode(docs, str(public_tokenizers.path("piece_bpe_32k.model"))).drop("n_bytes")
 
 
-STAGES = [("quality rules", quality), ("line dedup", lines), ("MinHash near-dedup", near_duplicates), ("benchmark decontamination", benchmark_leaks), ("SentencePiece encoding", tokens)]
+STAGES = [
+    ("quality rules", quality), ("line dedup", lines), ("MinHash near-dedup", near_duplicates),
+    ("benchmark decontamination", benchmark_leaks), ("SentencePiece encoding", tokens)
+]
 
 #: Boosted trees and byte-pair merges have no SQL; the pipeline is tested against brute force.
 ORACLE_SQL = None

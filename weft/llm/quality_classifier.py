@@ -94,7 +94,9 @@ def fit(features: DataFrame, labels: DataFrame, *, pooled: float = POOLED, diago
     A few hundred numbers per class reach the driver, whatever the number of rows. Null labels
     and ids do not count; a class without rows gets the other's mean and covariance.
     """
-    y = labels.select(by_name(labels, "doc_id").cast("long").alias("i"), by_name(labels, "quality").cast("int").alias("y")).where("i is not null and y in (0, 1)").groupBy("i").agg(F.max("y").alias("y"))
+    y = labels.select(
+        by_name(labels, "doc_id").cast("long").alias("i"), by_name(labels, "quality").cast("int").alias("y")
+    ).where("i is not null and y in (0, 1)").groupBy("i").agg(F.max("y").alias("y"))
     rows = features.where(remainder(F.col("doc_id")) != HELD_OUT).join(y, F.col("doc_id") == F.col("i")).select("y", "x")
 
     def sums(batches):
@@ -106,7 +108,10 @@ def fit(features: DataFrame, labels: DataFrame, *, pooled: float = POOLED, diago
                 for k in (0, 1):
                     a = x[y == k]
                     flat = np.concatenate([[len(a)], a.sum(0), (a.T @ a).ravel()])
-                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(flat), pa.int32()), pa.array(range(len(flat)), pa.int32()), pa.array(flat)], names=["k", "at", "v"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([k] * len(flat), pa.int32()), pa.array(range(len(flat)), pa.int32()), pa.array(flat)],
+                        names=["k", "at", "v"]
+                    )
 
     got = rows.mapInArrow(B.tidy(sums), "k int, at int, v bigint").groupBy("k", "at").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v")).collect()
     d = transformed(S.document_stats(np.zeros(0, np.uint8), np.zeros(2, np.int64))).shape[1]

@@ -39,12 +39,18 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
 
 
+def document_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the quality rules that SQL can state: the base statistics and the base rules."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"), quality_rules.base_rules()).drop("score", "kept")
+
+
 def op5_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_diff.extract(table(spark, sf_dir, "pages"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(spark, table(spark, sf_dir, "documents"))
+    got = line_dedup.report(spark, table(spark, sf_dir, "documents"))
+    return got.withColumn("deleted_at", F.array_join(F.col("deleted_at").cast("array<string>"), ","))
 
 
 def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +77,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = [op1_wu_manber_decontamination, op2_token_store, op3_token_counts, op4_quality_rules, op5_page_differencing, op6_line_dedup, op7_stupid_backoff, op8_sentencepiece, op9_dart_minhash, op10_quality_classifier, pipeline]
+    ops = [
+        op1_wu_manber_decontamination, op2_token_store, op3_token_counts, op4_quality_rules, op5_page_differencing, op6_line_dedup,
+        op7_stupid_backoff, op8_sentencepiece, op9_dart_minhash, op10_quality_classifier, pipeline, document_statistics
+    ]
     return {f.__name__: f for f in ops}
 
 
@@ -94,6 +103,30 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIG
 FROM norm LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 """
 
+#: Blocks are runs of equal lines at one distance in two documents.
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, i - 1 AS p, l[i] AS t, len(regexp_extract_all(l[i], '[^\x20\x09-\x0D]+')) AS w FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d)),
+pairs AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM l a JOIN l b ON a.t = b.t AND a.doc_id < b.doc_id WHERE a.w > 0),
+same AS (SELECT a, b, y.p, y.w, y.p - x.p AS shift FROM pairs JOIN l x ON x.doc_id = a JOIN l y ON y.doc_id = b AND y.t = x.t),
+runs AS (SELECT *, p - row_number() OVER (PARTITION BY a, b, shift ORDER BY p) AS run FROM same),
+gone AS (SELECT DISTINCT b, p, w FROM (SELECT b, p, w, sum(w) OVER (PARTITION BY a, b, shift, run) AS block FROM runs) WHERE block >= 40),
+cut AS (SELECT b, count(*) AS n, string_agg(CAST(p AS VARCHAR), ',' ORDER BY p) AS places, sum(w) AS words FROM gone GROUP BY b)
+SELECT doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_deleted, coalesce(places, '') AS deleted_at, CAST(coalesce(words, 0) AS BIGINT) AS words_deleted
+FROM documents LEFT JOIN cut ON b = doc_id
+"""
+
+STATISTICS_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lines AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
+win AS (SELECT r, i, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) > 4)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS c FROM win) WHERE c > 1),
+words AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS j FROM twice) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(words.n, 0) AS BIGINT) AS n_repeat_words, len(w) < 10 OR 100 * coalesce(words.n, 0) > 20 * len(w) AS base_failed
+FROM d LEFT JOIN lines USING (r) LEFT JOIN words USING (r)
+"""
+
 OP7_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 t AS (SELECT r, i, w[i] AS a, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS c FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
@@ -125,4 +158,7 @@ SELECT doc_id, min(root) AS class_id FROM r GROUP BY doc_id
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it expresses the whole query; the others are tested against brute force."""
-    return {"op1_wu_manber_decontamination": OP1_SQL, "op7_stupid_backoff": OP7_SQL, "op9_dart_minhash": OP9_SQL}
+    return {
+        "op1_wu_manber_decontamination": OP1_SQL, "op6_line_dedup": OP6_SQL, "op7_stupid_backoff": OP7_SQL, "op9_dart_minhash": OP9_SQL,
+        "document_statistics": STATISTICS_SQL
+    }

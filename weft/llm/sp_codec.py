@@ -119,7 +119,10 @@ def build(model: Model):
         # Only normal pieces match text; the others keep their places under names no text holds.
         # Bytes of what no piece covers are put in by Codec: the library's own fallback would also
         # read a literal ``<0x41>`` in a text as a byte.
-        core = models.Unigram([(p, s) if k in (NORMAL, USER) else (f"\ufdd0{i}\ufdd1", 0.0) for i, (p, s, k) in enumerate(model.pieces)], unk_id=model.unk, byte_fallback=False)
+        core = models.Unigram(
+            [(p, s) if k in (NORMAL, USER) else (f"\ufdd0{i}\ufdd1", 0.0) for i, (p, s, k) in enumerate(model.pieces)], unk_id=model.unk,
+            byte_fallback=False
+        )
     tok = Tokenizer(core)
     user = [AddedToken(p, normalized=False) for p, _, k in model.pieces if k == USER]
     if user:

@@ -56,7 +56,10 @@ def token_counts(
     cached = read_cache(spark, path).where(F.col("tokenizer") == version)
     # One document for each missing digest; min over a narrow pair, combined before the shuffle.
     chosen = narrow.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(cached, "digest", "left_anti")
-    texts = rows.join(chosen.withColumnRenamed("digest", "d").withColumnRenamed("doc_id", "i"), (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("i")), "left_semi")
+    texts = rows.join(
+        chosen.withColumnRenamed("digest", "d").withColumnRenamed("doc_id", "i"),
+        (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("i")), "left_semi"
+    )
 
     def encode(batches):
         for batch in batches:

@@ -100,7 +100,10 @@ def write_store(
             key = batch.column(0).to_pandas().astype("Int64")
             bucket = np.where(key.isna(), 0, _buckets(key.fillna(0).to_numpy("int64"), bounds, seen)).astype(np.int32)
             seen += batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column(0), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], names=["bucket", "doc_id", "n_tokens", "frame"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket), batch.column(0), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())],
+                names=["bucket", "doc_id", "n_tokens", "frame"]
+            )
 
     framed = rows.mapInArrow(B.tidy(encode), "bucket int, doc_id bigint, n_tokens bigint, frame binary")
     placed = framed.repartitionById(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "n_tokens", "frame")
@@ -110,7 +113,10 @@ def write_store(
 
         def row():
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in frames])])
-            return pa.RecordBatch.from_pylist([{"bucket": bucket, "shard": shard, "dict_sha256": name, "doc_ids": ids, "offsets": offsets.tolist(), "n_tokens": counts, "frames": b"".join(frames)}], schema=_SHARD_ARROW)
+            return pa.RecordBatch.from_pylist(
+                [{"bucket": bucket, "shard": shard, "dict_sha256": name, "doc_ids": ids, "offsets": offsets.tolist(), "n_tokens": counts, "frames": b"".join(frames)}],
+                schema=_SHARD_ARROW
+            )
 
         for batch in batches:
             for b, i, c, f in zip(*(x.to_pylist() for x in batch.columns)):
@@ -128,7 +134,10 @@ def write_store(
     placed.mapInArrow(B.tidy(pack), SHARD).write.parquet(f"{path}/shards")
 
 
-_SHARD_ARROW = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("dict_sha256", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("frames", pa.binary())])
+_SHARD_ARROW = pa.schema([
+    ("bucket", pa.int32()), ("shard", pa.int32()), ("dict_sha256", pa.string()), ("doc_ids", pa.list_(pa.int64())),
+    ("offsets", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("frames", pa.binary())
+])
 
 
 def _dictionary(spark: SparkSession, path: str) -> tuple[str, bytes]:
@@ -156,7 +165,10 @@ def read_store(spark: SparkSession, path: str, *, with_ids: bool = True) -> Data
     by_shard = shards.select("bucket", "shard", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
     from pyspark.sql import Window as W
 
-    first = by_shard.select("bucket", "shard", F.coalesce(F.sum("n").over(W.partitionBy("bucket").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("before"))
+    first = by_shard.select(
+        "bucket", "shard",
+        F.coalesce(F.sum("n").over(W.partitionBy("bucket").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("before")
+    )
 
     def unpack(batches):
         opener = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(shared.value))
@@ -175,7 +187,9 @@ def read_store(spark: SparkSession, path: str, *, with_ids: bool = True) -> Data
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = ["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
-    return shards.join(first, ["bucket", "shard"]).mapInArrow(B.tidy(unpack), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids binary" if with_ids else ""))
+    return shards.join(first, ["bucket", "shard"]).mapInArrow(
+        B.tidy(unpack), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids binary" if with_ids else "")
+    )
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
@@ -183,8 +197,13 @@ def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]
     _, dictionary = _dictionary(spark, path)
     opener = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
     at = F.filter(F.sequence(F.lit(0), F.size("doc_ids") - 1), lambda i: F.get("doc_ids", i) == F.lit(doc_id))
-    rows = spark.read.schema(SHARD).parquet(f"{path}/shards").where(F.array_contains("doc_ids", F.lit(doc_id).cast("long"))).select("frames", "offsets", F.explode(at).alias("i"))
-    frames = rows.select(F.substring("frames", (F.get("offsets", F.col("i")) + 1).cast("int"), (F.get("offsets", F.col("i") + 1) - F.get("offsets", F.col("i"))).cast("int")).alias("f"))
+    rows = spark.read.schema(SHARD).parquet(f"{path}/shards").where(F.array_contains("doc_ids", F.lit(doc_id).cast("long"))).select(
+        "frames", "offsets", F.explode(at).alias("i")
+    )
+    frames = rows.select(F.substring(
+        "frames", (F.get("offsets", F.col("i")) + 1).cast("int"),
+        (F.get("offsets", F.col("i") + 1) - F.get("offsets", F.col("i"))).cast("int")
+    ).alias("f"))
     return [np.frombuffer(opener.decompress(bytes(r["f"])), "<u4").tolist() for r in frames.toLocalIterator()]
 
 
