@@ -105,13 +105,17 @@ def _found(spark: SparkSession, sf_dir: str, where: dict | None, *returns: str)
 
 def _whole(g: PropertyGraph) -> DataFrame:
     """Nodes and links of a graph as rows of one table."""
-    return g.base.select(F.lit("node").alias("what"), F.col("gid").alias("a"), F.lit(None).cast("string").alias("b")).unionByName(g.links.select(F.lit("link").alias("what"), F.col("a_gid").alias("a"), F.col("b_gid").alias("b")))
+    return g.base.select(
+        F.lit("node").alias("what"), F.col("gid").alias("a"), F.lit(None).cast("string").alias("b")
+    ).unionByName(g.links.select(F.lit("link").alias("what"), F.col("a_gid").alias("a"), F.col("b_gid").alias("b")))
 
 
 # Scans and look-ups.
 
 
-@query("SELECT gid, split_part(gid, '/', -1) AS local_id, CASE WHEN contains(gid, '/') THEN regexp_extract(gid, '^(.*)/[^/]*$', 1) END AS parent_gid, CAST(len(string_split(gid, '/')) AS INT) AS depth, kind FROM nodes")
+@query(
+    "SELECT gid, split_part(gid, '/', -1) AS local_id, CASE WHEN contains(gid, '/') THEN regexp_extract(gid, '^(.*)/[^/]*$', 1) END AS parent_gid, CAST(len(string_split(gid, '/')) AS INT) AS depth, kind FROM nodes"
+)
 def scan_nodes(spark, d):
     return tpch_graph(spark, d).nodes.select("gid", "local_id", "parent_gid", "depth", F.element_at("attrs", "kind").alias("kind"))
 
@@ -173,7 +177,9 @@ def node_degree(spark, d):
     return tpch_graph(spark, d).degree()
 
 
-@query("SELECT dst AS gid FROM adj WHERE src = 'Order-1' INTERSECT SELECT dst FROM adj WHERE src = (SELECT min(a_gid) FROM links WHERE b_gid = (SELECT min(dst) FROM adj WHERE src = 'Order-1' AND dst LIKE 'Part-%') AND a_gid LIKE 'Order-%')")
+@query(
+    "SELECT dst AS gid FROM adj WHERE src = 'Order-1' INTERSECT SELECT dst FROM adj WHERE src = (SELECT min(a_gid) FROM links WHERE b_gid = (SELECT min(dst) FROM adj WHERE src = 'Order-1' AND dst LIKE 'Part-%') AND a_gid LIKE 'Order-%')"
+)
 def common_neighbours(spark, d):
     g = tpch_graph(spark, d)
     part = g.neighbours_of("Order-1").where("dst like 'Part-%'").agg(F.min("dst")).first()[0]
@@ -256,12 +262,16 @@ def text_score_documents(spark, d):
     return docs.select("doc_id", text.text_score(F.coalesce("source", F.lit("")), attrs, "src1").alias("score"))
 
 
-@query("SELECT DISTINCT src AS x, CAST(1.4 AS DOUBLE) AS score, 'attribute:kind:equals;connected:depth=1;node' AS matched_by FROM adj JOIN nodes ON gid = src WHERE nodes.kind = 'part' AND dst = 'Order-1'")
+@query(
+    "SELECT DISTINCT src AS x, CAST(1.4 AS DOUBLE) AS score, 'attribute:kind:equals;connected:depth=1;node' AS matched_by FROM adj JOIN nodes ON gid = src WHERE nodes.kind = 'part' AND dst = 'Order-1'"
+)
 def search_connected(spark, d):
     return _found(spark, d, both(attribute("x", "kind", "part"), connected(var("x"), lit("Order-1"))))
 
 
-@query("""SELECT DISTINCT src AS x, CAST(1.4 AS DOUBLE) AS score, 'attribute:kind:equals;connected:depth=1;node' AS matched_by FROM adj JOIN nodes ON gid = src WHERE nodes.kind = 'customer' AND dst = 'AFRICA/NATION_0'""")
+@query(
+    """SELECT DISTINCT src AS x, CAST(1.4 AS DOUBLE) AS score, 'attribute:kind:equals;connected:depth=1;node' AS matched_by FROM adj JOIN nodes ON gid = src WHERE nodes.kind = 'customer' AND dst = 'AFRICA/NATION_0'"""
+)
 def search_literal_in_another_case(spark, d):
     return _found(spark, d, both(attribute("x", "kind", "customer"), connected(var("x"), lit("/africa\\nation_0/"))))
 
@@ -284,15 +294,23 @@ def search_all_anchors(spark, d):
     return _found(spark, d, both(attribute("x", "kind", "order"), connected(var("x"), lit(a)), connected(var("x"), lit(b))))
 
 
-@query("""SELECT gid AS x, CAST(1.4 AS DOUBLE) AS score, 'attribute:kind:equals;connected:depth=1;node' AS matched_by FROM nodes WHERE kind = 'order' AND (gid IN (SELECT src FROM adj WHERE dst = 'Part-1') OR gid IN (SELECT src FROM adj WHERE dst = 'Part-2'))""")
+@query(
+    """SELECT gid AS x, CAST(1.4 AS DOUBLE) AS score, 'attribute:kind:equals;connected:depth=1;node' AS matched_by FROM nodes WHERE kind = 'order' AND (gid IN (SELECT src FROM adj WHERE dst = 'Part-1') OR gid IN (SELECT src FROM adj WHERE dst = 'Part-2'))"""
+)
 def search_any_anchor(spark, d):
-    return _found(spark, d, both(attribute("x", "kind", "order"), {"kind": "any", "expressions": [connected(var("x"), lit("Part-1")), connected(var("x"), lit("Part-2"))]}))
+    return _found(
+        spark, d,
+        both(attribute("x", "kind", "order"), {"kind": "any", "expressions": [connected(var("x"), lit("Part-1")), connected(var("x"), lit("Part-2"))]})
+    )
 
 
 _REACH3 = """WITH r AS (SELECT 'Order-1' AS gid, 0 AS d UNION SELECT dst, d + 1 FROM r JOIN adj ON src = r.gid WHERE d < 2), m AS (SELECT gid, min(d) AS d FROM r GROUP BY gid)"""
 
 
-@query(_REACH3 + """ SELECT m.gid AS x, CAST(round_even(greatest(1.0, 0.65 + 0.7 / d + 0.05), 4) AS DOUBLE) AS score, 'attribute:kind:equals;path:depth=' || d || ';node' AS matched_by FROM m JOIN nodes USING (gid) WHERE d BETWEEN 1 AND 2 AND kind = 'supplier'""", recursive=True)
+@query(
+    _REACH3 + """ SELECT m.gid AS x, CAST(round_even(greatest(1.0, 0.65 + 0.7 / d + 0.05), 4) AS DOUBLE) AS score, 'attribute:kind:equals;path:depth=' || d || ';node' AS matched_by FROM m JOIN nodes USING (gid) WHERE d BETWEEN 1 AND 2 AND kind = 'supplier'""",
+    recursive=True
+)
 def search_path_within(spark, d):
     return _found(spark, d, both(attribute("x", "kind", "supplier"), {"kind": "path", "left": var("x"), "right": lit("Order-1"), "minDepth": 1, "maxDepth": 2}))
 
@@ -315,7 +333,9 @@ def search_all_ancestors(spark, d):
     return _found(spark, d, both(attribute("x", "kind", "supplier"), {"kind": "descendant", "ancestor": var("a"), "descendant": var("x")}), "a", "x")
 
 
-@query("SELECT gid AS x, CAST(1.15 AS DOUBLE) AS score, 'attribute:kind:equals;degree:greaterThanOrEqual:8;node' AS matched_by FROM deg JOIN nodes USING (gid) WHERE degree >= 8 AND kind = 'order'")
+@query(
+    "SELECT gid AS x, CAST(1.15 AS DOUBLE) AS score, 'attribute:kind:equals;degree:greaterThanOrEqual:8;node' AS matched_by FROM deg JOIN nodes USING (gid) WHERE degree >= 8 AND kind = 'order'"
+)
 def search_degree_ge(spark, d):
     return _found(spark, d, both(attribute("x", "kind", "order"), {"kind": "degree", "node": var("x"), "operator": "greaterThanOrEqual", "value": 8}))
 
@@ -325,28 +345,42 @@ def search_same(spark, d):
     return _found(spark, d, both(attribute("x", "kind", "nation"), {"kind": "same", "left": var("x"), "right": var("y")}), "x", "y")
 
 
-@query("SELECT a.gid AS x, b.gid AS y, CAST(1.5 AS DOUBLE) AS score, 'attribute:kind:equals;not-same;node' AS matched_by FROM nodes a, nodes b WHERE a.kind = 'nation' AND b.kind = 'region' AND a.gid <> b.gid")
+@query(
+    "SELECT a.gid AS x, b.gid AS y, CAST(1.5 AS DOUBLE) AS score, 'attribute:kind:equals;not-same;node' AS matched_by FROM nodes a, nodes b WHERE a.kind = 'nation' AND b.kind = 'region' AND a.gid <> b.gid"
+)
 def search_not_same(spark, d):
     return _found(spark, d, both(attribute("x", "kind", "nation"), attribute("y", "kind", "region"), {"kind": "notSame", "left": var("x"), "right": var("y")}), "x", "y")
 
 
-@query("""SELECT 'Lonely-' || r_regionkey AS x, CAST(1.0 AS DOUBLE) AS score, 'node;not' AS matched_by FROM region UNION ALL SELECT gid, 1.0, 'node;not' FROM deg WHERE degree = 0""")
+@query(
+    """SELECT 'Lonely-' || r_regionkey AS x, CAST(1.0 AS DOUBLE) AS score, 'node;not' AS matched_by FROM region UNION ALL SELECT gid, 1.0, 'node;not' FROM deg WHERE degree = 0"""
+)
 def search_isolated(spark, d):
     """Beside the graph's own nodes, one without any edge for each region."""
     g = tpch_graph(spark, d)
-    lonely = spark.read.parquet(f"{d}/region.parquet").select(F.concat(F.lit("Lonely-"), F.col("r_regionkey").cast("string")).alias("gid"), F.create_map().cast("map<string,string>").alias("attrs"))
+    lonely = spark.read.parquet(f"{d}/region.parquet").select(
+        F.concat(F.lit("Lonely-"), F.col("r_regionkey").cast("string")).alias("gid"),
+        F.create_map().cast("map<string,string>").alias("attrs")
+    )
     g = PropertyGraph(g.base.unionByName(lonely), g.links, unique=True)
     return _rows(plans.solutions(g, templates.isolated()), "x")
 
 
-@query("""SELECT gid AS x, CAST(1.0 AS DOUBLE) AS score, 'attribute:kind:equals;not;node' AS matched_by FROM nodes WHERE kind = 'order' AND NOT EXISTS (SELECT 1 FROM adj JOIN nodes p ON p.gid = dst WHERE src = nodes.gid AND p.psize = '7')""")
+@query(
+    """SELECT gid AS x, CAST(1.0 AS DOUBLE) AS score, 'attribute:kind:equals;not;node' AS matched_by FROM nodes WHERE kind = 'order' AND NOT EXISTS (SELECT 1 FROM adj JOIN nodes p ON p.gid = dst WHERE src = nodes.gid AND p.psize = '7')"""
+)
 def search_not_connected_to_kind(spark, d):
     return _found(spark, d, both(attribute("x", "kind", "order"), {"kind": "not", "expression": both(connected(var("x"), var("p")), attribute("p", "size", "7"))}))
 
 
-@query("""SELECT o.gid AS x, CAST(round_even(greatest(1.0, 0.65 + 0.7 + 0.65 + 0.05), 4) AS DOUBLE) AS score, 'attribute:kind:equals;exists;node' AS matched_by FROM nodes o WHERE kind = 'order' AND EXISTS (SELECT 1 FROM adj JOIN nodes p ON p.gid = dst WHERE src = o.gid AND p.psize = '7')""")
+@query(
+    """SELECT o.gid AS x, CAST(round_even(greatest(1.0, 0.65 + 0.7 + 0.65 + 0.05), 4) AS DOUBLE) AS score, 'attribute:kind:equals;exists;node' AS matched_by FROM nodes o WHERE kind = 'order' AND EXISTS (SELECT 1 FROM adj JOIN nodes p ON p.gid = dst WHERE src = o.gid AND p.psize = '7')"""
+)
 def search_exists_score(spark, d):
-    return _found(spark, d, both(attribute("x", "kind", "order"), {"kind": "exists", "variables": ["p"], "expression": both(connected(var("x"), var("p")), attribute("p", "size", "7"))}))
+    return _found(
+        spark, d,
+        both(attribute("x", "kind", "order"), {"kind": "exists", "variables": ["p"], "expression": both(connected(var("x"), var("p")), attribute("p", "size", "7"))})
+    )
 
 
 @query("""SELECT gid AS x, CAST(1.0 AS DOUBLE) AS score, 'attribute:kind:equals;node' AS matched_by FROM nodes WHERE kind = 'order' ORDER BY gid LIMIT 50""")
@@ -358,7 +392,10 @@ def search_limit(spark, d):
 def search_bindings(spark, d):
     q = {"where": attribute("n", "kind", "nation")}
     got = plans.matches(plans.solutions(tpch_graph(spark, d), q), q)
-    return got.select(F.col("node").alias("n"), F.array_join(F.transform(F.map_entries("bindings"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("bindings"))
+    return got.select(
+        F.col("node").alias("n"),
+        F.array_join(F.transform(F.map_entries("bindings"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("bindings")
+    )
 
 
 @query("""SELECT a.src AS n, a.dst AS x, b.dst AS z, CAST(round_even(2 * 0.7 + 3 * 0.05, 4) AS DOUBLE) AS score, 'connected:depth=1;node' AS matched_by
@@ -376,29 +413,42 @@ def template_neighbour_by_id(spark, d):
 # Traversal.
 
 
-@query("WITH r AS (SELECT 'Order-1' AS gid, 0 AS d UNION SELECT dst, d + 1 FROM r JOIN adj ON src = r.gid WHERE d < 2) SELECT gid, min(d) AS dist FROM r GROUP BY gid", recursive=True)
+@query(
+    "WITH r AS (SELECT 'Order-1' AS gid, 0 AS d UNION SELECT dst, d + 1 FROM r JOIN adj ON src = r.gid WHERE d < 2) SELECT gid, min(d) AS dist FROM r GROUP BY gid",
+    recursive=True
+)
 def subgraph_depth2(spark, d):
     return traverse.subgraph(tpch_graph(spark, d), ["Order-1"], 2)
 
 
-@query("WITH r AS (SELECT gid, 0 AS d FROM nodes WHERE gid IN ('Order-1', 'Order-2', 'Part-3') UNION SELECT dst, d + 1 FROM r JOIN adj ON src = r.gid WHERE d < 1) SELECT gid, min(d) AS dist FROM r GROUP BY gid", recursive=True)
+@query(
+    "WITH r AS (SELECT gid, 0 AS d FROM nodes WHERE gid IN ('Order-1', 'Order-2', 'Part-3') UNION SELECT dst, d + 1 FROM r JOIN adj ON src = r.gid WHERE d < 1) SELECT gid, min(d) AS dist FROM r GROUP BY gid",
+    recursive=True
+)
 def subgraph_multiroot(spark, d):
     return traverse.subgraph(tpch_graph(spark, d), ["Order-1", "Order-2", "Part-3"], 1)
 
 
-@query("WITH s AS (SELECT 'Order-1' AS gid UNION SELECT dst FROM adj WHERE src = 'Order-1') SELECT a_gid, b_gid, kind FROM edges WHERE a_gid IN (SELECT gid FROM s) AND b_gid IN (SELECT gid FROM s)")
+@query(
+    "WITH s AS (SELECT 'Order-1' AS gid UNION SELECT dst FROM adj WHERE src = 'Order-1') SELECT a_gid, b_gid, kind FROM edges WHERE a_gid IN (SELECT gid FROM s) AND b_gid IN (SELECT gid FROM s)"
+)
 def induced_edges(spark, d):
     g = tpch_graph(spark, d)
     return traverse.induced_edges(g, traverse.subgraph(g, ["Order-1"], 1))
 
 
-@query("WITH r AS (SELECT gid AS src, gid AS dst, 0 AS d FROM nodes WHERE kind = 'region' UNION SELECT r.src, adj.dst, d + 1 FROM r JOIN adj ON adj.src = r.dst WHERE d < 2) SELECT src, dst, min(d) AS dist FROM r GROUP BY src, dst HAVING min(d) >= 1", recursive=True)
+@query(
+    "WITH r AS (SELECT gid AS src, gid AS dst, 0 AS d FROM nodes WHERE kind = 'region' UNION SELECT r.src, adj.dst, d + 1 FROM r JOIN adj ON adj.src = r.dst WHERE d < 2) SELECT src, dst, min(d) AS dist FROM r GROUP BY src, dst HAVING min(d) >= 1",
+    recursive=True
+)
 def reachability(spark, d):
     g = tpch_graph(spark, d)
     return traverse.reach(g.neighbours, g.nodes.where("attrs['kind'] = 'region'").select("gid"), 1, 2)
 
 
-@query("""SELECT o.gid, c.gid AS component FROM (SELECT c_custkey AS k, gid FROM cust UNION ALL SELECT o_custkey, 'Order-' || o_orderkey FROM orders) o JOIN cust c ON c_custkey = k""")
+@query(
+    """SELECT o.gid, c.gid AS component FROM (SELECT c_custkey AS k, gid FROM cust UNION ALL SELECT o_custkey, 'Order-' || o_orderkey FROM orders) o JOIN cust c ON c_custkey = k"""
+)
 def components(spark, d):
     """Customers and their orders: a component is a customer with all that it ordered."""
     g = tpch_graph(spark, d)
@@ -448,7 +498,9 @@ def rank_nodes(spark, d):
     return view.rank(n, g.edges.select("a_gid", "b_gid", none, (F.col("kind") == "link").alias("projected")), REGION, "Order-1")[0]
 
 
-@query("""SELECT a_gid, b_gid, floor(greatest(0.0, CASE WHEN a_gid LIKE 'Order-1%' THEN 12.34 WHEN kind = 'link' THEN 35.0 ELSE 8.0 END) * 10 + 0.5) / 10 AS rank FROM edges""")
+@query(
+    """SELECT a_gid, b_gid, floor(greatest(0.0, CASE WHEN a_gid LIKE 'Order-1%' THEN 12.34 WHEN kind = 'link' THEN 35.0 ELSE 8.0 END) * 10 + 0.5) / 10 AS rank FROM edges"""
+)
 def rank_edges(spark, d):
     """Edges of some orders have a rank of their type; the others have that of their kind."""
     g = tpch_graph(spark, d)
@@ -485,12 +537,16 @@ def _basis(spark):
     return spark.createDataFrame([(f"{r}", "Node", r, None, True, False, ["kind"]) for r in ("AFRICA", "ASIA", "AMERICA", "EUROPE", "MIDDLE EAST")], view.BASIS)
 
 
-@query("SELECT dst AS node_gid, src AS type_gid FROM adj WHERE src IN ('AFRICA', 'ASIA', 'AMERICA', 'EUROPE', 'MIDDLE EAST') AND dst NOT IN ('AFRICA', 'ASIA', 'AMERICA', 'EUROPE', 'MIDDLE EAST')")
+@query(
+    "SELECT dst AS node_gid, src AS type_gid FROM adj WHERE src IN ('AFRICA', 'ASIA', 'AMERICA', 'EUROPE', 'MIDDLE EAST') AND dst NOT IN ('AFRICA', 'ASIA', 'AMERICA', 'EUROPE', 'MIDDLE EAST')"
+)
 def view_facets(spark, d):
     return view.facets(tpch_graph(spark, d).edges, _basis(spark))
 
 
-@query("SELECT dst AS node_gid, src AS type_gid, 'kind' AS field, nodes.kind AS value FROM adj JOIN nodes ON gid = dst WHERE src IN ('AFRICA', 'ASIA', 'AMERICA', 'EUROPE', 'MIDDLE EAST')")
+@query(
+    "SELECT dst AS node_gid, src AS type_gid, 'kind' AS field, nodes.kind AS value FROM adj JOIN nodes ON gid = dst WHERE src IN ('AFRICA', 'ASIA', 'AMERICA', 'EUROPE', 'MIDDLE EAST')"
+)
 def record_fields(spark, d):
     g = tpch_graph(spark, d)
     return view.record_fields(g.nodes, g.edges, _basis(spark))
@@ -504,7 +560,9 @@ def view_projection_edges(spark, d):
     return view.project(g.nodes, g.edges, _basis(spark).where("type_gid = 'AFRICA'").withColumn("collapsed", F.lit(True)))[1]
 
 
-@query("""SELECT n.gid, least(src, dst) AS node1, greatest(src, dst) AS node2, split_part(dst, '/', -1) AS neighbor FROM nodes n JOIN (SELECT DISTINCT src, dst FROM adj) ON src = n.gid WHERE n.kind IN ('nation', 'part')""")
+@query(
+    """SELECT n.gid, least(src, dst) AS node1, greatest(src, dst) AS node2, split_part(dst, '/', -1) AS neighbor FROM nodes n JOIN (SELECT DISTINCT src, dst FROM adj) ON src = n.gid WHERE n.kind IN ('nation', 'part')"""
+)
 def node_responses(spark, d):
     g = tpch_graph(spark, d)
     got = view.responses(g, g.nodes.where("attrs['kind'] in ('nation', 'part')"))
@@ -518,14 +576,20 @@ _SEED = {"Entity": [], "Order": ["Entity"], "Part": ["Entity"], "Supplier": ["En
 
 def _typed(spark, d):
     """Orders, parts and suppliers as instances, line items as relations."""
-    attrs = {"Order": [("Price", "Double", True), ("Status", "String", False)], "Part": [("Size", "Int32", True), ("Price", "Int64", False)], "Supplier": [("Balance", "Decimal", True)]}
+    attrs = {
+        "Order": [("Price", "Double", True), ("Status", "String", False)], "Part": [("Size", "Int32", True), ("Price", "Int64", False)],
+        "Supplier": [("Balance", "Decimal", True)]
+    }
     rows = [(t, "Instance", t == "Entity", req, [], attrs.get(t, [])) for t, req in _SEED.items()]
     rows.append(("Line", "Relation", False, [], [("Order", "Order", 1, 1), ("Part", "Part", 1, 1), ("Supplier", "Supplier", 1, 1)], [("Quantity", "Int32", False)]))
     types = spark.createDataFrame(rows, typed.TYPES)
     t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
     none = F.create_map().cast("map<string,array<string>>")
     s = lambda c: F.col(c).cast("string")
-    inst = lambda df, kind, key, attrs: df.select(F.concat(F.lit(kind + "-"), s(key)).alias("id"), F.lit("Instance").alias("kind"), F.array(F.lit("Entity"), F.lit(kind)).alias("type_ids"), attrs.alias("attributes"), none.alias("members"))
+    inst = lambda df, kind, key, attrs: df.select(
+        F.concat(F.lit(kind + "-"), s(key)).alias("id"), F.lit("Instance").alias("kind"),
+        F.array(F.lit("Entity"), F.lit(kind)).alias("type_ids"), attrs.alias("attributes"), none.alias("members")
+    )
     money = lambda c: F.round(F.col(c), 2).cast("decimal(18,2)").cast("string")
     el = inst(t("orders"), "Order", "o_orderkey", F.create_map(F.lit("Price"), money("o_totalprice"), F.lit("Status"), s("o_orderstatus")))
     el = el.unionByName(inst(t("part"), "Part", "p_partkey", F.create_map(F.lit("Size"), s("p_size"), F.lit("Price"), money("p_retailprice"))))
@@ -536,11 +600,22 @@ def _typed(spark, d):
     k = F.row_number().over(W.partitionBy(*key).orderBy("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"))
     line = t("lineitem").withColumn("k", k)
     one = lambda prefix, c: F.array(F.concat(F.lit(prefix), s(c)))
-    rel = line.select(F.concat_ws("-", F.lit("Line"), *(s(c) for c in key), s("k")).alias("id"), F.lit("Relation").alias("kind"), F.array(F.lit("Line")).alias("type_ids"), F.create_map(F.lit("Quantity"), F.col("l_quantity").cast("int").cast("string")).alias("attributes"), F.create_map(F.lit("Order"), one("Order-", "l_orderkey"), F.lit("Part"), one("Part-", "l_partkey"), F.lit("Supplier"), one("Supplier-", "l_suppkey")).alias("members"))
+    rel = line.select(
+        F.concat_ws("-", F.lit("Line"), *(s(c) for c in key), s("k")).alias("id"), F.lit("Relation").alias("kind"),
+        F.array(F.lit("Line")).alias("type_ids"),
+        F.create_map(F.lit("Quantity"), F.col("l_quantity").cast("int").cast("string")).alias("attributes"),
+        F.create_map(
+            F.lit("Order"), one("Order-", "l_orderkey"), F.lit("Part"), one("Part-", "l_partkey"), F.lit("Supplier"),
+            one("Supplier-", "l_suppkey")
+        ).alias("members")
+    )
     return types, el, rel
 
 
-@query("SELECT * FROM (VALUES ('Entity', 'Entity'), ('Order', 'Order'), ('Order', 'Entity'), ('Part', 'Part'), ('Part', 'Entity'), ('Supplier', 'Supplier'), ('Supplier', 'Entity'), ('Line', 'Line')) t(type_id, reached)", graph=False)
+@query(
+    "SELECT * FROM (VALUES ('Entity', 'Entity'), ('Order', 'Order'), ('Order', 'Entity'), ('Part', 'Part'), ('Part', 'Entity'), ('Supplier', 'Supplier'), ('Supplier', 'Entity'), ('Line', 'Line')) t(type_id, reached)",
+    graph=False
+)
 def type_closure(spark, d):
     return typed.closure(_typed(spark, d)[0])
 
@@ -556,10 +631,15 @@ def typed_scalar_violations(spark, d):
     return typed.scalar_violations(types, el)
 
 
-@query("SELECT rel.id, 'Invalid' AS code, 'a participant repeats: ' || p AS message FROM rel WHERE l_linenumber = 7 UNION ALL SELECT id, 'Invalid', 'wrong number of participants: Part' FROM rel WHERE l_linenumber = 7", graph=False, lines=True)
+@query(
+    "SELECT rel.id, 'Invalid' AS code, 'a participant repeats: ' || p AS message FROM rel WHERE l_linenumber = 7 UNION ALL SELECT id, 'Invalid', 'wrong number of participants: Part' FROM rel WHERE l_linenumber = 7",
+    graph=False, lines=True
+)
 def typed_cardinality_violations(spark, d):
     types, el, rel = _typed(spark, d)
-    twice = F.when(F.split(F.col("id"), "-")[4] == "7", F.transform_values("members", lambda k, v: F.when(k == "Part", F.concat(v, v)).otherwise(v))).otherwise(F.col("members"))
+    twice = F.when(
+        F.split(F.col("id"), "-")[4] == "7", F.transform_values("members", lambda k, v: F.when(k == "Part", F.concat(v, v)).otherwise(v))
+    ).otherwise(F.col("members"))
     return typed.relation_violations(types, el.unionByName(rel.withColumn("members", twice)))
 
 
@@ -587,7 +667,10 @@ def participants_exploded(spark, d):
     return typed.participants(_typed(spark, d)[2]).select(F.col("rel").alias("id"), "role", "participant")
 
 
-@query("""SELECT 'ORDER-' || o_orderkey AS id, 'Conflict' AS code, 'the id is taken' AS message FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'PART', 'Conflict', 'the id is taken'""", graph=False)
+@query(
+    """SELECT 'ORDER-' || o_orderkey AS id, 'Conflict' AS code, 'the id is taken' AS message FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'PART', 'Conflict', 'the id is taken'""",
+    graph=False
+)
 def id_collisions(spark, d):
     """Each finished order once more in capitals, and an element with a type's name."""
     types, el, _ = _typed(spark, d)
@@ -601,12 +684,18 @@ def typed_create_instances(spark, d):
     """Customers as new instances; the closure of the type they name is stored."""
     types, el, _ = _typed(spark, d)
     c = spark.read.parquet(f"{d}/customer.parquet")
-    rows = c.select(F.concat(F.lit("Buyer-"), F.col("c_custkey").cast("string")).alias("id"), F.array(F.lit("Supplier")).alias("type_ids"), F.create_map(F.lit("Balance"), F.col("c_acctbal").cast("decimal(18,2)").cast("string")).alias("attributes"))
+    rows = c.select(
+        F.concat(F.lit("Buyer-"), F.col("c_custkey").cast("string")).alias("id"), F.array(F.lit("Supplier")).alias("type_ids"),
+        F.create_map(F.lit("Balance"), F.col("c_acctbal").cast("decimal(18,2)").cast("string")).alias("attributes")
+    )
     after = typed.TypedGraph(types, el).create_instances(rows).elements.where("startswith(id, 'Buyer-')")
     return after.select("id", "kind", F.array_join("type_ids", ",").alias("type_ids"), F.element_at("attributes", "Balance").cast("double").alias("balance"))
 
 
-@query("""SELECT 'New-' || id AS id, r AS role, p AS participant FROM (SELECT id, unnest(['Order', 'Part', 'Supplier']) AS r, unnest([o, p, s]) AS p FROM rel WHERE l_linenumber = 1)""", graph=False, lines=True)
+@query(
+    """SELECT 'New-' || id AS id, r AS role, p AS participant FROM (SELECT id, unnest(['Order', 'Part', 'Supplier']) AS r, unnest([o, p, s]) AS p FROM rel WHERE l_linenumber = 1)""",
+    graph=False, lines=True
+)
 def typed_create_relations(spark, d):
     types, el, rel = _typed(spark, d)
     rows = rel.where("split(id, '-')[4] = '1'").select(F.concat(F.lit("New-"), F.col("id")).alias("id"), "type_ids", "attributes", "members")
@@ -614,7 +703,10 @@ def typed_create_relations(spark, d):
     return typed.participants(after.elements).select(F.col("rel").alias("id"), "role", "participant")
 
 
-@query("""SELECT 'Order-' || o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN '1.00' ELSE CAST(CAST(round(o_totalprice, 2) AS DECIMAL(18,2)) AS VARCHAR) END AS price, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderstatus END AS status FROM orders""", graph=False)
+@query(
+    """SELECT 'Order-' || o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN '1.00' ELSE CAST(CAST(round(o_totalprice, 2) AS DECIMAL(18,2)) AS VARCHAR) END AS price, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderstatus END AS status FROM orders""",
+    graph=False
+)
 def typed_replace_attributes(spark, d):
     """Finished orders keep a price alone: whole maps are replaced."""
     types, el, _ = _typed(spark, d)
@@ -644,9 +736,19 @@ def typed_delete_restricted(spark, d):
 def _mp(spark, d):
     g = tpch_graph(spark, d)
     keep = g.nodes.where("attrs['kind'] in ('order', 'part')")
-    n = keep.select(F.col("gid").alias("key"), F.array(F.element_at("attrs", "kind")).alias("type_keys"), F.array(F.when(F.element_at("attrs", "kind") == "part", F.try_element_at("attrs", F.lit("size")).cast("float")).otherwise(1.0), F.lit(2.0)).cast("array<float>").alias("x"))
+    n = keep.select(
+        F.col("gid").alias("key"), F.array(F.element_at("attrs", "kind")).alias("type_keys"),
+        F.array(
+            F.when(F.element_at("attrs", "kind") == "part", F.try_element_at("attrs", F.lit("size")).cast("float")).otherwise(1.0),
+            F.lit(2.0)
+        ).cast("array<float>").alias("x")
+    )
     li = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey", "l_partkey", "l_returnflag").agg(F.sum("l_quantity").alias("q"))
-    r = li.select(F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"), "l_returnflag").alias("key"), F.col("l_returnflag").alias("type_key"), F.concat(F.lit("Part-"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("Order-"), F.col("l_orderkey").cast("string")).alias("dst"), F.col("q").cast("float").alias("w"))
+    r = li.select(
+        F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"), "l_returnflag").alias("key"),
+        F.col("l_returnflag").alias("type_key"), F.concat(F.lit("Part-"), F.col("l_partkey").cast("string")).alias("src"),
+        F.concat(F.lit("Order-"), F.col("l_orderkey").cast("string")).alias("dst"), F.col("q").cast("float").alias("w")
+    )
     return g, n, r
 
 
@@ -677,26 +779,34 @@ def mp_chunked_equals_whole(spark, d):
     return mp.apply_chunked(n, r, _RELU_LAYER, 1000).select("key", F.get("y", F.lit(0)).cast("double").alias("y0"))
 
 
-@query(_MP + """ SELECT n.key, coalesce(sum(w * s.x0) FILTER (t = 'A'), 0) * 2 + coalesce(sum(w * s.x1) FILTER (t <> 'A'), 0) AS y0, coalesce(sum(w * s.x0), 0) AS y1 FROM n LEFT JOIN r ON r.dst = n.key LEFT JOIN n s ON s.key = r.src GROUP BY n.key""")
+@query(
+    _MP + """ SELECT n.key, coalesce(sum(w * s.x0) FILTER (t = 'A'), 0) * 2 + coalesce(sum(w * s.x1) FILTER (t <> 'A'), 0) AS y0, coalesce(sum(w * s.x0), 0) AS y1 FROM n LEFT JOIN r ON r.dst = n.key LEFT JOIN n s ON s.key = r.src GROUP BY n.key"""
+)
 def mp_layer_multi_rel(spark, d):
     _, n, r = _mp(spark, d)
     layer = mp.Layer(2, 2, {"A": [[2, 1], [0, 0]], "N": [[0, 1], [1, 0]], "R": [[0, 1], [1, 0]]})
     return mp.apply_layer(n, r, layer).select("key", F.get("y", F.lit(0)).cast("double").alias("y0"), F.get("y", F.lit(1)).cast("double").alias("y1"))
 
 
-@query(_MP + " SELECT x.t AS type_key, ix.idx AS row, CAST(sum(coalesce(k.n, 0)) OVER (PARTITION BY x.t ORDER BY idx) - coalesce(k.n, 0) AS BIGINT) AS start, CAST(sum(coalesce(k.n, 0)) OVER (PARTITION BY x.t ORDER BY idx) AS BIGINT) AS \"end\" FROM (SELECT DISTINCT t FROM r) x CROSS JOIN ix LEFT JOIN (SELECT t, dst, count(*) AS n FROM r GROUP BY ALL) k ON k.t = x.t AND k.dst = ix.key")
+@query(
+    _MP + " SELECT x.t AS type_key, ix.idx AS row, CAST(sum(coalesce(k.n, 0)) OVER (PARTITION BY x.t ORDER BY idx) - coalesce(k.n, 0) AS BIGINT) AS start, CAST(sum(coalesce(k.n, 0)) OVER (PARTITION BY x.t ORDER BY idx) AS BIGINT) AS \"end\" FROM (SELECT DISTINCT t FROM r) x CROSS JOIN ix LEFT JOIN (SELECT t, dst, count(*) AS n FROM r GROUP BY ALL) k ON k.t = x.t AND k.dst = ix.key"
+)
 def mp_csr_offsets(spark, d):
     _, n, r = _mp(spark, d)
     return mp.csr_offsets(n, r)
 
 
-@query(_MP + " SELECT r.t AS type_key, a.idx AS row, b.idx AS col, w, r.key, row_number() OVER (PARTITION BY r.t, a.idx ORDER BY b.idx, r.key) - 1 AS pos FROM r JOIN ix a ON a.key = dst JOIN ix b ON b.key = src")
+@query(
+    _MP + " SELECT r.t AS type_key, a.idx AS row, b.idx AS col, w, r.key, row_number() OVER (PARTITION BY r.t, a.idx ORDER BY b.idx, r.key) - 1 AS pos FROM r JOIN ix a ON a.key = dst JOIN ix b ON b.key = src"
+)
 def mp_csr_entries(spark, d):
     _, n, r = _mp(spark, d)
     return mp.csr_entries(n, r).select("type_key", "row", "col", F.col("w").cast("double").alias("w"), "key", F.col("pos").cast("long").alias("pos"))
 
 
-@query(_MP + ", c AS (SELECT idx // 1000 AS chunk, key FROM ix), h AS (SELECT DISTINCT c.chunk, r.src AS key FROM r JOIN c ON c.key = r.dst EXCEPT SELECT chunk, key FROM c) SELECT chunk, key, TRUE AS is_core FROM c UNION ALL SELECT chunk, key, FALSE FROM h")
+@query(
+    _MP + ", c AS (SELECT idx // 1000 AS chunk, key FROM ix), h AS (SELECT DISTINCT c.chunk, r.src AS key FROM r JOIN c ON c.key = r.dst EXCEPT SELECT chunk, key FROM c) SELECT chunk, key, TRUE AS is_core FROM c UNION ALL SELECT chunk, key, FALSE FROM h"
+)
 def mp_chunks_halo(spark, d):
     _, n, r = _mp(spark, d)
     return mp.chunks(n, r, 1000)
@@ -710,7 +820,10 @@ def mp_lower_raw(spark, d):
     return mp.lower_edges(n, g.edges, "edge").select("key", "src", "dst", F.col("w").cast("double").alias("w"))
 
 
-@query("SELECT 'snapshot.relation.source.missing' AS code, l_orderkey || '/' || l_partkey || '/' || l_returnflag AS message FROM (SELECT DISTINCT l_orderkey, l_partkey, l_returnflag FROM lineitem WHERE l_partkey % 10 = 0) UNION ALL SELECT 'spec.relation_transform.missing', 'R'", graph=False)
+@query(
+    "SELECT 'snapshot.relation.source.missing' AS code, l_orderkey || '/' || l_partkey || '/' || l_returnflag AS message FROM (SELECT DISTINCT l_orderkey, l_partkey, l_returnflag FROM lineitem WHERE l_partkey % 10 = 0) UNION ALL SELECT 'spec.relation_transform.missing', 'R'",
+    graph=False
+)
 def mp_diagnostics(spark, d):
     _, n, r = _mp(spark, d)
     n = n.where("not (key like 'Part-%' and cast(split(key, '-')[1] as int) % 10 = 0)")
@@ -722,9 +835,15 @@ SELECT a.vec_id, a.own + coalesce(2 * b.first, 0) AS y0 FROM y a LEFT JOIN y b O
 def mp_embeddings_self_transform(spark, d):
     """Each vector gets its own sum, and twice the first number of the vector before it."""
     e = spark.read.parquet(f"{d}/embeddings.parquet")
-    n = e.select(F.col("vec_id").cast("string").alias("key"), F.array(F.lit("v")).alias("type_keys"), F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("float")).alias("x"))
+    n = e.select(
+        F.col("vec_id").cast("string").alias("key"), F.array(F.lit("v")).alias("type_keys"),
+        F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("float")).alias("x")
+    )
     follows = e.select((F.col("vec_id") + 1).alias("next"), "vec_id").join(e.select(F.col("vec_id").alias("next")), "next", "left_semi")
-    r = follows.select(F.concat(F.lit("r"), F.col("next").cast("string")).alias("key"), F.lit("next").alias("type_key"), F.col("vec_id").cast("string").alias("src"), F.col("next").cast("string").alias("dst"), F.lit(2.0).cast("float").alias("w"))
+    r = follows.select(
+        F.concat(F.lit("r"), F.col("next").cast("string")).alias("key"), F.lit("next").alias("type_key"),
+        F.col("vec_id").cast("string").alias("src"), F.col("next").cast("string").alias("dst"), F.lit(2.0).cast("float").alias("w")
+    )
     y = mp.apply_layer(n, r, mp.Layer(64, 1, {"next": [[1.0]] + [[0.0]] * 63}, [[1.0]] * 64))
     return y.select(F.col("key").cast("long").alias("vec_id"), F.get("y", F.lit(0)).cast("long").alias("y0"))
 
@@ -736,7 +855,13 @@ def _semantic(spark, d):
     """Kinds as types: Party is required by Customer and Supplier; a customer must have an order beside it."""
     g = tpch_graph(spark, d)
     slot = [("orders", ["NodeTypes/Order"], 1, None)]
-    t = spark.createDataFrame([("NodeTypes/Party", "Node", False, [], [], []), ("NodeTypes/Customer", "Node", False, ["NodeTypes/Party"], [], slot), ("NodeTypes/Supplier", "Node", False, ["NodeTypes/Party"], [], []), ("NodeTypes/Order", "Node", False, [], [], [])], semantic.TYPES)
+    t = spark.createDataFrame(
+        [
+            ("NodeTypes/Party", "Node", False, [], [], []), ("NodeTypes/Customer", "Node", False, ["NodeTypes/Party"], [], slot),
+            ("NodeTypes/Supplier", "Node", False, ["NodeTypes/Party"], [], []), ("NodeTypes/Order", "Node", False, [], [], [])
+        ],
+        semantic.TYPES
+    )
     kind = F.initcap(F.element_at("attrs", "kind"))
     w = g.nodes.where("attrs['kind'] in ('customer', 'supplier', 'order')").select(F.col("gid").alias("node_gid"), F.concat(F.lit("NodeTypes/"), kind).alias("type_gid"))
     return g, t, w.withColumn("witness_gid", F.lit(None).cast("string"))
@@ -760,13 +885,19 @@ def semantic_ambiguous_slots(spark, d):
     """Two definitions of one slot overlap in a van; a bus lets one of them hold anything."""
     slot = lambda allowed, most: [("load", allowed, 0, most)]
     rows = [
-        ("NodeTypes/Car", "Node", False, [], [], slot(["NodeTypes/Box", "NodeTypes/Man"], 2)), ("NodeTypes/Lorry", "Node", False, [], [], slot(["NodeTypes/Box"], 9)), ("NodeTypes/Cab", "Node", False, [], [], slot([], 4)),
-        ("NodeTypes/Van", "Node", False, ["NodeTypes/Car", "NodeTypes/Lorry"], [], []), ("NodeTypes/Bus", "Node", False, ["NodeTypes/Cab"], [], slot(["NodeTypes/Man"], 50)), ("NodeTypes/Bike", "Node", False, [], [], slot(["NodeTypes/Man"], 1)),
+        (
+            "NodeTypes/Car", "Node", False, [], [], slot(["NodeTypes/Box", "NodeTypes/Man"], 2)
+        ), ("NodeTypes/Lorry", "Node", False, [], [], slot(["NodeTypes/Box"], 9)), ("NodeTypes/Cab", "Node", False, [], [], slot([], 4)),
+        ("NodeTypes/Van", "Node", False, ["NodeTypes/Car", "NodeTypes/Lorry"], [], []), (
+            "NodeTypes/Bus", "Node", False, ["NodeTypes/Cab"], [], slot(["NodeTypes/Man"], 50)
+        ), ("NodeTypes/Bike", "Node", False, [], [], slot(["NodeTypes/Man"], 1)),
     ]
     return semantic.ambiguous_slots(spark.createDataFrame(rows, semantic.TYPES))
 
 
-@query("""SELECT gid AS node_gid, 'NodeTypes/Customer' AS type_gid, 'orders' AS slot, count(o_orderkey) AS n FROM cust LEFT JOIN orders ON o_custkey = c_custkey GROUP BY gid HAVING n < 8 OR n > 12""")
+@query(
+    """SELECT gid AS node_gid, 'NodeTypes/Customer' AS type_gid, 'orders' AS slot, count(o_orderkey) AS n FROM cust LEFT JOIN orders ON o_custkey = c_custkey GROUP BY gid HAVING n < 8 OR n > 12"""
+)
 def semantic_slot_violations(spark, d):
     """A customer has eight to twelve orders."""
     g, t, f = _semantic(spark, d)
@@ -774,7 +905,9 @@ def semantic_slot_violations(spark, d):
     return semantic.slot_violations(g, t.withColumn("slots", few), f)
 
 
-@query("""SELECT gid AS node_gid, 'NodeTypes/' || t AS type_gid, 'instance-of-' || lower(t) || '-for-' || lower(regexp_replace(split_part(gid, '/', -1), '(.)([A-Z])', '\\1-\\2', 'g')) AS witness_gid FROM nodes, (VALUES ('Supplier'), ('Party')) v(t) WHERE kind = 'supplier'""")
+@query(
+    """SELECT gid AS node_gid, 'NodeTypes/' || t AS type_gid, 'instance-of-' || lower(t) || '-for-' || lower(regexp_replace(split_part(gid, '/', -1), '(.)([A-Z])', '\\1-\\2', 'g')) AS witness_gid FROM nodes, (VALUES ('Supplier'), ('Party')) v(t) WHERE kind = 'supplier'"""
+)
 def semantic_assign(spark, d):
     g, t, f = _semantic(spark, d)
     f = f.where("type_gid = 'NodeTypes/Order'")
@@ -787,7 +920,9 @@ UNION ALL SELECT DISTINCT 'Order-' || l_orderkey, 'NodeTypes/Supplier', CAST(NUL
 def semantic_projection(spark, d):
     """Witnessed facets, and those that links between some orders and a type stand for."""
     g, t, f = _semantic(spark, d)
-    linked = spark.read.parquet(f"{d}/lineitem.parquet").where("l_partkey = 1").select(F.lit("NodeTypes/Supplier").alias("a_gid"), F.concat(F.lit("Order-"), F.col("l_orderkey").cast("string")).alias("b_gid")).distinct()
+    linked = spark.read.parquet(f"{d}/lineitem.parquet").where("l_partkey = 1").select(
+        F.lit("NodeTypes/Supplier").alias("a_gid"), F.concat(F.lit("Order-"), F.col("l_orderkey").cast("string")).alias("b_gid")
+    ).distinct()
     return semantic.project(PropertyGraph(g.base, g.links.unionByName(linked)), t, f.withColumn("witness_gid", F.concat(F.lit("w/"), "node_gid")))
 
 
@@ -852,7 +987,10 @@ def view_relations(spark, d):
     return view.relations(g.nodes, g.edges, basis).select("rel_gid", "type_gid", "a_gid", "b_gid")
 
 
-@query("SELECT 'NodeTypes/Line' AS type_gid, r AS role, 'member-' || sha256('NodeTypes/Line' || chr(0) || r)[1:16] AS member_id FROM (VALUES ('Order'), ('Part'), ('Supplier')) t(r)", graph=False)
+@query(
+    "SELECT 'NodeTypes/Line' AS type_gid, r AS role, 'member-' || sha256('NodeTypes/Line' || chr(0) || r)[1:16] AS member_id FROM (VALUES ('Order'), ('Part'), ('Supplier')) t(r)",
+    graph=False
+)
 def edge_definition(spark, d):
     return semantic.edge_definition(_edges(spark, d)[0]).select("type_gid", "role", "member_id")
 
@@ -874,12 +1012,18 @@ def mutate_update_attributes(spark, d):
     land = g.base.where("attrs['kind'] = 'nation'").select("gid", mutate.with_attribute(F.col("attrs"), "Kind", "land").alias("attrs"))
     bare = g.base.where("attrs['segment'] = 'MACHINERY'").select("gid", mutate.without_attribute(F.col("attrs"), "Segment").alias("attrs"))
     after = mutate.update_attributes(g, land.unionByName(bare)).base
-    return after.select("gid", text.lookup(F.col("attrs"), "kind").alias("kind"), F.coalesce(text.lookup(F.col("attrs"), "segment").isNotNull(), F.lit(False)).alias("has_segment"))
+    return after.select(
+        "gid", text.lookup(F.col("attrs"), "kind").alias("kind"),
+        F.coalesce(text.lookup(F.col("attrs"), "segment").isNotNull(), F.lit(False)).alias("has_segment")
+    )
 
 
 @query("SELECT a_gid, b_gid FROM links UNION ALL SELECT 'AFRICA', 'AMERICA'")
 def mutate_connect(spark, d):
-    return mutate.connect(tpch_graph(spark, d), spark.createDataFrame([("AMERICA", "AFRICA"), ("AFRICA", "AFRICA"), ("AFRICA", "nowhere")], "a_gid string, b_gid string")).links
+    return mutate.connect(
+        tpch_graph(spark, d),
+        spark.createDataFrame([("AMERICA", "AFRICA"), ("AFRICA", "AFRICA"), ("AFRICA", "nowhere")], "a_gid string, b_gid string")
+    ).links
 
 
 @query("SELECT a_gid, b_gid FROM links WHERE NOT (a_gid = 'Order-1' AND b_gid = (SELECT max(b_gid) FROM links WHERE a_gid = 'Order-1'))")
@@ -903,7 +1047,9 @@ def mutate_add_neighbour(spark, d):
     return mutate.add_neighbour(tpch_graph(spark, d), "Order-1", REGION).links
 
 
-@query("""SELECT 'node' AS what, gid AS a, CAST(NULL AS VARCHAR) AS b FROM nodes UNION ALL SELECT 'link', a_gid, b_gid FROM links WHERE a_gid <> 'Order-1' AND b_gid <> 'Order-1'""")
+@query(
+    """SELECT 'node' AS what, gid AS a, CAST(NULL AS VARCHAR) AS b FROM nodes UNION ALL SELECT 'link', a_gid, b_gid FROM links WHERE a_gid <> 'Order-1' AND b_gid <> 'Order-1'"""
+)
 def mutate_clear_neighbours(spark, d):
     """Neighbours with others beside them are parted from the order; the one that has it alone goes."""
     g = tpch_graph(spark, d)
@@ -928,7 +1074,9 @@ def mutate_delete_subtree(spark, d):
 def slot_clashes(spark, d):
     """Some parts get links to copies of their orders, which have the orders' names in small letters."""
     g = tpch_graph(spark, d)
-    twins = g.links.where("startswith(a_gid, 'Order-') and startswith(b_gid, 'Part-') and b_gid like '%1'").select(F.concat(F.lit("Copies/"), F.lower("a_gid")).alias("a_gid"), "b_gid")
+    twins = g.links.where("startswith(a_gid, 'Order-') and startswith(b_gid, 'Part-') and b_gid like '%1'").select(
+        F.concat(F.lit("Copies/"), F.lower("a_gid")).alias("a_gid"), "b_gid"
+    )
     return mutate.slot_clashes(g, twins)
 
 
@@ -956,10 +1104,15 @@ def ndjson_sink(spark, d):
     return sinks.ndjson(tpch_graph(spark, d).nodes.select("gid", F.element_at("attrs", "kind").alias("kind")))
 
 
-@query(r"""SELECT gid, lower(regexp_replace(gid, '(.)([A-Z])', '\1-\2', 'g')) AS kebab, sha256(gid) || '.json' AS file, len(string_split(gid, '/')) - 1 AS n_ancestors FROM nodes WHERE kind IN ('order', 'part')""")
+@query(
+    r"""SELECT gid, lower(regexp_replace(gid, '(.)([A-Z])', '\1-\2', 'g')) AS kebab, sha256(gid) || '.json' AS file, len(string_split(gid, '/')) - 1 AS n_ancestors FROM nodes WHERE kind IN ('order', 'part')"""
+)
 def name_functions(spark, d):
     n = tpch_graph(spark, d).nodes.where("attrs['kind'] in ('order', 'part')")
-    return n.select("gid", names.kebab(F.col("gid")).alias("kebab"), names.record_file(F.col("gid")).alias("file"), F.size(names.ancestors(F.col("gid"))).cast("long").alias("n_ancestors"))
+    return n.select(
+        "gid", names.kebab(F.col("gid")).alias("kebab"), names.record_file(F.col("gid")).alias("file"),
+        F.size(names.ancestors(F.col("gid"))).cast("long").alias("n_ancestors")
+    )
 
 
 @query("SELECT c_custkey, NOT contains(c_name, '#') AS raw_ok, TRUE AS clean_ok FROM customer", graph=False)
@@ -968,7 +1121,10 @@ def name_grammar(spark, d):
     return c.select("c_custkey", names.valid_segment(F.col("c_name")).alias("raw_ok"), names.valid_segment(F.replace("c_name", F.lit("#"), F.lit("-"))).alias("clean_ok"))
 
 
-@query("""SELECT o_orderkey, o_orderkey * 700000 BETWEEN -2147483648 AND 2147483647 AS int32_ok, o_orderkey % 3 <> 0 AS int64_ok, o_orderkey % 5 <> 0 AS double_ok, o_orderkey % 4 = 0 AS bool_ok, o_orderkey % 2 = 0 AS guid_ok, o_orderkey % 7 <> 0 AS time_ok FROM orders""", graph=False)
+@query(
+    """SELECT o_orderkey, o_orderkey * 700000 BETWEEN -2147483648 AND 2147483647 AS int32_ok, o_orderkey % 3 <> 0 AS int64_ok, o_orderkey % 5 <> 0 AS double_ok, o_orderkey % 4 = 0 AS bool_ok, o_orderkey % 2 = 0 AS guid_ok, o_orderkey % 7 <> 0 AS time_ok FROM orders""",
+    graph=False
+)
 def scalar_kinds(spark, d):
     """Texts that are and texts that are not what their kind asks, made from the order's key."""
     o = spark.read.parquet(f"{d}/orders.parquet")
@@ -979,12 +1135,19 @@ def scalar_kinds(spark, d):
     guid = F.concat_ws("-", F.substr(hexa, F.lit(1), F.lit(8)), *(F.substr(hexa, F.lit(9 + 4 * j), F.lit(4)) for j in range(3)), F.substr(hexa, F.lit(21), F.lit(12)))
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     return o.select(
-        "o_orderkey", ok("Int32", (k * 700000).cast("string")).alias("int32_ok"), ok("Int64", every(3, price, k.cast("string"))).alias("int64_ok"), ok("Double", every(5, F.concat(price, F.lit("x")), price)).alias("double_ok"),
-        ok("Boolean", every(4, F.lit("True"), F.lit("yes"))).alias("bool_ok"), ok("Guid", every(2, guid, hexa)).alias("guid_ok"), ok("DateTime", every(7, day, F.concat(day, F.lit("T10:11:12.0000000Z")))).alias("time_ok"),
+        "o_orderkey", ok("Int32", (k * 700000).cast("string")).alias("int32_ok"), ok("Int64", every(3, price, k.cast("string"))).alias("int64_ok"), ok(
+            "Double", every(5, F.concat(price, F.lit("x")), price)
+        ).alias("double_ok"),
+        ok("Boolean", every(4, F.lit("True"), F.lit("yes"))).alias("bool_ok"), ok("Guid", every(2, guid, hexa)).alias("guid_ok"), ok(
+            "DateTime", every(7, day, F.concat(day, F.lit("T10:11:12.0000000Z")))
+        ).alias("time_ok"),
     )
 
 
-@query("""SELECT event_type, count(value) AS n, min(value) AS least, round(avg(value), 6) AS mean, quantile_cont(value, 0.5) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS most FROM events GROUP BY event_type""", graph=False)
+@query(
+    """SELECT event_type, count(value) AS n, min(value) AS least, round(avg(value), 6) AS mean, quantile_cont(value, 0.5) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS most FROM events GROUP BY event_type""",
+    graph=False
+)
 def measurement_statistics(spark, d):
     got = measure.statistics(spark.read.parquet(f"{d}/events.parquet"), ["event_type"], F.col("value"))
     return got.withColumn("mean", F.round("mean", 6)).withColumn("p95", F.round("p95", 6))
@@ -995,7 +1158,10 @@ def _changes(spark, d):
 
 
 def _as_changes(events):
-    return events.where("event_type in ('click', 'error')").select("ts", F.when(F.col("event_type") == "click", "add").otherwise("remove").alias("op"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("a_gid"), F.get_json_object("props", "$.k").alias("b_gid"))
+    return events.where("event_type in ('click', 'error')").select(
+        "ts", F.when(F.col("event_type") == "click", "add").otherwise("remove").alias("op"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("a_gid"), F.get_json_object("props", "$.k").alias("b_gid")
+    )
 
 
 @query("""WITH c AS (SELECT ts, CASE event_type WHEN 'click' THEN 'add' ELSE 'remove' END AS op, 'u' || user_id AS a, json_extract_string(props, '$.k') AS b FROM events WHERE event_type IN ('click', 'error'))
@@ -1017,10 +1183,20 @@ def typed_integrity(spark, d):
     return typed.element_violations(types, el.unionByName(rel))
 
 
-@query("""SELECT * FROM (VALUES ('Bad/Name.', 'Invalid', 'the id is no valid name'), ('Lonely', 'Invalid', 'a relation type has fewer than two members'), ('Twice', 'Invalid', 'names repeat'), ('Lost', 'NotFound', 'requires unknown type Nowhere')) t(id, code, message)""", graph=False)
+@query(
+    """SELECT * FROM (VALUES ('Bad/Name.', 'Invalid', 'the id is no valid name'), ('Lonely', 'Invalid', 'a relation type has fewer than two members'), ('Twice', 'Invalid', 'names repeat'), ('Lost', 'NotFound', 'requires unknown type Nowhere')) t(id, code, message)""",
+    graph=False
+)
 def type_violations(spark, d):
     types = _typed(spark, d)[0]
-    bad = spark.createDataFrame([("Bad/Name.", "Instance", False, [], [], []), ("Lonely", "Relation", False, [], [("A", None, 1, 1)], []), ("Twice", "Instance", False, [], [], [("a", "String", False), ("A", "String", False)]), ("Lost", "Instance", False, ["Nowhere"], [], [])], typed.TYPES)
+    bad = spark.createDataFrame(
+        [
+            ("Bad/Name.", "Instance", False, [], [], []), ("Lonely", "Relation", False, [], [("A", None, 1, 1)], []),
+            ("Twice", "Instance", False, [], [], [("a", "String", False), ("A", "String", False)]),
+            ("Lost", "Instance", False, ["Nowhere"], [], [])
+        ],
+        typed.TYPES
+    )
     return typed.type_violations(types.unionByName(bad))
 
 
@@ -1033,7 +1209,10 @@ def semantic_endpoint_violations(spark, d):
     left = e.members.where("not (role = 'Part' and cast(split(participant_gid, '-')[1] as int) % 7 = 0)")
     odd = e.relations.where("split(rel_gid, '-')[4] = '6'").select("rel_gid", F.lit("Witness").alias("role"), F.lit("Part-1").alias("participant_gid"))
     s = spark.read.parquet(f"{d}/supplier.parquet").where("s_suppkey % 2 = 0")
-    facets = s.select(F.concat(F.lit("Supplier-"), F.col("s_suppkey").cast("string")).alias("node_gid"), F.lit("NodeTypes/Supplier").alias("type_gid"), F.lit(None).cast("string").alias("witness_gid"))
+    facets = s.select(
+        F.concat(F.lit("Supplier-"), F.col("s_suppkey").cast("string")).alias("node_gid"), F.lit("NodeTypes/Supplier").alias("type_gid"),
+        F.lit(None).cast("string").alias("witness_gid")
+    )
     return semantic.endpoint_violations(t.withColumn("fields", typed_supplier), facets, semantic.Edges(e.relations, left.unionByName(odd)))
 
 
@@ -1045,13 +1224,20 @@ def stored_definitions(spark, d):
     return definitions.stored(_edges(spark, d)[0]).select("gid", F.explode_outer("attrs").alias("k", "v"))
 
 
-@query("""SELECT 'NodeTypes/Line' AS type_gid, 'Edge' AS element_kind, FALSE AS is_abstract, f AS field, 1 AS min, 1 AS max FROM (VALUES ('Order'), ('Part'), ('Supplier')) t(f)""", graph=False)
+@query(
+    """SELECT 'NodeTypes/Line' AS type_gid, 'Edge' AS element_kind, FALSE AS is_abstract, f AS field, 1 AS min, 1 AS max FROM (VALUES ('Order'), ('Part'), ('Supplier')) t(f)""",
+    graph=False
+)
 def read_definitions(spark, d):
     g = PropertyGraph(definitions.stored(_edges(spark, d)[0]), spark.createDataFrame([], "a_gid string, b_gid string"))
-    return definitions.read(g).select("type_gid", "element_kind", "is_abstract", F.explode("fields").alias("f")).select("type_gid", "element_kind", "is_abstract", F.col("f.name").alias("field"), "f.min", "f.max")
+    return definitions.read(g).select("type_gid", "element_kind", "is_abstract", F.explode("fields").alias("f")).select(
+        "type_gid", "element_kind", "is_abstract", F.col("f.name").alias("field"), "f.min", "f.max"
+    )
 
 
-@query("""SELECT split_part(gid, '/', 1) AS component, string_agg(gid, chr(0) ORDER BY gid) AS name FROM nodes WHERE kind IN ('region', 'nation', 'customer', 'supplier') GROUP BY 1""")
+@query(
+    """SELECT split_part(gid, '/', 1) AS component, string_agg(gid, chr(0) ORDER BY gid) AS name FROM nodes WHERE kind IN ('region', 'nation', 'customer', 'supplier') GROUP BY 1"""
+)
 def component_names(spark, d):
     _, n, e = _tree(spark, d)
     return view.component_names(view.root_components(n, e).withColumnRenamed("root_component", "component"))
@@ -1059,7 +1245,9 @@ def component_names(spark, d):
 
 def _streamed_windows(spark, d, slide):
     """The event table as a stream, counted by windows of an hour."""
-    raw = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/event[s].parquet")  # a pattern: the table may be one file
+    raw = spark.readStream.schema(  # a pattern: the table may be one file
+        spark.read.parquet(f"{d}/events.parquet").schema
+    ).option("maxFilesPerTrigger", 4).parquet(f"{d}/event[s].parquet")
     got = changes.window_table(_as_changes(raw), shared_path(spark, "windows"), "1 hour", "10 minutes", slide)
     return got.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("began"), "op", "n")
 

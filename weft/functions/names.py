@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Names that a file system reserves for devices.
-DEVICES = ["CON", "PRN", "AUX", "NUL", "CLOCK$", "COM0", "COM1", "COM2", "COM3", "COM4", "COM5", "COM6", "COM7", "COM8", "COM9", "LPT0", "LPT1", "LPT2", "LPT3", "LPT4", "LPT5", "LPT6", "LPT7", "LPT8", "LPT9"]
+DEVICES = [
+    "CON", "PRN", "AUX", "NUL", "CLOCK$", "COM0", "COM1", "COM2", "COM3", "COM4", "COM5", "COM6", "COM7", "COM8", "COM9", "LPT0", "LPT1",
+    "LPT2", "LPT3", "LPT4", "LPT5", "LPT6", "LPT7", "LPT8", "LPT9"
+]
 #: Letters, digits, blank, dot, underscore and hyphen; no blank at either end, no final dot.
 _SEGMENT = r"^[\p{L}\p{Nd} ._-]+$"
 
@@ -40,7 +43,10 @@ def parent(gid: Column) -> Column:
 def ancestors(gid: Column) -> Column:
     """All proper prefixes of a path, nearest last."""
     parts = segments(gid)
-    return F.transform(F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>")), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    return F.transform(
+        F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>")),
+        lambda n: F.array_join(F.slice(parts, 1, n), "/")
+    )
 
 
 def is_descendant(gid: Column, ancestor: Column) -> Column:

@@ -36,7 +36,10 @@ def text_op(text: Column, name: str, value: str) -> Column:
 def number_op(number: Column, name: str, value: int) -> Column:
     op = operator(name, NUMBER_OPS)
     v = F.lit(value)
-    return {"equals": number == v, "notEquals": number != v, "greaterThan": number > v, "greaterThanOrEqual": number >= v, "lessThan": number < v, "lessThanOrEqual": number <= v}[op]
+    return {
+        "equals": number == v, "notEquals": number != v, "greaterThan": number > v, "greaterThanOrEqual": number >= v,
+        "lessThan": number < v, "lessThanOrEqual": number <= v
+    }[op]
 
 
 def name_score(name: str) -> float:

@@ -17,4 +17,7 @@ def statistics(samples: DataFrame, by: list[str], value: Column, accuracy: int |
     """
     part = (lambda p: F.percentile_approx("v", F.lit(p), F.lit(accuracy))) if accuracy else (lambda p: F.percentile("v", F.lit(p)))
     rows = samples.select(*by, value.cast("double").alias("v")).where("v is not null")
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.avg("v").alias("mean"), part(0.5).alias("p50"), part(0.95).alias("p95"), F.max("v").alias("most"))
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.avg("v").alias("mean"), part(0.5).alias("p50"), part(0.95).alias("p95"),
+        F.max("v").alias("most")
+    )

@@ -112,8 +112,17 @@ def lower_edges(nodes: DataFrame, edges: DataFrame, type_key: str) -> DataFrame:
     key = nodes.select(F.col("key").alias("k"))
     inside = pair.join(key, F.col("a") == F.col("k"), "left_semi").join(key, F.col("b") == F.col("k"), "left_semi")
     numbered = ordinal(inside, ["a", "b"], "i")
-    both = numbered.select("i", F.explode(F.array(F.struct(F.lit("forward").alias("d"), F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.lit("reverse").alias("d"), F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e"))
-    return both.select(F.concat_ws("/", F.lit(type_key), F.col("i").cast("string"), "e.d").alias("key"), F.lit(type_key).alias("type_key"), "e.src", "e.dst", F.lit(1.0).cast("float").alias("w"))
+    both = numbered.select(
+        "i",
+        F.explode(F.array(
+            F.struct(F.lit("forward").alias("d"), F.col("a").alias("src"), F.col("b").alias("dst")),
+            F.struct(F.lit("reverse").alias("d"), F.col("b").alias("src"), F.col("a").alias("dst"))
+        )).alias("e")
+    )
+    return both.select(
+        F.concat_ws("/", F.lit(type_key), F.col("i").cast("string"), "e.d").alias("key"), F.lit(type_key).alias("type_key"), "e.src",
+        "e.dst", F.lit(1.0).cast("float").alias("w")
+    )
 
 
 def ordinal(df: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -247,7 +256,9 @@ def indexed(nodes: DataFrame) -> DataFrame:
 def csr_entries(nodes: DataFrame, relations: DataFrame) -> DataFrame:
     """type_key, row (target), pos, col (source), w, key; parallel relations keep their order by key."""
     idx = indexed(nodes)
-    e = relations.join(idx.select(F.col("key").alias("dst"), F.col("idx").alias("row")), "dst").join(idx.select(F.col("key").alias("src"), F.col("idx").alias("col")), "src")
+    e = relations.join(
+        idx.select(F.col("key").alias("dst"), F.col("idx").alias("row")), "dst"
+    ).join(idx.select(F.col("key").alias("src"), F.col("idx").alias("col")), "src")
     pos = F.row_number().over(W.partitionBy("type_key", "row").orderBy("col", "key")) - 1
     return e.select("type_key", "row", "col", "w", "key", pos.alias("pos"))
 
@@ -260,7 +271,9 @@ def csr_offsets(nodes: DataFrame, relations: DataFrame) -> DataFrame:
     idx, block = indexed(nodes), 1 << 16
     counts = relations.join(idx.select(F.col("key").alias("dst"), F.col("idx").alias("row")), "dst").groupBy("type_key", "row").agg(F.count(F.lit(1)).alias("n"))
     types = relations.select("type_key").distinct()
-    full = idx.select(F.col("idx").alias("row")).crossJoin(F.broadcast(types)).join(counts, ["type_key", "row"], "left").select("type_key", "row", F.coalesce("n", F.lit(0)).alias("n"), F.floor(F.col("row") / block).alias("b"))
+    full = idx.select(F.col("idx").alias("row")).crossJoin(F.broadcast(types)).join(counts, ["type_key", "row"], "left").select(
+        "type_key", "row", F.coalesce("n", F.lit(0)).alias("n"), F.floor(F.col("row") / block).alias("b")
+    )
     blocks = full.groupBy("type_key", "b").agg(F.sum("n").alias("bn"))
     first = blocks.select("type_key", "b", (F.sum("bn").over(W.partitionBy("type_key").orderBy("b")) - F.col("bn")).alias("first"))
     inside = F.sum("n").over(W.partitionBy("type_key", "b").orderBy("row"))
@@ -294,7 +307,10 @@ def pack(nodes: DataFrame, relations: DataFrame, layer: Layer) -> dict:
         keys += [r["key"] for r in per[t]]
         transforms += [v for row in layer.relations[t] for v in row]
     groups = (-(-n // GROUP_SIDE), -(-layer.outputs // GROUP_SIDE), 1)
-    return {"types": types, "base": base, "offsets": offsets or [0], "columns": cols or [0], "values": values or [0.0], "keys": keys, "transforms": transforms or [0.0], "groups": groups}
+    return {
+        "types": types, "base": base, "offsets": offsets or [0], "columns": cols or [0], "values": values or [0.0], "keys": keys,
+        "transforms": transforms or [0.0], "groups": groups
+    }
 
 
 def chunks(nodes: DataFrame, relations: DataFrame, max_core: int = MAX_CORE) -> DataFrame:
@@ -320,7 +336,9 @@ def apply_chunked(nodes: DataFrame, relations: DataFrame, layer: Layer, max_core
     out = apply_layer(members, own, layer).join(members.where("is_core").select("key", "node"), "key")
     one = out.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.first("y").alias("y"))
     merged = nodes.select("key").join(one, F.col("key") == F.col("node"), "left")
-    wrong = F.when(F.col("n").isNull(), F.raise_error(F.concat(F.lit("no chunk produced "), F.col("key")))).otherwise(F.raise_error(F.concat(F.lit("several chunks produced "), F.col("key"))))
+    wrong = F.when(
+        F.col("n").isNull(), F.raise_error(F.concat(F.lit("no chunk produced "), F.col("key")))
+    ).otherwise(F.raise_error(F.concat(F.lit("several chunks produced "), F.col("key"))))
     return merged.select("key", F.when(F.col("n") == 1, F.col("y")).otherwise(wrong.cast("array<float>")).alias("y"))
 
 
@@ -331,5 +349,7 @@ def run_graph(graph, roots, max_depth: int, features: Column, type_key: str, lay
     if max_depth < 0:
         raise ValueError("the depth is negative")
     near = traverse.subgraph(graph, roots, max_depth).select("gid")
-    nodes = graph.nodes.join(near, "gid", "left_semi").select(F.col("gid").alias("key"), F.array(F.lit("node")).alias("type_keys"), features.cast("array<float>").alias("x"))
+    nodes = graph.nodes.join(near, "gid", "left_semi").select(
+        F.col("gid").alias("key"), F.array(F.lit("node")).alias("type_keys"), features.cast("array<float>").alias("x")
+    )
     return apply_chunked(nodes, lower_edges(nodes, graph.edges, type_key), layer, max_core)

@@ -73,7 +73,12 @@ def connect(graph: PropertyGraph, rows: DataFrame) -> PropertyGraph:
     pair = pair.join(gid, F.col("a_gid") == F.col("gid"), "left_semi").join(gid, F.col("b_gid") == F.col("gid"), "left_semi")
     _refuse(pair.where(names.is_descendant(F.col("b_gid"), F.col("a_gid")) | names.is_descendant(F.col("a_gid"), F.col("b_gid"))), "an ancestor cannot be linked")
     stored = graph.links.select(F.least("a_gid", "b_gid").alias("a_gid"), F.greatest("a_gid", "b_gid").alias("b_gid"))
-    _refuse(pair.groupBy("a_gid", "b_gid").count().where("count > 1").unionByName(pair.join(stored, ["a_gid", "b_gid"], "left_semi").withColumn("count", F.lit(2).cast("long"))), "the link exists")
+    _refuse(
+        pair.groupBy("a_gid", "b_gid").count().where("count > 1").unionByName(
+            pair.join(stored, ["a_gid", "b_gid"], "left_semi").withColumn("count", F.lit(2).cast("long"))
+        ),
+        "the link exists"
+    )
     pair = cut(pair)
     _refuse(slot_clashes(graph, pair), "a neighbour has this local id")
     return PropertyGraph(graph.base, graph.links.unionByName(pair))
@@ -115,7 +120,10 @@ def move(graph: PropertyGraph, old: str, new: str) -> PropertyGraph:
     links = cut(links)
     taken = graph.base.where(F.col("gid") == new).select(F.lit("the place is taken").alias("why"), F.col("gid").alias("a"), F.lit("").alias("b"))
     joined = links.where(names.is_descendant(F.col("b_gid"), F.col("a_gid")) | names.is_descendant(F.col("a_gid"), F.col("b_gid")))
-    _refuse(taken.unionByName(joined.select(F.lit("a link would join a node with its ancestor").alias("why"), F.col("a_gid").alias("a"), F.col("b_gid").alias("b"))), "the subtree cannot move")
+    _refuse(
+        taken.unionByName(joined.select(F.lit("a link would join a node with its ancestor").alias("why"), F.col("a_gid").alias("a"), F.col("b_gid").alias("b"))),
+        "the subtree cannot move"
+    )
     kept = graph.links.where(~(inside("a_gid") | inside("b_gid")))
     return PropertyGraph(graph.base.select(go("gid").alias("gid"), "attrs"), kept.unionByName(links))
 
@@ -149,7 +157,9 @@ def clear_neighbours(graph: PropertyGraph, owner: str) -> PropertyGraph:
     around = graph.adj.join(near.select(F.col("gid").alias("src")), "src", "left_semi").groupBy("src").agg(F.count_distinct("dst").alias("n"))
     gone = cut(around.where("n = 1").select(F.col("src").alias("top")))
     # A node goes with all below it: its path or one of its ancestors' is gone.
-    inside = graph.base.select("gid", F.explode(F.concat(names.ancestors(F.col("gid")), F.array("gid"))).alias("top")).join(gone, "top", "left_semi").select("gid").distinct()
+    inside = graph.base.select(
+        "gid", F.explode(F.concat(names.ancestors(F.col("gid")), F.array("gid"))).alias("top")
+    ).join(gone, "top", "left_semi").select("gid").distinct()
     inside = cut(inside)
     left = graph.base.join(inside, "gid", "left_anti")
     links = graph.links.where((F.col("a_gid") != owner) & (F.col("b_gid") != owner))

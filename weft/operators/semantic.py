@@ -44,7 +44,13 @@ def _refuse(bad: DataFrame, why: str) -> None:
 def catalog(types: DataFrame, roots: list[str] | None = None) -> DataFrame:
     """Types in the catalog, or those named, and all that they refer to; by gid, case ignored."""
     start = types.where(F.col("type_gid").isin(roots)) if roots else types.where(F.col("type_gid").startswith(CATALOG + "/"))
-    refs = types.select(F.col("type_gid").alias("src"), F.explode(F.concat("required", F.filter(F.transform("fields", lambda f: f["node_type"]), lambda x: x.isNotNull()), F.flatten(F.transform("slots", lambda s: s["allowed"])))).alias("dst"))
+    refs = types.select(
+        F.col("type_gid").alias("src"),
+        F.explode(F.concat(
+            "required", F.filter(F.transform("fields", lambda f: f["node_type"]), lambda x: x.isNotNull()),
+            F.flatten(F.transform("slots", lambda s: s["allowed"]))
+        )).alias("dst")
+    )
     got = traverse.closure(start.select(F.col("type_gid").alias("item")), refs).select(F.col("reached").alias("type_gid")).distinct()
     return types.join(got, "type_gid", "left_semi").orderBy(F.lower("type_gid"))
 
@@ -61,7 +67,14 @@ def closure(types: DataFrame) -> DataFrame:
 
 def effective_slots(types: DataFrame) -> DataFrame:
     """type_gid, slots: explicit slots and those that node-valued fields stand for, over the closure."""
-    derived = F.transform(F.filter("fields", lambda f: f["value_kind"] == "Node"), lambda f: F.struct(f["name"].alias("name"), F.when(f["node_type"].isNotNull(), F.array(f["node_type"])).otherwise(F.array().cast("array<string>")).alias("allowed"), f["min"].alias("min"), f["max"].alias("max")))
+    derived = F.transform(
+        F.filter("fields", lambda f: f["value_kind"] == "Node"),
+        lambda f: F.struct(
+            f["name"].alias("name"),
+            F.when(f["node_type"].isNotNull(), F.array(f["node_type"])).otherwise(F.array().cast("array<string>")).alias("allowed"),
+            f["min"].alias("min"), f["max"].alias("max")
+        )
+    )
     own = types.select(F.col("type_gid").alias("reached"), F.array_distinct(F.concat("slots", derived.cast(f"array<{SLOT}>"))).alias("slots"))
     return closure(types).join(own, "reached").groupBy("type_gid").agg(F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
 
@@ -71,7 +84,9 @@ def ambiguous_slots(types: DataFrame) -> DataFrame:
     s = effective_slots(types).select("type_gid", F.posexplode("slots").alias("i", "s"))
     a = s.select("type_gid", F.col("i").alias("i"), F.lower("s.name").alias("k"), F.col("s.name").alias("name"), F.col("s.allowed").alias("x"))
     b = s.select("type_gid", F.col("i").alias("j"), F.lower("s.name").alias("k"), F.col("s.allowed").alias("y"))
-    return a.join(b, ["type_gid", "k"]).where((F.col("i") < F.col("j")) & (F.arrays_overlap("x", "y") | (F.size("x") == 0) | (F.size("y") == 0))).select("type_gid", "name").distinct()
+    return a.join(b, ["type_gid", "k"]).where(
+        (F.col("i") < F.col("j")) & (F.arrays_overlap("x", "y") | (F.size("x") == 0) | (F.size("y") == 0))
+    ).select("type_gid", "name").distinct()
 
 
 def create_types(types: DataFrame, rows: DataFrame) -> DataFrame:
@@ -129,11 +144,16 @@ def project(graph: PropertyGraph, types: DataFrame, witnesses: DataFrame, basis:
     seen = seen.select("type_gid", "required")
     link = graph.adj.where("kind = 'link'").select(F.col("src").alias("node_gid"), F.col("dst").alias("type_gid"))
     link = link.join(types.select(F.col("type_gid").alias("node_gid")), "node_gid", "left_anti")
-    every = witnesses.select("node_gid", "type_gid", "witness_gid").unionByName(link.withColumn("witness_gid", F.lit(None).cast("string"))).join(seen.select("type_gid"), "type_gid", "left_semi")
+    every = witnesses.select("node_gid", "type_gid", "witness_gid").unionByName(link.withColumn("witness_gid", F.lit(None).cast("string"))).join(
+        seen.select("type_gid"), "type_gid", "left_semi"
+    )
     if only is not None:
         every = every.where(F.col("node_gid").isin(only))
     one = every.groupBy("node_gid", "type_gid").agg(F.count("witness_gid").alias("n"), F.max("witness_gid").alias("witness_gid"))
-    one = one.select("node_gid", "type_gid", F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("two witnesses of one facet: "), F.col("node_gid")))).otherwise(F.col("witness_gid")).alias("witness_gid"))
+    one = one.select(
+        "node_gid", "type_gid",
+        F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("two witnesses of one facet: "), F.col("node_gid")))).otherwise(F.col("witness_gid")).alias("witness_gid")
+    )
     return one
 
 
@@ -149,9 +169,16 @@ def has_any_type(facets: DataFrame, allowed: list[str]) -> DataFrame:
 
 def slot_violations(graph: PropertyGraph, types: DataFrame, facets: DataFrame) -> DataFrame:
     """node_gid, type_gid, slot, n: slots whose number of typed neighbours is outside the cardinality."""
-    s = facets.select("node_gid", "type_gid").join(effective_slots(types), "type_gid").select("node_gid", "type_gid", F.explode("slots").alias("s")).select("node_gid", "type_gid", F.col("s.name").alias("slot"), F.col("s.allowed").alias("allowed"), F.col("s.min").alias("lo"), F.col("s.max").alias("hi"))
-    typed = graph.neighbours.join(facets.select(F.col("node_gid").alias("dst"), F.col("type_gid").alias("t")), "dst").groupBy("src", "dst").agg(F.collect_set("t").alias("ts"))
-    hits = s.join(typed, s.node_gid == typed.src).where((F.size("allowed") == 0) | F.arrays_overlap("allowed", "ts")).groupBy("node_gid", "type_gid", "slot").agg(F.count_distinct("dst").alias("n"))
+    s = facets.select("node_gid", "type_gid").join(effective_slots(types), "type_gid").select("node_gid", "type_gid", F.explode("slots").alias("s")).select(
+        "node_gid", "type_gid", F.col("s.name").alias("slot"), F.col("s.allowed").alias("allowed"), F.col("s.min").alias("lo"),
+        F.col("s.max").alias("hi")
+    )
+    typed = graph.neighbours.join(
+        facets.select(F.col("node_gid").alias("dst"), F.col("type_gid").alias("t")), "dst"
+    ).groupBy("src", "dst").agg(F.collect_set("t").alias("ts"))
+    hits = s.join(
+        typed, s.node_gid == typed.src
+    ).where((F.size("allowed") == 0) | F.arrays_overlap("allowed", "ts")).groupBy("node_gid", "type_gid", "slot").agg(F.count_distinct("dst").alias("n"))
     out = s.join(hits, ["node_gid", "type_gid", "slot"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
     return out.where((F.col("n") < F.col("lo")) | (F.col("hi").isNotNull() & (F.col("n") > F.col("hi")))).select("node_gid", "type_gid", "slot", "n")
 
@@ -190,8 +217,13 @@ class Edges:
 
 def edge_definition(types: DataFrame) -> DataFrame:
     """type_gid, role, member_id, node_type, min, max of edge types with two or more node fields."""
-    f = types.where("element_kind = 'Edge'").select("type_gid", F.filter("fields", lambda x: x["value_kind"] == "Node").alias("f")).where("size(f) >= 2").select("type_gid", F.explode("f").alias("f"))
-    return f.select("type_gid", F.col("f.name").alias("role"), names.member_id(F.col("type_gid"), F.col("f.name")).alias("member_id"), F.col("f.node_type").alias("node_type"), F.col("f.min").alias("min"), F.col("f.max").alias("max"))
+    f = types.where("element_kind = 'Edge'").select(
+        "type_gid", F.filter("fields", lambda x: x["value_kind"] == "Node").alias("f")
+    ).where("size(f) >= 2").select("type_gid", F.explode("f").alias("f"))
+    return f.select(
+        "type_gid", F.col("f.name").alias("role"), names.member_id(F.col("type_gid"), F.col("f.name")).alias("member_id"),
+        F.col("f.node_type").alias("node_type"), F.col("f.min").alias("min"), F.col("f.max").alias("max")
+    )
 
 
 def endpoint_violations(types: DataFrame, facets: DataFrame, edges: Edges) -> DataFrame:
@@ -200,9 +232,14 @@ def endpoint_violations(types: DataFrame, facets: DataFrame, edges: Edges) -> Da
     want = edges.relations.select("rel_gid", "type_gid").join(d, "type_gid")
     n = edges.members.groupBy("rel_gid", "role").agg(F.count_distinct("participant_gid").alias("n"))
     counted = want.join(n, ["rel_gid", "role"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    wrong = counted.where((F.col("n") < F.col("min")) | (F.col("max").isNotNull() & (F.col("n") > F.col("max")))).select("rel_gid", "role", F.lit("cardinality").alias("message"))
+    wrong = counted.where((F.col("n") < F.col("min")) | (F.col("max").isNotNull() & (F.col("n") > F.col("max")))).select(
+        "rel_gid", "role", F.lit("cardinality").alias("message")
+    )
     typed = edges.members.join(want.where("node_type is not null").select("rel_gid", "role", "node_type"), ["rel_gid", "role"])
-    untyped = typed.join(facets.select(F.col("node_gid").alias("participant_gid"), F.col("type_gid").alias("node_type")), ["participant_gid", "node_type"], "left_anti").select("rel_gid", "role", F.lit("type").alias("message"))
+    untyped = typed.join(
+        facets.select(F.col("node_gid").alias("participant_gid"), F.col("type_gid").alias("node_type")), ["participant_gid", "node_type"],
+        "left_anti"
+    ).select("rel_gid", "role", F.lit("type").alias("message"))
     odd = edges.members.join(want.select("rel_gid", "role"), ["rel_gid", "role"], "left_anti").select("rel_gid", "role", F.lit("role").alias("message"))
     return wrong.unionByName(untyped).unionByName(odd)
 
@@ -219,7 +256,9 @@ def add_relations(types: DataFrame, facets: DataFrame, edges: Edges, relations:
     return Edges(cut(edges.relations.unionByName(new.relations)), cut(edges.members.unionByName(new.members)))
 
 
-def change_edge_type(graph: PropertyGraph, types: DataFrame, facets: DataFrame, edges: Edges, type_gid: str, roles: dict[str, list[str]], rel_gid: str) -> tuple[PropertyGraph, Edges]:
+def change_edge_type(
+    graph: PropertyGraph, types: DataFrame, facets: DataFrame, edges: Edges, type_gid: str, roles: dict[str, list[str]], rel_gid: str
+) -> tuple[PropertyGraph, Edges]:
     """Make a typed relation of a raw edge, or of the one relation that has the same participants."""
     people = sorted(p for ps in roles.values() for p in ps)
     same = edges.members.groupBy("rel_gid").agg(F.array_sort(F.collect_list("participant_gid")).alias("all")).where(F.col("all") == F.array(*(F.lit(p) for p in people)))
@@ -238,7 +277,9 @@ def delete_nodes(graph: PropertyGraph, edges: Edges, gids: list[str]) -> tuple[P
     """Drop nodes and, first, every relation in which they or relations so dropped take part."""
     gone = cut(graph.spark.createDataFrame([(g,) for g in gids], "gid string"))
     while True:
-        hit = edges.members.join(gone.withColumnRenamed("gid", "participant_gid"), "participant_gid", "left_semi").select(F.col("rel_gid").alias("gid")).distinct().join(gone, "gid", "left_anti")
+        hit = edges.members.join(
+            gone.withColumnRenamed("gid", "participant_gid"), "participant_gid", "left_semi"
+        ).select(F.col("rel_gid").alias("gid")).distinct().join(gone, "gid", "left_anti")
         hit = cut(hit)
         if hit.isEmpty():
             break
@@ -256,7 +297,9 @@ def export_reified(edges: Edges) -> tuple[DataFrame, DataFrame]:
     role_gid = F.concat_ws("/", "rel_gid", names.member_id(F.col("type_gid"), F.col("role")))
     m = edges.members.join(edges.relations.select("rel_gid", "type_gid"), "rel_gid")
     none = F.create_map().cast("map<string,string>")
-    nodes = edges.relations.select(F.col("rel_gid").alias("gid"), F.coalesce("attrs", none).alias("attrs")).unionByName(m.select(role_gid.alias("gid"), F.create_map(F.lit("role"), F.col("role")).alias("attrs")).dropDuplicates(["gid"]))
+    nodes = edges.relations.select(F.col("rel_gid").alias("gid"), F.coalesce("attrs", none).alias("attrs")).unionByName(m.select(
+        role_gid.alias("gid"), F.create_map(F.lit("role"), F.col("role")).alias("attrs")
+    ).dropDuplicates(["gid"]))
     pair = lambda df, a, b: df.select(F.least(a, b).alias("a_gid"), F.greatest(a, b).alias("b_gid"))
     links = pair(edges.relations, F.col("rel_gid"), F.col("type_gid")).unionByName(pair(m, role_gid, F.col("participant_gid"))).distinct()
     return nodes, links
@@ -272,8 +315,12 @@ def import_reified(graph: PropertyGraph, types: DataFrame) -> Edges:
     rel = link.join(d.select(F.col("type_gid").alias("dst")).distinct(), "dst", "left_semi").join(types.select(F.col("type_gid").alias("src")), "src", "left_anti")
     rel = rel.groupBy(F.col("src").alias("rel_gid")).agg(F.count_distinct("dst").alias("n"), F.min("dst").alias("t"))
     rel = rel.select("rel_gid", F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("several classifiers: "), F.col("rel_gid")))).otherwise(F.col("t")).alias("type_gid"))
-    occ = graph.nodes.select(F.col("gid").alias("occ"), F.col("parent_gid").alias("rel_gid"), F.col("local_id").alias("member_id")).join(rel, "rel_gid").join(d.select("type_gid", "member_id", "role"), ["type_gid", "member_id"])
-    members = occ.join(link.select(F.col("src").alias("occ"), F.col("dst").alias("participant_gid")), "occ").where("participant_gid <> rel_gid and participant_gid <> type_gid").select("rel_gid", "role", "participant_gid").distinct()
+    occ = graph.nodes.select(
+        F.col("gid").alias("occ"), F.col("parent_gid").alias("rel_gid"), F.col("local_id").alias("member_id")
+    ).join(rel, "rel_gid").join(d.select("type_gid", "member_id", "role"), ["type_gid", "member_id"])
+    members = occ.join(
+        link.select(F.col("src").alias("occ"), F.col("dst").alias("participant_gid")), "occ"
+    ).where("participant_gid <> rel_gid and participant_gid <> type_gid").select("rel_gid", "role", "participant_gid").distinct()
     attrs = graph.base.select(F.col("gid").alias("rel_gid"), "attrs")
     return Edges(rel.join(attrs, "rel_gid").select("rel_gid", "type_gid", "attrs"), members)
 
@@ -290,16 +337,39 @@ def to_strict(types: DataFrame, facets: DataFrame, graph: PropertyGraph, edges:
         except NotImplementedError:
             continue
     f = types.select("type_gid", F.explode("fields").alias("f"))
-    attribute = f.where("f.value_kind <> 'Node'").select("type_gid", F.struct(F.col("f.name").alias("name"), F.coalesce(kind, F.raise_error(F.concat(F.lit("Unsupported: no scalar kind for "), F.col("f.name")))).alias("kind"), (F.col("f.min") > 0).alias("required")).alias("a"))
+    attribute = f.where("f.value_kind <> 'Node'").select(
+        "type_gid",
+        F.struct(
+            F.col("f.name").alias("name"),
+            F.coalesce(kind, F.raise_error(F.concat(F.lit("Unsupported: no scalar kind for "), F.col("f.name")))).alias("kind"),
+            (F.col("f.min") > 0).alias("required")
+        ).alias("a")
+    )
     attribute = attribute.groupBy("type_gid").agg(F.array_sort(F.collect_list("a")).alias("attributes"))
-    member = f.where("f.value_kind = 'Node'").join(types.where("element_kind = 'Edge'").select("type_gid"), "type_gid", "left_semi").groupBy("type_gid").agg(F.array_sort(F.collect_list(F.struct(F.col("f.name").alias("name"), F.col("f.node_type").alias("type_id"), F.col("f.min").alias("min"), F.col("f.max").alias("max")))).alias("members"))
+    member = f.where("f.value_kind = 'Node'").join(
+        types.where("element_kind = 'Edge'").select("type_gid"), "type_gid", "left_semi"
+    ).groupBy("type_gid").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("f.name").alias("name"), F.col("f.node_type").alias("type_id"), F.col("f.min").alias("min"), F.col("f.max").alias("max")
+    ))).alias("members"))
     spark = types.sparkSession
     shape = spark.createDataFrame([], typed.TYPES).schema
     out = types.join(attribute, "type_gid", "left").join(member, "type_gid", "left").select(
-        F.col("type_gid").alias("type_id"), F.when(F.col("element_kind") == "Edge", typed.RELATION).otherwise(typed.INSTANCE).alias("kind"), "is_abstract", F.col("required").alias("required_type_ids"),
-        F.coalesce("members", F.array().cast(shape["members"].dataType)).alias("members"), F.coalesce("attributes", F.array().cast(shape["attributes"].dataType)).alias("attributes"),
+        F.col("type_gid").alias("type_id"), F.when(
+            F.col("element_kind") == "Edge", typed.RELATION
+        ).otherwise(typed.INSTANCE).alias("kind"), "is_abstract", F.col("required").alias("required_type_ids"),
+        F.coalesce("members", F.array().cast(shape["members"].dataType)).alias("members"), F.coalesce(
+            "attributes", F.array().cast(shape["attributes"].dataType)
+        ).alias("attributes"),
+    )
+    inst = facets.groupBy("node_gid").agg(F.array_sort(F.collect_set("type_gid")).alias("type_ids")).join(graph.base, F.col("node_gid") == F.col("gid")).select(
+        F.col("node_gid").alias("id"), F.lit(typed.INSTANCE).alias("kind"), "type_ids", F.col("attrs").alias("attributes"),
+        F.create_map().cast("map<string,array<string>>").alias("members")
+    )
+    roles = edges.members.groupBy("rel_gid", "role").agg(F.array_sort(F.collect_set("participant_gid")).alias("ps")).groupBy("rel_gid").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", "ps")))).alias("members")
+    )
+    rels = edges.relations.join(roles, "rel_gid", "left").select(
+        F.col("rel_gid").alias("id"), F.lit(typed.RELATION).alias("kind"), F.array("type_gid").alias("type_ids"),
+        F.col("attrs").alias("attributes"), F.coalesce("members", F.create_map().cast("map<string,array<string>>")).alias("members")
     )
-    inst = facets.groupBy("node_gid").agg(F.array_sort(F.collect_set("type_gid")).alias("type_ids")).join(graph.base, F.col("node_gid") == F.col("gid")).select(F.col("node_gid").alias("id"), F.lit(typed.INSTANCE).alias("kind"), "type_ids", F.col("attrs").alias("attributes"), F.create_map().cast("map<string,array<string>>").alias("members"))
-    roles = edges.members.groupBy("rel_gid", "role").agg(F.array_sort(F.collect_set("participant_gid")).alias("ps")).groupBy("rel_gid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", "ps")))).alias("members"))
-    rels = edges.relations.join(roles, "rel_gid", "left").select(F.col("rel_gid").alias("id"), F.lit(typed.RELATION).alias("kind"), F.array("type_gid").alias("type_ids"), F.col("attrs").alias("attributes"), F.coalesce("members", F.create_map().cast("map<string,array<string>>")).alias("members"))
     return out, inst.unionByName(rels)

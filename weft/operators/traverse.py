@@ -123,7 +123,9 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     label = cut(nodes.select("gid", F.col("gid").alias("component")))
     while True:
         near = both.join(label.select(F.col("gid").alias("dst"), F.col("component").alias("c")), "dst").groupBy("src").agg(F.min("c").alias("c"))
-        low = label.join(near.withColumnRenamed("src", "gid"), "gid", "left").select("gid", F.col("component").alias("old"), F.least("component", F.coalesce("c", "component")).alias("component"))
+        low = label.join(near.withColumnRenamed("src", "gid"), "gid", "left").select(
+            "gid", F.col("component").alias("old"), F.least("component", F.coalesce("c", "component")).alias("component")
+        )
         up = label.select(F.col("gid").alias("component"), F.col("component").alias("cc"))
         after = cut(low.join(up, "component", "left").select("gid", "old", F.least("component", F.coalesce("cc", "component")).alias("component")))
         label = after.select("gid", "component")

@@ -66,7 +66,10 @@ def effective(types: DataFrame) -> DataFrame:
     """type_id, members, attributes gathered over each type's closure."""
     c = closure(types)
     t = types.select(F.col("type_id").alias("reached"), "members", "attributes")
-    return c.join(t, "reached").groupBy("type_id").agg(F.array_sort(F.flatten(F.collect_list("members"))).alias("members"), F.array_sort(F.flatten(F.collect_list("attributes"))).alias("attributes"))
+    return c.join(t, "reached").groupBy("type_id").agg(
+        F.array_sort(F.flatten(F.collect_list("members"))).alias("members"),
+        F.array_sort(F.flatten(F.collect_list("attributes"))).alias("attributes")
+    )
 
 
 def type_violations(types: DataFrame) -> DataFrame:
@@ -81,7 +84,10 @@ def type_violations(types: DataFrame) -> DataFrame:
         _bad(t, ~names.valid_path(F.col("type_id")), "type_id", INVALID, "the id is no valid name"),
         _bad(t, names.local_id(F.col("type_id")).isin(RESERVED), "type_id", UNSUPPORTED, "the name is reserved"),
         _bad(t, ~F.col("kind").isin(INSTANCE, RELATION), "type_id", UNSUPPORTED, "unknown kind"),
-        _bad(t, ~F.forall(member_names, names.valid_segment) | ~F.forall(attribute_names, names.valid_segment), "type_id", INVALID, "a member or attribute has no valid name"),
+        _bad(
+            t, ~F.forall(member_names, names.valid_segment) | ~F.forall(attribute_names, names.valid_segment), "type_id", INVALID,
+            "a member or attribute has no valid name"
+        ),
         _bad(t, _repeats(member_names) | _repeats(attribute_names), "type_id", INVALID, "names repeat"),
         _bad(t, F.arrays_overlap(_low(member_names), _low(attribute_names)), "type_id", INVALID, "a name is both member and attribute"),
         _bad(t, ~relation & (F.size("members") > 0), "type_id", INVALID, "an instance type has members"),
@@ -104,7 +110,9 @@ def id_collisions(types: DataFrame, elements: DataFrame) -> DataFrame:
 
 def scalar_violations(types: DataFrame, elements: DataFrame) -> DataFrame:
     """Attributes against the declarations of an element's types."""
-    declared = types.select(F.col("type_id").alias("t"), F.explode("attributes").alias("a")).select("t", F.col("a.name").alias("name"), F.col("a.kind").alias("scalar"), F.col("a.required").alias("required"))
+    declared = types.select(F.col("type_id").alias("t"), F.explode("attributes").alias("a")).select(
+        "t", F.col("a.name").alias("name"), F.col("a.kind").alias("scalar"), F.col("a.required").alias("required")
+    )
     per = elements.select("id", "attributes", F.explode("type_ids").alias("t")).join(declared, "t")
     kinds = per.groupBy("id", F.lower("name").alias("k")).agg(F.count_distinct("scalar").alias("n"))
     given = elements.select("id", F.explode("attributes").alias("name", "value"))
@@ -112,21 +120,31 @@ def scalar_violations(types: DataFrame, elements: DataFrame) -> DataFrame:
     matched = given.join(spelled, ["id", "name"], "left")
     return _union([
         _bad(kinds, F.col("n") > 1, "id", INVALID, F.concat(F.lit("types disagree about the kind of "), F.col("k"))),
-        _bad(per, F.col("required") & F.try_element_at("attributes", "name").isNull(), "id", INVALID, F.concat(F.lit("a required attribute is missing: "), F.col("name"))),
+        _bad(
+            per, F.col("required") & F.try_element_at("attributes", "name").isNull(), "id", INVALID,
+            F.concat(F.lit("a required attribute is missing: "), F.col("name"))
+        ),
         _bad(matched, F.col("scalar").isNull(), "id", INVALID, F.concat(F.lit("no type declares the attribute "), F.col("name"))),
-        _bad(matched, F.col("scalar").isNotNull() & ~scalars.is_valid(F.col("scalar"), F.col("value")), "id", INVALID, F.concat(F.lit("the value is no "), F.col("scalar"), F.lit(": "), F.col("name"))),
+        _bad(
+            matched, F.col("scalar").isNotNull() & ~scalars.is_valid(F.col("scalar"), F.col("value")), "id", INVALID,
+            F.concat(F.lit("the value is no "), F.col("scalar"), F.lit(": "), F.col("name"))
+        ),
     ])
 
 
 def participants(elements: DataFrame) -> DataFrame:
     """rel, role, participant, at: one row for each participant of each relation."""
-    return elements.where(F.col("kind") == RELATION).select(F.col("id").alias("rel"), F.explode("members").alias("role", "ids")).select("rel", "role", F.posexplode("ids").alias("at", "participant"))
+    return elements.where(F.col("kind") == RELATION).select(
+        F.col("id").alias("rel"), F.explode("members").alias("role", "ids")
+    ).select("rel", "role", F.posexplode("ids").alias("at", "participant"))
 
 
 def relation_violations(types: DataFrame, elements: DataFrame) -> DataFrame:
     """Roles, cardinalities and participants of relations; a participant may be a relation."""
     rel = elements.where(F.col("kind") == RELATION).select("id", "type_ids", "members")
-    roles = types.where(F.col("kind") == RELATION).select(F.col("type_id").alias("t"), F.explode("members").alias("m")).select("t", F.col("m.name").alias("role"), F.col("m.type_id").alias("needs"), F.col("m.min").alias("lo"), F.col("m.max").alias("hi"))
+    roles = types.where(F.col("kind") == RELATION).select(F.col("type_id").alias("t"), F.explode("members").alias("m")).select(
+        "t", F.col("m.name").alias("role"), F.col("m.type_id").alias("needs"), F.col("m.min").alias("lo"), F.col("m.max").alias("hi")
+    )
     declared = rel.select("id", "members", F.explode("type_ids").alias("t")).join(roles, "t")
     given = participants(elements)
     counts = declared.select("id", "role", "lo", "hi", F.size(F.coalesce(F.try_element_at("members", "role"), F.array().cast("array<string>"))).alias("n"))
@@ -137,12 +155,18 @@ def relation_violations(types: DataFrame, elements: DataFrame) -> DataFrame:
     linked = given.join(people, "participant", "left")
     needs = given.join(declared.select(F.col("id").alias("rel"), "role", "needs").where("needs is not null").distinct(), ["rel", "role"]).join(people, "participant")
     return _union([
-        _bad(counts, (F.col("n") < F.col("lo")) | (F.col("hi").isNotNull() & (F.col("n") > F.col("hi"))), "id", INVALID, F.concat(F.lit("wrong number of participants: "), F.col("role"))),
+        _bad(
+            counts, (F.col("n") < F.col("lo")) | (F.col("hi").isNotNull() & (F.col("n") > F.col("hi"))), "id", INVALID,
+            F.concat(F.lit("wrong number of participants: "), F.col("role"))
+        ),
         _bad(extra, F.lit(True), "id", INVALID, F.concat(F.lit("unexpected role "), F.col("role"))),
         _bad(absent, F.lit(True), "id", INVALID, F.concat(F.lit("the role is missing: "), F.col("role"))),
         _bad(repeated, F.lit(True), "rel", INVALID, F.concat(F.lit("a participant repeats: "), F.col("participant"))),
         _bad(linked, F.col("have").isNull(), "rel", INVALID, F.concat(F.lit("no such participant: "), F.col("participant"))),
-        _bad(needs, ~F.array_contains("have", F.col("needs")), "rel", INVALID, F.concat(F.lit("a participant is no "), F.col("needs"), F.lit(": "), F.col("participant"))),
+        _bad(
+            needs, ~F.array_contains("have", F.col("needs")), "rel", INVALID,
+            F.concat(F.lit("a participant is no "), F.col("needs"), F.lit(": "), F.col("participant"))
+        ),
     ])
 
 
@@ -225,13 +249,17 @@ class TypedGraph:
         direct = asked.join(none, "type_id", "left_semi")
         none_given = F.create_map().cast("map<string,array<string>>")
         new = rows.select("id", "attributes", "members").join(full, "id", "left").select(
-            "id", F.lit(kind).alias("kind"), F.coalesce("type_ids", F.array().cast("array<string>")).alias("type_ids"), F.coalesce("attributes", F.create_map().cast("map<string,string>")).alias("attributes"),
+            "id", F.lit(kind).alias("kind"), F.coalesce("type_ids", F.array().cast("array<string>")).alias("type_ids"), F.coalesce(
+                "attributes", F.create_map().cast("map<string,string>")
+            ).alias("attributes"),
             F.transform_values(F.coalesce("members", none_given), lambda _, v: F.array_sort(v)).alias("members"),
         )
         new = cut(new)
         ids = new.select("id")
         bad = _union([
-            id_collisions(self.types, self._alike(ids).select(new.columns).unionByName(new)), _bad(direct, F.lit(True), "id", INVALID, F.concat(F.lit("an abstract type is assigned: "), F.col("type_id"))),
+            id_collisions(self.types, self._alike(ids).select(new.columns).unionByName(new)), _bad(
+                direct, F.lit(True), "id", INVALID, F.concat(F.lit("an abstract type is assigned: "), F.col("type_id"))
+            ),
             element_violations(self.types, self._with_ends(new), reached).join(ids, "id", "left_semi"),
         ])
         require_none(bad)

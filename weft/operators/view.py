@@ -31,7 +31,13 @@ def merged_edges(edges: DataFrame) -> DataFrame:
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select(F.explode(F.array(F.struct(F.col("a_gid").alias("src"), F.col("b_gid").alias("dst")), F.struct(F.col("b_gid").alias("src"), F.col("a_gid").alias("dst")))).alias("e"), edge_key(F.col("a_gid"), F.col("b_gid")).alias("ekey")).select("e.src", "e.dst", "ekey")
+    return edges.select(
+        F.explode(F.array(
+            F.struct(F.col("a_gid").alias("src"), F.col("b_gid").alias("dst")),
+            F.struct(F.col("b_gid").alias("src"), F.col("a_gid").alias("dst"))
+        )).alias("e"),
+        edge_key(F.col("a_gid"), F.col("b_gid")).alias("ekey")
+    ).select("e.src", "e.dst", "ekey")
 
 
 def load_basis(graph, node_root: str | None, edge_root: str | None = None, depth: int = 4) -> DataFrame:
@@ -50,8 +56,13 @@ def load_basis(graph, node_root: str | None, edge_root: str | None = None, depth
     for root, name in roots.items():
         kind = F.when(names.parent(F.col("gid")) == root, name).otherwise(kind)
         below = below | names.is_descendant(F.col("gid"), F.lit(root)) | (F.col("gid") == root)
-    found = near.select("gid", F.when(below, kind).otherwise(F.raise_error(F.concat(F.lit("no type of the basis: "), F.col("gid")))).alias("kind")).where("kind is not null")
-    return found.join(graph.nodes.select("gid", "local_id"), "gid").select(F.col("gid").alias("type_gid"), "kind", F.col("local_id").alias("label"), F.lit(None).cast("double").alias("rank"), F.lit(True).alias("visible"), F.lit(False).alias("collapsed"), F.array().cast("array<string>").alias("fields"))
+    found = near.select(
+        "gid", F.when(below, kind).otherwise(F.raise_error(F.concat(F.lit("no type of the basis: "), F.col("gid")))).alias("kind")
+    ).where("kind is not null")
+    return found.join(graph.nodes.select("gid", "local_id"), "gid").select(
+        F.col("gid").alias("type_gid"), "kind", F.col("local_id").alias("label"), F.lit(None).cast("double").alias("rank"),
+        F.lit(True).alias("visible"), F.lit(False).alias("collapsed"), F.array().cast("array<string>").alias("fields")
+    )
 
 
 def facets(edges: DataFrame, basis: DataFrame) -> DataFrame:
@@ -75,7 +86,9 @@ def relations(nodes: DataFrame, edges: DataFrame, basis: DataFrame, relation_roo
         near = near.unionByName(nodes.where(names.is_descendant(F.col("gid"), F.lit(relation_root))).select(F.col("gid").alias("rel_gid")))
     rel = near.distinct().join(et, F.col("rel_gid") == F.col("t"), "left_anti")
     role = nodes.select(F.col("gid").alias("port"), F.try_element_at("attrs", F.lit(ROLE)).alias("role"))
-    ports = rel.join(both.select(F.col("src").alias("rel_gid"), F.col("dst").alias("port")), "rel_gid").join(role, "port").join(et.withColumn("is_type", F.lit(True)), F.col("port") == F.col("t"), "left").drop("t")
+    ports = rel.join(
+        both.select(F.col("src").alias("rel_gid"), F.col("dst").alias("port")), "rel_gid"
+    ).join(role, "port").join(et.withColumn("is_type", F.lit(True)), F.col("port") == F.col("t"), "left").drop("t")
     beyond = both.select(F.col("src").alias("port"), F.col("dst").alias("end"))
     reach = ports.join(beyond, "port").where("end <> rel_gid").groupBy("rel_gid", "port").agg(F.min("end").alias("end"))
     p = ports.join(reach, ["rel_gid", "port"], "left").select("rel_gid", F.struct("port", "role", F.coalesce("is_type", F.lit(False)).alias("is_type"), "end").alias("p"))
@@ -86,17 +99,26 @@ def relations(nodes: DataFrame, edges: DataFrame, basis: DataFrame, relation_roo
     r = r.withColumn("sp", F.coalesce(first(F.col("es"), lambda x: x["role"] == "source"), F.get("es", F.lit(0))))
     r = r.withColumn("gp", F.coalesce(first(F.col("es"), lambda x: x["role"] == "target"), first(F.col("es"), lambda x: x["port"] != F.col("sp.port"))))
     type_gid = F.when(F.col("tp.role") == "type", F.col("tp.end")).otherwise(F.col("tp.port"))
-    return r.select("rel_gid", type_gid.alias("type_gid"), F.col("sp.end").alias("a_gid"), F.col("gp.end").alias("b_gid"), F.transform("ps", lambda x: x["port"]).alias("ports")).where("a_gid is not null and b_gid is not null")
+    return r.select(
+        "rel_gid", type_gid.alias("type_gid"), F.col("sp.end").alias("a_gid"), F.col("gp.end").alias("b_gid"),
+        F.transform("ps", lambda x: x["port"]).alias("ports")
+    ).where("a_gid is not null and b_gid is not null")
 
 
 def record_fields(nodes: DataFrame, edges: DataFrame, basis: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """node_gid, type_gid, field, value of each facet: the attribute, or the names of linked neighbours."""
     of = facets(edges, basis) if of is None else of
     want = of.join(basis.select("type_gid", F.explode("fields").alias("field")), "type_gid")
-    attr = want.join(nodes.select(F.col("gid").alias("node_gid"), F.transform_keys("attrs", lambda k, _: F.lower(k)).alias("low")), "node_gid").select("node_gid", "type_gid", "field", F.try_element_at("low", F.lower("field")).alias("own"))
+    attr = want.join(
+        nodes.select(F.col("gid").alias("node_gid"), F.transform_keys("attrs", lambda k, _: F.lower(k)).alias("low")), "node_gid"
+    ).select("node_gid", "type_gid", "field", F.try_element_at("low", F.lower("field")).alias("own"))
     near = _both_ways(edges).select(F.col("src").alias("node_gid"), F.col("dst").alias("n"), names.local_id(F.col("dst")).alias("l"))
     role = nodes.select(F.col("gid").alias("n"), F.lower(F.try_element_at("attrs", F.lit(ROLE))).alias("r"))
-    linked = attr.where("own is null").join(near, "node_gid").join(role, "n").where(F.col("r") == F.lower("field")).groupBy("node_gid", "type_gid", "field").agg(F.concat_ws(", ", F.array_sort(F.collect_set("l"))).alias("far"))
+    linked = attr.where("own is null").join(near, "node_gid").join(role, "n").where(F.col("r") == F.lower("field")).groupBy(
+        "node_gid", "type_gid", "field"
+    ).agg(F.concat_ws(
+        ", ", F.array_sort(F.collect_set("l"))
+    ).alias("far"))
     return attr.join(linked, ["node_gid", "type_gid", "field"], "left").select("node_gid", "type_gid", "field", F.coalesce("own", "far", F.lit("")).alias("value"))
 
 
@@ -106,13 +128,23 @@ def project(nodes: DataFrame, edges: DataFrame, basis: DataFrame, relation_root:
     Relations of collapsed or hidden types fold away with their ports, collapsed visible ones
     become single edges; nodes of collapsed types become records and their type edges vanish.
     """
-    rel = cut(relations(nodes, edges, basis, relation_root).join(basis.select("type_gid", F.coalesce("visible", F.lit(True)).alias("vis"), F.coalesce("collapsed", F.lit(False)).alias("col")), "type_gid", "left"))
+    rel = cut(relations(nodes, edges, basis, relation_root).join(
+        basis.select("type_gid", F.coalesce("visible", F.lit(True)).alias("vis"), F.coalesce("collapsed", F.lit(False)).alias("col")),
+        "type_gid", "left"
+    ))
     folded = rel.where(F.coalesce("col", F.lit(False)) | ~F.coalesce("vis", F.lit(True)))
-    f = cut(facets(edges, basis).join(basis.select("type_gid", "label", F.coalesce("visible", F.lit(True)).alias("vis"), F.coalesce("collapsed", F.lit(False)).alias("col")), "type_gid"))
+    f = cut(facets(edges, basis).join(
+        basis.select("type_gid", "label", F.coalesce("visible", F.lit(True)).alias("vis"), F.coalesce("collapsed", F.lit(False)).alias("col")),
+        "type_gid"
+    ))
     off = basis.where("collapsed or not coalesce(visible, true)").select(F.col("type_gid").alias("gid"))
     below = nodes.select("gid", F.explode(names.ancestors(F.col("gid"))).alias("up")).join(off.withColumnRenamed("gid", "up"), "up", "left_semi").select("gid")
     hidden = cut(folded.select(F.col("rel_gid").alias("gid")).unionByName(folded.select(F.explode("ports").alias("gid"))).unionByName(off).unionByName(below).distinct())
-    seen = f.groupBy(F.col("node_gid").alias("gid")).agg(F.bool_or("vis").alias("any"), F.min(F.when(F.col("vis"), F.col("type_gid"))).alias("type_gid"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("vis"), F.struct("type_gid", "label")))), lambda x: x["label"]), " · ").alias("label"), F.bool_or(F.col("vis") & F.col("col")).alias("record"))
+    seen = f.groupBy(F.col("node_gid").alias("gid")).agg(
+        F.bool_or("vis").alias("any"), F.min(F.when(F.col("vis"), F.col("type_gid"))).alias("type_gid"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("vis"), F.struct("type_gid", "label")))), lambda x: x["label"]), " · ").alias("label"),
+        F.bool_or(F.col("vis") & F.col("col")).alias("record")
+    )
     shown = nodes.select("gid").join(hidden, "gid", "left_anti").join(seen, "gid", "left").where("any is null or any")
     shown = cut(shown.select("gid", "type_gid", "label", F.when(F.coalesce("record", F.lit(False)), "record").otherwise("circle").alias("shape")))
     gone = f.where("col or not vis").select(edge_key(F.col("node_gid"), F.col("type_gid")).alias("key")).distinct()
@@ -120,7 +152,9 @@ def project(nodes: DataFrame, edges: DataFrame, basis: DataFrame, relation_root:
     for end in ("a_gid", "b_gid"):
         e = e.join(hidden.withColumnRenamed("gid", end), end, "left_anti")
     ids = shown.select("gid")
-    e = e.join(ids.withColumnRenamed("gid", "a_gid").withColumn("sa", F.lit(1)), "a_gid", "left").join(ids.withColumnRenamed("gid", "b_gid").withColumn("sb", F.lit(1)), "b_gid", "left").where("sa = 1 or sb = 1")
+    e = e.join(
+        ids.withColumnRenamed("gid", "a_gid").withColumn("sa", F.lit(1)), "a_gid", "left"
+    ).join(ids.withColumnRenamed("gid", "b_gid").withColumn("sb", F.lit(1)), "b_gid", "left").where("sa = 1 or sb = 1")
     e = e.select("key", "a_gid", "b_gid", F.lit(None).cast("string").alias("type_gid"), F.lit(False).alias("projected"))
     p = rel.where("col and vis").join(ids.withColumnRenamed("gid", "a_gid"), "a_gid", "left_semi").join(ids.withColumnRenamed("gid", "b_gid"), "b_gid", "left_semi")
     return shown, e.unionByName(p.select(F.concat(F.lit("projected:"), "rel_gid").alias("key"), "a_gid", "b_gid", "type_gid", F.lit(True).alias("projected")))
@@ -136,7 +170,13 @@ def rank(nodes: DataFrame, edges: DataFrame, root: str | None = None, selected:
     weight = F.greatest(F.lit(0.0), F.coalesce("type_rank", F.when(F.col("projected"), PROJECTED_EDGE).otherwise(PHYSICAL_EDGE)))
     e = edges.withColumn("w", weight)
     other = F.when(F.col("other") == F.lit(selected), F.least(F.lit(FOCUS_MOST), F.col("w") * FOCUS_PART)).otherwise(0.0) if selected else F.lit(0.0)
-    ends = e.select(F.explode(F.array(F.struct(F.col("a_gid").alias("gid"), F.col("b_gid").alias("other")), F.struct(F.col("b_gid").alias("gid"), F.col("a_gid").alias("other")))).alias("x"), "w").select("x.gid", "x.other", "w")
+    ends = e.select(
+        F.explode(F.array(
+            F.struct(F.col("a_gid").alias("gid"), F.col("b_gid").alias("other")),
+            F.struct(F.col("b_gid").alias("gid"), F.col("a_gid").alias("other"))
+        )).alias("x"),
+        "w"
+    ).select("x.gid", "x.other", "w")
     stats = ends.groupBy("gid").agg(F.sum("w").alias("degree"), F.sum(other).alias("focus"))
     base = F.greatest(F.lit(0.0), F.coalesce("type_rank", F.when(F.col("type_gid").isNotNull(), TYPED_NODE).otherwise(UNTYPED_NODE)))
     is_root = F.when(F.col("gid") == F.lit(root), ROOT_BOOST).otherwise(0.0) if root else F.lit(0.0)
@@ -177,7 +217,9 @@ def collapse(nodes: DataFrame, edges: DataFrame, anchor: str, other: str, roots:
     Of each root component the least node stays where all of it would go.
     """
     c = cut(components_without(nodes, edges, anchor, other))
-    far = c.join(c.where(F.col("gid") == other).select("component"), "component", "left_semi").join(c.where(F.col("gid") == anchor).select("component"), "component", "left_anti").select("gid")
+    far = c.join(c.where(F.col("gid") == other).select("component"), "component", "left_semi").join(
+        c.where(F.col("gid") == anchor).select("component"), "component", "left_anti"
+    ).select("gid")
     roots = root_components(nodes, edges) if roots is None else roots
     r = roots.join(far.withColumn("goes", F.lit(True)), "gid", "left").withColumn("goes", F.coalesce("goes", F.lit(False)))
     keep = r.groupBy("root_component").agg(F.bool_and("goes").alias("all"), F.min("gid").alias("gid")).where("all").select("gid")
@@ -194,13 +236,22 @@ def branch(tree: DataFrame, gid: str) -> DataFrame:
 def frontier_controls(edges: DataFrame, shown: DataFrame) -> DataFrame:
     """anchor, other, control for each visible end of edges(a_gid, b_gid, collapsed); shown(gid)."""
     s = shown.select(F.col("gid").alias("g"), F.lit(True).alias("on")).distinct()
-    ends = edges.select(F.explode(F.array(F.struct(F.col("a_gid").alias("anchor"), F.col("b_gid").alias("other")), F.struct(F.col("b_gid").alias("anchor"), F.col("a_gid").alias("other")))).alias("e"), "collapsed").select("e.anchor", "e.other", "collapsed")
+    ends = edges.select(
+        F.explode(F.array(
+            F.struct(F.col("a_gid").alias("anchor"), F.col("b_gid").alias("other")),
+            F.struct(F.col("b_gid").alias("anchor"), F.col("a_gid").alias("other"))
+        )).alias("e"),
+        "collapsed"
+    ).select("e.anchor", "e.other", "collapsed")
     j = ends.join(s, F.col("anchor") == F.col("g"), "left_semi").join(s, F.col("other") == F.col("g"), "left")
     control = F.when(F.col("on").isNull(), "load-neighbor").when(F.col("collapsed"), "expand").otherwise("collapse")
     return j.select("anchor", "other", control.alias("control"))
 
 
-def force_step(positions: DataFrame, edges: DataFrame, width: float, height: float, desired: float = 120.0, spring: float = 0.018, centre: float = 0.0018, damping: float = 0.82) -> DataFrame:
+def force_step(
+    positions: DataFrame, edges: DataFrame, width: float, height: float, desired: float = 120.0, spring: float = 0.018,
+    centre: float = 0.0018, damping: float = 0.82
+) -> DataFrame:
     """One layout step: springs along edges, a pull to the centre, damped velocities. positions(gid, x, y, vx, vy)."""
     p = positions.select("gid", "x", "y")
     both = _both_ways(edges).select("src", "dst").distinct()
@@ -217,10 +268,15 @@ def force_step(positions: DataFrame, edges: DataFrame, width: float, height: flo
 def responses(graph, gids: DataFrame) -> DataFrame:
     """gid, attrs, edges of nodes with all incident edges, ends in order of their names, case ignored."""
     e = graph.adj.join(gids.select(F.col("gid").alias("src")), "src", "left_semi").select("src", "dst").distinct()
-    ordered = F.when(F.lower("src") <= F.lower("dst"), F.struct(F.col("src").alias("node1"), F.col("dst").alias("node2"), names.local_id(F.col("dst")).alias("neighbor"))).otherwise(F.struct(F.col("dst").alias("node1"), F.col("src").alias("node2"), names.local_id(F.col("dst")).alias("neighbor")))
+    ordered = F.when(
+        F.lower("src") <= F.lower("dst"),
+        F.struct(F.col("src").alias("node1"), F.col("dst").alias("node2"), names.local_id(F.col("dst")).alias("neighbor"))
+    ).otherwise(F.struct(F.col("dst").alias("node1"), F.col("src").alias("node2"), names.local_id(F.col("dst")).alias("neighbor")))
     per = e.select("src", ordered.alias("e")).groupBy("src").agg(F.array_sort(F.collect_list("e")).alias("edges"))
     nodes = graph.nodes.join(gids.select("gid").distinct(), "gid", "left_semi")
-    return nodes.join(per, F.col("gid") == F.col("src"), "left").select("gid", "attrs", F.coalesce("edges", F.array().cast("array<struct<node1: string, node2: string, neighbor: string>>")).alias("edges"))
+    return nodes.join(per, F.col("gid") == F.col("src"), "left").select(
+        "gid", "attrs", F.coalesce("edges", F.array().cast("array<struct<node1: string, node2: string, neighbor: string>>")).alias("edges")
+    )
 
 
 def chosen_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -78,13 +78,22 @@ class Compiler:
         fresh = [v for v in variables if v not in s.bound]
         order = [F.lpad(F.col(c).cast("string"), 6, "0") for c in dist] + [F.col(variables[v][0]) for v in fresh]
         gain = score.cast("double").alias("_gain")
-        picked = table.select(*(F.col(p[0]).alias("_" + _c(v)) for v, p in variables.items()), gain, F.array(*matches).alias("_matches"), F.array(*order).cast("array<string>").alias("_order"))
+        picked = table.select(
+            *(F.col(p[0]).alias("_" + _c(v)) for v, p in variables.items()), gain, F.array(*matches).alias("_matches"),
+            F.array(*order).cast("array<string>").alias("_order")
+        )
         if s.df is None:
-            out = picked.select(*(F.col("_" + _c(v)).alias(_c(v)) for v in fresh), F.col("_gain").alias("score"), F.col("_matches").alias("matched"), F.col("_order").alias("ord"))
+            out = picked.select(
+                *(F.col("_" + _c(v)).alias(_c(v)) for v in fresh), F.col("_gain").alias("score"), F.col("_matches").alias("matched"),
+                F.col("_order").alias("ord")
+            )
             return State(out, {v: BOUND for v in fresh})
         on = [s.col(v) == F.col("_" + _c(v)) for v in variables if v in s.bound]
         both = s.df.join(picked, reduce(Column.__and__, on)) if on else s.df.crossJoin(picked)
-        out = both.select(*(_c(v) for v in s.bound), *(F.col("_" + _c(v)).alias(_c(v)) for v in fresh), (F.col("score") + F.col("_gain")).alias("score"), F.concat("matched", "_matches").alias("matched"), F.concat("ord", "_order").alias("ord"))
+        out = both.select(
+            *(_c(v) for v in s.bound), *(F.col("_" + _c(v)).alias(_c(v)) for v in fresh), (F.col("score") + F.col("_gain")).alias("score"),
+            F.concat("matched", "_matches").alias("matched"), F.concat("ord", "_order").alias("ord")
+        )
         return State(out, {**s.bound, **{v: BOUND for v in fresh}})
 
     def _union(self, states: list[State]) -> State:
@@ -153,7 +162,13 @@ class Compiler:
         else:
             best = inner.df.groupBy(*shared.values()).agg(F.max("score").alias("_best"))
             df = s.df.join(best, self._equal(s, shared))
-        return State(df.select(*(_c(v) for v in s.bound), *self._carried(), (F.col("score") + F.greatest(F.lit(0.0), "_best")).alias("score"), F.concat("matched", F.array(F.lit("exists"))).alias("matched"), "ord"), s.bound)
+        return State(
+            df.select(
+                *(_c(v) for v in s.bound), *self._carried(), (F.col("score") + F.greatest(F.lit(0.0), "_best")).alias("score"),
+                F.concat("matched", F.array(F.lit("exists"))).alias("matched"), "ord"
+            ),
+            s.bound
+        )
 
     @staticmethod
     def _equal(s: State, shared: dict[str, str]) -> Column:
@@ -288,7 +303,10 @@ def solutions(graph: PropertyGraph, query: ast.Query | dict | str) -> DataFrame:
             df = df.where(F.col(c).isNotNull())
     keys = [F.lower(F.col(c)).alias("k" + c) for c in cols]
     first = df.groupBy(*keys).agg(F.min(F.struct("ord", "score", "matched", *cols)).alias("s"))
-    return first.select(*(F.col("s." + c).alias(v) for v, c in zip(q.returns, cols)), text.final_score(F.col("s.score")).alias("score"), text.distinct_ignoring_case(F.col("s.matched")).alias("matched_by"), F.col("s.ord").alias("ord"))
+    return first.select(
+        *(F.col("s." + c).alias(v) for v, c in zip(q.returns, cols)), text.final_score(F.col("s.score")).alias("score"),
+        text.distinct_ignoring_case(F.col("s.matched")).alias("matched_by"), F.col("s.ord").alias("ord")
+    )
 
 
 def search(graph: PropertyGraph, query: ast.Query | dict | str) -> DataFrame:

@@ -24,13 +24,25 @@ def connected(to: str) -> dict:
 
 
 def neighbour_by_id(key: str, value: str) -> dict:
-    return {"return": ["n", "x"], "where": {"kind": "all", "expressions": [{"kind": "connected", "left": _var("n"), "right": _var("x")}, {"kind": "attribute", "node": _var("x"), "key": key, "operator": "equals", "value": value}]}}
+    return {
+        "return": ["n", "x"],
+        "where": {
+            "kind": "all",
+            "expressions": [
+                {"kind": "connected", "left": _var("n"), "right": _var("x")},
+                {"kind": "attribute", "node": _var("x"), "key": key, "operator": "equals", "value": value}
+            ]
+        }
+    }
 
 
 def neighbour_connected(limit: int = 50) -> dict:
     return {
         "return": ["n", "x", "z"],
-        "where": {"kind": "all", "expressions": [{"kind": "connected", "left": _var("n"), "right": _var("x")}, {"kind": "connected", "left": _var("x"), "right": _var("z")}]},
+        "where": {
+            "kind": "all",
+            "expressions": [{"kind": "connected", "left": _var("n"), "right": _var("x")}, {"kind": "connected", "left": _var("x"), "right": _var("z")}]
+        },
         "limit": limit,
     }
 

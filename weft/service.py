@@ -122,7 +122,10 @@ class Service:
         some = self.graph.nodes.where(F.col("gid").isin(gids)).select("gid")
         plain = lambda df: [r.asDict(True) for r in df.collect()]  # noqa: E731  as many rows as nodes were named, or pairs of them
         types = self.facets.where(F.col("node_gid").isin(gids)).orderBy("node_gid", "type_gid")
-        return 200, {"nodes": plain(self.graph.nodes.where(F.col("gid").isin(gids)).orderBy("gid")), "edges": plain(traverse.induced_edges(self.graph, some)), "types": plain(types)}
+        return 200, {
+            "nodes": plain(self.graph.nodes.where(F.col("gid").isin(gids)).orderBy("gid")),
+            "edges": plain(traverse.induced_edges(self.graph, some)), "types": plain(types)
+        }
 
     def subgraph(self, b, _):
         near = traverse.subgraph(self.graph, b.get("roots") or [], int(b.get("maxDepth", 1)))
@@ -188,7 +191,13 @@ _ROUTES = {
     ("GET", "graph/nodes"): Service.get_node, ("GET", "graph/nodes/neighbor"): Service.get_neighbour, ("POST", "graph/nodes"): Service.create_node, ("PUT", "graph/nodes"): Service.update_node,
     ("DELETE", "graph/nodes"): Service.delete_node, ("POST", "graph/connections"): Service.connect, ("DELETE", "graph/connections"): Service.disconnect, ("POST", "graph/subgraph"): Service.subgraph,
     ("PUT", "graph/nodes/type"): Service.assign_type, ("PUT", "graph/edges/type"): Service.change_edge_type,
-    ("POST", "graph/search/nodes"): Service.search, ("GET", "ui/settings"): Service.settings, ("GET", "typed-graph/types"): Service.types, ("GET", "typed-graph/types/item"): Service.type, ("POST", "typed-graph/types"): Service.create_type,
-    ("GET", "typed-graph/elements"): Service.element, ("GET", "typed-graph/relations/incident"): Service.incident, ("POST", "typed-graph/instances"): Service.create_instance,
-    ("POST", "typed-graph/relations"): Service.create_relation, ("PUT", "typed-graph/elements/attributes"): Service.replace_attributes, ("DELETE", "typed-graph/elements"): Service.delete_element,
+    ("POST", "graph/search/nodes"): Service.search, ("GET", "ui/settings"): Service.settings, ("GET", "typed-graph/types"): Service.types, (
+        "GET", "typed-graph/types/item"
+    ): Service.type, ("POST", "typed-graph/types"): Service.create_type,
+    ("GET", "typed-graph/elements"): Service.element, (
+        "GET", "typed-graph/relations/incident"
+    ): Service.incident, ("POST", "typed-graph/instances"): Service.create_instance,
+    ("POST", "typed-graph/relations"): Service.create_relation, (
+        "PUT", "typed-graph/elements/attributes"
+    ): Service.replace_attributes, ("DELETE", "typed-graph/elements"): Service.delete_element,
 }

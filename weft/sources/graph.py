@@ -36,20 +36,33 @@ class PropertyGraph:
     @cached_property
     def nodes(self) -> DataFrame:
         """gid, local_id, parent_gid (null at the top), depth, attrs."""
-        return self.base.select("gid", names.local_id(F.col("gid")).alias("local_id"), names.parent(F.col("gid")).alias("parent_gid"), names.depth(F.col("gid")).alias("depth"), F.coalesce("attrs", F.create_map().cast(ATTRS)).alias("attrs"))
+        return self.base.select(
+            "gid", names.local_id(F.col("gid")).alias("local_id"), names.parent(F.col("gid")).alias("parent_gid"),
+            names.depth(F.col("gid")).alias("depth"), F.coalesce("attrs", F.create_map().cast(ATTRS)).alias("attrs")
+        )
 
     @cached_property
     def edges(self) -> DataFrame:
         """a_gid < b_gid, kind: stored links and parent-child edges; none leads to the root."""
-        up = self.nodes.where("parent_gid is not null").select(F.least("gid", "parent_gid").alias("a_gid"), F.greatest("gid", "parent_gid").alias("b_gid"), F.lit("hierarchy").alias("kind"))
-        link = self.links.select(F.least("a_gid", "b_gid").alias("a_gid"), F.greatest("a_gid", "b_gid").alias("b_gid"), F.lit("link").alias("kind")).where("a_gid <> b_gid")
+        up = self.nodes.where("parent_gid is not null").select(
+            F.least("gid", "parent_gid").alias("a_gid"), F.greatest("gid", "parent_gid").alias("b_gid"), F.lit("hierarchy").alias("kind")
+        )
+        link = self.links.select(
+            F.least("a_gid", "b_gid").alias("a_gid"), F.greatest("a_gid", "b_gid").alias("b_gid"), F.lit("link").alias("kind")
+        ).where("a_gid <> b_gid")
         return link.unionByName(up)
 
     @cached_property
     def adj(self) -> DataFrame:
         """src, dst, kind in both directions."""
         e = self.edges
-        return e.select(F.explode(F.array(F.struct(F.col("a_gid").alias("src"), F.col("b_gid").alias("dst")), F.struct(F.col("b_gid").alias("src"), F.col("a_gid").alias("dst")))).alias("e"), "kind").select("e.src", "e.dst", "kind")
+        return e.select(
+            F.explode(F.array(
+                F.struct(F.col("a_gid").alias("src"), F.col("b_gid").alias("dst")),
+                F.struct(F.col("b_gid").alias("src"), F.col("a_gid").alias("dst"))
+            )).alias("e"),
+            "kind"
+        ).select("e.src", "e.dst", "kind")
 
     @cached_property
     def neighbours(self) -> DataFrame:
@@ -79,14 +92,18 @@ class PropertyGraph:
         first, *rest = path.split("/")
         at = self.nodes.where(F.col("parent_gid").isNull() & (F.col("local_id") == first)).select("gid")
         for name in rest:
-            at = at.join(self.adj, F.col("gid") == F.col("src")).where(names.local_id(F.col("dst")) == name).where(~names.is_descendant(F.col("gid"), F.col("dst"))).select(F.col("dst").alias("gid")).distinct()
+            at = at.join(
+                self.adj, F.col("gid") == F.col("src")
+            ).where(names.local_id(F.col("dst")) == name).where(~names.is_descendant(F.col("gid"), F.col("dst"))).select(F.col("dst").alias("gid")).distinct()
         return at
 
     def neighbour(self, gid: str, local_id: str) -> DataFrame:
         """The neighbour with this local id; more than one is an error when the row is read."""
         found = self.neighbours.where(F.col("src") == gid).where(names.local_id(F.col("dst")) == local_id)
         one = found.agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("gid"))
-        return one.where("n > 0").select(F.when(F.col("n") > 1, F.raise_error(F.lit(f"'{gid}' has several neighbours named '{local_id}'"))).otherwise(F.col("gid")).alias("gid"))
+        return one.where("n > 0").select(F.when(
+            F.col("n") > 1, F.raise_error(F.lit(f"'{gid}' has several neighbours named '{local_id}'"))
+        ).otherwise(F.col("gid")).alias("gid"))
 
     def neighbours_of(self, gid: str) -> DataFrame:
         return self.adj.where(F.col("src") == gid).select("dst").distinct()
@@ -103,11 +120,16 @@ def attributes_from_json(text):
 def tpch_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """The test tables as a property graph: regions / nations / customers and suppliers, parts, orders."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    kv = lambda **c: F.map_filter(F.create_map(*(x for k, v in c.items() for x in (F.lit(k), (F.lit(v) if isinstance(v, str) else v).cast("string")))), lambda _, v: v.isNotNull())
+    kv = lambda **c: F.map_filter(
+        F.create_map(*(x for k, v in c.items() for x in (F.lit(k), (F.lit(v) if isinstance(v, str) else v).cast("string")))),
+        lambda _, v: v.isNotNull()
+    )
     clean = lambda c: F.replace(F.col(c), F.lit("#"), F.lit("-"))
     region, nation = t("region"), t("nation")
     land = F.broadcast(nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", F.concat_ws("/", "r_name", "n_name").alias("land")))
-    customer = t("customer").join(land, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat_ws("/", "land", clean("c_name")).alias("gid"), "c_mktsegment")
+    customer = t("customer").join(land, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "c_custkey", F.concat_ws("/", "land", clean("c_name")).alias("gid"), "c_mktsegment"
+    )
     supplier = t("supplier").join(land, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.concat_ws("/", "land", clean("s_name")).alias("gid"))
     part_gid, order_gid = (lambda c: F.concat(F.lit("Part-"), F.col(c).cast("string"))), (lambda c: F.concat(F.lit("Order-"), F.col(c).cast("string")))
     nodes = (
@@ -115,8 +137,14 @@ def tpch_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
         .unionByName(land.select(F.col("land").alias("gid"), kv(kind="nation").alias("attrs")))
         .unionByName(customer.select("gid", kv(kind="customer", segment=F.col("c_mktsegment")).alias("attrs")))
         .unionByName(supplier.select("gid", kv(kind="supplier").alias("attrs")))
-        .unionByName(t("part").select(part_gid("p_partkey").alias("gid"), kv(kind="part", brand=F.col("p_brand"), type=F.col("p_type"), name=F.col("p_name"), size=F.col("p_size")).alias("attrs")))
-        .unionByName(t("orders").select(order_gid("o_orderkey").alias("gid"), kv(kind="order", status=F.col("o_orderstatus"), priority=F.col("o_orderpriority")).alias("attrs")))
+        .unionByName(t("part").select(
+            part_gid("p_partkey").alias("gid"),
+            kv(kind="part", brand=F.col("p_brand"), type=F.col("p_type"), name=F.col("p_name"), size=F.col("p_size")).alias("attrs")
+        ))
+        .unionByName(t("orders").select(
+            order_gid("o_orderkey").alias("gid"),
+            kv(kind="order", status=F.col("o_orderstatus"), priority=F.col("o_orderpriority")).alias("attrs")
+        ))
     )
     line = t("lineitem")
     pair = lambda df, a, b: df.select(F.least(a, b).alias("a_gid"), F.greatest(a, b).alias("b_gid"))

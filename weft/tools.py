@@ -106,7 +106,10 @@ class Tools:
         s = self.service
         listed = lambda x: [{"name": k, **v} for k, v in x.items()] if isinstance(x, dict) else list(x or [])
         slot = lambda d: {**d, "allowedTypes": d.get("allowedTypes") or ([d["allowedType"]] if d.get("allowedType") else [])}
-        b = contracts.parse_type({"name": localId, "abstract": isAbstract, "fields": listed(fields), "slots": [slot(d) for d in listed(slots)], "requires": requires or []})
+        b = contracts.parse_type({
+            "name": localId, "abstract": isAbstract, "fields": listed(fields), "slots": [slot(d) for d in listed(slots)],
+            "requires": requires or []
+        })
         named = {x for x in [*b.required, *(f[6] for f in b.fields), *(x for c in b.slots for x in c[1])] if x}
         missing = named - {b.type_gid} - {r["type_gid"] for r in s.types.where(F.col("type_gid").isin(sorted(named))).select("type_gid").collect()}
         if missing:
@@ -124,5 +127,8 @@ _TOOLS = {
         "GetNode": Tools.get_node, "CreateNode": Tools.create_node, "DeleteNode": Tools.delete_node, "ConnectNodes": Tools.connect_nodes,
         "DisconnectNodes": Tools.disconnect_nodes, "GetSubgraph": Tools.get_subgraph, "SearchNodes": Tools.search_nodes,
     },
-    "Semantic": {"GetNode": Tools.get_typed_node, "CreateNode": Tools.create_typed_node, "CreateType": Tools.create_type, "GetTypeDefinitions": Tools.get_type_definitions},
+    "Semantic": {
+        "GetNode": Tools.get_typed_node, "CreateNode": Tools.create_typed_node, "CreateType": Tools.create_type,
+        "GetTypeDefinitions": Tools.get_type_definitions
+    },
 }
