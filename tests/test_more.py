@@ -1,5 +1,6 @@
 """Storage backends, leases, the shader artifact, strict and chunked layers, basis loading, selections, identity."""
 
+import hashlib
 import json
 import threading
 import time
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 from weft import selection
 from weft.functions import names, scalars
 from weft.operators import measure, message_passing as mp, semantic, shader, view
+from weft.live import Links, Neighbours
 from weft.operators.mutate import GraphError, clear_neighbours
 from weft.plans import compile as plans
+from weft.plans import contracts
 from weft.plans.contracts import TypeBuilder
 from weft.plans.session import cancel, cancellable
 from weft.service import Service
@@ -210,6 +213,63 @@ def test_clear_neighbours_takes_what_lies_below(spark):
     assert issubclass(GraphError, ValueError)
 
 
+def test_live_collections(spark):
+    s = Service(PropertyGraph.of(spark, ["o", "o/c", "p", "p/Q", "q", "t"], [("o", "p"), ("p", "t")]))
+    near, edges = Neighbours(s, "o"), Links(s, "o")
+    assert list(near) == ["o/c", "p"] and "p" in near and "q" not in near
+    near.add("q")
+    assert near.create("d", {"k": "v"}) == "o/d" and list(near) == ["o/c", "o/d", "p", "q"]
+    for bad in (lambda: near.add("q"), lambda: near.add("p/Q"), lambda: near.create("c"), lambda: edges.remove("t"), lambda: near.remove("t")):
+        with pytest.raises(GraphError):
+            bad()
+    near.remove("p")  # it has others beside it
+    near.remove("q")  # it has not
+    assert list(near) == ["o/c", "o/d"] and "p" in {r["gid"] for r in s.graph.base.collect()} and "q" not in {r["gid"] for r in s.graph.base.collect()}
+    edges.add("t")
+    assert list(edges) == [("o", "t")] and ("t", "o") in edges
+    edges.remove("t")
+    edges.add("p")
+    edges.clear()
+    assert list(edges) == [] and list(Links(s, "p")) == [("p", "t")]
+
+
+def test_one_record_is_read_by_its_name(spark, tmp_path):
+    store = tmp_path / "store"
+    records.open_store(spark, str(store))
+    place = store / "elements"
+    place.mkdir()
+    one = {"id": "e", "kind": "Instance", "type_ids": ["T"], "attributes": {"k": "v"}, "members": {}}
+    name = place / f"{hashlib.sha256(b'e').hexdigest()}.json"
+    name.write_text(json.dumps(one))
+    assert records.read_element(spark, str(place), "e").first()["attributes"] == {"k": "v"}
+    assert [r["id"] for r in records.read_elements(spark, str(place)).collect()] == ["e"]
+    with pytest.raises(LookupError):
+        records.read_element(spark, str(place), "f")
+    name.write_text(json.dumps({**one, "id": "E"}))
+    with pytest.raises(Exception, match="Corrupt"):
+        records.read_element(spark, str(place), "e").collect()
+    name.write_text(json.dumps(one)[:-2] + "}, \"members\": {}}")
+    with pytest.raises(Exception, match="Corrupt"):
+        records.read_elements(spark, str(place)).collect()
+    (store / f".{records.MARKER}.crc").unlink()
+    (store / records.MARKER).write_text(json.dumps({"version": 9}))
+    with pytest.raises(records.FormatError):
+        records.read_element(spark, str(place), "e")
+
+
+def test_types_from_schemas_and_the_register(spark):
+    from pyspark.sql.types import _parse_datatype_string
+
+    b = contracts.from_schema("Ship", _parse_datatype_string("name string not null, size int, tags array<string>, home struct<x: int>, price decimal(9,2)"))
+    assert [(f[0], f[1], f[2], f[3], f[4]) for f in b.fields] == [("name", "Primitive", "string", 1, 1), ("size", "Primitive", "int", 0, 1), ("tags", "Primitive", "string", 0, None), ("home", "Node", None, 0, 1), ("price", "Primitive", "decimal", 0, 1)]
+    contracts.register_type(b)
+    contracts.register_type({"name": "Port", "fields": [{"name": "depth", "clrType": "int"}]})
+    with pytest.raises(contracts.ContractTextError):
+        contracts.register_type(TypeBuilder("NodeTypes/SHIP"))
+    rows = [r for r in contracts.registered() if r[0] in ("NodeTypes/Ship", "NodeTypes/Port")]
+    assert [r[0] for r in rows] == ["NodeTypes/Port", "NodeTypes/Ship"] and spark.createDataFrame(rows, semantic.TYPES).count() == 2
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([("a", float(v)) for v in range(1, 11)] + [("b", 5.0), ("b", None)], "op string, v double")
     got = {r["op"]: r for r in measure.statistics(df, ["op"], df["v"]).collect()}

@@ -812,6 +812,15 @@ def mp_chunks_halo(spark, d):
     return mp.chunks(n, r, 1000)
 
 
+@query(
+    _MP + """ SELECT ix.idx // 1000 AS chunk, row_number() OVER (PARTITION BY ix.idx // 1000 ORDER BY t, dst, src, r.key) - 1 AS pos, t AS type_key, dst, src, r.key
+FROM r JOIN ix ON ix.key = dst"""
+)
+def mp_chunk_relations(spark, d):
+    _, n, r = _mp(spark, d)
+    return mp.chunk_relations(n, r, 1000).drop("w")
+
+
 @query("""WITH e AS (SELECT a_gid, b_gid, row_number() OVER (ORDER BY a_gid, b_gid) - 1 AS i FROM edges WHERE a_gid NOT LIKE 'Part-%' AND b_gid NOT LIKE 'Part-%')
 SELECT 'edge/' || i || '/forward' AS key, a_gid AS src, b_gid AS dst, CAST(1.0 AS DOUBLE) AS w FROM e UNION ALL SELECT 'edge/' || i || '/reverse', b_gid, a_gid, CAST(1.0 AS DOUBLE) FROM e""")
 def mp_lower_raw(spark, d):

@@ -323,6 +323,14 @@ def chunks(nodes: DataFrame, relations: DataFrame, max_core: int = MAX_CORE) ->
     return core.withColumn("is_core", F.lit(True)).unionByName(halo.withColumn("is_core", F.lit(False)))
 
 
+def chunk_relations(nodes: DataFrame, relations: DataFrame, max_core: int = MAX_CORE) -> DataFrame:
+    """chunk, pos, type_key, dst, src, key, w: each chunk's relations, numbered by type, target, source and key."""
+    core = chunks(nodes, relations, max_core).where("is_core").select("chunk", F.col("key").alias("dst"))
+    mine = relations.join(core, "dst")
+    pos = F.row_number().over(W.partitionBy("chunk").orderBy("type_key", "dst", "src", "key")) - 1
+    return mine.select("chunk", pos.cast("long").alias("pos"), "type_key", "dst", "src", "key", "w")
+
+
 def apply_chunked(nodes: DataFrame, relations: DataFrame, layer: Layer, max_core: int = MAX_CORE) -> DataFrame:
     """key, y by chunks: each computes its core from core and halo alone, then the chunks are merged.
 

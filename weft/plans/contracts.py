@@ -116,6 +116,40 @@ def from_dataclass(cls: type, prefix: str = "NodeTypes") -> TypeBuilder:
     return b
 
 
+def from_schema(name: str, schema, prefix: str = "NodeTypes") -> TypeBuilder:
+    """A type from a Spark schema: nullable is optional, an array is many, a struct is a node of its own type."""
+    from pyspark.sql import types as T
+
+    b = TypeBuilder(f"{prefix}/{name}")
+    alias = {"string": "string", "int": "int", "bigint": "long", "smallint": "short", "tinyint": "byte", "float": "float", "double": "double", "boolean": "bool", "timestamp": "datetime"}
+    for f in schema.fields:
+        kind, card = f.dataType, "optional" if f.nullable else "required"
+        if isinstance(kind, T.ArrayType):
+            kind, card = kind.elementType, "many"
+        if isinstance(kind, T.StructType):
+            b.field(f.name, card=card, node_type=f"{prefix}/{f.name}")
+        else:
+            b.field(f.name, "decimal" if isinstance(kind, T.DecimalType) else alias.get(kind.simpleString(), kind.simpleString()), card)
+    return b
+
+
+_REGISTERED: dict[str, TypeBuilder] = {}
+
+
+def register_type(source, prefix: str = "NodeTypes") -> TypeBuilder:
+    """Make a type known to every catalog that is bootstrapped later: a builder, a dataclass or a JSON contract."""
+    b = source if isinstance(source, TypeBuilder) else parse_type(source) if isinstance(source, dict) else from_dataclass(source, prefix)
+    if b.type_gid.lower() in {k.lower() for k in _REGISTERED if k != b.type_gid}:
+        raise ContractTextError(f"Type '{b.type_gid}' is registered in another case.")
+    _REGISTERED[b.type_gid] = b
+    return b
+
+
+def registered() -> list[tuple]:
+    """Rows of the registered types, by name."""
+    return [_REGISTERED[k].row() for k in sorted(_REGISTERED)]
+
+
 def creation_plan(effective_fields: list[tuple], given: dict) -> tuple[dict, dict]:
     """(attributes, links) of a node of a type; missing, unknown and surplus fields are errors.
 
