@@ -89,8 +89,13 @@ def relations(nodes: DataFrame, edges: DataFrame, basis: DataFrame, relation_roo
     ports = rel.join(
         both.select(F.col("src").alias("rel_gid"), F.col("dst").alias("port")), "rel_gid"
     ).join(role, "port").join(et.withColumn("is_type", F.lit(True)), F.col("port") == F.col("t"), "left").drop("t")
-    beyond = both.select(F.col("src").alias("port"), F.col("dst").alias("end"))
-    reach = ports.join(beyond, "port").where("end <> rel_gid").groupBy("rel_gid", "port").agg(F.min("end").alias("end"))
+    # The port's neighbour beyond the relation is the least of all, or, where that is the relation
+    # itself, the next one: two names for each port, however many relations share it.
+    beyond = both.select(F.col("src").alias("port"), F.col("dst").alias("end")).join(ports.select("port").distinct(), "port", "left_semi")
+    least = beyond.groupBy("port").agg(F.min("end").alias("one"))
+    next_ = beyond.join(least, "port").where(F.col("end") != F.col("one")).groupBy("port").agg(F.min("end").alias("two"))
+    end = F.when(F.col("one") != F.col("rel_gid"), F.col("one")).otherwise(F.col("two"))
+    reach = ports.select("rel_gid", "port").distinct().join(least, "port").join(next_, "port", "left").select("rel_gid", "port", end.alias("end"))
     p = ports.join(reach, ["rel_gid", "port"], "left").select("rel_gid", F.struct("port", "role", F.coalesce("is_type", F.lit(False)).alias("is_type"), "end").alias("p"))
     r = p.groupBy("rel_gid").agg(F.array_sort(F.collect_list("p")).alias("ps"))
     first = lambda arr, test: F.get(F.filter(arr, test), F.lit(0))
