@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.plans.session import cut
+from weft.plans.session import cut, stored
 from weft.sources.graph import PropertyGraph
 
 #: A frontier of at most so many rows goes to the adjacency by broadcast.
@@ -36,7 +36,7 @@ def reach(adj: DataFrame, sources: DataFrame, min_depth: int, max_depth: int, in
     if max_depth <= 0:
         return start if include_self and min_depth == 0 else start.where("false")
     if max_depth > 1:
-        hop, start = cut(hop), cut(start)
+        hop, start = stored(hop), cut(start)
     levels, frontier, size = [start], start, start.count() if max_depth > 1 else None
     for d in range(1, max_depth + 1):
         met = reduce(DataFrame.unionByName, levels[-2:])  # undirected: a next node is met one or two levels up, or new
@@ -72,7 +72,7 @@ def subgraph(graph: PropertyGraph, roots: list[str] | None, max_depth: int) -> D
             raise LookupError(f"NotFound: {', '.join(missing)}")
     hop = graph.adj.select("src", "dst")
     if max_depth > 1:
-        hop = cut(hop)
+        hop = stored(hop)
     size = found.count()
     for d in range(1, max_depth + 1):
         near = hop.join(_beside(frontier.select("gid"), size), F.col("gid") == F.col("src")).select(F.col("dst").alias("gid")).distinct()
@@ -87,7 +87,7 @@ def subgraph(graph: PropertyGraph, roots: list[str] | None, max_depth: int) -> D
 def traverse(graph: PropertyGraph, start: str) -> DataFrame:
     """Every node reachable from ``start``, once; order is not kept."""
     found = frontier = cut(graph.get(start).select("gid"))
-    hop = cut(graph.adj.select("src", "dst"))
+    hop = stored(graph.adj.select("src", "dst"))
     while size := frontier.count():
         near = hop.join(_beside(frontier, size), F.col("gid") == F.col("src")).select(F.col("dst").alias("gid")).distinct()
         frontier = cut(near.join(found, "gid", "left_anti"))

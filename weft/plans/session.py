@@ -36,6 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A wide table written to the shared folder as Parquet and read back: for what is read often, by columns."""
+    path = shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @contextmanager
 def cancellable(spark: SparkSession, tag: str):
     """Jobs started inside carry the tag; ``cancel`` from another thread ends them."""
