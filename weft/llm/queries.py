@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import dart_minhash, decontaminate, html_diff, line_dedup, ngram_lm, quality_classifier, quality_rules, sp_codec, token_counts, token_store
+from weft.llm import (
+    chat_format, dart_minhash, decontaminate, html_diff, line_dedup, ngram_lm, quality_classifier, quality_rules, sp_codec, token_counts, token_store,
+    vector_codes, whitening
+)
 from weft.llm import pipeline as corpus
 from weft.llm._shared import table, written
 
@@ -72,6 +75,19 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.scored(features, quality_classifier.fit(features, table(spark, sf_dir, "labels")))
 
 
+def op11_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = chat_format.format_conversations(chat_format.with_probe(spark, table(spark, sf_dir, "conversations")))
+    return chat_format.digests(pieces)
+
+
+def op12_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op13_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark, table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.run(spark, sf_dir)
 
@@ -79,7 +95,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     ops = [
         op1_wu_manber_decontamination, op2_token_store, op3_token_counts, op4_quality_rules, op5_page_differencing, op6_line_dedup,
-        op7_stupid_backoff, op8_sentencepiece, op9_dart_minhash, op10_quality_classifier, pipeline, document_statistics
+        op7_stupid_backoff, op8_sentencepiece, op9_dart_minhash, op10_quality_classifier, op11_chat_template, op12_tsqr_whitening,
+        op13_delta_lloyd, pipeline, document_statistics
     ]
     return {f.__name__: f for f in ops}
 
@@ -156,9 +173,71 @@ SELECT doc_id, min(root) AS class_id FROM r GROUP BY doc_id
 """
 
 
+#: The lengths are those of the template's constant texts; an escape is one character more.
+OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), control AS (SELECT unnest(['<s>', '</s>', '[INST]', '[/INST]', '[REPLY]', '[ROLE]', '[/ROLE]', chr(92)]) AS c),
+extra AS (
+  SELECT s, CAST(sum((length(s) - length(replace(s, c, ''))) // length(c)) AS BIGINT) AS n
+  FROM (SELECT role AS s FROM t UNION SELECT text FROM t), control GROUP BY s
+), sized AS (
+  SELECT t.*, CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 11 ELSE 17 + length(role) + r.n END + length(text) + x.n AS size
+  FROM t JOIN extra r ON r.s = role JOIN extra x ON x.s = text
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, md5(role || chr(10) || text))) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, md5(role || chr(10) || text)) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(size) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+def _lloyd_sql(rounds: int = 2) -> str:
+    """The rounds written out: d(i, part, entry, near) has each part's least distance, with its entry in the low six bits."""
+    nearest = """n{k} AS (
+  SELECT i, p, min(d * 64 + e) AS near FROM (
+    SELECT i, v.p, e, sum((v.c - b.c) * (v.c - b.c)) AS d FROM v JOIN b{k} b ON b.p = v.p AND b.j = v.j GROUP BY i, v.p, e
+  ) GROUP BY i, p
+)"""
+    books = """b{k} AS (
+  SELECT o.p, o.e, o.j, coalesce((s - ((s % n) + n) % n) // n, o.c) AS c FROM b{o} o LEFT JOIN (
+    SELECT v.p, near % 64 AS e, j, CAST(sum(c) AS BIGINT) AS s, count(*) AS n FROM v JOIN n{o} m ON m.i = v.i AND m.p = v.p GROUP BY ALL
+  ) t ON t.p = o.p AND t.e = o.e AND t.j = o.j
+)"""
+    steps = [nearest.format(k=0)] + [x.format(k=k, o=k - 1) for k in range(1, rounds + 1) for x in (books, nearest)]
+    return (
+        """
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS i, * FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c) OR abs(c) >= 1048576)) = 0
+  )
+), v AS (
+  SELECT i, (k - 1) // (len(x) // 16) AS p, (k - 1) % (len(x) // 16) AS j, x[k] AS c FROM (SELECT i, x, unnest(range(1, len(x) + 1)) AS k FROM kept)
+), b0 AS (SELECT p, i AS e, j, c FROM v WHERE i < 64),
+"""
+        + ",\n".join(steps)
+        + f""",
+coded AS (
+  SELECT vec_id, label, string_agg(substr('0123456789abcdef', 1 + CAST(near % 64 // 16 AS INT), 1) || substr('0123456789abcdef', 1 + CAST(near % 16 AS INT), 1), '' ORDER BY p) AS code,
+    CAST(sum(near // 64) AS BIGINT) AS error
+  FROM n{rounds} JOIN kept USING (i) GROUP BY i, vec_id, label
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(CAST(c AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, j)) FROM b{rounds}) AS codebooks_sha256
+FROM coded
+"""
+    )
+
+
+OP13_SQL = _lloyd_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it expresses the whole query; the others are tested against brute force."""
     return {
         "op1_wu_manber_decontamination": OP1_SQL, "op6_line_dedup": OP6_SQL, "op7_stupid_backoff": OP7_SQL, "op9_dart_minhash": OP9_SQL,
-        "document_statistics": STATISTICS_SQL
+        "op11_chat_template": OP11_SQL, "op13_delta_lloyd": OP13_SQL, "document_statistics": STATISTICS_SQL
     }
