@@ -1,4 +1,4 @@
-"""Storage backends, leases, the shader artifact, strict and chunked layers, basis loading, selections, identity."""
+"""Storage backends, leases, strict and chunked layers, basis loading, selections, identity."""
 
 import hashlib
 import json
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weft import selection
 from weft.functions import names, scalars
-from weft.operators import measure, message_passing as mp, semantic, shader, view
+from weft.operators import measure, message_passing as mp, semantic, view
 from weft.live import Links, Neighbours
 from weft.operators.mutate import GraphError, clear_neighbours
 from weft.plans import compile as plans
@@ -123,35 +123,6 @@ def test_chunks_give_what_the_whole_gives(spark):
         mp.apply_chunked(twice, relations, layer, 7).collect()
 
 
-def test_shader_artifact(spark, tmp_path):
-    x, nodes, relations, rel, layer = random_program(spark)
-    a = shader.emit(nodes, relations, layer)
-    assert shader.violations(a) == [] and a.types == ["a", "b"] and a.groups == (1, 5, 1)
-    # The buffers, walked as the kernel walks them, give the sequential result.
-    f, b, c = np.float32, a.buffers, a.constants
-    out = np.zeros((c["node_count"], c["output_width"]), f)
-    for v in range(c["node_count"]):
-        for o in range(c["output_width"]):
-            s = f(b["bias"][o])
-            for i in range(3):
-                s = f(s + f(f(b["features"][v * 3 + i]) * f(b["own"][i * 2 + o])))
-            for first, entry, matrix, _ in b["relations"]:
-                for e in range(entry + b["row_offsets"][first + v], entry + b["row_offsets"][first + v + 1]):
-                    for i in range(3):
-                        s = f(s + f(f(f(b["weights"][e]) * f(b["features"][b["columns"][e] * 3 + i])) * f(b["transforms"][matrix + i * 2 + o])))
-            out[v, o] = max(f(0), s)
-    assert (out == sequential(x, rel, layer)).all()
-    text = shader.source()
-    assert all(f"{t}> {n} : register(t{k})" in text for k, (n, t) in enumerate(shader.BUFFERS)) and text.count("{") == text.count("}") and "precise" in text
-    shader.save(spark, a, str(tmp_path / "kernel"))
-    described = json.loads(spark.read.text(str(tmp_path / "kernel" / "metadata")).first()[0])
-    assert described["groups"] == [1, 5, 1] and described["buffers"][-1]["elements"] == 80
-    bare = shader.emit(nodes, relations.limit(0), mp.Layer(3, 1, {}))
-    assert all(len(v) >= 1 for v in bare.buffers.values()) and bare.sizes["columns"] == 0
-    wrong = shader.Artifact(a.source, {**a.constants, "output_width": 3}, a.groups, a.buffers, a.sizes, ["b", "a"])
-    assert len(shader.violations(wrong)) == 4
-
-
 def test_basis_is_loaded_from_its_roots(spark):
     g = PropertyGraph.of(spark, ["NodeTypes", "NodeTypes/Ship", "NodeTypes/Ship/Definition", "NodeTypes/Port", "EdgeTypes", "EdgeTypes/Calls", "x"])
     got = {(r["type_gid"], r["kind"], r["label"]) for r in view.load_basis(g, "NodeTypes", "EdgeTypes").collect()}

@@ -86,7 +86,6 @@ def test_full_layer_and_types(spark):
     n, r = snapshot(spark, {"left": [2], "right": [3], "target": [0]}, [("1", "z-type", "left", "target", 1), ("2", "a-type", "right", "target", 1)])
     layer = mp.Layer(1, 1, {"z-type": [[10]], "a-type": [[100]]})
     assert mp.apply_layer(n, r, layer).where("key = 'target'").first()["y"] == [320]
-    assert mp.pack(n, r, layer)["types"] == ["a-type", "z-type"]
     empty = mp.apply_layer(n.where("false"), r.where("false"), layer)
     assert empty.columns == ["key", "y"] and empty.count() == 0
 
@@ -98,7 +97,6 @@ def test_csr_parallel_and_chunks(spark):
     assert [(x["col"], x["w"]) for x in mp.csr_entries(n, r).orderBy("row", "pos").collect()] == [(0, 1), (2, 2)]
     n, r = snapshot(spark, {"a": [2], "b": [0]}, [("r1", "t", "a", "b", 1), ("r2", "t", "a", "b", 3)])
     assert mp.apply_layer(n, r, mp.Layer(1, 1, {"t": [[1]]})).where("key = 'b'").first()["y"] == [8]
-    assert mp.pack(n, r, mp.Layer(1, 1, {"t": [[1]]}))["keys"] == ["r1", "r2"]
     n, r = snapshot(spark, {"a": [1], "b": [2], "c": [3]}, [("1", "t", "a", "b", 1), ("2", "t", "b", "c", 1)])
     c = {}
     for x in mp.chunks(n, r, 1).collect():

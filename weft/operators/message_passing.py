@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 NODES = "key string, type_keys array<string>, x array<float>"
 RELATIONS = "key string, type_key string, src string, dst string, w float"
 MAX_CORE = 65_536
-DISPATCH_GROUPS, GROUP_SIDE = 65_535, 8
 
 
 @dataclass(frozen=True)
@@ -281,38 +280,6 @@ def csr_offsets(nodes: DataFrame, relations: DataFrame) -> DataFrame:
     return full.join(first, ["type_key", "b"]).select("type_key", "row", (end - F.col("n")).cast("long").alias("start"), end.cast("long").alias("end"))
 
 
-def pack(nodes: DataFrame, relations: DataFrame, layer: Layer) -> dict:
-    """Packed arrays of a small program, for export: types in order, offsets, columns, values, transforms.
-
-    The arrays come to the driver, as an exported artifact must; execution never uses them.
-    """
-    n = nodes.count()
-    if n > DISPATCH_GROUPS * GROUP_SIDE or layer.outputs > DISPATCH_GROUPS * GROUP_SIDE:
-        raise ValueError("more targets or outputs than one dispatch holds")
-    types = sorted(r["type_key"] for r in relations.select("type_key").distinct().collect())
-    offsets, cols, values, keys, transforms, base = [], [], [], [], [], []
-    per: dict[str, list] = {t: [] for t in types}
-    for r in csr_entries(nodes, relations).orderBy("type_key", "row", "pos").toLocalIterator():
-        per[r["type_key"]].append(r)
-    for t in types:
-        base.append((len(offsets), len(cols), len(transforms)))
-        count = [0] * (n + 1)
-        for r in per[t]:
-            count[r["row"] + 1] += 1
-        for k in range(n):
-            count[k + 1] += count[k]
-        offsets += count
-        cols += [r["col"] for r in per[t]]
-        values += [r["w"] for r in per[t]]
-        keys += [r["key"] for r in per[t]]
-        transforms += [v for row in layer.relations[t] for v in row]
-    groups = (-(-n // GROUP_SIDE), -(-layer.outputs // GROUP_SIDE), 1)
-    return {
-        "types": types, "base": base, "offsets": offsets or [0], "columns": cols or [0], "values": values or [0.0], "keys": keys,
-        "transforms": transforms or [0.0], "groups": groups
-    }
-
-
 def chunks(nodes: DataFrame, relations: DataFrame, max_core: int = MAX_CORE) -> DataFrame:
     """chunk, key, is_core: blocks of targets in key order, and the sources they need besides."""
     if max_core < 1:
