@@ -122,7 +122,7 @@ def random_where(r, depth=2):
     ])()
 
 
-@pytest.mark.parametrize("seed", range(12))
+@pytest.mark.parametrize("seed", range(16))
 def test_random_queries_match_the_interpreter(spark, seed):
     r = random.Random(seed)
     nodes = {"a": {"K": "1"}, "a/b": {}, "a/b/d": {"k": "2"}, "c": {"k": "1"}, "e": {}}

@@ -404,6 +404,76 @@ def template_neighbour_connected(spark, d):
     return _rows(plans.search(tpch_graph(spark, d), templates.neighbour_connected()), "n", "x", "z")
 
 
+# Patterns of several relations: they are reduced to what can match before they are joined.
+
+_NEAR = "near AS (SELECT DISTINCT src, dst FROM adj)"
+
+
+@query(f"""WITH {_NEAR} SELECT a.src AS s, a.dst AS p, b.dst AS o, c.dst AS c, CAST(round_even(3 * 0.7 + 4 * 0.65 + 4 * 0.05, 4) AS DOUBLE) AS score,
+  'connected:depth=1;attribute:kind:equals;attribute:status:equals;attribute:segment:equals;node' AS matched_by
+FROM near a JOIN near b ON a.dst = b.src JOIN near c ON b.dst = c.src JOIN nodes ns ON ns.gid = a.src JOIN nodes np ON np.gid = a.dst JOIN nodes no ON no.gid = b.dst JOIN nodes nc ON nc.gid = c.dst
+WHERE ns.kind = 'supplier' AND np.kind = 'part' AND no.status = 'P' AND nc.segment = 'MACHINERY'""")
+def search_chain_of_four(spark, d):
+    """Supplier, part, order, customer; the conditions that select come last."""
+    links = [connected(var(a), var(b)) for a, b in ("sp", "po", "oc")]
+    tests = [attribute("s", "kind", "supplier"), attribute("p", "kind", "part"), attribute("o", "status", "P"), attribute("c", "segment", "MACHINERY")]
+    return _found(spark, d, both(*links, *tests), "s", "p", "o", "c")
+
+
+@query(f"""WITH {_NEAR} SELECT x.gid AS x, a.dst AS p, b.dst AS q, c.dst AS c, CAST(round_even(0.65 * 4 + 0.7 * 3 + 0.1 + 4 * 0.05, 4) AS DOUBLE) AS score,
+  'attribute:kind:equals;connected:depth=1;attribute:size:equals;attribute:brand:equals;not-same;attribute:segment:equals;node' AS matched_by
+FROM nodes x JOIN near a ON a.src = x.gid JOIN near b ON b.src = x.gid JOIN near c ON c.src = x.gid JOIN nodes np ON np.gid = a.dst JOIN nodes nq ON nq.gid = b.dst JOIN nodes nc ON nc.gid = c.dst
+WHERE x.kind = 'order' AND np.psize = '7' AND nq.brand = 'Brand#3' AND nc.segment = 'BUILDING' AND np.gid <> nq.gid""")
+def search_star(spark, d):
+    """Orders of one segment's customers that hold a part of a size and another of a brand."""
+    where = both(
+        attribute("x", "kind", "order"), connected(var("x"), var("p")), attribute("p", "size", "7"), connected(var("x"), var("q")), attribute("q", "brand", "Brand#3"),
+        {"kind": "notSame", "left": var("p"), "right": var("q")}, connected(var("x"), var("c")), attribute("c", "segment", "BUILDING")
+    )
+    return _found(spark, d, where, "x", "p", "q", "c")
+
+
+@query(f"""WITH sells AS (SELECT DISTINCT 'Order-' || l_orderkey AS o, supp.gid AS s FROM lineitem JOIN supp ON l_suppkey = s_suppkey),
+more AS (SELECT src, dst FROM adj UNION SELECT o, s FROM sells UNION SELECT s, o FROM sells)
+SELECT a.src AS o, a.dst AS p, b.dst AS s, CAST(round_even(3 * 0.7 + 2 * 0.65 + 3 * 0.05, 4) AS DOUBLE) AS score, 'connected:depth=1;attribute:kind:equals;attribute:size:equals;node' AS matched_by
+FROM more a JOIN more b ON a.dst = b.src JOIN more c ON b.dst = c.src AND c.dst = a.src JOIN nodes ns ON ns.gid = b.dst JOIN nodes np ON np.gid = a.dst WHERE ns.kind = 'supplier' AND np.psize = '7'""")
+def search_triangle(spark, d):
+    """Order, part and supplier, each beside the other two; orders are linked with their suppliers here."""
+    g = tpch_graph(spark, d)
+    supplier = g.nodes.where("attrs['kind'] = 'supplier'").select("gid", F.regexp_extract("gid", "([0-9]+)$", 1).cast("long").alias("l_suppkey"))
+    line = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_suppkey").distinct().join(supplier, "l_suppkey")
+    order = F.concat(F.lit("Order-"), F.col("l_orderkey").cast("string"))
+    g = PropertyGraph(g.base, g.links.unionByName(line.select(F.least(order, "gid").alias("a_gid"), F.greatest(order, "gid").alias("b_gid"))), unique=True)
+    where = both(connected(var("o"), var("p")), connected(var("p"), var("s")), connected(var("s"), var("o")), attribute("s", "kind", "supplier"), attribute("p", "size", "7"))
+    return _rows(plans.solutions(g, {"return": ["o", "p", "s"], "where": where}), "o", "p", "s")
+
+
+@query(f"""WITH {_NEAR}, x AS (SELECT gid FROM nodes WHERE lower(gid) IN ('part-1', 'part-2', 'part-3')), y AS (SELECT gid FROM nodes WHERE segment = 'FURNITURE'),
+l0 AS (SELECT gid AS s, gid AS t, 0 AS d FROM x), l1 AS (SELECT s, dst AS t, 1 AS d FROM l0 JOIN near ON src = t), l2 AS (SELECT DISTINCT s, dst AS t, 2 AS d FROM l1 JOIN near ON src = t),
+l3 AS (SELECT DISTINCT s, dst AS t, 3 AS d FROM l2 JOIN near ON src = t), l4 AS (SELECT DISTINCT s, dst AS t, 4 AS d FROM l3 JOIN near ON src = t WHERE dst IN (SELECT gid FROM y)),
+m AS (SELECT s, t, min(d) AS d FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3 UNION ALL SELECT * FROM l4) WHERE t IN (SELECT gid FROM y) GROUP BY s, t)
+SELECT s AS x, t AS y, CAST(round_even(greatest(1.0, 1.0 + 0.65 + 0.7 / d + 2 * 0.05), 4) AS DOUBLE) AS score, 'name:equals:' || lower(s) || ';attribute:segment:equals;path:depth=' || d || ';node' AS matched_by FROM m WHERE d >= 1""")
+def search_paths_between(spark, d):
+    """Shortest paths of up to four steps between some parts and the customers of a segment, met from both sides."""
+    parts = {"kind": "any", "expressions": [{"kind": "name", "node": var("x"), "value": f"part-{k}"} for k in (1, 2, 3)]}
+    path = {"kind": "path", "left": var("x"), "right": var("y"), "minDepth": 1, "maxDepth": 4}
+    return _found(spark, d, both(parts, attribute("y", "segment", "FURNITURE"), path), "x", "y")
+
+
+@query(f"""WITH {_NEAR}, r AS (SELECT gid AS src, gid AS dst, 0 AS d FROM nodes WHERE kind = 'nation' UNION SELECT r.src, near.dst, d + 1 FROM r JOIN near ON near.src = r.dst WHERE d < 3),
+m AS (SELECT src, dst, min(d) AS dist FROM r GROUP BY src, dst)
+SELECT src, dst, dist, row_number() OVER (PARTITION BY src ORDER BY dist, dst) - 1 AS ord FROM m WHERE dist >= 1""", recursive=True)
+def reachability_order(spark, d):
+    """What each nation reaches in three steps, in the order of a search: by distance, then by name."""
+    g = tpch_graph(spark, d)
+    return traverse.in_order(traverse.reach(g.placed, g.nodes.where("attrs['kind'] = 'nation'").select("gid"), 1, 3))
+
+
+@query("""SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS ord FROM (SELECT DISTINCT src, dst FROM adj)""")
+def neighbour_order(spark, d):
+    return traverse.in_order(tpch_graph(spark, d).neighbours.withColumn("dist", F.lit(1))).drop("dist")
+
+
 @query("""SELECT DISTINCT src AS n, dst AS x, CAST(round_even(0.7 + 0.65 + 2 * 0.05, 4) AS DOUBLE) AS score, 'connected:depth=1;attribute:segment:equals;node' AS matched_by
 FROM adj JOIN nodes ON gid = dst WHERE segment = 'MACHINERY'""")
 def template_neighbour_by_id(spark, d):

@@ -86,7 +86,7 @@ def distinct_ignoring_case(items: Column) -> Column:
 
 
 def path_score(distance: Column) -> Column:
-    return F.when(distance <= 0, F.lit(1.0)).otherwise(F.lit(0.7) / distance)
+    return F.when(distance <= 0, F.lit(1.0)).otherwise(F.try_divide(F.lit(0.7), distance))
 
 
 def descendant_score(levels: Column) -> Column:

@@ -1,9 +1,8 @@
 """Bounded reachability, subgraphs, closures and components as frontier loops.
 
-The adjacency is written once, by its source, and every round reads that: the frontier comes to it
-by broadcast while it is small (its size is known, since each round is written too), else by a
-join. A round's result is cut off from its lineage, so plans stay small and a lost executor costs
-one round.
+The adjacency is placed by its source once (``sources.placed``), and every round joins that: few frontier rows are
+named in the scan, a small frontier comes by broadcast, a large one is moved to the buckets. A round's result is cut
+off from its lineage, so plans stay small and a lost executor costs one round.
 """
 
 from __future__ import annotations
@@ -11,50 +10,96 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weft.plans.session import cut, stored
+from weft.plans.session import cut
 from weft.sources.graph import PropertyGraph
+from weft.sources.placed import Grown, Placed
 
-#: A frontier of at most so many rows goes to the adjacency by broadcast.
-SMALL_FRONTIER = 100_000
 
-
-def _beside(frontier: DataFrame, size: int | None = None) -> DataFrame:
-    """A frontier as the side of a join that may be broadcast, if its counted size allows."""
-    n = frontier.count() if size is None else size
-    return F.broadcast(frontier) if n <= SMALL_FRONTIER else frontier
-
-
-def reach(adj: DataFrame, sources: DataFrame, min_depth: int, max_depth: int, include_self: bool = False) -> DataFrame:
+def reach(adj: DataFrame | Placed, sources: DataFrame, min_depth: int, max_depth: int, include_self: bool = False) -> DataFrame:
     """src, dst, dist: shortest distances in [min_depth, max_depth] from ``sources(gid)``.
 
     The start itself comes at distance 0 only with include_self and min_depth 0.
     """
-    hop = adj.select(F.col("src").alias("mid"), F.col("dst").alias("next"))
     start = sources.select(F.col("gid").alias("src"), F.col("gid").alias("dst"), F.lit(0).alias("dist"))
     if max_depth <= 0:
         return start if include_self and min_depth == 0 else start.where("false")
-    if max_depth > 1:
-        hop, start = stored(hop), cut(start)
-    levels, frontier, size = [start], start, start.count() if max_depth > 1 else None
-    for d in range(1, max_depth + 1):
-        met = reduce(DataFrame.unionByName, levels[-2:])  # undirected: a next node is met one or two levels up, or new
-        here = frontier.select("src", "dst")
-        here = here if size is None else _beside(here, size)
-        near = hop.join(here, F.col("dst") == F.col("mid")).select("src", F.col("next").alias("dst")).distinct()
-        frontier = near.join(met.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("dist", F.lit(d))
-        if max_depth > 1:
-            frontier = cut(frontier)
-            size = frontier.count()
-            if not size:
-                break
-        levels.append(frontier)
+    if max_depth == 1 and isinstance(adj, DataFrame):
+        near = adj.join(sources.select(F.col("gid").alias("src")), "src").where("src <> dst").select("src", "dst", F.lit(1).alias("dist")).distinct()
+        levels = [start, near]
+    else:
+        levels = _levels(adj if isinstance(adj, Placed) else Placed(adj), cut(start), max_depth)
     low = max(min_depth, 0)
     out = [x for k, x in enumerate(levels) if k >= low and (k > 0 or include_self)]
     return reduce(DataFrame.unionByName, out) if out else start.where("false")
 
 
+def _levels(adj: Placed, start: DataFrame, max_depth: int) -> list[DataFrame]:
+    """The pairs at each distance, until none are new."""
+    levels, frontier, size = [start], start, start.count()
+    for d in range(1, max_depth + 1):
+        met = reduce(DataFrame.unionByName, levels[-2:])  # undirected: a next node is met one or two levels up, or new
+        near = adj.near(frontier.select("src", "dst"), "dst", size).select("src", F.col("next").alias("dst")).distinct()
+        frontier = cut(near.join(met.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("dist", F.lit(d)))
+        size = frontier.count()
+        if not size:
+            break
+        levels.append(frontier)
+    return levels
+
+
+def in_order(far: DataFrame) -> DataFrame:
+    """src, dst, dist, ord: a source's rows as a search meets them, by distance, then by gid, from 0.
+
+    Positions are counted in sorted ranges, whose row counts per source are summed up, so a source of very many rows is
+    ranked by many tasks.
+    """
+    by = ["src", "dist", "dst"]
+    ranged = cut(far.select(*by).repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy("src", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("src", "_part", (F.sum("_n").over(W.partitionBy("src").orderBy("_part")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(W.partitionBy("_part", "src").orderBy("dist", "dst")) - 1
+    return ranged.withColumn("_place", place).join(before, ["src", "_part"]).select("src", "dst", "dist", (F.col("_before") + F.col("_place")).cast("long").alias("ord"))
+
+
+def meet(adj: Placed, left: DataFrame, right: DataFrame, min_depth: int, max_depth: int, include_self: bool = False) -> tuple[DataFrame, int]:
+    """(left, right, dist) of shortest distances in the range between left(gid) and right(gid), and the rows of all frontiers.
+
+    Both sides walk half the depth and meet in the middle; the side whose frontier is smaller takes the next step. A
+    shortest path of d steps has a node that is at most a steps from the left and d - a from the right for any split
+    a, so the least sum over the nodes where the balls meet is the distance.
+    """
+    sides = []
+    for ends in (left, right):
+        start = cut(ends.select(F.col("gid").alias("src"), F.col("gid").alias("dst"), F.lit(0).alias("dist")).distinct())
+        sides.append({"levels": [start], "size": start.count(), "rows": 0, "over": False})
+    for _ in range(max_depth):
+        side = min((s for s in sides if not s["over"]), key=lambda s: s["size"], default=None)
+        if side is None:
+            break
+        frontier, d = side["levels"][-1], len(side["levels"])
+        met = reduce(DataFrame.unionByName, side["levels"][-2:]).select("src", "dst")
+        near = adj.near(frontier.select("src", "dst"), "dst", side["size"]).select("src", F.col("next").alias("dst")).distinct()
+        frontier = cut(near.join(met, ["src", "dst"], "left_anti").withColumn("dist", F.lit(d)))
+        size = frontier.count()
+        side["rows"] += size
+        if size:
+            side["levels"].append(frontier)
+            side["size"] = size
+        else:  # nothing further away: this side's balls are whole, and the other's steps no longer matter
+            side["over"] = True
+            break
+    a, b = (reduce(DataFrame.unionByName, s["levels"]) for s in sides)
+    both = a.select(F.col("src").alias("left"), F.col("dst").alias("mid"), F.col("dist").alias("_a")).join(
+        b.select(F.col("src").alias("right"), F.col("dst").alias("mid"), F.col("dist").alias("_b")), "mid"
+    )
+    least = both.groupBy("left", "right").agg(F.min(F.col("_a") + F.col("_b")).alias("dist"))
+    low = min_depth if include_self else max(min_depth, 1)
+    return least.where(F.col("dist").between(low, max_depth)), sum(s["rows"] for s in sides)
+
+
 def subgraph(graph: PropertyGraph, roots: list[str] | None, max_depth: int) -> DataFrame:
     """Nodes within max_depth of any root: gid, dist; no roots means the top-level nodes.
 
@@ -64,35 +109,41 @@ def subgraph(graph: PropertyGraph, roots: list[str] | None, max_depth: int) -> D
         start = graph.roots().select("gid")
     else:
         start = graph.nodes.select("gid").where(F.col("gid").isin(roots)).distinct()
-    found = frontier = cut(start.withColumn("dist", F.lit(0)))
+    start = cut(start.withColumn("dist", F.lit(0)))
     if roots and roots != [""]:
-        known = {r["gid"] for r in found.select("gid").collect()}  # as many rows as the caller named roots
+        known = {r["gid"] for r in start.select("gid").collect()}  # as many rows as the caller named roots
         missing = sorted(set(roots) - known)
         if missing:
             raise LookupError(f"NotFound: {', '.join(missing)}")
-    hop = graph.adj.select("src", "dst")
-    if max_depth > 1:
-        hop = stored(hop)
-    size = found.count()
-    for d in range(1, max_depth + 1):
-        near = hop.join(_beside(frontier.select("gid"), size), F.col("gid") == F.col("src")).select(F.col("dst").alias("gid")).distinct()
-        frontier = cut(near.join(found.select("gid"), "gid", "left_anti").withColumn("dist", F.lit(d)))
+    if max_depth == 1 and not graph.is_placed:
+        near = graph.adj.select(F.col("src").alias("gid"), "dst").join(start.select("gid"), "gid").select(F.col("dst").alias("gid")).distinct()
+        return start.unionByName(near.join(start.select("gid"), "gid", "left_anti").withColumn("dist", F.lit(1)))
+    levels = list(_spread(graph.placed, start, max_depth)) if max_depth > 0 else []
+    return reduce(DataFrame.unionByName, [start, *levels])
+
+
+def _spread(adj: Placed, start: DataFrame, max_depth: int | None = None):
+    """gid, dist of what is new at each distance from ``start(gid, dist)``; a level is compared with the two before it."""
+    last, size, d = [start], start.count(), 0
+    while size and (max_depth is None or d < max_depth):
+        d += 1
+        near = adj.near(last[-1].select("gid"), "gid", size).select(F.col("next").alias("gid")).distinct()
+        for level in last[-2:]:
+            near = near.join(level.select("gid"), "gid", "left_anti")
+        frontier = cut(near.withColumn("dist", F.lit(d)))
         size = frontier.count()
-        if not size:
-            break
-        found = found.unionByName(frontier)
-    return found
+        if size:
+            last = [last[-1], frontier]
+            yield frontier
 
 
 def traverse(graph: PropertyGraph, start: str) -> DataFrame:
-    """Every node reachable from ``start``, once; order is not kept."""
-    found = frontier = cut(graph.get(start).select("gid"))
-    hop = stored(graph.adj.select("src", "dst"))
-    while size := frontier.count():
-        near = hop.join(_beside(frontier, size), F.col("gid") == F.col("src")).select(F.col("dst").alias("gid")).distinct()
-        frontier = cut(near.join(found, "gid", "left_anti"))
-        found = cut(found.unionByName(frontier))
-    return found
+    """Every node reachable from ``start``, once; order is not kept. A round writes what it found, no more."""
+    first = cut(graph.get(start).select("gid", F.lit(0).alias("dist")))
+    found = Grown(first)
+    for level in _spread(graph.placed, first):
+        found.add(level)
+    return found.rows.select("gid")
 
 
 def induced_edges(graph: PropertyGraph, gids: DataFrame) -> DataFrame:
@@ -135,10 +186,11 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def closure(seeds: DataFrame, arcs: DataFrame) -> DataFrame:
     """item, reached: reflexive transitive closure of arcs(src, dst) from seeds(item); cycles end."""
-    found = frontier = cut(seeds.select("item", F.col("item").alias("reached")).distinct())
+    frontier = cut(seeds.select("item", F.col("item").alias("reached")).distinct())
+    found = Grown(frontier)
     while True:
         near = frontier.join(arcs.select("src", "dst"), F.col("reached") == F.col("src")).select("item", F.col("dst").alias("reached")).distinct()
-        frontier = cut(near.join(found, ["item", "reached"], "left_anti"))
+        frontier = cut(near.join(found.rows, ["item", "reached"], "left_anti"))
         if frontier.isEmpty():
-            return found
-        found = cut(found.unionByName(frontier))
+            return found.rows
+        found.add(frontier)

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from itertools import count
+from itertools import count, groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,10 @@ from weft.functions import names, text
 from weft.operators.traverse import reach
 from weft.plans import ast
 from weft.plans.ast import Expr, Literal, Var
+from weft.plans.conjunction import CONDITIONS, LEAVES, Conjunction, can_join, flattened
+from weft.plans.conjunction import column as _c
+from weft.plans.conjunction import is_literal as _is
+from weft.plans.session import cut
 from weft.sources.graph import PropertyGraph
 
 BOUND, MAYBE = 2, 1
@@ -37,22 +41,16 @@ class State:
         return F.col(_c(v))
 
 
-def _c(v: str) -> str:
-    return "v_" + v
-
-
-def _is(gid: Column, sel: Literal) -> Column:
-    """Whether a node is the one a literal names; case does not matter."""
-    return F.lower(gid) == F.lower(names.normalized(F.lit(sel.name)))
-
-
 def _match(*parts) -> Column:
     return F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
 
 
 class Compiler:
-    def __init__(self, graph: PropertyGraph):
-        self.graph = graph
+    """``window`` bounds the candidates of a query's first choice, (variable, after, up to); ``trace`` tells what was built."""
+
+    def __init__(self, graph: PropertyGraph, window: tuple | None = None):
+        self.graph, self.window = graph, window
+        self.trace: list[tuple[int, int]] = []
 
     # Candidate tables join the solutions here.
 
@@ -113,10 +111,36 @@ class Compiler:
         return getattr(self, "_" + e.kind)(e, s)
 
     def _all(self, e: Expr, s: State) -> State:
-        for child in sorted(e.children, key=lambda c: c.kind == "not"):
-            s = self.eval(child, s)
+        """Runs of leaf predicates are one join; the others hold one after the other."""
+        for leaves, run in groupby(flattened(e), lambda c: c.kind in LEAVES):
+            block = list(run)
+            if leaves and can_join(block, s.bound, MAYBE):
+                s = self._block(block, s)
+            else:
+                for child in block:
+                    s = self.eval(child, s)
         return s
 
+    def _block(self, block: list[Expr], s: State) -> State:
+        mine = {v for e in block for v in ast.variables(e)}
+        outer = {v: s.df.select(_c(v)).distinct() for v in s.bound if v in mine}
+        window, self.window = self.window, None
+        plan = Conjunction(self.graph, block, outer, window)
+        df = plan.joined()
+        self.trace += plan.trace
+        fresh = [v for v in plan.variables if v not in s.bound]
+        score, matched, order = F.lit(0.0), F.array().cast("array<string>"), F.array().cast("array<string>")
+        if s.df is not None:
+            score, matched, order = F.col("score"), F.col("matched"), F.col("ord")
+            df = s.df.join(df, [_c(v) for v in outer]) if outer else s.df.crossJoin(df)
+        for step in plan.steps:
+            score = score + step.score.cast("double")
+        matched = F.concat(matched, F.array(*(m for step in plan.steps for m in step.matches)))
+        choices = [c for step in plan.steps for c in step.choices]
+        order = F.concat(order, F.array(*choices).cast("array<string>"))
+        bound = {**s.bound, **{v: BOUND for v in fresh}}
+        return State(df.select(*(_c(v) for v in bound), *self._carried(), score.alias("score"), matched.alias("matched"), order.alias("ord")), bound)
+
     def _any(self, e: Expr, s: State) -> State:
         s = self._rows(s)
         out = []
@@ -292,10 +316,16 @@ class _Carrying(Compiler):
         return self._lower(super()._union([self._lift(s) for s in states]))
 
 
-def solutions(graph: PropertyGraph, query: ast.Query | dict | str) -> DataFrame:
-    """All matches, one for each return key: a column for each return variable, score, matched_by, ord."""
+def solutions(graph: PropertyGraph, query: ast.Query | dict | str, window: tuple | None = None, trace: list | None = None) -> DataFrame:
+    """All matches, one for each return key: a column for each return variable, score, matched_by, ord.
+
+    ``window`` (variable, after, up to) keeps the solutions whose first choice, that variable, lies in a range of gids.
+    """
     q = query if isinstance(query, ast.Query) else ast.parse(query)
-    s = Compiler(graph).eval(ast.effective(q), State(None, {}))
+    compiler = Compiler(graph, window)
+    s = compiler.eval(ast.effective(q), State(None, {}))
+    if trace is not None:
+        trace += compiler.trace
     cols = [_c(v.lower()) for v in q.returns]
     df = s.df
     for v, c in zip(q.returns, cols):
@@ -309,10 +339,49 @@ def solutions(graph: PropertyGraph, query: ast.Query | dict | str) -> DataFrame:
     )
 
 
-def search(graph: PropertyGraph, query: ast.Query | dict | str) -> DataFrame:
-    """The first matches in search order, at most the query's limit."""
+#: Candidates of the first choice in each range of a limited search; after these, all that are left.
+RANGES = (256, 4096, 65_536)
+
+
+def first_choice(q: ast.Query) -> tuple[str, list[Expr]] | None:
+    """The variable whose gid every solution's order begins with, and the conditions on it; None if there is none."""
+    leaves, run = next(groupby(flattened(ast.effective(q)), lambda c: c.kind in LEAVES))
+    block = list(run)
+    if not leaves or not can_join(block, {}, MAYBE) or block[0].kind == "path":
+        return None
+    v = next(s.key for s in block[0].nodes.values() if isinstance(s, Var))
+    return v, [e for e in block if e.kind in CONDITIONS and e.nodes["node"].key == v]
+
+
+def search(graph: PropertyGraph, query: ast.Query | dict | str, trace: list | None = None) -> DataFrame:
+    """The first matches in search order, at most the query's limit.
+
+    Solutions come in the order of their first choice, so the search goes through ranges of its candidates, each wider
+    than the one before, and ends with the range that fills the limit with distinct keys. A key's first solution is in the
+    first range that has one. Queries whose order does not begin with a node are searched whole.
+    """
     q = query if isinstance(query, ast.Query) else ast.parse(query)
-    return solutions(graph, q).orderBy("ord").limit(q.limit).drop("ord")
+    first = first_choice(q)
+    if first is None:
+        return solutions(graph, q, trace=trace).orderBy("ord").limit(q.limit).drop("ord")
+    v, conditions = first
+    gids = Conjunction(graph, conditions, {}).candidates[v].df.select("gid") if conditions else graph.nodes.select("gid")
+    found, have, after = None, 0, None
+    for most in (*RANGES, None):
+        upto, n = None, None
+        if most is not None:
+            ahead = gids if after is None else gids.where(F.col("gid") > F.lit(after))
+            upto, n = ahead.orderBy("gid").limit(most).agg(F.max("gid"), F.count(F.lit(1))).first()
+            upto = upto if n == most else None  # the last range is open
+        part = solutions(graph, q, (v, after, upto), trace)
+        if found is not None:
+            same = [F.lower(part[r]) == F.lower(found[r]) for r in q.returns]
+            part = part.join(F.broadcast(found), reduce(Column.__and__, same), "left_anti")  # fewer rows than the limit
+        part = cut(part.orderBy("ord").limit(q.limit - have))
+        found, have, after = part if found is None else found.unionByName(part), have + part.count(), upto
+        if have >= q.limit or upto is None:
+            break
+    return found.orderBy("ord").limit(q.limit).drop("ord")
 
 
 def matches(found: DataFrame, query: ast.Query | dict | str) -> DataFrame:

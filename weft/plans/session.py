@@ -25,9 +25,27 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new place in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+#: Places in the shared folder, and names of tables there, by application.
+_MADE: dict[str, list[tuple[str, str | None]]] = {}
+#: Spark allows no more buckets.
+MOST_BUCKETS = 100_000
+
+
+def shared_path(spark: SparkSession, label: str, table: str | None = None) -> str:
+    """A new place in the shared folder, until ``release``."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append((path, table))
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder, once the results that read it are stored."""
+    jvm = spark.sparkContext._jvm
+    for place, table in _MADE.pop(spark.sparkContext.applicationId, []):
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        path = jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -43,6 +61,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_buckets(df: DataFrame, by: list[str], then: list[str]) -> DataFrame:
+    """A table in the shared folder, bucketed by ``by`` and sorted by that and ``then``, one file for each bucket.
+
+    There are as many buckets as shuffle partitions, so a join on ``by`` moves its other side alone.
+    """
+    spark = df.sparkSession
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
+    name = f"weft_{uuid.uuid4().hex}"
+    path = shared_path(spark, "buckets", name)
+    df.repartition(n, *by).write.format("parquet").bucketBy(n, *by).sortBy(*by, *then).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 @contextmanager
 def cancellable(spark: SparkSession, tag: str):
     """Jobs started inside carry the tag; ``cancel`` from another thread ends them."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.functions import names
+from weft.sources.placed import Placed
 
 ATTRS = T.MapType(T.StringType(), T.StringType())
 NODES = T.StructType([T.StructField("gid", T.StringType(), False), T.StructField("attrs", ATTRS)])
@@ -70,9 +71,18 @@ class PropertyGraph:
         pairs = self.adj.select("src", "dst")
         return pairs if self.unique else pairs.distinct()
 
+    @cached_property
+    def placed(self) -> Placed:
+        """The neighbours, written once for all that joins them again and again."""
+        return Placed(self.neighbours)
+
+    @property
+    def is_placed(self) -> bool:
+        return "placed" in self.__dict__
+
     def degree(self) -> DataFrame:
         """gid, degree of every node, isolated ones too."""
-        d = self.neighbours.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+        d = self.placed.degree() if self.is_placed else self.neighbours.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
         return self.nodes.select("gid").join(d.withColumnRenamed("src", "gid"), "gid", "left").select("gid", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
     # Scans and look-ups.
