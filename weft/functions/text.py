@@ -90,7 +90,7 @@ def path_score(distance: Column) -> Column:
 
 
 def descendant_score(levels: Column) -> Column:
-    return F.lit(0.75) + F.lit(0.25) / levels
+    return F.lit(0.75) + F.try_divide(F.lit(0.25), levels)
 
 
 def final_score(score: Column) -> Column:
