@@ -254,6 +254,23 @@ def search_text_ranked(spark, d):
     return _found(spark, d, {"kind": "text", "node": var("x"), "value": "small widget"})
 
 
+def _indexed(spark, sf_dir, where, *returns):
+    """A search over a graph whose texts are indexed by trigrams first."""
+    g = tpch_graph(spark, sf_dir)
+    assert g.text_index is not None
+    return _rows(plans.solutions(g, {"return": list(returns), "where": where}), *returns)
+
+
+@query(_SQL["search_text_ranked"], graph=False)
+def search_text_indexed(spark, d):
+    return _indexed(spark, d, {"kind": "text", "node": var("x"), "value": "small widget"}, "x")
+
+
+@query("SELECT gid AS x, CAST(1.5 AS DOUBLE) AS score, 'name:contains:tion_1/SUPP;attribute:kind:contains;node' AS matched_by FROM nodes WHERE contains(lower(gid), 'tion_1/supp')")
+def search_contains_indexed(spark, d):
+    return _indexed(spark, d, both({"kind": "name", "node": var("x"), "operator": "contains", "value": "tion_1/SUPP"}, attribute("x", "kind", "Plie", "contains")), "x")
+
+
 @query("""
 SELECT doc_id, CASE WHEN lower(coalesce(source, '')) = 'src1' THEN 1.0 WHEN contains(lower(coalesce(source, '')), 'src1') THEN 0.85 WHEN contains(lower(coalesce(lang, '')), 'src1') OR contains(lower(strip_accents(coalesce(text, ''))), 'src1') THEN 0.65 ELSE 0.0 END::DOUBLE AS score FROM documents""", graph=False)
 def text_score_documents(spark, d):

@@ -196,7 +196,10 @@ class Conjunction:
     def _candidates(self, v: str) -> Candidates | None:
         df = None
         if v in self.conditions:
-            df = self.graph.nodes.where(reduce(Column.__and__, (test for test, _ in self.conditions[v])))
+            nodes = None
+            if self.graph.is_indexed:
+                nodes = self.graph.text_index.candidates([e for e in self.block if e.kind in CONDITIONS and isinstance(s := e.nodes["node"], Var) and s.key == v])
+            df = (self.graph.nodes if nodes is None else nodes).where(reduce(Column.__and__, (test for test, _ in self.conditions[v])))
             values = [value[1].alias(value[0]) for _, value in self.conditions[v] if value]
             df = df.select("gid", *values)
         if v in self.outer:

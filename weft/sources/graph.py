@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import cached_property
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from pyspark.sql import types as T
 from weft.functions import names
 from weft.sources.placed import Placed
 
+if TYPE_CHECKING:
+    from weft.sources.trigrams import TextIndex
+
 ATTRS = T.MapType(T.StringType(), T.StringType())
 NODES = T.StructType([T.StructField("gid", T.StringType(), False), T.StructField("attrs", ATTRS)])
 LINKS = T.StructType([T.StructField("a_gid", T.StringType(), False), T.StructField("b_gid", T.StringType(), False)])
@@ -76,6 +80,17 @@ class PropertyGraph:
         """The neighbours, written once for all that joins them again and again."""
         return Placed(self.neighbours)
 
+    @cached_property
+    def text_index(self) -> "TextIndex":
+        """Trigrams of names and attributes, written once; searches on this graph use it from then on."""
+        from weft.sources.trigrams import TextIndex
+
+        return TextIndex(self.nodes)
+
+    @property
+    def is_indexed(self) -> bool:
+        return "text_index" in self.__dict__
+
     @property
     def is_placed(self) -> bool:
         return "placed" in self.__dict__
