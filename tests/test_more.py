@@ -297,3 +297,31 @@ def test_small_helpers(spark):
     assert view.chosen_first(df, ["k"], ["t"]).count() == 2
     one, two = (spark.createDataFrame([(t,)], "t array<string>").select(names.fingerprint(F.col("t"))).first()[0] for t in (["b", "a"], ["a", "b"]))
     assert one == two and len(one) == 64
+
+
+def test_reading_a_node_without_its_required_facets_is_an_error(spark):
+    g = PropertyGraph.of(spark, ["a", "b"])
+    types = spark.createDataFrame([("NodeTypes/P", "Node", False, [], [], []), ("NodeTypes/C", "Node", False, ["NodeTypes/P"], [], [])], semantic.TYPES)
+    facets = spark.createDataFrame([("a", "NodeTypes/C", "w1"), ("a", "NodeTypes/P", "w2"), ("b", "NodeTypes/C", "w3")], semantic.FACETS)
+    with pytest.raises(Exception, match="missing materialized required types: b lacks NodeTypes/P"):
+        semantic.project(g, types, facets).collect()
+    assert {r["type_gid"] for r in semantic.project(g, types, facets, only=["a"]).collect()} == {"NodeTypes/C", "NodeTypes/P"}
+
+
+def test_changes_refuse_repeated_rows_and_missing_ends(spark):
+    from weft.operators import mutate, typed
+
+    g = PropertyGraph.of(spark, ["a", "a/b", "c"], [("a/b", "c")])
+    rows = spark.createDataFrame([("a", {"k": "1"}), ("a", {"k": "2"})], "gid string, attrs map<string,string>")
+    with pytest.raises(GraphError, match="named twice"):
+        mutate.update_attributes(g, rows)
+    for old, new, why in (("a/b", "nowhere/b", "parent does not exist"), ("x", "c/x", "node does not exist"), ("a/b", "c", "place is taken")):
+        with pytest.raises(GraphError, match=why):
+            mutate.move(g, old, new)
+    assert sorted(r["gid"] for r in mutate.move(g, "a/b", "top").base.collect()) == ["a", "c", "top"]
+    types = spark.createDataFrame([("T", "Instance", False, [], [], [("k", "String", False)])], typed.TYPES)
+    store = typed.TypedGraph(types, spark.createDataFrame([("e", "Instance", ["T"], {"k": "0"}, {})], typed.ELEMENTS))
+    twice = spark.createDataFrame([("e", {"k": "1"}), ("e", {"k": "2"})], "id string, attributes map<string,string>")
+    with pytest.raises(typed.ContractError, match="named twice"):
+        store.replace_attributes(twice)
+    assert store.replace_attributes(twice.limit(1)).elements.count() == 1

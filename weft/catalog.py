@@ -7,11 +7,12 @@ from them) and returns its full result; a limit stands only where it is the feat
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weft.functions import names, scalars, text
 from weft.operators import message_passing as mp
-from weft.operators import measure, mutate, semantic, traverse, typed, view
+from weft.operators import bridges, measure, mutate, semantic, traverse, typed, view
 from weft.plans import compile as plans
 from weft.plans import templates
 from weft.plans.session import shared_path
@@ -266,9 +267,9 @@ def search_text_indexed(spark, d):
     return _indexed(spark, d, {"kind": "text", "node": var("x"), "value": "small widget"}, "x")
 
 
-@query("SELECT gid AS x, CAST(1.5 AS DOUBLE) AS score, 'name:contains:tion_1/SUPP;attribute:kind:contains;node' AS matched_by FROM nodes WHERE contains(lower(gid), 'tion_1/supp')")
+@query("SELECT gid AS x, CAST(1.55 AS DOUBLE) AS score, 'name:contains:tion_1/CUST;attribute:kind:contains;node' AS matched_by FROM nodes WHERE contains(lower(gid), 'tion_1/cust')")
 def search_contains_indexed(spark, d):
-    return _indexed(spark, d, both({"kind": "name", "node": var("x"), "operator": "contains", "value": "tion_1/SUPP"}, attribute("x", "kind", "Plie", "contains")), "x")
+    return _indexed(spark, d, both({"kind": "name", "node": var("x"), "operator": "contains", "value": "tion_1/CUST"}, attribute("x", "kind", "Stom", "contains")), "x")
 
 
 @query("""
@@ -559,6 +560,23 @@ def bridge_collapse(spark, d):
     return view.collapse(n, e, REGION, NATION)
 
 
+@query("""WITH o AS (SELECT 'Order-' || o_orderkey AS gid, cust.gid AS c FROM orders JOIN cust ON o_custkey = c_custkey), k AS (SELECT c, count(*) AS n FROM o GROUP BY c),
+w AS (SELECT gid, parent, 1 + coalesce(n, 0) AS n FROM par LEFT JOIN k ON c = gid WHERE gid NOT IN (SELECT land FROM land)), l AS (SELECT parent AS gid, sum(n) + 1 AS n FROM w GROUP BY parent),
+t AS (SELECT gid, parent, n FROM w UNION ALL SELECT land.land, split_part(land.land, '/', 1), coalesce(l.n, 1) FROM land LEFT JOIN l ON l.gid = land.land UNION ALL SELECT o.gid, o.c, 1 FROM o JOIN k ON k.c = o.c WHERE k.n = 1),
+r AS (SELECT split_part(parent, '/', 1) AS region, sum(n) + 1 AS n FROM t WHERE NOT contains(parent, '/') GROUP BY 1)
+SELECT least(gid, parent) AS a_gid, greatest(gid, parent) AS b_gid, gid AS far, CAST(t.n AS BIGINT) AS n_far, CAST(r.n - t.n AS BIGINT) AS n_near FROM t JOIN r ON region = split_part(parent, '/', 1)""")
+def all_bridges(spark, d):
+    """Regions down to customers with their orders; a customer's orders are linked one after the other too, so only a lone order hangs on a bridge."""
+    g = tpch_graph(spark, d)
+    n = g.nodes.where("attrs['kind'] <> 'part'").select("gid")
+    e = g.edges.join(n.withColumnRenamed("gid", "a_gid"), "a_gid", "left_semi").join(n.withColumnRenamed("gid", "b_gid"), "b_gid", "left_semi").select("a_gid", "b_gid")
+    order = spark.read.parquet(f"{d}/orders.parquet").select("o_custkey", "o_orderkey")
+    after = F.lead("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    named = lambda c: F.concat(F.lit("Order-"), F.col(c).cast("string"))
+    chain = order.withColumn("next", after).where("next is not null").select(named("o_orderkey").alias("a_gid"), named("next").alias("b_gid"))
+    return bridges.bridges(n, e.unionByName(chain))
+
+
 @query("SELECT gid, split_part(gid, '/', 1) AS root_component FROM nodes WHERE kind IN ('region', 'nation', 'customer', 'supplier')")
 def root_components(spark, d):
     _, n, e = _tree(spark, d)
@@ -681,8 +699,6 @@ def _typed(spark, d):
     el = inst(t("orders"), "Order", "o_orderkey", F.create_map(F.lit("Price"), money("o_totalprice"), F.lit("Status"), s("o_orderstatus")))
     el = el.unionByName(inst(t("part"), "Part", "p_partkey", F.create_map(F.lit("Size"), s("p_size"), F.lit("Price"), money("p_retailprice"))))
     el = el.unionByName(inst(t("supplier"), "Supplier", "s_suppkey", F.create_map(F.lit("Balance"), money("s_acctbal"))))
-    from pyspark.sql import Window as W
-
     key = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
     k = F.row_number().over(W.partitionBy(*key).orderBy("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"))
     line = t("lineitem").withColumn("k", k)
@@ -699,17 +715,40 @@ def _typed(spark, d):
     return types, el, rel
 
 
-@query(
-    "SELECT * FROM (VALUES ('Entity', 'Entity'), ('Order', 'Order'), ('Order', 'Entity'), ('Part', 'Part'), ('Part', 'Entity'), ('Supplier', 'Supplier'), ('Supplier', 'Entity'), ('Line', 'Line')) t(type_id, reached)",
-    graph=False
-)
+def _part_types(spark, d):
+    """A type for each part, brand and kind of part: a part requires its brand, its kind and the part of half its number."""
+    p = spark.read.parquet(f"{d}/part.parquet")
+    s = lambda prefix, c: F.concat(F.lit(prefix), F.replace(c.cast("string"), F.lit("#"), F.lit("-")))
+    k = F.col("p_partkey")
+    none = F.array().cast(spark.createDataFrame([], typed.TYPES).schema["members"].dataType)
+    kinds = spark.createDataFrame([], typed.TYPES).schema["attributes"].dataType
+    own = F.array(F.struct(s("A", k).alias("name"), F.lit("Int32").alias("kind"), F.lit(True).alias("required"))).cast(kinds)
+    half = F.when(k > 0, F.array(s("Part-", F.floor(k / 2)))).otherwise(F.array().cast("array<string>"))
+    row = lambda df, identifier, required, attributes: df.select(
+        identifier.alias("type_id"), F.lit("Instance").alias("kind"), F.lit(False).alias("is_abstract"), required.alias("required_type_ids"), none.alias("members"), attributes.alias("attributes")
+    )
+    parts = row(p, s("Part-", k), F.concat(F.array(s("", F.col("p_brand")), s("Kind ", F.col("p_type"))), half), own)
+    brands = row(p.select("p_brand").distinct(), s("", F.col("p_brand")), F.array(F.lit("Entity")), F.array().cast(kinds))
+    named = F.array(F.struct(F.lit("Kind").alias("name"), F.lit("String").alias("kind"), F.lit(False).alias("required"))).cast(kinds)
+    types = row(p.select("p_type").distinct(), s("Kind ", F.col("p_type")), F.array(F.lit("Entity")), named)
+    entity = row(p.limit(1), F.lit("Entity"), F.array().cast("array<string>"), F.array().cast(kinds))
+    return parts.unionByName(brands).unionByName(types).unionByName(entity)
+
+
+_PART_ARCS = """arcs AS (SELECT 'Part-' || p_partkey AS a, unnest(list_concat([replace(p_brand, '#', '-'), 'Kind ' || p_type], CASE WHEN p_partkey > 0 THEN ['Part-' || (p_partkey // 2)] ELSE [] END)) AS b FROM part
+  UNION SELECT replace(p_brand, '#', '-'), 'Entity' FROM part UNION SELECT 'Kind ' || p_type, 'Entity' FROM part),
+c AS (SELECT a AS t, a AS reached FROM arcs UNION SELECT 'Entity', 'Entity' UNION SELECT c.t, b FROM c JOIN arcs ON a = c.reached)"""
+
+
+@query(f"WITH RECURSIVE {_PART_ARCS} SELECT t AS type_id, reached FROM c", graph=False)
 def type_closure(spark, d):
-    return typed.closure(_typed(spark, d)[0])
+    """Every part's type requires that of half its number, so closures are chains of brands and kinds too."""
+    return typed.closure(_part_types(spark, d))
 
 
-@query("SELECT * FROM (VALUES ('Entity', 0), ('Order', 2), ('Part', 2), ('Supplier', 1), ('Line', 1)) t(type_id, n)", graph=False)
+@query(f"WITH RECURSIVE {_PART_ARCS} SELECT t AS type_id, CAST(count(*) FILTER (WHERE reached LIKE 'Part-%' OR reached LIKE 'Kind %') AS INT) AS n FROM c GROUP BY t", graph=False)
 def effective_types(spark, d):
-    return typed.effective(_typed(spark, d)[0]).select("type_id", F.size("attributes").alias("n"))
+    return typed.effective(_part_types(spark, d)).select("type_id", F.size("attributes").alias("n"))
 
 
 @query("SELECT 'Part-' || p_partkey AS id, 'Invalid' AS code, 'the value is no Int64: Price' AS message FROM part", graph=False)
@@ -803,16 +842,26 @@ def typed_replace_attributes(spark, d):
     return after.select("id", get("Price").alias("price"), get("Status").alias("status"))
 
 
-@query("""WITH gone AS (SELECT 'Line-' || min(l_orderkey) AS x FROM lineitem) SELECT id FROM rel WHERE o <> 'Order-1' UNION ALL SELECT 'Order-' || o_orderkey FROM orders WHERE o_orderkey <> 1
-UNION ALL SELECT 'Part-' || p_partkey FROM part UNION ALL SELECT 'Supplier-' || s_suppkey FROM supplier""", graph=False, lines=True)
-def typed_delete_restricted(spark, d):
-    """An order that relations hold stays; with these it goes."""
+@query("""SELECT o AS id, 'Conflict' AS code, 'takes part in ' || id AS message FROM rel WHERE o IN ('Order-1', 'Order-2') UNION ALL SELECT p, 'Conflict', 'takes part in ' || id FROM rel WHERE p = 'Part-3'
+UNION ALL SELECT 'Order-1', 'Conflict', 'refused'""", graph=False, lines=True)
+def typed_delete_refused(spark, d):
+    """What holds two orders and a part; the change itself is refused for it, which is the last row."""
     types, el, rel = _typed(spark, d)
     store = typed.TypedGraph(types, el.unionByName(rel))
+    refused = []
     try:
         store.delete(["Order-1"])
     except typed.ContractError as e:
-        assert e.code == typed.CONFLICT
+        refused = [("Order-1", e.code, "refused")]
+    return store.held(["Order-1", "Order-2", "Part-3"]).unionByName(spark.createDataFrame(refused, "id string, code string, message string"))
+
+
+@query("""SELECT id FROM rel WHERE o <> 'Order-1' UNION ALL SELECT 'Order-' || o_orderkey FROM orders WHERE o_orderkey <> 1
+UNION ALL SELECT 'Part-' || p_partkey FROM part UNION ALL SELECT 'Supplier-' || s_suppkey FROM supplier""", graph=False, lines=True)
+def typed_delete_restricted(spark, d):
+    """With the relations that hold it, an order goes."""
+    types, el, rel = _typed(spark, d)
+    store = typed.TypedGraph(types, el.unionByName(rel))
     held = [r["id"] for r in store.incident(["Order-1"]).select("id").collect()]  # the lines of one order
     return store.delete([*held, "Order-1"]).elements.select("id")
 
@@ -976,19 +1025,21 @@ def semantic_unsatisfied(spark, d):
     return semantic.unsatisfied(g, t, f)
 
 
-@query("""SELECT * FROM (VALUES ('NodeTypes/Van', 'load'), ('NodeTypes/Bus', 'load')) t(type_gid, name)""", graph=False)
+@query("""SELECT 'NodeTypes/Van-' || p_partkey AS type_gid, 'load' AS name FROM part WHERE p_partkey % 3 > 0 AND (p_partkey % 3 = 1 OR p_size % 2 = 0)""", graph=False)
 def semantic_ambiguous_slots(spark, d):
-    """Two definitions of one slot overlap in a van; a bus lets one of them hold anything."""
-    slot = lambda allowed, most: [("load", allowed, 0, most)]
-    rows = [
-        (
-            "NodeTypes/Car", "Node", False, [], [], slot(["NodeTypes/Box", "NodeTypes/Man"], 2)
-        ), ("NodeTypes/Lorry", "Node", False, [], [], slot(["NodeTypes/Box"], 9)), ("NodeTypes/Cab", "Node", False, [], [], slot([], 4)),
-        ("NodeTypes/Van", "Node", False, ["NodeTypes/Car", "NodeTypes/Lorry"], [], []), (
-            "NodeTypes/Bus", "Node", False, ["NodeTypes/Cab"], [], slot(["NodeTypes/Man"], 50)
-        ), ("NodeTypes/Bike", "Node", False, [], [], slot(["NodeTypes/Man"], 1)),
-    ]
-    return semantic.ambiguous_slots(spark.createDataFrame(rows, semantic.TYPES))
+    """A van requires a car and a lorry made for the same part; a car holds anything, or boxes, or boxes of another size."""
+    p = spark.read.parquet(f"{d}/part.parquet")
+    k, shape = F.col("p_partkey").cast("string"), spark.createDataFrame([], semantic.TYPES).schema
+    slot = lambda allowed, most: F.array(F.struct(F.lit("load").alias("name"), allowed.alias("allowed"), F.lit(0).alias("min"), F.lit(most).alias("max"))).cast(shape["slots"].dataType)
+    box = F.array(F.concat(F.lit("NodeTypes/Box-"), (F.col("p_size") % 2).cast("string")))
+    car = F.when(F.col("p_partkey") % 3 == 1, F.array().cast("array<string>")).when(F.col("p_partkey") % 3 == 2, box).otherwise(F.array(F.lit("NodeTypes/Box-9")))
+    none, empty = F.array().cast(shape["slots"].dataType), F.array().cast("array<string>")
+    row = lambda name, required, slots: p.select(
+        F.concat(F.lit(f"NodeTypes/{name}-"), k).alias("type_gid"), F.lit("Node").alias("element_kind"), F.lit(False).alias("is_abstract"), required.alias("required"),
+        F.array().cast(shape["fields"].dataType).alias("fields"), slots.alias("slots")
+    )
+    both_of = F.array(F.concat(F.lit("NodeTypes/Car-"), k), F.concat(F.lit("NodeTypes/Lorry-"), k))
+    return semantic.ambiguous_slots(row("Van", both_of, none).unionByName(row("Car", empty, slot(car, 2))).unionByName(row("Lorry", empty, slot(F.array(F.lit("NodeTypes/Box-0")), 9))))
 
 
 @query(
@@ -1012,14 +1063,16 @@ def semantic_assign(spark, d):
 
 
 @query("""SELECT gid AS node_gid, 'NodeTypes/' || upper(kind[1]) || kind[2:] AS type_gid, 'w/' || gid AS witness_gid FROM nodes WHERE kind IN ('customer', 'supplier', 'order')
-UNION ALL SELECT DISTINCT 'Order-' || l_orderkey, 'NodeTypes/Supplier', CAST(NULL AS VARCHAR) FROM lineitem WHERE l_partkey = 1""")
+UNION ALL SELECT gid, 'NodeTypes/Party', 'p/' || gid FROM nodes WHERE kind IN ('customer', 'supplier')
+UNION ALL SELECT DISTINCT 'Order-' || l_orderkey, t, CAST(NULL AS VARCHAR) FROM lineitem, (VALUES ('NodeTypes/Supplier'), ('NodeTypes/Party')) v(t) WHERE l_partkey = 1""")
 def semantic_projection(spark, d):
-    """Witnessed facets, and those that links between some orders and a type stand for."""
+    """Witnessed facets, and those that links between some orders and two types stand for."""
     g, t, f = _semantic(spark, d)
-    linked = spark.read.parquet(f"{d}/lineitem.parquet").where("l_partkey = 1").select(
-        F.lit("NodeTypes/Supplier").alias("a_gid"), F.concat(F.lit("Order-"), F.col("l_orderkey").cast("string")).alias("b_gid")
-    ).distinct()
-    return semantic.project(PropertyGraph(g.base, g.links.unionByName(linked)), t, f.withColumn("witness_gid", F.concat(F.lit("w/"), "node_gid")))
+    order = spark.read.parquet(f"{d}/lineitem.parquet").where("l_partkey = 1").select(F.concat(F.lit("Order-"), F.col("l_orderkey").cast("string")).alias("b_gid")).distinct()
+    linked = order.select(F.explode(F.array(F.lit("NodeTypes/Supplier"), F.lit("NodeTypes/Party"))).alias("a_gid"), "b_gid")
+    own = f.withColumn("witness_gid", F.concat(F.lit("w/"), "node_gid"))
+    party = f.where("type_gid <> 'NodeTypes/Order'").select("node_gid", F.lit("NodeTypes/Party").alias("type_gid"), F.concat(F.lit("p/"), "node_gid").alias("witness_gid"))
+    return semantic.project(PropertyGraph(g.base, g.links.unionByName(linked)), t, own.unionByName(party))
 
 
 @query("SELECT gid AS node_gid FROM nodes WHERE kind IN ('customer', 'order')")
@@ -1027,9 +1080,17 @@ def semantic_has_any_type(spark, d):
     return semantic.has_any_type(_semantic(spark, d)[2], ["NodeTypes/Customer", "NodeTypes/Order"])
 
 
-@query("SELECT * FROM (VALUES ('NodeTypes/Customer'), ('NodeTypes/Order'), ('NodeTypes/Party')) t(type_gid)", graph=False)
+@query(f"""WITH RECURSIVE {_PART_ARCS} SELECT DISTINCT reached AS type_gid FROM c WHERE t IN (SELECT 'Part-' || p_partkey FROM part WHERE p_partkey % 100 = 0)""", graph=False)
 def type_catalog(spark, d):
-    return semantic.catalog(_semantic(spark, d)[1], ["NodeTypes/Customer"]).select("type_gid")
+    """The types of every hundredth part, and all that they refer to."""
+    t = _part_types(spark, d)
+    shape = spark.createDataFrame([], semantic.TYPES).schema
+    types = t.select(
+        F.col("type_id").alias("type_gid"), F.lit("Node").alias("element_kind"), "is_abstract", F.col("required_type_ids").alias("required"),
+        F.array().cast(shape["fields"].dataType).alias("fields"), F.array().cast(shape["slots"].dataType).alias("slots")
+    )
+    top = spark.read.parquet(f"{d}/part.parquet").where("p_partkey % 100 = 0").select(F.concat(F.lit("Part-"), F.col("p_partkey").cast("string")).alias("t"))
+    return semantic.catalog(types, top).select("type_gid")
 
 
 def _edges(spark, d):
@@ -1083,12 +1144,30 @@ def view_relations(spark, d):
     return view.relations(g.nodes, g.edges, basis).select("rel_gid", "type_gid", "a_gid", "b_gid")
 
 
-@query(
-    "SELECT 'NodeTypes/Line' AS type_gid, r AS role, 'member-' || sha256('NodeTypes/Line' || chr(0) || r)[1:16] AS member_id FROM (VALUES ('Order'), ('Part'), ('Supplier')) t(r)",
-    graph=False
-)
+def _edge_types(spark, d):
+    """An edge type for each part: its roles are its brand and its kind, and a third that all have; every fourth has one role and is none."""
+    p = spark.read.parquet(f"{d}/part.parquet")
+    shape = spark.createDataFrame([], semantic.TYPES).schema
+    role = lambda name, least, most: F.struct(
+        name.alias("name"), F.lit("Node").alias("value_kind"), F.lit(None).cast("string").alias("data_type"), least.cast("int").alias("min"), most.cast("int").alias("max"),
+        F.lit(False).alias("is_collection"), F.lit(None).cast("string").alias("node_type")
+    )
+    brand, size = F.replace("p_brand", F.lit("#"), F.lit("-")), F.col("p_size")
+    every = F.array(role(brand, F.lit(0), size), role(F.col("p_type"), F.lit(1), F.lit(1)), role(F.lit("Witness"), F.lit(0), F.lit(None)))
+    fields = F.when(F.col("p_partkey") % 4 == 0, F.slice(every, 1, 1)).otherwise(every)
+    return p.select(
+        F.concat(F.lit("NodeTypes/Edge-"), F.col("p_partkey").cast("string")).alias("type_gid"), F.lit("Edge").alias("element_kind"), (F.col("p_partkey") % 2 == 0).alias("is_abstract"),
+        F.array().cast("array<string>").alias("required"), fields.cast(shape["fields"].dataType).alias("fields"), F.array().cast(shape["slots"].dataType).alias("slots")
+    )
+
+
+_EDGE_TYPES = """f AS (SELECT p_partkey AS k, 'NodeTypes/Edge-' || p_partkey AS t, replace(p_brand, '#', '-') AS r, 0 AS lo, p_size AS hi FROM part
+  UNION ALL SELECT p_partkey, 'NodeTypes/Edge-' || p_partkey, p_type, 1, 1 FROM part WHERE p_partkey % 4 > 0 UNION ALL SELECT p_partkey, 'NodeTypes/Edge-' || p_partkey, 'Witness', 0, NULL FROM part WHERE p_partkey % 4 > 0)"""
+
+
+@query(f"WITH {_EDGE_TYPES} SELECT t AS type_gid, r AS role, 'member-' || sha256(t || chr(0) || r)[1:16] AS member_id, CAST(lo AS INT) AS min, CAST(coalesce(hi, -1) AS INT) AS max FROM f WHERE k % 4 > 0", graph=False)
 def edge_definition(spark, d):
-    return semantic.edge_definition(_edges(spark, d)[0]).select("type_gid", "role", "member_id")
+    return semantic.edge_definition(_edge_types(spark, d)).select("type_gid", "role", "member_id", "min", F.coalesce("max", F.lit(-1)).alias("max"))
 
 
 # Changes.
@@ -1279,21 +1358,23 @@ def typed_integrity(spark, d):
     return typed.element_violations(types, el.unionByName(rel))
 
 
-@query(
-    """SELECT * FROM (VALUES ('Bad/Name.', 'Invalid', 'the id is no valid name'), ('Lonely', 'Invalid', 'a relation type has fewer than two members'), ('Twice', 'Invalid', 'names repeat'), ('Lost', 'NotFound', 'requires unknown type Nowhere')) t(id, code, message)""",
-    graph=False
-)
+@query("""SELECT 'Part/' || p_partkey || '.' AS id, 'Invalid' AS code, 'the id is no valid name' AS message FROM part WHERE p_partkey % 6 = 1
+UNION ALL SELECT 'Part-' || p_partkey, 'Invalid', 'a relation type has fewer than two members' FROM part WHERE p_partkey % 6 = 2 UNION ALL SELECT 'Part-' || p_partkey, 'Invalid', 'names repeat' FROM part WHERE p_partkey % 6 = 3
+UNION ALL SELECT 'Part-' || p_partkey, 'NotFound', 'requires unknown type ' || p_type FROM part WHERE p_partkey % 6 = 4 UNION ALL SELECT 'Part-' || p_partkey, 'Unsupported', 'unknown scalar kind' FROM part WHERE p_partkey % 6 = 5""", graph=False)
 def type_violations(spark, d):
-    types = _typed(spark, d)[0]
-    bad = spark.createDataFrame(
-        [
-            ("Bad/Name.", "Instance", False, [], [], []), ("Lonely", "Relation", False, [], [("A", None, 1, 1)], []),
-            ("Twice", "Instance", False, [], [], [("a", "String", False), ("A", "String", False)]),
-            ("Lost", "Instance", False, ["Nowhere"], [], [])
-        ],
-        typed.TYPES
+    """Types made from parts, five of six with a fault of their own."""
+    shape = spark.createDataFrame([], typed.TYPES).schema
+    k, n = F.col("p_partkey") % 6, F.col("p_partkey").cast("string")
+    attribute = lambda name, kind: F.struct(name.alias("name"), F.lit(kind).alias("kind"), F.lit(False).alias("required"))
+    brand = F.replace("p_brand", F.lit("#"), F.lit("-"))
+    attributes = F.when(k == 3, F.array(attribute(brand, "String"), attribute(F.upper(brand), "String"))).when(k == 5, F.array(attribute(brand, "Colour"))).otherwise(F.array(attribute(brand, "Int32")))
+    member = F.struct(F.lit("Only").alias("name"), F.lit(None).cast("string").alias("type_id"), F.lit(1).alias("min"), F.lit(1).alias("max"))
+    types = spark.read.parquet(f"{d}/part.parquet").select(
+        F.when(k == 1, F.concat(F.lit("Part/"), n, F.lit("."))).otherwise(F.concat(F.lit("Part-"), n)).alias("type_id"), F.when(k == 2, "Relation").otherwise("Instance").alias("kind"),
+        F.lit(False).alias("is_abstract"), F.when(k == 4, F.array("p_type")).otherwise(F.array().cast("array<string>")).alias("required_type_ids"),
+        F.when(k == 2, F.array(member)).otherwise(F.array()).cast(shape["members"].dataType).alias("members"), attributes.cast(shape["attributes"].dataType).alias("attributes")
     )
-    return typed.type_violations(types.unionByName(bad))
+    return typed.type_violations(types)
 
 
 @query("""SELECT id AS rel_gid, 'Part' AS role, 'cardinality' AS message FROM rel WHERE l_partkey % 7 = 0
@@ -1312,22 +1393,20 @@ def semantic_endpoint_violations(spark, d):
     return semantic.endpoint_violations(t.withColumn("fields", typed_supplier), facets, semantic.Edges(e.relations, left.unionByName(odd)))
 
 
-@query("""SELECT gid, k, v FROM (VALUES ('', 'elementKind', 'Edge'), ('', 'isAbstract', 'False')) a(p, k, v), (VALUES ('NodeTypes/Line/Definition')) b(gid)
-UNION ALL SELECT 'NodeTypes/Line/Definition/Fields/' || f, k, v FROM (VALUES ('Order'), ('Part'), ('Supplier')) t(f), (VALUES ('valueKind', 'Node'), ('clrType', 'node'), ('min', '1'), ('max', '1'), ('isCollection', 'False')) a(k, v)
-UNION ALL SELECT * FROM (VALUES ('NodeTypes/Line/Definition/Fields', NULL, NULL), ('NodeTypes/Line/Definition/Slots', NULL, NULL)) g(gid, k, v)""", graph=False)
+@query(f"""WITH {_EDGE_TYPES}, h AS (SELECT DISTINCT k, t || '/Definition' AS g FROM f), a AS (
+  SELECT g AS gid, unnest(['elementKind', 'isAbstract']) AS k, unnest(['Edge', CASE WHEN k % 2 = 0 THEN 'True' ELSE 'False' END]) AS v FROM h UNION ALL SELECT unnest([g || '/Fields', g || '/Slots']), NULL, NULL FROM h
+  UNION ALL SELECT t || '/Definition/Fields/' || r, unnest(['valueKind', 'clrType', 'min', 'isCollection', 'max']), unnest(['Node', 'node', CAST(lo AS VARCHAR), 'False', CAST(hi AS VARCHAR)]) FROM f)
+SELECT gid, k, v FROM a WHERE v IS NOT NULL OR k IS NULL""", graph=False)
 def stored_definitions(spark, d):
     """A row for each attribute of the nodes that hold a definition; nodes without any have one row."""
-    return definitions.stored(_edges(spark, d)[0]).select("gid", F.explode_outer("attrs").alias("k", "v"))
+    return definitions.stored(_edge_types(spark, d)).select("gid", F.explode_outer("attrs").alias("k", "v"))
 
 
-@query(
-    """SELECT 'NodeTypes/Line' AS type_gid, 'Edge' AS element_kind, FALSE AS is_abstract, f AS field, 1 AS min, 1 AS max FROM (VALUES ('Order'), ('Part'), ('Supplier')) t(f)""",
-    graph=False
-)
+@query(f"""WITH {_EDGE_TYPES} SELECT t AS type_gid, 'Edge' AS element_kind, k % 2 = 0 AS is_abstract, r AS field, CAST(lo AS INT) AS min, CAST(coalesce(hi, -1) AS INT) AS max FROM f""", graph=False)
 def read_definitions(spark, d):
-    g = PropertyGraph(definitions.stored(_edges(spark, d)[0]), spark.createDataFrame([], "a_gid string, b_gid string"))
+    g = PropertyGraph(definitions.stored(_edge_types(spark, d)), spark.createDataFrame([], "a_gid string, b_gid string"))
     return definitions.read(g).select("type_gid", "element_kind", "is_abstract", F.explode("fields").alias("f")).select(
-        "type_gid", "element_kind", "is_abstract", F.col("f.name").alias("field"), "f.min", "f.max"
+        "type_gid", "element_kind", "is_abstract", F.col("f.name").alias("field"), "f.min", F.coalesce("f.max", F.lit(-1)).alias("max")
     )
 
 

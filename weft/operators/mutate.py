@@ -43,7 +43,8 @@ def settled(graph: PropertyGraph) -> PropertyGraph:
 
 
 def update_attributes(graph: PropertyGraph, rows: DataFrame) -> PropertyGraph:
-    """rows(gid, attrs) replace whole maps; nodes that do not exist are passed over."""
+    """rows(gid, attrs) replace whole maps; nodes that do not exist are passed over, a gid that comes twice is refused."""
+    _refuse(rows.groupBy("gid").count().where("count > 1"), "a node is named twice")
     new = cut(rows.select("gid", F.coalesce("attrs", F.create_map().cast(ATTRS)).alias("attrs")).join(graph.base.select("gid"), "gid", "left_semi"))
     return PropertyGraph(graph.base.join(new, "gid", "left_anti").unionByName(new), graph.links)
 
@@ -106,7 +107,8 @@ def relocate(graph: PropertyGraph, gid: str) -> PropertyGraph:
 def move(graph: PropertyGraph, old: str, new: str) -> PropertyGraph:
     """Rewrite a path prefix in nodes and links; a link that would join ancestor and descendant is refused.
 
-    The rules are read off the links that change and the one place that is taken, in one job.
+    The node and its new parent must exist, and its new place must be free. The rules are read off the links that
+    change and the nodes at the three places, in one job.
     """
     if new == old or new.startswith(old + "/"):
         raise GraphError("a subtree cannot move into itself")
@@ -118,7 +120,11 @@ def move(graph: PropertyGraph, old: str, new: str) -> PropertyGraph:
     if parent is not None:  # the link to the new parent becomes the hierarchy edge
         links = links.where(~(F.col("a_gid").isin(parent, new) & F.col("b_gid").isin(parent, new)))
     links = cut(links)
-    taken = graph.base.where(F.col("gid") == new).select(F.lit("the place is taken").alias("why"), F.col("gid").alias("a"), F.lit("").alias("b"))
+    ends = [x for x in (old, new, parent) if x is not None]
+    there = graph.base.where(F.col("gid").isin(ends)).agg(*(F.count_if(F.col("gid") == x).alias(f"n{k}") for k, x in enumerate(ends)))
+    faults = [F.when(F.col("n0") == 0, F.lit("the node does not exist")), F.when(F.col("n1") > 0, F.lit("the place is taken"))]
+    faults += [F.when(F.col("n2") == 0, F.lit("the new parent does not exist"))] if parent is not None else []
+    taken = there.select(F.explode(F.array(*faults)).alias("why"), F.lit(old).alias("a"), F.lit(new).alias("b")).where("why is not null")
     joined = links.where(names.is_descendant(F.col("b_gid"), F.col("a_gid")) | names.is_descendant(F.col("a_gid"), F.col("b_gid")))
     _refuse(
         taken.unionByName(joined.select(F.lit("a link would join a node with its ancestor").alias("why"), F.col("a_gid").alias("a"), F.col("b_gid").alias("b"))),

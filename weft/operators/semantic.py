@@ -41,9 +41,12 @@ def _refuse(bad: DataFrame, why: str) -> None:
 # Types.
 
 
-def catalog(types: DataFrame, roots: list[str] | None = None) -> DataFrame:
-    """Types in the catalog, or those named, and all that they refer to; by gid, case ignored."""
-    start = types.where(F.col("type_gid").isin(roots)) if roots else types.where(F.col("type_gid").startswith(CATALOG + "/"))
+def catalog(types: DataFrame, roots: list[str] | DataFrame | None = None) -> DataFrame:
+    """Types in the catalog, or those named (a list, or a table of one column), and all that they refer to; by gid, case ignored."""
+    if isinstance(roots, DataFrame):
+        start = types.join(roots.toDF("type_gid"), "type_gid", "left_semi")
+    else:
+        start = types.where(F.col("type_gid").isin(roots)) if roots else types.where(F.col("type_gid").startswith(CATALOG + "/"))
     refs = types.select(
         F.col("type_gid").alias("src"),
         F.explode(F.concat(
@@ -154,7 +157,11 @@ def project(graph: PropertyGraph, types: DataFrame, witnesses: DataFrame, basis:
         "node_gid", "type_gid",
         F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("two witnesses of one facet: "), F.col("node_gid")))).otherwise(F.col("witness_gid")).alias("witness_gid")
     )
-    return one
+    if types.where(F.size("required") > 0).isEmpty():
+        return one
+    lacking = missing_facets(types, one).groupBy("node_gid").agg(F.min("type_gid").alias("_lacks"))
+    told = F.raise_error(F.concat(F.lit("missing materialized required types: "), F.col("node_gid"), F.lit(" lacks "), F.col("_lacks")))
+    return one.join(lacking, "node_gid", "left").select("node_gid", F.when(F.col("_lacks").isNotNull(), told).otherwise(F.col("type_gid")).alias("type_gid"), "witness_gid")
 
 
 def missing_facets(types: DataFrame, facets: DataFrame) -> DataFrame:

@@ -274,7 +274,9 @@ class TypedGraph:
         return self._created(rows, RELATION)
 
     def replace_attributes(self, rows: DataFrame) -> "TypedGraph":
-        """rows(id, attributes): whole maps are replaced."""
+        """rows(id, attributes): whole maps are replaced; an id that comes twice is refused."""
+        twice = rows.groupBy("id").count().where("count > 1")
+        require_none(_bad(twice, F.lit(True), "id", INVALID, "the element is named twice"))
         new = rows.select("id", F.col("attributes").alias("new"))
         missing = new.join(self.elements, "id", "left_anti")
         require_none(_bad(missing, F.lit(True), "id", NOT_FOUND, "no such element"))
@@ -288,10 +290,14 @@ class TypedGraph:
         found = self.elements.where(gone).count()
         if found < len(set(ids)):
             raise ContractError(NOT_FOUND, [{"id": x, "message": "no such element"} for x in sorted(set(ids))[:1]])
-        held = participants(self.elements.where(~gone)).where(F.col("participant").isin(ids)).select(F.col("participant").alias("id"), F.col("rel"))
-        require_none(_bad(held, F.lit(True), "id", CONFLICT, F.concat(F.lit("takes part in "), F.col("rel"))))
+        require_none(self.held(ids))
         return self._next(self.elements.where(~gone))
 
+    def held(self, ids: list[str]) -> DataFrame:
+        """What keeps elements from being deleted: a row for each of them and each other relation in which it takes part."""
+        held = participants(self.elements.where(~F.col("id").isin(ids))).where(F.col("participant").isin(ids))
+        return _bad(held, F.lit(True), "participant", CONFLICT, F.concat(F.lit("takes part in "), F.col("rel"))).distinct()
+
     def get(self, identifier: str) -> DataFrame:
         """The element, or an error if it is stored corrupt; it is read with its participants alone."""
         one = self.elements.where(F.col("id") == identifier)
