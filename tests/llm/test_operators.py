@@ -369,6 +369,59 @@ def test_copies_without_markup_lose_their_template(spark):
     assert all(x.startswith("Own words") and "Imprint" not in x for x in got.values()) and got[3] == got[4] == got[5]
 
 
+def planted_site(r, host, n, nodes):
+    """Pages of one host whose articles are known: menus, adverts, boxes and footers have other words on each page."""
+    words = lambda k: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(k))
+    style, box, out = r.choice(["x9k", "zone-7", "qq"]), r.choice(["article", "main", "div class='social-science'", "div class='content related-work'", "div id='search-results-article'", "div class='ad-free'", "section"]), []
+    for k in range(n):
+        own = [words(r.randint(1, 6)), *(words(r.randint(20, 60)) for _ in range(r.randint(2, 6)))]
+        menu = "".join(f"<li><a href='/{k}'>{words(1)}</a>" for _ in range(r.randint(2, 7)))
+        noise = [f"<ul class='{style}'>{menu}</ul>", f"<div class='{style}-{k}'>{words(5)}</div>", f"<div id=b{k}><span>{words(3)}</span></div>"]
+        end = f"<div class='{style} end'><p>{words(6)}</p></div><footer>{words(4)}</footer>"
+        body = f"<h1>{own[0]}</h1>" + "".join(f"<p>{x}</p>" for x in own[1:])
+        out.append((nodes + k, f"https://{host}/{k // 3}/{k}?p={k}", f"<html><head><title>{words(2)}</title></head><body>{''.join(noise)}<{box}>{body}</{box.split()[0]}>{end}</body></html>", "\n\n".join(own)))
+    return out
+
+
+def test_planted_articles_are_found_by_differencing(spark, monkeypatch):
+    """No page has a listed word beside its article, so the neighbours alone tell; the texts are known from how the pages were made."""
+    r = random.Random(8)
+    rows = [x for h in range(12) for x in planted_site(r, f"h{h}.org", r.randint(2, 9), 100 * h)]
+    df = spark.createDataFrame([x[:3] for x in rows], "page_id long, url string, html string")
+    want = {x[0]: x[3] for x in rows}
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 7, 211):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert {x["page_id"]: x["text"] for x in html_diff.extract(df).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    # Without a neighbour they all keep something of the site.
+    assert all(html_diff.main_text(html_diff.shaped(x[2]), "/", None, None) != x[3] for x in rows)
+
+
+def test_differencing_needs_no_word_lists_where_there_are_neighbours(spark, monkeypatch):
+    pages = table(spark, "pages").collect()
+    hosts = Counter(re.sub(r"^\w+://([^/?#]*).*", r"\1", x["url"]) for x in pages)
+    with_lists = {x["page_id"]: x["text"] for x in html_diff.extract(table(spark, "pages")).collect()}
+    for x in pages:
+        if hosts[re.sub(r"^\w+://([^/?#]*).*", r"\1", x["url"])] > 1:
+            others = [html_diff.shaped(y["html"]) for y in pages if y["html"] != x["html"] and y["url"].split("/")[2] == x["url"].split("/")[2]][:2]
+            own = [(t, c, False, key) for t, c, _, key in html_diff.shaped(x["html"])]
+            if others:
+                assert html_diff.main_text(own, "/", ("/", [b[-1] for b in others[0]]), None) == with_lists[x["page_id"]]
+
+
+@pytest.mark.parametrize("html,text", [
+    ('<div class="social-science"><p>One two three</p><p>four</p></div>', "One two three\n\nfour"), ('<div class="ad-free"><p>x y</p></div>', "x y"), ('<div class="content related-work"><p>x y</p></div>', "x y"),
+    ('<div class="post comment-free"><p>x y</p></div>', "x y"), ('<div id="search-results-article"><p>x y</p></div>', "x y"), ("<article><header><h1>Head</h1></header><p>x</p></article>", "Head\n\nx"),
+    ('<form><div class="widget"><article><p>x</p></article></div></form><div class="top-ad">b</div><div class="cookie-banner">c</div>', "x"), ('<p>short</p><div class="comments"><p>a much longer reader comment</p></div>', "short"),
+    ("<p>a</p>" * 3000 + '<div class="promo">b</div>', "\n\n".join(["a"] * 3000)), ('<div class="x">' * 3000 + "deep", "deep")
+])
+def test_class_words_do_not_hide_the_main_container(html, text):
+    assert html_diff.main_text(html_diff.shaped(f"<body>{html}</body>"), "/", None, None) == text
+
+
 def brute_pages(rows):
     """Each page against the nearest unlike page of its host, one page at a time."""
     def key(row):

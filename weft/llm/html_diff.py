@@ -5,11 +5,17 @@ between the two pages of its host whose paths are nearest. It is paired with the
 the one that shares the longer beginning of the path, and both pages' blocks are aligned by longest
 common subsequence: what they share is the site's, what only one has is the page's own.
 
-The diff alone cannot tell an article that two pages quote from a template, nor an advert that no
-other page shows from the article. Markup breaks these ties: shared blocks inside an ``article``
-or ``main`` element stay, and blocks that their own markup names as menus, adverts, comments and
-so on go though no neighbour shares them. On a page without ``article`` or ``main`` a shared block
-goes only if the neighbour on the other side, where there is one, holds it as well.
+What is compared is a line's key. A block that stands in a place with a name (a class, an id, an element like ``nav``
+or ``footer``) outside the main container is known by that place: its elements with their classes, numbers
+masked. So a menu or an advert is shared though its words differ from page to page, and either
+neighbour will do; neighbours may repeat a place more or less often. Other blocks are known by their text.
+
+The diff cannot tell an article that two pages quote from a template, nor anything of a page without
+neighbours. Markup breaks these ties: shared blocks inside an ``article`` or ``main`` element stay, and blocks that no
+neighbour shares go if their own markup names them as menus, adverts, comments and so on, unless the
+element so named holds the main container. On a page without ``article`` or ``main`` the container is the
+innermost element with more than half of the text, and a text shared with one neighbour goes only if the
+neighbour on the other side, where there is one, holds it as well.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ from __future__ import annotations
 import html as entities
 import os
 import re
+import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
 
@@ -41,6 +48,17 @@ CLASS_WORDS = {
     "sidebar", "aside", "footer", "masthead", "topbar", "toolbar", "notice", "notices", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "paywall", "disclaimer",
     "comment", "comments", "comment-list", "respond", "replies", "reply", "disqus", "share", "sharing", "social", "related", "recommended", "recommendations", "widget", "login", "search", "skip", "pagination", "pager", "alert",
 }
+#: Reader comments may well be longer than what they are about, so their names never mislead.
+COMMENT_WORDS = {"comment", "comments", "comment-list", "respond", "replies", "disqus"}
+#: Elements that are no container, however much text they hold.
+SINGLE = {"html", "body", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dd", "dt", "pre", "td", "th", "tr"}
+#: Words that may stand beside one of these in a compound class.
+NEUTRAL = {
+    "area", "bar", "block", "body", "bottom", "box", "center", "container", "content", "group", "head", "header", "holder", "inner", "item", "items", "large", "left", "link", "links", "list", "main",
+    "mobile", "outer", "page", "panel", "right", "row", "section", "site", "slot", "small", "title", "top", "unit", "wrap", "wrapper"
+}
+#: Elements that name no place: their blocks are known by their text, unless a class or an id names one.
+PLAIN = {"html", "body", "div", "p", "section", "center", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "table", "tbody", "thead", "tr", "td", "th", "figure", "figcaption", "article", "main", "head"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
@@ -53,20 +71,36 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 CONTENT_FLAG, NOISE_FLAG = 1, 2
 
 
-def _noise(name: str, attrs: str) -> bool:
-    if name in DROPPED:
-        return True
+def _listed(token: str) -> bool:
+    """Whether a class is a listed word, or a compound of listed, neutral words and numbers."""
+    parts = [p for p in re.split(r"[-_]+|[0-9]+", token) if p]
+    return token in CLASS_WORDS or any(p in CLASS_WORDS for p in parts) and all(p in CLASS_WORDS or p in NEUTRAL for p in parts)
+
+
+def _place(name: str, attrs: str) -> tuple[str, bool]:
+    """An element as part of a place, and whether it gives the place a name."""
+    words = sorted(w for key, a, b, c in _ATTR.findall(attrs) if key.lower() in ("class", "id") for w in (a or b or c).lower().split()) if attrs.strip() else []
+    return " ".join([name, *(re.sub("[0-9]+", "0", w) for w in words)]), bool(words) or name not in PLAIN
+
+
+def _noise(name: str, attrs: str, content: bool) -> str:
+    """Why markup names an element as noise: "hard" by what it is, "soft" by a word that may mislead, or not at all."""
+    if name in DROPPED and not (name == "header" and content):
+        return "soft" if name == "form" else "hard"
     if not attrs.strip():
-        return False
+        return ""
     for key, a, b, c in _ATTR.findall(attrs):
         value, key = (a or b or c).lower(), key.lower()
         if key in ("class", "id") and name not in ("body", "html", "article", "main"):
-            for token in value.split():
-                if token in CLASS_WORDS or any(p in CLASS_WORDS for p in re.split(r"[-_]+", token)):
-                    return True
+            words = value.split()
+            if COMMENT_WORDS.intersection(words):
+                return "hard"
+            if any(map(_listed, words)):
+                return "soft"
         elif key == "role" and value in ROLES or key == "aria-hidden" and value == "true" or key == "style" and _HIDDEN.search(value):
-            return True
-    return " hidden" in f" {_ATTR.sub('', attrs)} ".replace("/", " ") and bool(re.search(r"(?:^|\s)hidden(?:\s|$|/)", _ATTR.sub("", attrs)))
+            return "hard"
+    bare = f" {_ATTR.sub('', attrs)} ".replace("/", " ")
+    return "hard" if " hidden" in bare and re.search(r"\shidden\s", bare) else ""
 
 
 def _tags(page: str):
@@ -112,19 +146,61 @@ def _tags(page: str):
         at = text = end
 
 
+class _Elements:
+    """The block elements of a page by number: parent, soft noise, and the text that lies in them."""
+
+    def __init__(self):
+        self.parent, self.soft, self.size, self.tops = [-1], [False], [0], []
+
+    def add(self, parent: int, soft: bool) -> int:
+        self.parent.append(parent)
+        self.soft.append(soft)
+        self.size.append(0)
+        return len(self.parent) - 1
+
+    def settle(self, single: set[int]) -> tuple[list[bool], list[bool]]:
+        """By number: whether it lies in the main container found by size, and whether soft noise that counts is above it or in it."""
+        n = len(self.parent)
+        total = list(self.size)
+        for k in range(n - 1, 0, -1):
+            total[self.parent[k]] += total[k]
+        most = 0
+        if not self.tops:
+            most = max((k for k in range(1, n) if 2 * total[k] > total[0] and k not in single), default=0)
+        void = [False] * n
+        for k in [*self.tops, most]:
+            while k > 0 and not void[k]:
+                void[k] = True
+                k = self.parent[k]
+        inside, noisy = [False] * n, [False] * n
+        for k in range(1, n):
+            p = self.parent[k]
+            inside[k] = k == most or inside[p]
+            noisy[k] = noisy[p] or self.soft[k] and not void[k]
+        return inside, noisy
+
+
 def blocks(page: str) -> list[tuple[str, bool, bool]]:
     """(text, inside article or main, noise by markup) of each block with text, in page order."""
-    out: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, content, noise
+    return [x[:3] for x in shaped(page)]
+
+
+def shaped(page: str) -> list[tuple[str, bool, bool, str]]:
+    """The blocks, each with its key: NUL and its place's digest outside the main container where the place has a name, else the text."""
+    found: list[tuple[str, bool, bool, int, int, bool]] = []
+    stack: list[tuple] = []  # name, content, noise, number, place, named
+    elements, single = _Elements(), set()
     opened: Counter[str] = Counter()
-    content = noise = False
+    top = ("", False, False, 0, 0, False)
+    _, content, noise, number, place, named = top
     parts: list[str] = []
 
     def close() -> None:
         if parts:
             text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                out.append((text, content, noise))
+                found.append((text, content, noise, number, place, named))
+                elements.size[number] += 0 if noise else len(text)
             parts.clear()
 
     def cut(k: int) -> None:
@@ -146,13 +222,13 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
                 close()
             for k in range(len(stack) - 1 if opened[name] else -1, -1, -1):
                 if stack[k][0] == name:
-                    if name in INLINE and stack[k][2] != noise:
+                    if name in INLINE and stack[k][2:4] != (noise, number):
                         close()
                     cut(k)
                     break
                 if name in INLINE and stack[k][0] not in INLINE:
                     break  # an inline end tag does not close blocks
-            content, noise = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            _, content, noise, number, place, named = stack[-1] if stack else top
             continue
         if name in RAW and name != "head":
             # Raw text: nothing but its own end tag counts; unclosed, it runs to the end.
@@ -162,8 +238,8 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
             elif name not in ("svg", "math", "object", "template", "noscript"):
                 break
             continue
-        bad = _noise(name, attrs)
-        if name not in INLINE or bad != noise and bad:
+        bad = _noise(name, attrs, content)
+        if name not in INLINE or bad and not noise:
             close()
         if name in ("body", "article", "main") and opened["head"]:  # an open head ends here
             stack[:] = [x for x in stack if x[0] != "head"]
@@ -176,14 +252,35 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
                 cut(k)  # a paragraph ends the one before it
         if name in ("li", "td", "th", "tr", "dd", "dt") and stack and stack[-1][0] == name:
             cut(len(stack) - 1)
-        content, noise = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        _, content, noise, number, place, named = stack[-1] if stack else top
         if name in VOID or attrs.rstrip().endswith("/"):
             continue
-        content, noise = content or name in CONTENT, noise or bad
-        stack.append((name, content, noise))
+        if name not in INLINE or bad:
+            number = elements.add(number, bad == "soft")
+            part, names_it = _place(name, attrs)
+            place, named = zlib.crc32(part.encode(), place), named or names_it
+            if name in SINGLE:
+                single.add(number)
+            if name in CONTENT:
+                elements.tops.append(number)
+        content, noise = content or name in CONTENT, noise or bad == "hard"
+        stack.append((name, content, noise, number, place, named))
         opened[name] += 1
     close()
-    return out
+    inside, noisy = elements.settle(single)
+    known = lambda text, content, number, place, named: f"\0{place:08x}" if named and not content and not inside[number] else text
+    return [(text, content, noise or noisy[number], known(text, content, number, place, named)) for text, content, noise, number, place, named in found]
+
+
+def aligned(a: list[str], b: list[str]) -> set[int]:
+    """Positions of a whose keys a longest common subsequence pairs; a place that comes several times in a row counts once."""
+    def runs(keys):
+        return [k for k, x in enumerate(keys) if not (k and x[:1] == "\0" and keys[k - 1] == x)]
+
+    starts, other = runs(a), runs(b)
+    hit = common([a[k] for k in starts], [b[k] for k in other])
+    ends = [*starts[1:], len(a)]
+    return {j for k in hit for j in range(starts[k], ends[k])}
 
 
 def common(a: list[str], b: list[str]) -> set[int]:
@@ -226,48 +323,50 @@ def nearest(path: str, before: str | None, after: str | None) -> int:
     return int(shared[1] > shared[0])
 
 
-def main_text(own: list[tuple[str, bool, bool]], path: str, before: tuple | None, after: tuple | None) -> str:
-    """The page's text without what it shares with its neighbours, each (path, lines) or None.
+def main_text(own: list[tuple], path: str, before: tuple | None, after: tuple | None) -> str:
+    """The page's text without what it shares with its neighbours, each (path, keys) or None.
 
-    A neighbour with the same lines is a copy, which tells nothing of the template.
+    A neighbour with the same keys is a copy, which tells nothing of the template.
     """
-    lines = [x[0] for x in own]
-    sides = [x if x is not None and x[1] != lines else None for x in (before, after)]
+    keys = [x[-1] if len(x) > 3 else x[0] for x in own]
+    sides = [x if x is not None and x[1] != keys else None for x in (before, after)]
     k = nearest(path, *(None if x is None else x[0] for x in sides))
-    shared = common(lines, sides[k][1]) if sides[k] else set()
-    if shared and sides[1 - k] and not any(c for _, c, _ in own):
-        shared &= common(lines, sides[1 - k][1])
-    return "\n\n".join(t for j, (t, c, n) in enumerate(own) if not n and (c or j not in shared))
+    near, other = (aligned(keys, sides[j][1]) if sides[j] else set() for j in (k, 1 - k))
+    texts = near & other if sides[1 - k] and not any(x[1] for x in own) else near
+    gone = {j for j in near | other if keys[j][:1] == "\0"} | {j for j in texts if keys[j][:1] != "\0"}
+    return "\n\n".join(x[0] for j, x in enumerate(own) if x[1] and not x[2] or not x[2] and j not in gone)
 
 
-PARSED = "chunk int, side int, k string, url string, h bigint, page_id bigint, host string, path string, body string, flags string"
+PARSED = "chunk int, side int, k string, url string, h bigint, page_id bigint, host string, path string, body string, flags string, places string"
 TEXTS = "page_id bigint, url string, text string, n_chars bigint"
 
 
 def _parse(batches):
-    """Each page's blocks, a line for each, and a digit of flags for each."""
+    """Each page's blocks: a line, a digit of flags and, where it is no text, the key of each."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
-            got = [blocks(page or "") for page in part.column(8).to_pylist()]
-            body = pa.array(["\n".join(t for t, _, _ in x) for x in got], pa.string())
-            flags = pa.array(["".join(str(CONTENT_FLAG * c + NOISE_FLAG * n) for _, c, n in x) for x in got], pa.string())
-            yield pa.RecordBatch.from_arrays([*part.columns[:8], body, flags], names=[*part.schema.names[:8], "body", "flags"])
+            got = [shaped(page or "") for page in part.column(8).to_pylist()]
+            body = pa.array(["\n".join(x[0] for x in y) for y in got], pa.string())
+            flags = pa.array(["".join(str(CONTENT_FLAG * c + NOISE_FLAG * n) for _, c, n, _ in x) for x in got], pa.string())
+            places = pa.array([" ".join(key[1:] if key[:1] == "\0" else "" for _, _, _, key in x) for x in got], pa.string())
+            yield pa.RecordBatch.from_arrays([*part.columns[:8], body, flags, places], names=[*part.schema.names[:8], "body", "flags", "places"])
 
 
 class _Run:
     """Neighbouring pages of one host with the same html."""
 
-    def __init__(self, chunk: int, host: str, h: int, path: str, body: str, flags: str):
+    def __init__(self, chunk: int, host: str, h: int, path: str, body: str, flags: str, places: str):
         self.key, self.path, self.last_path = (chunk, host, h), path, path
         self.lines = body.split("\n") if flags else []
+        self.keys = [f"\0{p}" if p else t for t, p in zip(self.lines, places.split(" "))]
         self.flags, self.pages = flags, []
 
     def texts(self, before: "_Run | None", after: "_Run | None"):
         """page_id, url, text of the pages, which stand between two other runs of the chunk."""
-        own = [(t, bool(int(f) & CONTENT_FLAG), bool(int(f) & NOISE_FLAG)) for t, f in zip(self.lines, self.flags)]
+        own = [(t, bool(int(f) & CONTENT_FLAG), bool(int(f) & NOISE_FLAG), key) for t, f, key in zip(self.lines, self.flags, self.keys)]
         near = lambda x: x is not None and self.key[1] != "" and x.key[:2] == self.key[:2]
-        sides = (before.last_path, before.lines) if near(before) else None, (after.path, after.lines) if near(after) else None
+        sides = (before.last_path, before.keys) if near(before) else None, (after.path, after.keys) if near(after) else None
         known: dict[int, str] = {}  # by the side that is nearer: all that differs between copies
         for i, url, path in self.pages:
             k = nearest(path, *(None if x is None else x[0] for x in sides))
@@ -294,9 +393,9 @@ def _differenced(batches):
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             done: list = []
-            for chunk, side, _, url, h, i, host, path, body, flags in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns)):
+            for chunk, side, _, url, h, i, host, path, body, flags, places in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns)):
                 if run is None or run.key != (chunk, host, h):
-                    now = _Run(chunk, host, h, path, body, flags)
+                    now = _Run(chunk, host, h, path, body, flags, places)
                     if run is not None:
                         done += run.texts(before, now)
                     before, run = run, now
