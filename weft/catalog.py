@@ -924,6 +924,23 @@ def mp_layer_multi_rel(spark, d):
     return mp.apply_layer(n, r, layer).select("key", F.get("y", F.lit(0)).cast("double").alias("y0"), F.get("y", F.lit(1)).cast("double").alias("y1"))
 
 
+@query(
+    """WITH r AS (SELECT l_orderkey, l_partkey, l_returnflag AS t, CAST(CAST(min(l_discount) + 0.001 AS FLOAT) AS DOUBLE) AS w FROM lineitem GROUP BY ALL)
+SELECT 'Order-' || l_orderkey AS dst, t AS type_key, round(sum(w * CAST(CAST(p_retailprice AS FLOAT) AS DOUBLE)), 6) AS total FROM r JOIN part ON p_partkey = l_partkey GROUP BY ALL""", graph=False
+)
+def mp_exact_messages(spark, d):
+    """Prices weighted by discounts, real numbers both, summed up per order and flag without regard to any order."""
+    n = spark.read.parquet(f"{d}/part.parquet").select(
+        F.concat(F.lit("Part-"), F.col("p_partkey").cast("string")).alias("key"), F.array(F.lit("part")).alias("type_keys"), F.array(F.col("p_retailprice").cast("float")).alias("x")
+    )
+    li = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey", "l_partkey", "l_returnflag").agg((F.min("l_discount") + F.lit(0.001)).cast("float").alias("w"))
+    r = li.select(
+        F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"), "l_returnflag").alias("key"), F.col("l_returnflag").alias("type_key"),
+        F.concat(F.lit("Part-"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("Order-"), F.col("l_orderkey").cast("string")).alias("dst"), "w"
+    )
+    return mp.exact_messages(n, r, 1).select("dst", "type_key", F.round(F.get("sums", F.lit(0)), 6).alias("total"))
+
+
 @query(
     _MP + " SELECT x.t AS type_key, ix.idx AS row, CAST(sum(coalesce(k.n, 0)) OVER (PARTITION BY x.t ORDER BY idx) - coalesce(k.n, 0) AS BIGINT) AS start, CAST(sum(coalesce(k.n, 0)) OVER (PARTITION BY x.t ORDER BY idx) AS BIGINT) AS \"end\" FROM (SELECT DISTINCT t FROM r) x CROSS JOIN ix LEFT JOIN (SELECT t, dst, count(*) AS n FROM r GROUP BY ALL) k ON k.t = x.t AND k.dst = ix.key"
 )

@@ -147,6 +147,54 @@ def messages(nodes: DataFrame, relations: DataFrame, width: int) -> DataFrame:
     return cells.select("dst", "type_key", F.array(*(f"s{i}" for i in range(width))).alias("sums"))
 
 
+#: Bits of a bin, and the bins that products of two 32-bit floats reach: bin k counts in steps of 2 ** (BIN_BITS * k).
+BIN_BITS, BINS = 24, range(-13, 12)
+
+
+def binned(term: Column) -> Column:
+    """A product of two 32-bit floats as an array of (bin, amount): whole amounts whose steps add up to it exactly.
+
+    The 48 bits of such a product lie in three neighbouring bins; a fourth is there for a first bin that the logarithm
+    puts one too high. A term that is no number is an error.
+    """
+    steps = F.array(*(F.lit(2.0 ** (BIN_BITS * k)) for k in BINS))
+    step = lambda k: F.get(steps, k - BINS[0])
+    size = F.abs(term)
+    first = F.least(F.greatest(F.floor(F.log2(size) / BIN_BITS).cast("int"), F.lit(BINS[0] + 3)), F.lit(BINS[-1]))
+    last = F.array().cast("array<struct<k:int,m:bigint>>")
+    start = F.struct(term.alias("rest"), last.alias("got"))
+
+    def take(state, j):
+        k = first - j
+        amount = (state["rest"] / step(k)).cast("bigint")  # cut towards zero
+        got = F.when(amount != 0, F.concat(state["got"], F.array(F.struct(k.alias("k"), amount.alias("m"))))).otherwise(state["got"])
+        return F.struct((state["rest"] - amount.cast("double") * step(k)).alias("rest"), got.alias("got"))
+
+    whole = F.aggregate(F.array(*(F.lit(j) for j in range(4))), start, take, lambda s: s["got"])
+    wrong = F.raise_error(F.lit("a message is not finite")).cast("array<struct<k:int,m:bigint>>")
+    return F.when(term == 0, last).when(size < float("inf"), whole).otherwise(wrong)
+
+
+def exact_messages(nodes: DataFrame, relations: DataFrame, width: int) -> DataFrame:
+    """dst, type_key, sums as ``messages``, but the same bits whatever the order and the partitions.
+
+    Terms are taken apart into whole amounts per bin, and whole numbers add up alike in any order; amounts are summed up
+    before the shuffle, so a target of very many relations is spread over tasks. The bins of a sum, a few, are put together
+    from the least. 2 ** 38 relations of one target and type fit a bin.
+    """
+    src = nodes.select(F.col("key").alias("src"), "x")
+    sent = relations.join(src, "src").select("dst", "type_key", F.col("w").cast("double").alias("w"), "x")
+    terms = sent.select("dst", "type_key", F.posexplode(F.array(*(F.col("w") * F.get("x", F.lit(i)).cast("double") for i in range(width)))).alias("i", "term"))
+    bins = terms.select("dst", "type_key", "i", F.explode_outer(binned(F.col("term"))).alias("b")).select("dst", "type_key", "i", F.col("b.k").alias("k"), F.col("b.m").alias("m"))
+    sums = bins.groupBy("dst", "type_key", "i", "k").agg(F.sum("m").alias("m"))
+    steps = F.array(*(F.lit(2.0 ** (BIN_BITS * k)) for k in BINS))
+    part = F.struct(F.coalesce("k", F.lit(BINS[0])).alias("k"), F.coalesce("m", F.lit(0)).alias("m"))
+    value = F.aggregate(F.array_sort(F.collect_list(part)), F.lit(0.0), lambda s, b: s + b["m"].cast("double") * F.get(steps, b["k"] - BINS[0]))
+    whole = sums.groupBy("dst", "type_key", "i").agg(value.alias("v"))
+    cells = whole.groupBy("dst", "type_key").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("c"))
+    return cells.select("dst", "type_key", F.transform("c", lambda x: x["v"]).alias("sums"))
+
+
 def _times(vector: Column, matrix: list[list[float]]) -> list[Column]:
     cols = list(zip(*matrix))
     return [F.aggregate(F.zip_with(vector, F.array(*(F.lit(float(v)) for v in c)), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) for c in cols]
@@ -164,20 +212,26 @@ def _transforms(spark, layer: Layer) -> DataFrame:
     return spark.createDataFrame(rows, "type_key string, matrix array<array<double>>")
 
 
-def apply_layer(nodes: DataFrame, relations: DataFrame, layer: Layer) -> DataFrame:
+def apply_layer(nodes: DataFrame, relations: DataFrame, layer: Layer, exact: bool = False) -> DataFrame:
     """key, y of every node; nodes without incoming relations get bias and own part.
 
     Sums are taken in double and rounded to float at the end (exact where the products are). The
     matrices are a small table (a row for each relation type), so the plan does not grow with them.
+    ``exact`` sums do not depend on any order: the same bits on any number of partitions.
     """
     _checked(layer)
     width = layer.outputs
     zero = F.array(*(F.lit(0.0) for _ in range(width)))
-    sums = messages(nodes, relations, layer.inputs).join(F.broadcast(_transforms(nodes.sparkSession, layer)), "type_key", "left")
+    summed = (exact_messages if exact else messages)(nodes, relations, layer.inputs)
+    sums = summed.join(F.broadcast(_transforms(nodes.sparkSession, layer)), "type_key", "left")
     known = F.coalesce("matrix", F.raise_error(F.concat(F.lit("spec.relation_transform.missing: "), F.col("type_key"))).cast("array<array<double>>"))
-    moved = sums.select("dst", F.transform(known, lambda column: F.aggregate(F.zip_with("sums", column, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)).alias("v"))
-    got = moved.groupBy("dst").agg(*(F.sum(F.get("v", F.lit(o))).alias(f"v{o}") for o in range(width)))
-    got = got.select("dst", F.array(*(f"v{o}" for o in range(width))).alias("got"))
+    moved = sums.select("dst", "type_key", F.transform(known, lambda column: F.aggregate(F.zip_with("sums", column, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)).alias("v"))
+    if exact:  # a target has a row for each type of the layer at most: they are added in the types' order
+        ordered = F.array_sort(F.collect_list(F.struct("type_key", "v")))
+        got = moved.groupBy("dst").agg(F.aggregate(ordered, zero, lambda s, x: F.zip_with(s, x["v"], lambda a, b: a + b)).alias("got"))
+    else:
+        got = moved.groupBy("dst").agg(*(F.sum(F.get("v", F.lit(o))).alias(f"v{o}") for o in range(width)))
+        got = got.select("dst", F.array(*(f"v{o}" for o in range(width))).alias("got"))
     own = F.array(*_times(F.transform("x", lambda v: v.cast("double")), layer.own)) if layer.own is not None else zero
     bias = F.array(*(F.lit(float(b)) for b in layer.bias)) if layer.bias is not None else zero
     total = F.zip_with(F.zip_with(bias, own, lambda a, b: a + b), F.coalesce("got", zero), lambda a, b: a + b)
