@@ -16,7 +16,7 @@ from weft.operators import bridges, measure, mutate, semantic, traverse, typed,
 from weft.plans import compile as plans
 from weft.plans import templates
 from weft.plans.session import shared_path
-from weft.sources import definitions, records, sinks
+from weft.sources import definitions, records, sinks, storage
 from weft.sources.graph import PropertyGraph, attributes_from_json, tpch_graph
 from weft.streaming import changes
 
@@ -1291,6 +1291,16 @@ def backup_round_trip(spark, d):
     return _whole(records.load_backup(spark, path))
 
 
+@query("""SELECT 'node' AS what, gid AS a, kind AS b FROM nodes UNION ALL SELECT 'link', a_gid, b_gid FROM links""")
+def folder_store_round_trip(spark, d):
+    """Written as folders with links between them, and read back."""
+    store = storage.open_storage(spark, "folders", shared_path(spark, "folders").removeprefix("file:"))
+    store.save(tpch_graph(spark, d))
+    back = store.load()
+    nodes = back.base.select(F.lit("node").alias("what"), F.col("gid").alias("a"), F.element_at("attrs", "kind").alias("b"))
+    return nodes.unionByName(back.links.select(F.lit("link").alias("what"), F.col("a_gid").alias("a"), F.col("b_gid").alias("b")))
+
+
 @query("""SELECT CAST(to_json({'gid': gid, 'kind': kind}) AS VARCHAR) AS line FROM nodes""")
 def ndjson_sink(spark, d):
     return sinks.ndjson(tpch_graph(spark, d).nodes.select("gid", F.element_at("attrs", "kind").alias("kind")))
