@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import names, scalars, text
 from weft.operators import message_passing as mp
-from weft.operators import bridges, measure, mutate, semantic, traverse, typed, view
+from weft.operators import asof, bridges, measure, mutate, semantic, traverse, typed, view
 from weft.plans import compile as plans
 from weft.plans import templates
 from weft.plans.session import shared_path
@@ -1445,6 +1445,15 @@ def component_names(spark, d):
     return view.component_names(view.root_components(n, e).withColumnRenamed("root_component", "component"))
 
 
+@query("""SELECT a.event_id, CAST(arg_max(b.event_id, (b.ts, b.event_id)) AS BIGINT) AS last_id, max(b.ts) = a.ts AS same_time
+FROM events a LEFT JOIN events b ON b.user_id = a.user_id AND b.event_type = 'view' AND b.ts <= a.ts WHERE a.event_type <> 'view' GROUP BY a.event_id, a.ts HAVING count(b.event_id) > 0""", graph=False)
+def asof_last_view(spark, d):
+    """Every event but views with the last view of its user before it; those without any are left out."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    got = asof.asof(e.where("event_type <> 'view'").select("event_id", "user_id", "ts"), e.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view")), "user_id", "ts")
+    return got.where("found is not null").select("event_id", F.col("found.view").alias("last_id"), (F.col("found.ts") == F.col("ts")).alias("same_time"))
+
+
 def _streamed_windows(spark, d, slide):
     """The event table as a stream, counted by windows of an hour."""
     raw = spark.readStream.schema(  # a pattern: the table may be one file
