@@ -173,3 +173,17 @@ def test_order_of_a_reach(spark):
             want = sorted((d, b) for b, d in Naive(nodes, links).reach(a).items() if 1 <= d <= 2)
             assert [(r["dist"], r["dst"]) for r in sorted((r for r in rows if r["src"] == a), key=lambda r: r["ord"])] == want
             assert sorted(r["ord"] for r in rows if r["src"] == a) == list(range(len(want)))
+
+
+def test_what_is_written_can_be_released(spark):
+    import os
+
+    from weft.plans import session
+
+    g = PropertyGraph.of(spark, ["a", "b"], [("a", "b")])
+    assert g.placed.buckets.rows.count() == 2
+    places = [p for p, _ in session._MADE[spark.sparkContext.applicationId]]
+    local = [p.removeprefix("file:") for p in places]
+    assert all(os.path.isdir(p) for p in local[-2:])
+    session.release(spark)
+    assert not any(os.path.exists(p) for p in local) and spark.sparkContext.applicationId not in session._MADE

@@ -1035,7 +1035,7 @@ def semantic_missing_facets(spark, d):
     return semantic.missing_facets(t, f)
 
 
-@query("""SELECT gid AS node_gid FROM nodes WHERE kind IN ('customer', 'supplier') UNION SELECT 'Order-' || o_orderkey FROM orders WHERE FALSE""")
+@query("""SELECT gid AS node_gid FROM nodes WHERE kind IN ('customer', 'supplier') """)
 def semantic_unsatisfied(spark, d):
     """Nodes that lack a required facet; orders lack nothing."""
     g, t, f = _semantic(spark, d)
@@ -1119,12 +1119,13 @@ def _edges(spark, d):
     return t, semantic.Edges(r, m)
 
 
-@query("SELECT count(*) AS n_relations, count(*) * 3 AS n_members FROM rel WHERE p <> 'Part-1' AND s <> 'Supplier-2'", graph=False, lines=True)
+@query("SELECT id AS rel_gid, unnest(['Order', 'Part', 'Supplier']) AS role, unnest([o, p, s]) AS participant_gid FROM rel WHERE p <> 'Part-1' AND s <> 'Supplier-2'", graph=False, lines=True)
 def semantic_cascade_delete(spark, d):
+    """The members of all relations that are left when a part and a supplier go."""
     _, e = _edges(spark, d)
     g = PropertyGraph.of(spark, ["Part-1", "Supplier-2"])
     _, left = semantic.delete_nodes(g, e, ["Part-1", "Supplier-2"])
-    return left.relations.agg(F.count(F.lit(1)).alias("n_relations")).crossJoin(left.members.agg(F.count(F.lit(1)).alias("n_members")))
+    return left.members.join(left.relations.select("rel_gid"), "rel_gid", "left_semi").select("rel_gid", "role", "participant_gid")
 
 
 @query("""WITH p AS (SELECT min(b_gid) AS p FROM links WHERE a_gid = 'Order-1' AND b_gid LIKE 'Part-%')

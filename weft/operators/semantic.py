@@ -174,13 +174,17 @@ def has_any_type(facets: DataFrame, allowed: list[str]) -> DataFrame:
     return facets.where(F.col("type_gid").isin(allowed)).select("node_gid").distinct()
 
 
-def slot_violations(graph: PropertyGraph, types: DataFrame, facets: DataFrame) -> DataFrame:
-    """node_gid, type_gid, slot, n: slots whose number of typed neighbours is outside the cardinality."""
-    s = facets.select("node_gid", "type_gid").join(effective_slots(types), "type_gid").select("node_gid", "type_gid", F.explode("slots").alias("s")).select(
+def slot_violations(graph: PropertyGraph, types: DataFrame, facets: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """node_gid, type_gid, slot, n: slots whose number of typed neighbours is outside the cardinality; of all nodes or only(node_gid)."""
+    own, near = facets.select("node_gid", "type_gid"), graph.neighbours
+    if only is not None:
+        only = only.select("node_gid").distinct()
+        own, near = own.join(only, "node_gid", "left_semi"), near.join(only.withColumnRenamed("node_gid", "src"), "src", "left_semi")
+    s = own.join(effective_slots(types), "type_gid").select("node_gid", "type_gid", F.explode("slots").alias("s")).select(
         "node_gid", "type_gid", F.col("s.name").alias("slot"), F.col("s.allowed").alias("allowed"), F.col("s.min").alias("lo"),
         F.col("s.max").alias("hi")
     )
-    typed = graph.neighbours.join(
+    typed = near.join(
         facets.select(F.col("node_gid").alias("dst"), F.col("type_gid").alias("t")), "dst"
     ).groupBy("src", "dst").agg(F.collect_set("t").alias("ts"))
     hits = s.join(
@@ -198,8 +202,10 @@ def unsatisfied(graph: PropertyGraph, types: DataFrame, facets: DataFrame) -> Da
 def assign(graph: PropertyGraph, types: DataFrame, facets: DataFrame, rows: DataFrame) -> DataFrame:
     """facets after assigning types to nodes, rows(node_gid, type_gid): the closure is made, once.
 
-    Each new facet gets a witness name; abstract types and ambiguous slots are refused.
+    Each new facet gets a witness name; abstract types and ambiguous slots are refused. Only the new facets are written,
+    and only the named nodes' slots are counted.
     """
+    rows = cut(rows.select("node_gid", "type_gid"))
     _refuse(rows.join(types.where("is_abstract").select("type_gid"), "type_gid", "left_semi"), "an abstract type cannot be assigned")
     _refuse(rows.join(types.select("type_gid"), "type_gid", "left_anti"), "no such type")
     _refuse(ambiguous_slots(types).join(rows, "type_gid", "left_semi"), "ambiguous slots")
@@ -207,9 +213,8 @@ def assign(graph: PropertyGraph, types: DataFrame, facets: DataFrame, rows: Data
     full = rows.join(closure(types), "type_gid").select("node_gid", F.col("reached").alias("type_gid")).distinct()
     new = full.join(facets, ["node_gid", "type_gid"], "left_anti")
     witness = names.relation_name(names.local_id(F.col("type_gid")), names.local_id(F.col("node_gid")))
-    after = cut(facets.unionByName(new.select("node_gid", "type_gid", witness.alias("witness_gid"))))
-    broken = slot_violations(graph, types, after).join(rows.select("node_gid"), "node_gid", "left_semi")
-    _refuse(broken, "a slot is not filled as its cardinality asks")
+    after = facets.unionByName(cut(new.select("node_gid", "type_gid", witness.alias("witness_gid"))))
+    _refuse(slot_violations(graph, types, after, rows), "a slot is not filled as its cardinality asks")
     return after
 
 
@@ -258,9 +263,15 @@ def read_edge(types: DataFrame, edges: Edges, rel_gid: str) -> DataFrame:
 
 
 def add_relations(types: DataFrame, facets: DataFrame, edges: Edges, relations: DataFrame, members: DataFrame) -> Edges:
+    """edges with new rows, which alone are checked and written."""
     new = Edges(cut(relations), cut(members))
     _refuse(endpoint_violations(types, facets, new), "a relation breaks its type")
-    return Edges(cut(edges.relations.unionByName(new.relations)), cut(edges.members.unionByName(new.members)))
+    return Edges(edges.relations.unionByName(new.relations), edges.members.unionByName(new.members))
+
+
+def settled_edges(edges: Edges) -> Edges:
+    """The same relations from tables of their own, after many changes."""
+    return Edges(cut(edges.relations), cut(edges.members))
 
 
 def change_edge_type(
@@ -268,7 +279,8 @@ def change_edge_type(
 ) -> tuple[PropertyGraph, Edges]:
     """Make a typed relation of a raw edge, or of the one relation that has the same participants."""
     people = sorted(p for ps in roles.values() for p in ps)
-    same = edges.members.groupBy("rel_gid").agg(F.array_sort(F.collect_list("participant_gid")).alias("all")).where(F.col("all") == F.array(*(F.lit(p) for p in people)))
+    near = edges.members.where(F.col("participant_gid") == people[0]).select("rel_gid").distinct() if people else edges.members.select("rel_gid").limit(0)
+    same = edges.members.join(near, "rel_gid", "left_semi").groupBy("rel_gid").agg(F.array_sort(F.collect_list("participant_gid")).alias("all")).where(F.col("all") == F.array(*(F.lit(p) for p in people)))
     old = [r["rel_gid"] for r in same.limit(2).collect()]
     if len(old) > 1:
         raise SemanticError("several relations have these participants")
@@ -281,7 +293,7 @@ def change_edge_type(
 
 
 def delete_nodes(graph: PropertyGraph, edges: Edges, gids: list[str]) -> tuple[PropertyGraph, Edges]:
-    """Drop nodes and, first, every relation in which they or relations so dropped take part."""
+    """Drop nodes and, first, every relation in which they or relations so dropped take part; only what goes is written."""
     gone = cut(graph.spark.createDataFrame([(g,) for g in gids], "gid string"))
     while True:
         hit = edges.members.join(
@@ -292,7 +304,7 @@ def delete_nodes(graph: PropertyGraph, edges: Edges, gids: list[str]) -> tuple[P
             break
         gone = cut(gone.unionByName(hit))
     rel = gone.withColumnRenamed("gid", "rel_gid")
-    left = Edges(cut(edges.relations.join(rel, "rel_gid", "left_anti")), cut(edges.members.join(rel, "rel_gid", "left_anti")))
+    left = Edges(edges.relations.join(rel, "rel_gid", "left_anti"), edges.members.join(rel, "rel_gid", "left_anti"))
     return mutate.delete_subtrees(graph, gids), left
 
 
