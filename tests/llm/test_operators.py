@@ -130,6 +130,16 @@ def test_token_store_splits_a_frequent_id(spark, tmp_path):
     assert len(token_store.read_document(spark, path, 30)) == 301
 
 
+def test_token_store_splits_rows_without_an_id(spark, tmp_path):
+    rows = [(None, f"no id {k}") for k in range(300)] + [(k, f"text {k}") for k in range(-20, 20)]
+    token_store.write_store(spark, documents(spark, rows).repartition(3), WORD_BPE, str(tmp_path / "s"), buckets=8)
+    shards = spark.read.parquet(str(tmp_path / "s" / "shards")).orderBy("bucket", "shard").collect()
+    held = [sum(i is None for i in x["doc_ids"]) for x in shards]
+    assert sum(held) == 300 and max(held) < 120 and sum(n > 0 for n in held) > 3
+    ids = [i for x in shards for i in x["doc_ids"]]
+    assert ids == [None] * 300 + list(range(-20, 20))
+
+
 def test_token_counts_use_the_cache(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "cache")
     rows = EDGES + [(8, "One two\nthree.")]

@@ -29,8 +29,10 @@ from weft.llm.word_cache import WordEncoder
 
 END_ID = 2
 DICT_BYTES = 64 << 10
-#: The dictionary is fitted on at most so many texts and bytes of each.
-DICT_TEXTS, DICT_TEXT_BYTES = 400, 8192
+#: The dictionary is fitted on at most so many whole texts, none of more bytes than this.
+DICT_TEXTS, DICT_TEXT_BYTES = 400, 16 << 10
+#: Where rows without an id lie among the buckets: before all ids.
+NO_ID = -(1 << 63)
 SHARD_BYTES = 4 << 20
 BUCKET_ROWS = 50_000
 LEVEL = 1
@@ -52,14 +54,14 @@ def train_dictionary(samples: list[bytes]) -> bytes:
 
 
 def _bounds(rows: DataFrame, n: int) -> list[int]:
-    got = rows.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(10_000)).alias("b")).first()["b"] if n > 1 else []
+    got = rows.agg(F.percentile_approx(F.coalesce("doc_id", F.lit(NO_ID)), F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(10_000)).alias("b")).first()["b"] if n > 1 else []
     return sorted(got or [])
 
 
 def _buckets(key: np.ndarray, bounds: np.ndarray, at: int) -> np.ndarray:
     """The bucket of each id, ``at`` rows into the partition.
 
-    An id that many rows have is a bound more than once; its rows take turns over the buckets
+    An id that many rows have, or no id, is a bound more than once; its rows take turns over the buckets
     between, which changes no order of ids.
     """
     first, last = np.searchsorted(bounds, key, "left"), np.searchsorted(bounds, key, "right")
@@ -78,7 +80,8 @@ def write_store(
     """
     rows = id_text(docs, id_col, text_col)
     encoder = WordEncoder.get(tokenizer_path)
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").select(F.substring("text", 1, DICT_TEXT_BYTES)).limit(DICT_TEXTS).toLocalIterator()
+    fitting = rows.where(F.octet_length("text") <= DICT_TEXT_BYTES).orderBy(F.xxhash64("doc_id"), "doc_id")
+    sample = fitting.select("text").limit(DICT_TEXTS).toLocalIterator()
     dictionary = train_dictionary(encoder.encode([(r[0] or "").encode() for r in sample]))
     name = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(name, bytearray(dictionary))], "dict_sha256 string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
@@ -98,7 +101,7 @@ def write_store(
                     frames.append(packer.compress(ids + end))
                     counts.append(len(ids) // 4 + 1)
             key = batch.column(0).to_pandas().astype("Int64")
-            bucket = np.where(key.isna(), 0, _buckets(key.fillna(0).to_numpy("int64"), bounds, seen)).astype(np.int32)
+            bucket = _buckets(key.fillna(NO_ID).to_numpy("int64"), bounds, seen)
             seen += batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bucket), batch.column(0), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())],
