@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 
+# The documents of the ready-made queries, in the vocabulary of the query language.
+
+
 def _var(name: str) -> dict:
     return {"kind": "var", "name": name}
 
