@@ -18,7 +18,7 @@ from weft.plans import templates
 from weft.plans.session import shared_path
 from weft.sources import definitions, records, sinks, storage
 from weft.sources.graph import PropertyGraph, attributes_from_json, tpch_graph
-from weft.streaming import changes
+from weft.streaming import changes, links
 
 GRAPH = """
 land AS (SELECT n_nationkey, r_name || '/' || n_name AS land FROM nation JOIN region ON n_regionkey = r_regionkey),
@@ -1457,10 +1457,7 @@ def asof_last_view(spark, d):
 
 def _streamed_windows(spark, d, slide):
     """The event table as a stream, counted by windows of an hour."""
-    raw = spark.readStream.schema(  # a pattern: the table may be one file
-        spark.read.parquet(f"{d}/events.parquet").schema
-    ).option("maxFilesPerTrigger", 4).parquet(f"{d}/event[s].parquet")
-    got = changes.window_table(_as_changes(raw), shared_path(spark, "windows"), "1 hour", "10 minutes", slide)
+    got = changes.window_table(_event_stream(spark, d), shared_path(spark, "windows"), "1 hour", "10 minutes", slide)
     return got.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("began"), "op", "n")
 
 
@@ -1476,6 +1473,52 @@ def change_windows_sliding(spark, d):
     return _streamed_windows(spark, d, "20 minutes")
 
 
+_LOG = """c AS (SELECT ts, op, least(a, b) AS a_gid, greatest(a, b) AS b_gid FROM (
+  SELECT ts, CASE event_type WHEN 'click' THEN 'add' ELSE 'remove' END AS op, 'u' || user_id AS a, json_extract_string(props, '$.k') AS b FROM events WHERE event_type IN ('click', 'error'))),
+m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS w FROM c)"""
+_LIFE = f"""{_LOG}, g AS (SELECT a_gid, b_gid, time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE AS moment, arg_max(op, (ts, op)) AS op FROM c GROUP BY 1, 2, 3),
+r AS (SELECT *, lag(op) OVER p AS was, lag(moment) OVER p AS since, lead(moment) OVER p AS next FROM g, m WHERE moment <= w WINDOW p AS (PARTITION BY a_gid, b_gid ORDER BY moment)),
+l AS (SELECT *, coalesce(was = 'add' AND moment < since + INTERVAL 5 DAY, false) AS live FROM r),
+moves AS (SELECT a_gid, b_gid, moment, 1 AS change, 'add' AS why FROM l WHERE op = 'add' AND NOT live
+  UNION ALL SELECT a_gid, b_gid, moment, -1, 'remove' FROM l WHERE op = 'remove' AND live
+  UNION ALL SELECT a_gid, b_gid, moment + INTERVAL 5 DAY, -1, 'silent' FROM l WHERE op = 'add' AND moment + INTERVAL 5 DAY <= coalesce(next, w))"""
+
+
+def _event_stream(spark, d):
+    """The event table's changes as a stream; by a pattern, since the table may be one file."""
+    raw = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/event[s].parquet")
+    return _as_changes(raw)
+
+
+def _moves(spark, d):
+    """Links that live for five days after they were added last."""
+    return links.table_of(links.moves(_event_stream(spark, d), 5 * 86_400, "10 minutes", "1 minute"), shared_path(spark, "moves"))
+
+
+@query(f"WITH {_LIFE} SELECT a_gid, b_gid, strftime(moment, '%Y-%m-%d %H:%M:%S') AS moment, change, why FROM moves", graph=False)
+def link_moves(spark, d):
+    """Every beginning and end of a link, with state and timers for each pair."""
+    return _moves(spark, d).withColumn("moment", F.date_format("moment", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(f"""WITH {_LIFE}, e AS (SELECT a_gid AS gid, b_gid AS other, moment, change FROM moves UNION ALL SELECT b_gid, a_gid, moment, change FROM moves)
+SELECT gid, CAST(sum(change) AS BIGINT) AS degree, arg_max(other, (moment, other)) FILTER (change = 1) AS last_gid, strftime(max(moment) FILTER (change = 1), '%Y-%m-%d %H:%M:%S') AS last_at FROM e GROUP BY gid""", graph=False)
+def live_degree(spark, d):
+    """Each node's live links and the last that began."""
+    return links.live_nodes(_moves(spark, d)).withColumn("last_at", F.date_format("last_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(f"""WITH {_LOG}, e AS (SELECT a_gid AS gid, ts FROM c UNION ALL SELECT b_gid, ts FROM c),
+g AS (SELECT gid, time_bucket(INTERVAL 1 SECOND, ts) + INTERVAL 1 SECOND AS moment, count(*) AS n, min(ts) AS t, max(ts) AS u FROM e GROUP BY 1, 2),
+s AS (SELECT *, coalesce(moment >= lag(moment) OVER p + INTERVAL 12 HOUR, true) AS starts FROM g WINDOW p AS (PARTITION BY gid ORDER BY moment)),
+k AS (SELECT *, sum(CAST(starts AS INT)) OVER (PARTITION BY gid ORDER BY moment) AS run FROM s)
+SELECT gid, epoch_us(min(t)) AS began_us, epoch_us(max(u)) AS ended_us, CAST(sum(n) AS BIGINT) AS n FROM k, m GROUP BY gid, run, w HAVING max(moment) + INTERVAL 12 HOUR <= w""", graph=False)
+def change_sessions(spark, d):
+    """Runs of changes of a node with less than half a day between them."""
+    got = links.table_of(links.sessions(_event_stream(spark, d), "12 hours", "10 minutes"), shared_path(spark, "sessions"))
+    return got.select("gid", F.unix_micros("began").alias("began_us"), F.unix_micros("ended").alias("ended_us"), "n")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders within three steps of a part's suppliers' nation: attribute, path and negation together."""
     where = both(
