@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import names, scalars, text
 from weft.operators import message_passing as mp
-from weft.operators import asof, bridges, measure, mutate, semantic, traverse, typed, view
+from weft.operators import asof, bridges, carrier, measure, mutate, semantic, traverse, typed, view
 from weft.plans import compile as plans
 from weft.plans import templates
 from weft.plans.session import shared_path
@@ -1150,6 +1150,43 @@ def reified_round_trip(spark, d):
     return semantic.import_reified(PropertyGraph(nodes.unionByName(ends.select("gid", none.alias("attrs"))), links), t).members
 
 
+def _kept(spark, d):
+    """Line items as a store keeps them: (types, nodes, links)."""
+    t, e = _edges(spark, d)
+    nodes, links = carrier.written(t, e)
+    ends = e.members.select(F.col("participant_gid").alias("gid")).distinct().unionByName(t.select(F.col("type_gid").alias("gid")))
+    return t, nodes.unionByName(ends.withColumn("attrs", F.create_map().cast("map<string,string>"))), links
+
+
+@query("SELECT id AS rel_gid, unnest(['Order', 'Part', 'Supplier']) AS role, unnest([o, p, s]) AS participant_gid FROM rel", graph=False, lines=True)
+def carrier_round_trip(spark, d):
+    t, nodes, links = _kept(spark, d)
+    return carrier.read(PropertyGraph(nodes, links), t).members
+
+
+@query("""WITH k AS (SELECT *, id || '/member-' || id || '-2' AS role FROM rel WHERE l_suppkey % 9 <> 0)
+SELECT id, 'Corrupt' AS code, 'there are roles but no type' AS message FROM rel WHERE l_suppkey % 9 = 0
+UNION ALL SELECT id, 'Unsupported', 'a child stands for no role: extra' FROM k WHERE l_partkey % 5 = 1 UNION ALL SELECT id || '/extra', 'Unsupported', 'an element is a child of a relation' FROM k WHERE l_partkey % 5 = 1
+UNION ALL SELECT role, 'Unsupported', 'a role has attributes' FROM k WHERE l_partkey % 7 = 0 UNION ALL SELECT role, 'Unsupported', 'a role has a child: below' FROM k WHERE l_partkey % 11 = 0
+UNION ALL SELECT id, 'Unsupported', 'the relation is linked beside its roles: ' || o FROM k WHERE l_partkey % 13 = 0""", graph=False, lines=True)
+def carrier_violations(spark, d):
+    """Line items in a store with faults: types taken off, children and attributes too many, links beside the roles."""
+    t, nodes, links = _kept(spark, d)
+    none = F.create_map().cast("map<string,string>")
+    rel = nodes.where("gid like 'Line-%' and gid not like '%/%'").select(F.col("gid").alias("rel_gid"))
+    part, supplier = F.split("rel_gid", "-")[2].cast("int"), F.split("rel_gid", "-")[3].cast("int")
+    role = F.concat("rel_gid", F.lit("/member-"), "rel_gid", F.lit("-2"))
+    noted = rel.where(part % 7 == 0).select(role.alias("gid"), F.lit(True).alias("noted"))
+    nodes = nodes.join(noted, "gid", "left").select("gid", F.when(F.col("noted"), F.create_map(F.lit("note"), F.lit("x"))).otherwise(F.col("attrs")).alias("attrs"))
+    extra = rel.where(part % 5 == 1).select(F.concat("rel_gid", F.lit("/extra")).alias("gid"), none.alias("attrs"))
+    below = rel.where(part % 11 == 0).select(F.concat(role, F.lit("/below")).alias("gid"), none.alias("attrs"))
+    untyped = rel.where(supplier % 9 == 0).select(F.col("rel_gid").alias("a_gid"), F.lit("NodeTypes/Line").alias("b_gid"))
+    beside = rel.where(part % 13 == 0).select(F.col("rel_gid").alias("a_gid"), F.concat(F.lit("Order-"), F.split("rel_gid", "-")[1]).alias("b_gid"))
+    g = PropertyGraph(nodes.unionByName(extra).unionByName(below), links.join(untyped, ["a_gid", "b_gid"], "left_anti").unionByName(beside))
+    facets = extra.select(F.col("gid").alias("node_gid"), F.lit("NodeTypes/Thing").alias("type_gid"), F.lit(None).cast("string").alias("witness_gid"))
+    return carrier.unsupported_elements(g, t, facets, external=True)
+
+
 @query("""WITH m AS (SELECT id, unnest(['Order', 'Part', 'Supplier']) AS role, unnest([o, p, s]) AS who FROM rel), k AS (SELECT id, who, row_number() OVER (PARTITION BY id ORDER BY sha256('NodeTypes/Line' || chr(0) || role)[1:16]) AS n FROM m)
 SELECT id AS rel_gid, 'NodeTypes/Line' AS type_gid, max(who) FILTER (n = 1) AS a_gid, max(who) FILTER (n = 2) AS b_gid FROM k GROUP BY id""", graph=False, lines=True)
 def view_relations(spark, d):

@@ -345,10 +345,14 @@ def import_reified(graph: PropertyGraph, types: DataFrame) -> Edges:
 
 
 def to_strict(types: DataFrame, facets: DataFrame, graph: PropertyGraph, edges: Edges) -> tuple[DataFrame, DataFrame]:
-    """(types, elements) of the strict contract; what it cannot say raises instead of being guessed."""
+    """(types, elements) of the strict contract; types that it cannot say raise instead of being guessed.
+
+    What the graph holds beside its relations is told by ``carrier.unsupported_elements``.
+    """
     from weft.functions import scalars
-    from weft.operators import typed
+    from weft.operators import carrier, typed
 
+    typed.require_none(carrier.unsupported_types(types))
     kind = F.lit(None).cast("string")
     for alias in scalars.ALIASES:
         try:
