@@ -15,7 +15,7 @@ from weft.operators import message_passing as mp
 from weft.operators import asof, bridges, carrier, measure, mutate, semantic, traverse, typed, view
 from weft.plans import compile as plans
 from weft.plans import templates
-from weft.plans.session import shared_path
+from weft.plans.session import shared_path, stored
 from weft.sources import definitions, records, sinks, storage
 from weft.sources.graph import PropertyGraph, attributes_from_json, tpch_graph
 from weft.streaming import changes, links
@@ -1161,7 +1161,7 @@ def _kept(spark, d):
 @query("SELECT id AS rel_gid, unnest(['Order', 'Part', 'Supplier']) AS role, unnest([o, p, s]) AS participant_gid FROM rel", graph=False, lines=True)
 def carrier_round_trip(spark, d):
     t, nodes, links = _kept(spark, d)
-    return carrier.read(PropertyGraph(nodes, links), t).members
+    return carrier.read(PropertyGraph(stored(nodes), stored(links)), t).members
 
 
 @query("""WITH k AS (SELECT *, id || '/member-' || id || '-2' AS role FROM rel WHERE l_suppkey % 9 <> 0)
@@ -1172,6 +1172,7 @@ UNION ALL SELECT id, 'Unsupported', 'the relation is linked beside its roles: '
 def carrier_violations(spark, d):
     """Line items in a store with faults: types taken off, children and attributes too many, links beside the roles."""
     t, nodes, links = _kept(spark, d)
+    nodes = stored(nodes)  # with its faults the store is read many times
     none = F.create_map().cast("map<string,string>")
     rel = nodes.where("gid like 'Line-%' and gid not like '%/%'").select(F.col("gid").alias("rel_gid"))
     part, supplier = F.split("rel_gid", "-")[2].cast("int"), F.split("rel_gid", "-")[3].cast("int")
@@ -1182,7 +1183,8 @@ def carrier_violations(spark, d):
     below = rel.where(part % 11 == 0).select(F.concat(role, F.lit("/below")).alias("gid"), none.alias("attrs"))
     untyped = rel.where(supplier % 9 == 0).select(F.col("rel_gid").alias("a_gid"), F.lit("NodeTypes/Line").alias("b_gid"))
     beside = rel.where(part % 13 == 0).select(F.col("rel_gid").alias("a_gid"), F.concat(F.lit("Order-"), F.split("rel_gid", "-")[1]).alias("b_gid"))
-    g = PropertyGraph(nodes.unionByName(extra).unionByName(below), links.join(untyped, ["a_gid", "b_gid"], "left_anti").unionByName(beside))
+    links = links.join(untyped, ["a_gid", "b_gid"], "left_anti").unionByName(beside)
+    g = PropertyGraph(stored(nodes.unionByName(extra).unionByName(below)), stored(links))
     facets = extra.select(F.col("gid").alias("node_gid"), F.lit("NodeTypes/Thing").alias("type_gid"), F.lit(None).cast("string").alias("witness_gid"))
     return carrier.unsupported_elements(g, t, facets, external=True)
 
