@@ -1,6 +1,7 @@
 """The ten operators against brute force, the reference libraries, SQL and planted cases."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -285,6 +286,31 @@ def test_quality_rules(spark):
     assert quality_rules.judge(empty(spark), rules).count() == 0
 
 
+def test_kept_equals_a_walk_over_the_trees(spark):
+    """Scores and verdicts against one document at a time, walked from each root to its leaf."""
+    docs = table(spark, "documents")
+    rules = quality_rules.train(docs, table(spark, "labels"))
+    f, rows = rules.forest, EDGES + [tuple(x) for x in docs.select("doc_id", "text").collect()]
+
+    def score(features):
+        total = f.base
+        for root in f.roots:
+            at = root
+            while f.left[at] != at:
+                at = f.left[at] if features[f.feature[at]] <= f.threshold[at] else f.right[at]
+            total += f.value[at]
+        return 1 / (1 + math.exp(-max(-40.0, min(40.0, total))))
+
+    want = Counter()
+    for i, t in rows:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        points = score(S.ratios(S.document_stats(data, np.array([0, len(data)])))[1][0])
+        n_words, _, _, _, n_repeat = brute_stats(t or "")
+        want[(i, round(points, 9), n_words >= 10 and 100 * n_repeat <= 20 * n_words and points >= rules.threshold)] += 1
+    assert len(f.roots) == 60 and len({k[1] for k in want}) > 10  # the trees tell documents apart
+    assert Counter((x["doc_id"], round(x["score"], 9), x["kept"]) for x in quality_rules.judge(documents(spark, rows, True), rules).collect()) == want
+
+
 def test_trees_keep_monotonic_constraints():
     r = np.random.default_rng(1)
     x = r.random((2000, 3))
